@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_topk, mixing, packing, quality, simhash, toxicity, url_filter
+from . import ann, exact_topk, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 from .common import read_table
 
 
@@ -42,8 +42,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op3_nearest, op4_quality, op5_packing, op6_mixing, op7_simhash, op8_toxicity, op9_url_filter)}
+    return {f.__name__: f for f in (op1_exact_topk, op3_nearest, op4_quality, op5_packing, op6_mixing, op7_simhash, op8_toxicity, op9_url_filter, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
