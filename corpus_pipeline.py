@@ -1,30 +1,55 @@
-"""A training-data pipeline over ``documents``: each stage is written as Parquet and reread by the next."""
+"""A training-data pipeline over ``documents``: each stage is written as Parquet and reread by the next.
+
+quality classifier -> fuzzy line dedup -> SimHash near-dedup -> mixing to target weights -> packing
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import common, mixing, packing, simhash
+from tollgate.llm import common, line_dedup, mixing, packing, quality, simhash
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on ``labels``, predicts as good."""
+    return quality.keep_good(docs, common.read_table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that another line of the corpus stands for; documents left without any go."""
+    return line_dedup.dedup_lines(docs, drop_empty=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component, that of the least doc_id."""
     return simhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out by their sources' target weights."""
     return mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their sequences and offsets."""
     return packing.pack(docs)
 
 
-STAGES = [("simhash", near_dedup), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_dedup_stage),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: A fitted classifier and token ids are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``."""
+    docs = common.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        docs = common.materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
     return docs

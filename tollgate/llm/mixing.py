@@ -46,24 +46,16 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] =
         capped |= above
 
 
-def mix(docs: DataFrame, seed: int = 42, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, size: Column | None = None) -> DataFrame:
-    """What the mix takes of each document: (doc_id, size, source_size, target, taken, source).
+def _key(seed: int) -> Column:
+    """Hash-random key of a document, the same in every run and engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
-    Each document gets the hash-random key md5(seed:doc_id). Within a source the keys' leading bits
-    cut the documents into equal ranges, which stay in order from range to range; each range is
-    sorted by (key, doc_id, size), and sizes before a document are the sums of earlier ranges plus a
-    running sum in its own. A source takes round(target) words: whole epochs of every document, then
-    documents in that order, the last one cut at the exact budget. The hot source is spread over as
-    many ranges as its rows need, so no task holds a source.
 
-    One row per input row. Null text has size 0; null source is a source of its own, the last; null
-    doc_id sorts first, its key being md5(seed:). Rows of one doc_id tie by size, and equal rows may
-    change places, which changes nothing. No rows give no rows. Other columns are not read.
-    """
+def _plan(docs: DataFrame, seed: int, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(doc_id, source, size, key, source_size, target, epochs, part): whole epochs, and words of the last one."""
     spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"))
-    rows = materialize(rows.withColumn("key", key), "sizes")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = materialize(rows.withColumn("key", _key(seed)), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     found = [(r["source"], r["source_size"], r["n"]) for r in per_source.collect()]  # one row per source
     goal = targets([(s, n) for s, n, _ in found], weights, share, most)
@@ -77,14 +69,55 @@ def mix(docs: DataFrame, seed: int = 42, weights: Sequence[float] = WEIGHTS, sha
     own = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(own), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range")))
-    rows = rows.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("g_source")))
+    rows = rows.join(per, F.col("source").eqNullSafe(F.col("g_source")))
     budget = F.least(F.round("target").cast("long"), (F.lit(most) * F.col("source_size")).cast("long"))
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rows = rows.withColumn("budget", budget).withColumn("epochs", epochs)
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("earlier") - F.col("before")))
-    taken = (F.col("epochs") * F.col("size") + part).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    return rows.select("doc_id", "source", "size", "key", "source_size", "target", "epochs", part.alias("part"))
+
+
+def mix(docs: DataFrame, seed: int = 42, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """What the mix takes of each document: (doc_id, size, source_size, target, taken, source).
+
+    Each document gets the hash-random key md5(seed:doc_id). Within a source the keys' leading bits
+    cut the documents into equal ranges, which stay in order from range to range; each range is
+    sorted by (key, doc_id, size), and sizes before a document are the sums of earlier ranges plus a
+    running sum in its own. A source takes round(target) words: whole epochs of every document, then
+    documents in that order, the last one cut at the exact budget. The hot source is spread over as
+    many ranges as its rows need, so no task holds a source.
+
+    One row per input row. Null text has size 0; null source is a source of its own, the last; null
+    doc_id sorts first, its key being md5(seed:). Rows of one doc_id tie by size, and equal rows may
+    change places, which changes nothing. No rows give no rows. Other columns are not read.
+    """
+    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long")
+    return _plan(docs, seed, weights, share, most).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+
+
+def mixed(docs: DataFrame, seed: int = 42, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The mix itself: ``docs`` with each row as often as ``mix`` takes it, all columns as they are.
+
+    A source's last document of its last epoch has its text cut after the words that the budget
+    leaves. As the order is that of the keys, one row per source decides, and no text moves.
+    Documents without words, or of which nothing is taken, are left out; of equal rows at the cut
+    each is cut alike.
+    """
+    plan = _plan(docs, seed, weights, share, most)
+    last = F.max(F.when(F.col("part") > 0, F.struct("key", "doc_id", "size", "part"))).alias("last")
+    cuts = plan.groupBy("source").agg(F.max("epochs").alias("epochs"), last)
+    cuts = materialize(cuts.select(F.col("source").alias("c_source"), "epochs", "last"), "cuts")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("d_source"), _key(seed).alias("key"), "doc_id", word_count(F.col("text")).alias("size"))
+    rows = rows.where("size > 0").join(F.broadcast(cuts), F.col("d_source").eqNullSafe(F.col("c_source")))  # one row per source, as collected above
+    me, end = F.struct("key", "doc_id", "size"), F.struct("last.key", "last.doc_id", "last.size")
+    part = F.when(F.col("last").isNull() | (me > end), 0).when(me == end, F.col("last.part")).otherwise(F.col("size"))
+    rows = rows.withColumn("part", part).withColumn("copies", (F.col("epochs") + (F.col("part") > 0).cast("int")).cast("int")).where("copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    pieces = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", F.col("part").cast("int") + 1)
+    text = F.when((F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size")), F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col("row.text"))
+    rows = rows.withColumn("cut", text)
+    return rows.select(*[F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def oracle(seed: int = 42) -> str:

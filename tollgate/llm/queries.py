@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_topk, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from . import ann, exact_topk, line_dedup, mixing, packing, quality, secrets, simhash, toxicity, url_filter
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents")).drop("value")
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op3_nearest, op4_quality, op5_packing, op6_mixing, op7_simhash, op8_toxicity, op9_url_filter, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_secrets, op3_nearest, op4_quality, op5_packing, op6_mixing, op7_simhash, op8_toxicity, op9_url_filter, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
