@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,10 @@ from .common import buckets_for, materialize
 WINDOW, END_ID = 4096, 2
 #: Rows that one task ranks at most, on average.
 ROWS_PER_BUCKET = 50_000
-#: Words whose ids a worker remembers at most; beyond it the memory is emptied, which costs time only.
+#: Parts whose ids a worker remembers at most; beyond it the memory is emptied, which costs time only.
 MEMORY = 400_000
+#: Bytes of text that are split and encoded together, besides a last longer text.
+STEP = 4_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,31 +29,75 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-class WordIds(dict):
-    """Ids of each word of white-space separated text as little-endian unsigned 32-bit bytes.
+#: Texts of Latin letters, digits, marks and plain white space, whose case and parts Arrow tells as the tokenizer does,
+#: and what the tokenizer's own pattern sets apart from runs of letters in those; fixed values.
+_PLAIN = "^[ -~\t\n\rÀ-ÖØ-öø-ÿ]*$"
+_APART = "'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+"
 
-    The tokenizer's rules never match across white space and drop it, so a text's ids are those of
-    its words in turn. Only ASCII white space separates here; any other stays inside a word, which
-    the tokenizer then splits itself.
+
+class PartIds:
+    """Ids of whole texts, with each distinct part of them encoded once.
+
+    The tokenizer's rules never match across white space and drop it. A plain text is split by the
+    tokenizer's own pattern, all texts of a step in one pass, and the step's new parts are encoded
+    together, as each part's last id is one of those that end a word. Any other text goes to the
+    tokenizer as it is.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self._encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self._encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = out
-        return out
-
-    def ids(self, text: str | None) -> bytes:
-        """Ids of a whole text; none for null."""
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+        self._tokenizer = Tokenizer.from_file(path)
+        ends = [i for t, i in self._tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self._end = np.zeros(self._tokenizer.get_vocab_size() + 1, bool)
+        self._end[ends] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self._slot: dict[str, int] = {"": 0}
+        self._flat, self._start = np.zeros(0, "<u4"), np.zeros(2, np.int64)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _slots(self, parts: list[str]) -> np.ndarray:
+        """Numbers of distinct parts, the new ones encoded."""
+        if len(self._slot) > MEMORY:
+            self.forget()
+        new = [p for p in parts if p not in self._slot]
+        if new:
+            ids = self._encode(" ".join(new))
+            cuts = np.flatnonzero(self._end[ids]) + 1
+            if len(cuts) != len(new) or cuts[-1] != len(ids):
+                each = [self._encode(p) for p in new]
+                ids, cuts = np.concatenate(each), np.cumsum([len(x) for x in each])
+            self._slot.update(zip(new, range(len(self._slot), len(self._slot) + len(new))))
+            self._start = np.concatenate([self._start, len(self._flat) + cuts])
+            self._flat = np.concatenate([self._flat, ids])
+        return np.fromiter(map(self._slot.__getitem__, parts), np.int64, len(parts))
+
+    def _plain(self, texts: pa.Array) -> list[np.ndarray]:
+        marked = pc.replace_substring_regex(pc.utf8_lower(texts), _APART, r" \0 ")
+        lists = pc.ascii_split_whitespace(marked)
+        parts = lists.flatten().dictionary_encode()
+        slot = self._slots(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        size = (self._start[1:] - self._start[:-1])[slot]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self._flat[np.repeat(self._start[slot] - before[:-1], size) + np.arange(before[-1])]
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return np.split(ids, before[edges[1:-1]]) if len(texts) > 1 else [ids]
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each whole text in turn; none for null."""
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // STEP)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+            some = pc.fill_null(texts.slice(a, b - a), "")
+            plain = pc.and_not(pc.match_substring_regex(some, _PLAIN), pc.match_substring(some, "<|"))
+            easy = some.filter(plain)
+            done = iter(self._plain(easy) if len(easy) else [])
+            for k, on in enumerate(plain.to_pylist()):
+                yield next(done) if on else self._encode(some[k].as_py())
 
 
 def powers(length: int) -> list[int]:
@@ -58,7 +105,7 @@ def powers(length: int) -> list[int]:
     return [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
 
 
-_WORKER: dict[str, WordIds] = {}
+_WORKER: dict[str, PartIds] = {}
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -68,14 +115,14 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     each of its power-of-two parts, largest first, for a later cut there. Texts of any length are
     read whole; null text is empty and gives the end id alone.
     """
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORKER.get(path) or _WORKER.setdefault(path, WordIds(path))
+        words = _WORKER.get(path) or _WORKER.setdefault(path, PartIds(path))
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = words.ids(text) + tail
+            for doc, own in zip(batch.column(0).to_pylist(), words.ids(batch.column(1))):
+                ids = np.concatenate([own, tail]).tobytes()
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start : 4 * (start + window)]
