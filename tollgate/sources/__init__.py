@@ -1,0 +1 @@
+"""Readers and writers: transfers, ring patterns, tables, JSON."""
