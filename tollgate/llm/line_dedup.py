@@ -15,18 +15,29 @@ from .components import components
 #: Characters of a shingle; a shingle starts at every run of non-space characters and every 8 into it.
 WIDTH, STRIDE = 12, 8
 #: Similarity of two lines that are copies; bands of the signature, two rows each.
-SIMILAR, BANDS = 0.8, 8
+SIMILAR, BANDS = 0.8, 6
+#: Members of a bucket up to which those that its pivot leaves open are compared pair by pair.
+SMALL = 20
 #: Writing systems without spaces between words: a shingle starts at every character.
-_DENSE = r"⺀-鿿가-힯豈-﫿"
-SHINGLE = rf"(?s)(?=(\S.{{0,{WIDTH - 1}}}))(?:[{_DENSE}]|[^\s{_DENSE}]{{1,{STRIDE}}})"
+_DENSE = r"⺀-鿿가-힯豈-﫿"
+_HEAD = rf"(?s)(?=(\S.{{0,{WIDTH - 1}}}))"
+#: The pattern of a shingle in lines without such characters, which is far faster, and in others; both agree on the former.
+SHINGLE = rf"{_HEAD}\S{{1,{STRIDE}}}"
+SHINGLE_DENSE = rf"{_HEAD}(?:[{_DENSE}]|[^\s{_DENSE}]{{1,{STRIDE}}})"
 #: Bits of the filter that spares the shuffle rows whose key no other row has; 16 MB whatever the input.
 FILTER_BITS, _SPAN = 27, 32768
 _RANK_BITS = 43
 
 
+def _texts(line: str) -> Column:
+    """Shingles of a line column, repeats included."""
+    dense = F.regexp_extract_all(line, F.lit(SHINGLE_DENSE), F.lit(1))
+    return F.when(F.col(line).rlike(f"[{_DENSE}]"), dense).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
+
+
 def shingles(line: str) -> Column:
     """Distinct shingle hashes of a line column, at least one for a line with a non-space character."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(_texts(line), lambda s: F.xxhash64(s)))
 
 
 def _bit(key: str) -> tuple[Column, Column]:
@@ -66,7 +77,7 @@ def signatures(rows: DataFrame) -> DataFrame:
     entry of each of two hash functions. Equal lines are merged by the same aggregation. The rank r
     rises with the line's shingles in all its copies; its low bits are those of k1.
     """
-    rows = rows.select("k1", "k2", F.explode(F.regexp_extract_all("line", F.lit(SHINGLE), F.lit(1))).alias("s"))
+    rows = rows.select("k1", "k2", F.explode(_texts("line")).alias("s"))
     rows = rows.select("k1", "k2", F.xxhash64("s").alias("h0"), F.xxhash64(F.lit(1), "s").alias("h1"))
     masks = [(b << 61) - (1 << 64) * (b >= 4) for b in range(BANDS)]
     least = [F.min(F.col(h).bitwiseXOR(F.lit(m).cast("long"))).alias(f"{h}_{b}") for b, m in enumerate(masks) for h in ("h0", "h1")]
@@ -111,9 +122,11 @@ def line_links(rows: DataFrame) -> DataFrame:
     """Links (a, b) between distinct lines of a similarity of 0.8 or more, each a line's (k1, k2).
 
     Lines that share a band form a bucket. Every member is compared with the bucket's line of the
-    highest rank, usually the most copied one, so a large bucket costs its size and not its square.
-    Buckets with a member that this leaves open are searched again as a whole by exact prefix
-    filtering, so no link inside them is lost. Every link is verified on the full shingle sets.
+    highest rank, its pivot, usually the most copied one, so a large bucket costs its size and not
+    its square. Where that leaves a member open, a small bucket's pairs follow that the triangle
+    inequality of Jaccard distances does not exclude; a larger bucket is searched again as a whole by
+    exact prefix filtering. So no link inside a bucket is lost. Every link is verified on the full
+    shingle sets.
     """
     signed = materialize(signatures(rows), "signatures")
     bands = signed.select("r", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("key"))
@@ -130,16 +143,23 @@ def line_links(rows: DataFrame) -> DataFrame:
     texts = materialize(texts, "lines")
     first = materialize(_verified(pairs, texts), "verified")
     links = first.where(F.col("jaccard") >= SIMILAR).select("a", "b")
-    failed = first.where(F.col("jaccard") < SIMILAR).select(F.col("x").alias("f_x"), F.col("y").alias("f_y")).distinct()
-    again = members.join(failed, (F.col("r") == F.col("f_x")) & (F.col("pivot") == F.col("f_y"))).select("key", "r")
-    again = materialize(again, "open")
-    if again.isEmpty():
-        return links
-    keys = again.select(F.col("key").alias("o_key")).distinct()
-    whole = members.join(keys, F.col("key") == F.col("o_key"), "left_semi")
-    whole = whole.select("r").unionByName(whole.select(F.col("pivot").alias("r"))).distinct().select(F.col("r").alias("w_r"))
-    some = texts.join(whole, F.col("r") == F.col("w_r"), "left_semi")
-    second = _verified(_rare_pairs(some, again.select("r").distinct()), texts)
+    seen = first.select(F.col("x").alias("f_x"), F.col("y").alias("f_y"), "jaccard").groupBy("f_x", "f_y").agg(F.max("jaccard").alias("jaccard"))
+    told = members.join(seen, (F.col("r") == F.col("f_x")) & (F.col("pivot") == F.col("f_y"))).select("key", "r", "pivot", "jaccard")
+    told = materialize(told, "compared")
+    left = told.groupBy("key").agg(F.count("*").alias("n"), F.min("jaccard").alias("least")).where((F.col("n") > 1) & (F.col("least") < SIMILAR))
+    left = materialize(left.select(F.col("key").alias("o_key"), (F.col("n") <= SMALL).alias("few")), "open")
+    again = materialize(told.join(left, F.col("key") == F.col("o_key")).select("key", "r", "pivot", "jaccard", "few"), "again")
+    few, many = again.where("few"), again.where("not few")
+    x, y = few.where(F.col("jaccard") < SIMILAR).alias("x"), few.alias("y")
+    near = F.abs(F.col("x.jaccard") - F.col("y.jaccard")) <= 1 - SIMILAR + 1e-9
+    once = (F.col("y.jaccard") >= SIMILAR) | (F.col("x.r") < F.col("y.r"))
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.r") != F.col("y.r")) & near & once).select(F.col("x.r").alias("x"), F.col("y.r").alias("y")).distinct()
+    second = _verified(more, texts)
+    if not many.isEmpty():
+        whole = many.select("r").unionByName(many.select(F.col("pivot").alias("r"))).distinct().select(F.col("r").alias("w_r"))
+        some = texts.join(whole, F.col("r") == F.col("w_r"), "left_semi")
+        opened = many.where(F.col("jaccard") < SIMILAR).select("r").distinct()
+        second = second.unionByName(_verified(_rare_pairs(some, opened), texts))
     return links.unionByName(second.where(F.col("jaccard") >= SIMILAR).select("a", "b"))
 
 
