@@ -32,7 +32,8 @@ _RANK_BITS = 43
 def _texts(line: str) -> Column:
     """Shingles of a line column, repeats included."""
     dense = F.regexp_extract_all(line, F.lit(SHINGLE_DENSE), F.lit(1))
-    return F.when(F.col(line).rlike(f"[{_DENSE}]"), dense).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
+    wide = (F.octet_length(line) > F.char_length(line)) & F.col(line).rlike(f"[{_DENSE}]")  # the first is cheap
+    return F.when(wide, dense).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
 
 
 def shingles(line: str) -> Column:
@@ -60,12 +61,13 @@ def passing(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, line_no from 0, line, k1, k2) of every line that has a non-space character, in lower case.
+    """(doc_id, t, line_no from 0, line, k1, k2) of every line.
 
-    t is a hash of the document's text: rows equal in doc_id and text are one document.
+    t is a hash of the document's text: rows equal in doc_id and text are one document. It is made
+    before the lines are, or it would be made again for each.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "t", "line_no", F.lower("line").alias("line")).where(F.col("line").rlike(r"\S"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    rows = rows.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
@@ -74,8 +76,9 @@ def signatures(rows: DataFrame) -> DataFrame:
 
     A signature's entry is the shingle whose hash is least after an exclusive-or with the entry's
     constant, which two lines share with a probability of their Jaccard similarity. A band joins one
-    entry of each of two hash functions. Equal lines are merged by the same aggregation. The rank r
-    rises with the line's shingles in all its copies; its low bits are those of k1.
+    entry of each of two hash functions. Equal lines are merged by the same aggregation; lines of
+    white space have no shingle and so no row. The rank r rises with the line's shingles in all its
+    copies; its low bits are those of k1.
     """
     rows = rows.select("k1", "k2", F.explode(_texts("line")).alias("s"))
     rows = rows.select("k1", "k2", F.xxhash64("s").alias("h0"), F.xxhash64(F.lit(1), "s").alias("h1"))
@@ -96,25 +99,28 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(texts: DataFrame, open_ranks: DataFrame) -> DataFrame:
-    """Pairs (x, y) of ``texts`` that may reach the similarity, x among ``open_ranks``: exact prefix filtering.
+    """Pairs (x, y) of ``texts`` that may reach the similarity, x among ``open_ranks``: exact prefix and position filtering.
 
     In one order of all shingles, rarest first, two similar lines share one among the first
-    n - ceil(0.8 n) + 1 of each; the rarest shingles seldom meet.
+    n - ceil(0.8 n) + 1 of each. What two lines have in common beyond their first common shingle is
+    bounded by what follows it in either, so lines whose own shingles come first seldom meet, though
+    all of a group share the rest.
     """
     opened = open_ranks.select(F.col("r").alias("o_r"), F.lit(True).alias("open"))
     rows = texts.join(opened, F.col("r") == F.col("o_r"), "left").select("r", "k1", "k2", F.coalesce("open", F.lit(False)).alias("open"), shingles("line").alias("s"))
-    rows = rows.select("r", "k1", "k2", "open", F.size("s").alias("n"), F.explode("s").alias("s"))
-    often = rows.groupBy("s").agg(F.count("*").alias("often"), F.max("open").alias("asked"))
-    often = often.withColumnRenamed("s", "o_s")
-    rows = materialize(rows, "shingles")
-    rows = rows.join(materialize(often, "often"), F.col("s") == F.col("o_s"))
+    rows = materialize(rows.select("r", "k1", "k2", "open", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
+    often = rows.groupBy("s").agg(F.count("*").alias("often"), F.max("open").alias("asked"), F.min("n").alias("least"))
+    rows = rows.join(materialize(often.withColumnRenamed("s", "o_s"), "often"), F.col("s") == F.col("o_s"))
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("often", "s"))
     rows = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1)
-    rows = materialize(rows.where("often > 1 and asked").select("r", "open", "n", "s"), "prefixes")
-    x = rows.where("open").select(F.col("r").alias("x"), F.col("n").alias("x_n"), "s")
-    y = rows.select(F.col("r").alias("y"), F.col("n").alias("y_n"), "s", "open")
-    near = (F.col("x_n") >= F.col("y_n") * SIMILAR - 1e-9) & (F.col("y_n") >= F.col("x_n") * SIMILAR - 1e-9)
-    both = x.alias("p").join(y.alias("q"), (F.col("p.s") == F.col("q.s")) & near & ((F.col("x") < F.col("y")) | (~F.col("open") & (F.col("x") != F.col("y")))))
+    # Two lines of n and m shingles are similar if they share (n + m) * 0.8 / 1.8 of them.
+    half = SIMILAR / (1 + SIMILAR)
+    useful = 1 + F.col("n") - F.col("place") >= (F.col("n") + F.greatest(F.col("least"), F.col("n") * SIMILAR)) * half - 1e-9
+    rows = materialize(rows.where(useful & F.expr("often > 1 and asked")).select("r", "open", "n", "s", "place"), "prefixes")
+    x = rows.where("open").select(F.col("r").alias("x"), F.col("n").alias("x_n"), "s", F.col("place").alias("x_at"))
+    y = rows.select(F.col("r").alias("y"), F.col("n").alias("y_n"), "s", F.col("place").alias("y_at"), "open")
+    common = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= (F.col("x_n") + F.col("y_n")) * half - 1e-9
+    both = x.alias("p").join(y.alias("q"), (F.col("p.s") == F.col("q.s")) & common & ((F.col("x") < F.col("y")) | (~F.col("open") & (F.col("x") != F.col("y")))))
     return both.select("x", "y").distinct()
 
 
@@ -172,7 +178,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     rows = lines(docs)
     found = components(line_links(rows), "a", "b")
     labels = found.select(F.col("node.k1").alias("l_k1"), F.col("node.k2").alias("l_k2"), F.col("component.k1").alias("c1"), F.col("component.k2").alias("c2"))
-    seen = materialize(rows.select("doc_id", "t", "line_no", "k1", "k2"), "occurrences")
+    seen = materialize(rows.where(F.col("line").rlike(r"\S")).select("doc_id", "t", "line_no", "k1", "k2"), "occurrences")
     firsts = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.count("*").alias("n"))
     firsts = firsts.join(labels, (F.col("k1") == F.col("l_k1")) & (F.col("k2") == F.col("l_k2")), "left")
     firsts = materialize(firsts.where("n > 1 or c1 is not null").select("k1", "k2", "first", "c1", "c2"), "firsts")
@@ -196,8 +202,8 @@ def _joined(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
     """``docs`` with each text reduced to the lines that it keeps; all other columns as they are.
 
-    One line of each component of similar lines stays in the whole corpus; white-space lines stay
-    where they are. Rows equal in doc_id and text count as one document and keep the same lines.
+    One line of each component of similar lines stays in the whole corpus, compared as they are;
+    white-space lines stay where they are. Rows equal in doc_id and text count as one document and keep the same lines.
     Null and empty texts stay null and empty. With ``drop_empty`` documents that had words and keep
     none are left out. No rows give no rows.
     """
