@@ -98,17 +98,25 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select("x", "y", "a", "b", (both / (F.size("p") + F.size("q") - both)).alias("jaccard"))
 
 
-def _rare_pairs(texts: DataFrame, open_ranks: DataFrame) -> DataFrame:
-    """Pairs (x, y) of ``texts`` that may reach the similarity, x among ``open_ranks``: exact prefix and position filtering.
-
-    In one order of all shingles, rarest first, two similar lines share one among the first
-    n - ceil(0.8 n) + 1 of each. What two lines have in common beyond their first common shingle is
-    bounded by what follows it in either, so lines whose own shingles come first seldom meet, though
-    all of a group share the rest.
+def _hubs(compared: DataFrame) -> DataFrame:
+    """(x, hub): a line of a higher rank that x is linked to, by up to three steps up. Lines of one hub are connected."""
+    up = compared.where(F.col("jaccard") >= SIMILAR).groupBy("x").agg(F.max("y").alias("hub")).where("hub > x")
+    for _ in range(2):
+        top = up.select(F.col("x").alias("t_x"), F.col("hub").alias("t_hub"))
+        up = up.join(top, F.col("hub") == F.col("t_x"), "left").select("x", F.coalesce("t_hub", "hub").alias("hub"))
+    return up
+
+
+def _rare_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (x, y) of ``texts(r, k1, k2, line, hub, open)`` that may reach the similarity, x open, of different hubs.
+
+    Exact prefix and position filtering: in one order of all shingles, rarest first, two similar
+    lines share one among the first n - ceil(0.8 n) + 1 of each. What two lines have in common beyond
+    their first common shingle is bounded by what follows it in either, so lines whose own shingles
+    come first seldom meet, though all of a group share the rest.
     """
-    opened = open_ranks.select(F.col("r").alias("o_r"), F.lit(True).alias("open"))
-    rows = texts.join(opened, F.col("r") == F.col("o_r"), "left").select("r", "k1", "k2", F.coalesce("open", F.lit(False)).alias("open"), shingles("line").alias("s"))
-    rows = materialize(rows.select("r", "k1", "k2", "open", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
+    rows = texts.select("r", "k1", "k2", "hub", "open", shingles("line").alias("s"))
+    rows = materialize(rows.select("r", "k1", "k2", "hub", "open", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
     often = rows.groupBy("s").agg(F.count("*").alias("often"), F.max("open").alias("asked"), F.min("n").alias("least"))
     rows = rows.join(materialize(often.withColumnRenamed("s", "o_s"), "often"), F.col("s") == F.col("o_s"))
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("often", "s"))
@@ -116,11 +124,11 @@ def _rare_pairs(texts: DataFrame, open_ranks: DataFrame) -> DataFrame:
     # Two lines of n and m shingles are similar if they share (n + m) * 0.8 / 1.8 of them.
     half = SIMILAR / (1 + SIMILAR)
     useful = 1 + F.col("n") - F.col("place") >= (F.col("n") + F.greatest(F.col("least"), F.col("n") * SIMILAR)) * half - 1e-9
-    rows = materialize(rows.where(useful & F.expr("often > 1 and asked")).select("r", "open", "n", "s", "place"), "prefixes")
-    x = rows.where("open").select(F.col("r").alias("x"), F.col("n").alias("x_n"), "s", F.col("place").alias("x_at"))
-    y = rows.select(F.col("r").alias("y"), F.col("n").alias("y_n"), "s", F.col("place").alias("y_at"), "open")
+    rows = materialize(rows.where(useful & F.expr("often > 1 and asked")).select("r", "hub", "open", "n", "s", "place"), "prefixes")
+    x = rows.where("open").select(F.col("r").alias("x"), F.col("hub").alias("x_hub"), F.col("n").alias("x_n"), "s", F.col("place").alias("x_at"))
+    y = rows.select(F.col("r").alias("y"), F.col("hub").alias("y_hub"), F.col("n").alias("y_n"), "s", F.col("place").alias("y_at"), "open")
     common = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= (F.col("x_n") + F.col("y_n")) * half - 1e-9
-    both = x.alias("p").join(y.alias("q"), (F.col("p.s") == F.col("q.s")) & common & ((F.col("x") < F.col("y")) | (~F.col("open") & (F.col("x") != F.col("y")))))
+    both = x.alias("p").join(y.alias("q"), (F.col("p.s") == F.col("q.s")) & (F.col("x_hub") != F.col("y_hub")) & common & ((F.col("x") < F.col("y")) | (~F.col("open") & (F.col("x") != F.col("y")))))
     return both.select("x", "y").distinct()
 
 
@@ -129,9 +137,9 @@ def line_links(rows: DataFrame) -> DataFrame:
 
     Lines that share a band form a bucket. Every member is compared with the bucket's line of the
     highest rank, its pivot, usually the most copied one, so a large bucket costs its size and not
-    its square. Where that leaves a member open, a small bucket's pairs follow that the triangle
-    inequality of Jaccard distances does not exclude; a larger bucket is searched again as a whole by
-    exact prefix filtering. So no link inside a bucket is lost. Every link is verified on the full
+    its square. Where that leaves a member open and not all of the bucket is known to be connected, a
+    small bucket's pairs follow that the triangle inequality of Jaccard distances does not exclude; a
+    larger bucket is searched again as a whole by exact prefix filtering. So no link inside a bucket is lost. Every link is verified on the full
     shingle sets.
     """
     signed = materialize(signatures(rows), "signatures")
@@ -150,22 +158,27 @@ def line_links(rows: DataFrame) -> DataFrame:
     first = materialize(_verified(pairs, texts), "verified")
     links = first.where(F.col("jaccard") >= SIMILAR).select("a", "b")
     seen = first.select(F.col("x").alias("f_x"), F.col("y").alias("f_y"), "jaccard").groupBy("f_x", "f_y").agg(F.max("jaccard").alias("jaccard"))
+    hubs = materialize(_hubs(first), "hubs")
     told = members.join(seen, (F.col("r") == F.col("f_x")) & (F.col("pivot") == F.col("f_y"))).select("key", "r", "pivot", "jaccard")
+    for of in ("r", "pivot"):
+        named = hubs.select(F.col("x").alias("h_x"), F.col("hub").alias("h"))
+        told = told.join(named, F.col(of) == F.col("h_x"), "left").withColumn(f"{of}_hub", F.coalesce("h", of)).drop("h_x", "h")
     told = materialize(told, "compared")
-    left = told.groupBy("key").agg(F.count("*").alias("n"), F.min("jaccard").alias("least")).where((F.col("n") > 1) & (F.col("least") < SIMILAR))
-    left = materialize(left.select(F.col("key").alias("o_key"), (F.col("n") <= SMALL).alias("few")), "open")
-    again = materialize(told.join(left, F.col("key") == F.col("o_key")).select("key", "r", "pivot", "jaccard", "few"), "again")
+    sides = [f(g("r_hub", "pivot_hub")) for f, g in ((F.min, F.least), (F.max, F.greatest))]
+    left = told.groupBy("key").agg(F.count("*").alias("n"), F.min("jaccard").alias("least"), sides[0].alias("lo"), sides[1].alias("hi"))
+    left = materialize(left.where((F.col("n") > 1) & (F.col("least") < SIMILAR) & (F.col("lo") != F.col("hi"))).select(F.col("key").alias("o_key"), (F.col("n") <= SMALL).alias("few")), "open")
+    again = materialize(told.join(left, F.col("key") == F.col("o_key")).drop("o_key"), "again")
     few, many = again.where("few"), again.where("not few")
     x, y = few.where(F.col("jaccard") < SIMILAR).alias("x"), few.alias("y")
     near = F.abs(F.col("x.jaccard") - F.col("y.jaccard")) <= 1 - SIMILAR + 1e-9
     once = (F.col("y.jaccard") >= SIMILAR) | (F.col("x.r") < F.col("y.r"))
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.r") != F.col("y.r")) & near & once).select(F.col("x.r").alias("x"), F.col("y.r").alias("y")).distinct()
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.r_hub") != F.col("y.r_hub")) & near & once).select(F.col("x.r").alias("x"), F.col("y.r").alias("y")).distinct()
     second = _verified(more, texts)
     if not many.isEmpty():
-        whole = many.select("r").unionByName(many.select(F.col("pivot").alias("r"))).distinct().select(F.col("r").alias("w_r"))
-        some = texts.join(whole, F.col("r") == F.col("w_r"), "left_semi")
-        opened = many.where(F.col("jaccard") < SIMILAR).select("r").distinct()
-        second = second.unionByName(_verified(_rare_pairs(some, opened), texts))
+        opened = F.max((F.col("jaccard") < SIMILAR).cast("int"))
+        whole = many.select("r", F.col("r_hub").alias("hub"), "jaccard").unionByName(many.select(F.col("pivot").alias("r"), F.col("pivot_hub").alias("hub"), F.lit(1.0).alias("jaccard")))
+        whole = whole.groupBy(F.col("r").alias("w_r"), "hub").agg((opened == 1).alias("open"))
+        second = second.unionByName(_verified(_rare_pairs(texts.join(whole, F.col("r") == F.col("w_r"))), texts))
     return links.unionByName(second.where(F.col("jaccard") >= SIMILAR).select("a", "b"))
 
 
