@@ -27,7 +27,7 @@ HEADER = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving
 TIME_FORMAT = "yyyy/MM/dd HH:mm"
 
 #: Ring shapes; fixed values.
-TYPOLOGIES = ("FAN-OUT", "FAN-IN", "GATHER-SCATTER", "SCATTER-GATHER", "CYCLE", "RANDOM", "BIPARTITE", "STACK")
+TYPOLOGIES = ("FAN-OUT", "FAN-IN", "CYCLE", "BIPARTITE", "STACK", "SCATTER-GATHER", "GATHER-SCATTER", "RANDOM")
 #: Review slots a day; fixed values.
 BUDGETS = (10, 25, 50, 100, 200, 500, 1000)
 #: Trailing windows of the history features, in seconds, and the exclusion of the present minute.

@@ -1,0 +1 @@
+"""Domain operators: a DataFrame in, a DataFrame out."""

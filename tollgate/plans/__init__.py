@@ -1,0 +1 @@
+"""Registered queries over the driver's tables, and experiments composed of operators."""

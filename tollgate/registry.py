@@ -1,4 +1,4 @@
-"""Every query of the monitoring engine, with its DuckDB twin."""
+"""Every query of the monitoring engine, with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import core, learned
+from .streaming import queries as streaming_queries
+
+_ALL = (core, learned, streaming_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.ORACLES)

@@ -1,0 +1 @@
+"""Transfers as a stream."""
