@@ -125,8 +125,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         for batch in batches:
             out = []
             for a, b, same in zip(batch["a"], batch["b"], batch["same"]):
-                out += _forest(np.asarray(a, np.int64), np.asarray(b, np.int64), same, radius)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                # Bits are counted on unsigned numbers; of signed ones numpy counts those of the absolute value.
+                out += _forest(np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64), same, radius)
+            yield pd.DataFrame(np.array(out, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
     return pairs.mapInPandas(compare, "a long, b long")
 
