@@ -37,7 +37,7 @@ def search_blocks(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows:
         others = [np.sort(ids[ids != i])[:k] for i in q_ids]
         return [(x, np.zeros(len(x), np.int64)) for x in others]
     q, v = np.floor(scale * queries), np.floor(scale * rows)
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * v.shape[1] >= 2**53:
+    if float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * v.shape[1] >= 2**53:
         return _wide(q_ids, q, ids, v, k)
     strong = np.argsort(-np.abs(v), axis=1, kind="stable")[:, :2]
     sign = np.take_along_axis(v, strong, 1) < 0

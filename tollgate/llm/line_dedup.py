@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import materialize
-from .components import components
 
 #: Characters of a shingle; a shingle starts at every run of non-space characters and every 8 into it.
 WIDTH, STRIDE = 12, 8

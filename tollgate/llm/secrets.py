@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Trees, their depth, least rows of a leaf, features tried at a node, labelled findings read at most, and seed.
-TREES, DEPTH, LEAF, TRIED, MOST_FINDINGS, SEED = 40, 8, 3, 5, 20_000, 42
+TREES, DEPTH, LEAF, TRIED, MOST_FINDINGS, SEED = 60, 8, 3, 5, 20_000, 42
 #: A candidate is reported as a secret from this share of the trees' votes.
 CUT = 0.5
 #: Characters beside a candidate that its neighbouring words are taken from.
@@ -68,6 +68,8 @@ def _transition_table() -> np.ndarray:
 _TRANSITIONS = _transition_table()
 _BY_SIZE = sorted(DICTIONARY, key=len, reverse=True)
 _WORDS = re.compile("|".join(w for w in _BY_SIZE if len(w) >= 3))
+#: A variable, call, template or dotted name in place of a value.
+_REFERENCE = re.compile(r"\$\{|\$[A-Za-z_]|\{\{|<|%\(|[A-Za-z_][\w.]*\(|[A-Za-z_]+(?:\.[A-Za-z_]+)+$")
 _NEAR = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -90,7 +92,7 @@ def features(value: str, before: str, after: str, path: str | None, rule: str) -
     return [
         math.log(n), sum(steps) / max(1, len(steps)), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, -sum(c / n * math.log2(c / n) for c in count.values()),
         kinds.count("d") / n, kinds.count("u") / n, len(count) / n, sum(len(w) for w in _WORDS.findall(low)) / n, longest / n, float(all(c in string.hexdigits for c in v)),
-        float(any(c in v for c in "${}()<>[]%") or ("." in v and v.replace(".", "").replace("_", "").isalpha())),
+        float(bool(_REFERENCE.match(v))),
         float(any(t in (path or "").lower() for t in TESTING)), float(sum(any(k in w for k in FOR) for w in near)), float(sum(w in AGAINST for w in near)),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(rule not in ("assigned", "opaque")),
     ]
@@ -115,7 +117,7 @@ def candidates(text: str | None) -> list[tuple[int, str, str]]:
     return sorted(out)
 
 
-def labelled_findings(n: int = 4000, seed: int = SEED) -> list[tuple[str, str, str, str, str, int]]:
+def labelled_findings(n: int = 8000, seed: int = SEED) -> list[tuple[str, str, str, str, str, int]]:
     """Labelled findings (value, before, after, path, rule, label) for training where no others are at hand.
 
     Half are random keys of common formats in telling places; half look alike and are none: hashes
@@ -157,7 +159,8 @@ def labelled_findings(n: int = 4000, seed: int = SEED) -> list[tuple[str, str, s
             value, rule = pick(("_", "-", "")).join((pick(("your", "example", "my", "test", "dummy", "sample", "insert")), word(), word(), pick(("here", "123", "key", "value")))), "assigned"
             before += pick(names) + pick(("=", ": ", '="'))
         elif kind == 3:
-            value, rule = pick(("${%s}", "os.environ.%s", "get_%s()", "{{%s}}", "config.%s", "<%s>", "%%(%s)s")) % f"{word()}_{word()}", "assigned"
+            value, rule = pick(("${%s}", "os.environ.%s", "get_%s()", "{{%s}}", "config.%s", "<%s>", "%%(%s)s")) % "_".join(pick((word(), draw(string.ascii_lowercase, int(rng.integers(2, 7))))) for _ in range(int(rng.integers(1, 4)))), "assigned"
+            value = value.upper() if rng.random() < 0.5 else value
             before += pick(names) + pick(("=", ": ", " = "))
         elif kind == 4:
             value, rule = pick(("x", "*", "0", "a", "-")) * int(rng.integers(6, 24)) + pick(("", "1234")), "assigned"

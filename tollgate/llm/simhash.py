@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import materialize
-from .components import components
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Bits of each of the parts whose population counts name a tile.
