@@ -150,6 +150,13 @@ def test_diagnostics(txns):
         diagnostics.assert_partition(rows, {5: 24})
     got = diagnostics.alert_unit_coupling(b["account_days_topk"], b["ring_endpoints"], b["ring_transactions"], (5,)).first()
     assert got["alerted_account_days"] == 25 and got["ring_endpoints_attributable"] <= got["ring_endpoints_in_alerted"]
+    rings = splits.rings_of(df)
+    e = diagnostics.ring_ends(b["ring_membership"], rings, b["account_days_topk"], 5)
+    rates = diagnostics.segment_rates(e, "2022-09-04")
+    diagnostics.assert_population(rates, {"CYCLE": 3})
+    with pytest.raises(MetricError):
+        diagnostics.assert_population(rates, {"CYCLE": 2})
+    assert diagnostics.nonbinding_rings(e, b["account_days_topk"], 100, 99).first()["share"] == 1.0
     assert diagnostics.first_thin_day(df) is None and diagnostics.format_facts(df).first()["share_of_rows_pct"] == 100.0
     thin = df.union(df.limit(1).withColumn("event_date", F.lit("2030-01-01").cast("date")))
     for _ in range(5):
@@ -232,6 +239,12 @@ def test_stages_end_to_end(spark, tmp_path):
     assert runlog.cached(spark, "normalize", {"raw": "other"}, at("bronze"), [raw]) is None
     with pytest.raises(ContractError):
         stages.normalize(spark, text, at("wrong"))
+    import hashlib
+
+    digest = hashlib.sha256((tmp_path / "demo/transfers.csv").read_bytes()).hexdigest()
+    assert stages.verify_dataset(spark, raw, digest)["sha256"] == digest
+    with pytest.raises(ContractError):
+        stages.verify_dataset(spark, text, digest)
     assert json.loads((tmp_path / "wrong/_manifest.json").read_text())["status"] == "failed"
 
 

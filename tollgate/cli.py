@@ -14,7 +14,7 @@ from .plans import stages
 from .sources import files, transfers
 
 STAGES = {n.replace("_", "-"): getattr(stages, n) for n in (
-    "normalize", "parse_patterns", "reconcile", "build_features", "build_splits", "train", "evaluate", "plant_leak", "make_drift", "splice_drift", "drift_experiment", "make_bundle", "verify_bundle",
+    "verify_dataset", "normalize", "parse_patterns", "reconcile", "build_features", "build_splits", "train", "evaluate", "plant_leak", "make_drift", "splice_drift", "drift_experiment", "make_bundle", "verify_bundle",
 )}
 
 

@@ -67,6 +67,38 @@ def window_decomposition(topk: DataFrame, positives: DataFrame, boundary: str, b
     )
 
 
+def ring_ends(members: DataFrame, rings: DataFrame, topk: DataFrame, budget: int) -> DataFrame:
+    """(ring_id, typology, end_day, hit) of every evaluated ring: the last day it is seen, and whether the budget alerts it."""
+    ranks = topk.select("day", "acct", "rank")
+    hit = F.max(F.coalesce((F.col("rank") <= budget).cast("int"), F.lit(0))).alias("hit")
+    out = members.join(ranks, ["day", "acct"], "left").groupBy("ring_id").agg(F.max("day").alias("end_day"), hit)
+    return out.join(rings.select("ring_id", "typology"), "ring_id", "left")
+
+
+def segment_rates(ends: DataFrame, boundary: str) -> DataFrame:
+    """Per shape: rings, those that end from ``boundary`` on and their share, and detection rates of both parts and all."""
+    after = F.col("end_day") >= F.lit(boundary).cast("date")
+    rate = lambda on, name: F.round(F.avg(F.when(on, F.col("hit"))), 5).alias(name)
+    return ends.groupBy("typology").agg(
+        F.count("*").alias("n_rings"), F.count_if(after).alias("n_after"), F.round(ratio(F.count_if(after), F.count("*")), 4).alias("share_after"),
+        rate(~after, "head_rate"), rate(after, "tail_rate"), rate(F.lit(True), "rate"),
+    )
+
+
+def assert_population(rates: DataFrame, detected: dict[str, int]) -> None:
+    """Exposure and detection must be of the same rings: their numbers by shape agree, or ``MetricError``."""
+    got = {r["typology"]: r["n_rings"] for r in rates.collect()}  # a row a shape
+    check(got == detected, MetricError, f"rings by typology differ: {got} and {detected}")
+
+
+def nonbinding_rings(ends: DataFrame, topk: DataFrame, cap: int, budget: int) -> DataFrame:
+    """Per shape: rings that end on a day which the budget alerts whole, so that any ranker catches them."""
+    days = topk.groupBy(F.col("day").alias("n_day")).agg(F.max("rank").alias("mx")).where(F.col("mx") <= min(cap - 1, budget))
+    rows = ends.join(days, F.col("end_day") == F.col("n_day"), "left")
+    free = F.count("n_day")
+    return rows.groupBy("typology").agg(F.count("*").alias("n_rings"), free.alias("n_on_nonbinding_days"), F.round(ratio(free, F.count("*")), 4).alias("share"))
+
+
 def assert_partition(rows: DataFrame, alerts_of: dict[int, int]) -> None:
     """Head and tail must add up to the alerts counted on their own."""
     for r in rows.collect():  # a row a budget

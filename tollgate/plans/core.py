@@ -656,6 +656,27 @@ def window_decomposition(s, d):
     return diagnostics.window_decomposition(b["account_days_topk"], b["per_day_positives"], BOUNDARY, (5, 25))
 
 
+_ENDS = T + _BUNDLE.format(cap=30) + """, ty AS (SELECT ring_id, min(typology) AS typology FROM t WHERE ring_id IS NOT NULL GROUP BY 1),
+  en AS (SELECT mem.ring_id, max(mem.day) AS e, max(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS hit FROM mem LEFT JOIN top ON top.day = mem.day AND top.acct = mem.acct GROUP BY 1)"""
+
+
+def _ends(s, d):
+    t, b = txns(s, d), _bundle(s, d, 30)
+    return diagnostics.ring_ends(b["ring_membership"], splits.rings_of(t), b["account_days_topk"], 5), b["account_days_topk"]
+
+
+@query(_ENDS + """ SELECT typology, count(*) AS n_rings, count(*) FILTER (WHERE e >= DATE '1998-06-01') AS n_after, round(count(*) FILTER (WHERE e >= DATE '1998-06-01') / count(*)::DOUBLE, 4) AS share_after,
+  round(avg(hit) FILTER (WHERE e < DATE '1998-06-01'), 5) AS head_rate, round(avg(hit) FILTER (WHERE e >= DATE '1998-06-01'), 5) AS tail_rate, round(avg(hit), 5) AS rate FROM en JOIN ty USING (ring_id) GROUP BY 1""")
+def segment_detection_rates(s, d):
+    return diagnostics.segment_rates(_ends(s, d)[0], "1998-06-01")
+
+
+@query(_ENDS + """, nb AS (SELECT day FROM top GROUP BY 1 HAVING max(rank) <= 25)
+  SELECT typology, count(*) AS n_rings, count(nb.day) AS n_on_nonbinding_days, round(count(nb.day) / count(*)::DOUBLE, 4) AS share FROM en JOIN ty USING (ring_id) LEFT JOIN nb ON nb.day = en.e GROUP BY 1""")
+def nonbinding_rings(s, d):
+    return diagnostics.nonbinding_rings(*_ends(s, d), 30, 25)
+
+
 @query(T + """, v AS (SELECT event_date AS day, count(*) AS transactions, CAST(sum(is_laundering) AS BIGINT) AS laundering FROM t GROUP BY 1)
   SELECT day, transactions, laundering, round(laundering / transactions::DOUBLE, 6) AS prevalence, transactions < 0.01 * (SELECT median(transactions) FROM v) AS thin FROM v""")
 def volume_profile(s, d):

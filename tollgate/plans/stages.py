@@ -8,13 +8,20 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contract import BUDGETS, FEATURES
+from ..contract import BUDGETS, FEATURES, ContractError, check
 from ..operators import alerts, diagnostics, drift, history, labeling, leaks, nulls, replay, splits
 from ..runlog import stage
 from ..sources import files, transfers
 from . import models
 
 
+def verify_dataset(s: SparkSession, path: str, digest: str) -> dict:
+    """Refuse a file that is not the one pinned by its SHA-256."""
+    got = files.sha256(s, path)
+    check(got == digest, ContractError, f"{path} has SHA-256 {got}, not {digest}")
+    return {"path": path, "sha256": got}
+
+
 def normalize(s: SparkSession, raw: str, dest: str, force: bool = False) -> dict:
     """Raw CSV to transfers by date, ids assigned once and checked on what was written."""
 

@@ -49,3 +49,9 @@ def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minute-grain transfers from events."""
     return spark.sql(evts_sql("spark").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+
+
+def register(spark: SparkSession, sf_dir: str) -> None:
+    """Temp views ``txns`` and ``evts`` for this session's SQL."""
+    txns(spark, sf_dir).createOrReplaceTempView("txns")
+    evts(spark, sf_dir).createOrReplaceTempView("evts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from typing import Any
@@ -39,6 +40,18 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def sha256(spark: SparkSession, path: str) -> str:
+    """Digest of one file, read in pieces on the driver."""
+    fs, at = _path(spark, path)
+    digest, stream = hashlib.sha256(), fs.open(at)
+    try:
+        while piece := bytes(stream.readNBytes(1 << 22)):
+            digest.update(piece)
+    finally:
+        stream.close()
+    return digest.hexdigest()
+
+
 def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     """(path, bytes, modified) of every file below, in name order; what an input's fingerprint is made of."""
     fs, at = _path(spark, path)
