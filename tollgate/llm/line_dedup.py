@@ -29,16 +29,15 @@ FILTER_BITS, _SPAN = 27, 32768
 _RANK_BITS = 43
 
 
-def _texts(line: str) -> Column:
-    """Shingles of a line column, repeats included."""
-    dense = F.regexp_extract_all(line, F.lit(SHINGLE_DENSE), F.lit(1))
-    wide = (F.octet_length(line) > F.char_length(line)) & F.col(line).rlike(f"[{_DENSE}]")  # the first is cheap
-    return F.when(wide, dense).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
+def _texts(line: str, dense: str) -> Column:
+    """Shingles of a line column, repeats included; ``dense`` says that its document has dense scripts."""
+    each = F.regexp_extract_all(line, F.lit(SHINGLE_DENSE), F.lit(1))
+    return F.when(F.col(dense), each).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
 
 
-def shingles(line: str) -> Column:
+def shingles(line: str, dense: str) -> Column:
     """Distinct shingle hashes of a line column, at least one for a line with a non-space character."""
-    return F.array_distinct(F.transform(_texts(line), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(_texts(line, dense), lambda s: F.xxhash64(s)))
 
 
 def _bit(key: str) -> tuple[Column, Column]:
@@ -55,24 +54,25 @@ def bit_filter(keys: DataFrame, key: str) -> DataFrame:
 def passing(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
     """Rows whose key's bit is set in the filter: all whose key went in, and few others."""
     piece, place = _bit(key)
-    byte = F.conv(F.hex(F.substring("f_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    on = F.expr("1") == F.floor(byte / F.pow(F.lit(2), place % 8)).cast("int") % 2
+    byte = F.ascii(F.decode(F.substring("f_bits", F.shiftright(place, 3) + 1, F.lit(1)), "ISO-8859-1"))
+    on = F.call_function("getbit", byte, place.bitwiseAND(F.lit(7))) == 1
     return rows.join(F.broadcast(held), piece == F.col("f_piece")).where(on).drop("f_piece", "f_bits")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, line_no from 0, line, k1, k2) of every line.
+    """(doc_id, t, dense, line_no from 0, line, k1, k2) of every line.
 
-    t is a hash of the document's text: rows equal in doc_id and text are one document. It is made
-    before the lines are, or it would be made again for each.
+    t is a hash of the document's text: rows equal in doc_id and text are one document. It and the
+    script are told before the lines are made, or they would be told again for each.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    rows = rows.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    dense = (F.octet_length("text") > F.char_length("text")) & F.col("text").rlike(f"[{_DENSE}]")  # the first is cheap
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(dense, F.lit(False)).alias("dense"), "text")
+    rows = rows.select("doc_id", "t", "dense", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(k1, k2, r, b0 ...) of each distinct line: band keys of its MinHash signature, and a rank.
+    """(k1, k2, copies, r, b0 ...) of each distinct line: band keys of its MinHash signature, and a rank.
 
     A signature's entry is the shingle whose hash is least after an exclusive-or with the entry's
     constant, which two lines share with a probability of their Jaccard similarity. A band joins one
@@ -80,22 +80,22 @@ def signatures(rows: DataFrame) -> DataFrame:
     white space have no shingle and so no row. The rank r rises with the line's shingles in all its
     copies; its low bits are those of k1.
     """
-    rows = rows.select("k1", "k2", F.explode(_texts("line")).alias("s"))
-    rows = rows.select("k1", "k2", F.xxhash64("s").alias("h0"), F.xxhash64(F.lit(1), "s").alias("h1"))
+    rows = rows.select("k1", "k2", F.posexplode(_texts("line", "dense")).alias("i", "s"))
+    rows = rows.select("k1", "k2", "i", F.xxhash64("s").alias("h0"), F.xxhash64(F.lit(1), "s").alias("h1"))
     masks = [(b << 61) - (1 << 64) * (b >= 4) for b in range(BANDS)]
     least = [F.min(F.col(h).bitwiseXOR(F.lit(m).cast("long"))).alias(f"{h}_{b}") for b, m in enumerate(masks) for h in ("h0", "h1")]
-    rows = rows.groupBy("k1", "k2").agg(F.count("*").alias("w"), *least)
+    rows = rows.groupBy("k1", "k2").agg(F.count("*").alias("w"), F.count_if(F.col("i") == 0).alias("copies"), *least)
     rank = F.shiftleft(F.least("w", F.lit((1 << 63 - _RANK_BITS) - 1)), _RANK_BITS).bitwiseOR(F.col("k1").bitwiseAND(F.lit((1 << _RANK_BITS) - 1)))
-    return rows.select("k1", "k2", rank.alias("r"), *[F.xxhash64(F.lit(b), f"h0_{b}", f"h1_{b}").alias(f"b{b}") for b in range(BANDS)])
+    return rows.select("k1", "k2", "copies", rank.alias("r"), *[F.xxhash64(F.lit(b), f"h0_{b}", f"h1_{b}").alias(f"b{b}") for b in range(BANDS)])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact similarity of candidate pairs (x, y) of ranks: (x, y, a, b, jaccard), a and b the lines' (k1, k2)."""
-    one, two = (texts.select(F.col("r").alias(f"{c}_r"), F.struct("k1", "k2").alias(c), F.col("line").alias(f"{c}_line")) for c in "ab")
+    one, two = (sets.select(F.col("r").alias(f"{c}_r"), F.struct("k1", "k2").alias(c), F.col("s").alias(f"{c}_s")) for c in "ab")
     found = pairs.join(one, F.col("x") == F.col("a_r")).join(two, F.col("y") == F.col("b_r")).where("a != b")
-    found = found.select("x", "y", "a", "b", shingles("a_line").alias("p"), shingles("b_line").alias("q"))
-    both = F.size(F.array_intersect("p", "q"))
-    return found.select("x", "y", "a", "b", (both / (F.size("p") + F.size("q") - both)).alias("jaccard"))
+    both = F.size(F.array_intersect("a_s", "b_s"))
+    found = found.select("x", "y", "a", "b", both.alias("both"), (F.size("a_s") + F.size("b_s")).alias("sum"))
+    return found.select("x", "y", "a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("jaccard"))
 
 
 def _hubs(compared: DataFrame) -> DataFrame:
@@ -107,16 +107,15 @@ def _hubs(compared: DataFrame) -> DataFrame:
     return up
 
 
-def _rare_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (x, y) of ``texts(r, k1, k2, line, hub, open)`` that may reach the similarity, x open, of different hubs.
+def _rare_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) of ``sets(r, k1, k2, s, hub, open)`` that may reach the similarity, x open, of different hubs.
 
     Exact prefix and position filtering: in one order of all shingles, rarest first, two similar
     lines share one among the first n - ceil(0.8 n) + 1 of each. What two lines have in common beyond
     their first common shingle is bounded by what follows it in either, so lines whose own shingles
     come first seldom meet, though all of a group share the rest.
     """
-    rows = texts.select("r", "k1", "k2", "hub", "open", shingles("line").alias("s"))
-    rows = materialize(rows.select("r", "k1", "k2", "hub", "open", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
+    rows = materialize(sets.select("r", "k1", "k2", "hub", "open", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
     often = rows.groupBy("s").agg(F.count("*").alias("often"), F.max("open").alias("asked"), F.min("n").alias("least"))
     rows = rows.join(materialize(often.withColumnRenamed("s", "o_s"), "often"), F.col("s") == F.col("o_s"))
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("often", "s"))
@@ -132,8 +131,8 @@ def _rare_pairs(texts: DataFrame) -> DataFrame:
     return both.select("x", "y").distinct()
 
 
-def line_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct lines of a similarity of 0.8 or more, each a line's (k1, k2).
+def line_links(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Links (a, b) between distinct lines of a similarity of 0.8 or more, each a line's (k1, k2); ``signed`` are their signatures.
 
     Lines that share a band form a bucket. Every member is compared with the bucket's line of the
     highest rank, its pivot, usually the most copied one, so a large bucket costs its size and not
@@ -142,7 +141,6 @@ def line_links(rows: DataFrame) -> DataFrame:
     larger bucket is searched again as a whole by exact prefix filtering. So no link inside a bucket is lost. Every link is verified on the full
     shingle sets.
     """
-    signed = materialize(signatures(rows), "signatures")
     bands = signed.select("r", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.max("r").alias("pivot")).where("n > 1").select("key", "pivot")
     buckets = materialize(buckets, "buckets")
@@ -151,11 +149,12 @@ def line_links(rows: DataFrame) -> DataFrame:
     pairs = materialize(members.select(F.col("r").alias("x"), F.col("pivot").alias("y")).distinct(), "pairs")
     ranks = pairs.select(F.col("x").alias("r")).unionByName(pairs.select(F.col("y").alias("r")))
     held = bit_filter(ranks, "r")
-    texts = passing(rows.select("k1", "k2", "line"), held, "k1").dropDuplicates(["k1", "k2"])
+    sets = passing(rows.select("k1", "k2", "line", "dense"), held, "k1").dropDuplicates(["k1", "k2"])
+    sets = sets.select("k1", "k2", shingles("line", "dense").alias("s"))
     named = passing(signed.select("k1", "k2", "r"), held, "k1").select(F.col("k1").alias("n_k1"), F.col("k2").alias("n_k2"), "r")
-    texts = texts.join(named, (F.col("k1") == F.col("n_k1")) & (F.col("k2") == F.col("n_k2"))).select("r", "k1", "k2", "line")
-    texts = materialize(texts, "lines")
-    first = materialize(_verified(pairs, texts), "verified")
+    sets = sets.join(named, (F.col("k1") == F.col("n_k1")) & (F.col("k2") == F.col("n_k2"))).select("r", "k1", "k2", "s")
+    sets = materialize(sets, "lines")
+    first = materialize(_verified(pairs, sets), "verified")
     links = first.where(F.col("jaccard") >= SIMILAR).select("a", "b")
     seen = first.select(F.col("x").alias("f_x"), F.col("y").alias("f_y"), "jaccard").groupBy("f_x", "f_y").agg(F.max("jaccard").alias("jaccard"))
     hubs = materialize(_hubs(first), "hubs")
@@ -173,12 +172,12 @@ def line_links(rows: DataFrame) -> DataFrame:
     near = F.abs(F.col("x.jaccard") - F.col("y.jaccard")) <= 1 - SIMILAR + 1e-9
     once = (F.col("y.jaccard") >= SIMILAR) | (F.col("x.r") < F.col("y.r"))
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.r_hub") != F.col("y.r_hub")) & near & once).select(F.col("x.r").alias("x"), F.col("y.r").alias("y")).distinct()
-    second = _verified(more, texts)
+    second = _verified(more, sets)
     if not many.isEmpty():
         opened = F.max((F.col("jaccard") < SIMILAR).cast("int"))
         whole = many.select("r", F.col("r_hub").alias("hub"), "jaccard").unionByName(many.select(F.col("pivot").alias("r"), F.col("pivot_hub").alias("hub"), F.lit(1.0).alias("jaccard")))
         whole = whole.groupBy(F.col("r").alias("w_r"), "hub").agg((opened == 1).alias("open"))
-        second = second.unionByName(_verified(_rare_pairs(texts.join(whole, F.col("r") == F.col("w_r"))), texts))
+        second = second.unionByName(_verified(_rare_pairs(sets.join(whole, F.col("r") == F.col("w_r"))), sets))
     return links.unionByName(second.where(F.col("jaccard") >= SIMILAR).select("a", "b"))
 
 
@@ -189,9 +188,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     doc_id sorts first.
     """
     rows = lines(docs)
-    found = components(line_links(rows), "a", "b")
+    signed = materialize(signatures(rows), "signatures")
+    found = components(line_links(rows, signed), "a", "b")
     labels = found.select(F.col("node.k1").alias("l_k1"), F.col("node.k2").alias("l_k2"), F.col("component.k1").alias("c1"), F.col("component.k2").alias("c2"))
-    seen = materialize(rows.where(F.col("line").rlike(r"\S")).select("doc_id", "t", "line_no", "k1", "k2"), "occurrences")
+    labels = materialize(labels, "labels")
+    several = signed.where("copies > 1").select("k1").unionByName(labels.select(F.col("l_k1").alias("k1")))
+    seen = passing(rows, bit_filter(several, "k1"), "k1").where(F.col("line").rlike(r"\S"))
+    seen = materialize(seen.select("doc_id", "t", "line_no", "k1", "k2"), "occurrences")
     firsts = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.count("*").alias("n"))
     firsts = firsts.join(labels, (F.col("k1") == F.col("l_k1")) & (F.col("k2") == F.col("l_k2")), "left")
     firsts = materialize(firsts.where("n > 1 or c1 is not null").select("k1", "k2", "first", "c1", "c2"), "firsts")
@@ -199,8 +202,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     firsts = firsts.join(heads, (F.col("c1") == F.col("h1")) & (F.col("c2") == F.col("h2")), "left")
     keep = firsts.select(F.col("k1").alias("f_k1"), F.col("k2").alias("f_k2"), F.coalesce("head", "first").alias("keep"))
     keep = materialize(keep, "heads")
-    repeated = passing(seen, bit_filter(keep, "f_k1"), "k1")
-    repeated = repeated.join(keep, (F.col("k1") == F.col("f_k1")) & (F.col("k2") == F.col("f_k2")))
+    repeated = seen.join(keep, (F.col("k1") == F.col("f_k1")) & (F.col("k2") == F.col("f_k2")))
     lost = repeated.where(~F.struct("doc_id", "t", "line_no").eqNullSafe(F.col("keep")))
     return lost.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
 
