@@ -17,9 +17,9 @@ WINDOW, END_ID = 4096, 2
 #: Rows that one task ranks at most, on average.
 ROWS_PER_BUCKET = 50_000
 #: Parts whose ids a worker remembers at most; beyond it the memory is emptied, which costs time only.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Bytes of text that are split and encoded together, besides a last longer text.
-STEP = 4_000_000
+STEP = 2_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
