@@ -11,6 +11,7 @@ from ..functions.columns import bucket, order_key, ratio
 from ..storage import materialize
 from . import alerts
 from .graph import components
+from .order import positions
 
 #: Thresholds u < P(X <= k) of a Poisson(1) variable X for k = 0, 1, ...; fixed values.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
@@ -199,8 +200,8 @@ def counterfactual(excluded: DataFrame, kept: DataFrame, draws: int, seed: int =
     Inputs have (txn_id, is_laundering, score). In each draw every excluded positive takes the score
     of the kept positive whose number a portable hash gives it; draw 0 has the scores as they are.
     """
-    pos = kept.where("is_laundering = 1").withColumn("at", F.row_number().over(Window.orderBy(order_key(F.col("txn_id")), "txn_id")) - 1)
-    pos = materialize(pos.select("at", F.col("score").alias("new")), "kept")
+    pos = kept.where("is_laundering = 1").select("txn_id", F.col("score").alias("new"), order_key(F.col("txn_id")).alias("key"))
+    pos = materialize(positions(pos, "key", "txn_id", name="at").select("at", "new"), "kept")
     n = pos.count()
     out = excluded.where("is_laundering = 1").select("txn_id", _draws(draws))
     out = out.withColumn("pick", bucket(F.concat_ws("|", F.col("draw").cast("string"), F.col("txn_id").cast("string")), max(n, 1), f"{seed}|"))
