@@ -99,7 +99,7 @@ def test_keep_one_of_each_group(spark):
 # Lines
 
 DENSE = "⺀-鿿가-힯豈-﫿"
-RX = re.compile(rf"(?s)(?=(\S.{{0,11}}))(?:[{DENSE}]|[^\s{DENSE}]{{1,8}})")
+RX = re.compile(rf"(?s)(?=(\S.{{0,11}}))(?:[{DENSE}]|[^\s{DENSE}]{{1,12}})")
 
 
 def _brute(rows):

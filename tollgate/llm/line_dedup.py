@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from .common import materialize
 
-#: Characters of a shingle; a shingle starts at every run of non-space characters and every 8 into it.
-WIDTH, STRIDE = 12, 8
+#: Characters of a shingle; a shingle starts at every run of non-space characters and every 12 into it, so all are covered.
+WIDTH, STRIDE = 12, 12
 #: Similarity of two lines that are copies; bands of the signature, two rows each.
 SIMILAR, BANDS = 0.8, 6
 #: Members of a bucket up to which those that its pivot leaves open are compared pair by pair.
@@ -81,7 +81,7 @@ def signatures(rows: DataFrame) -> DataFrame:
     copies; its low bits are those of k1.
     """
     rows = rows.select("k1", "k2", F.posexplode(_texts("line", "dense")).alias("i", "s"))
-    rows = rows.select("k1", "k2", "i", F.xxhash64("s").alias("h0"), F.xxhash64(F.lit(1), "s").alias("h1"))
+    rows = rows.select("k1", "k2", "i", F.xxhash64("s").alias("h0")).withColumn("h1", F.xxhash64("h0"))
     masks = [(b << 61) - (1 << 64) * (b >= 4) for b in range(BANDS)]
     least = [F.min(F.col(h).bitwiseXOR(F.lit(m).cast("long"))).alias(f"{h}_{b}") for b, m in enumerate(masks) for h in ("h0", "h1")]
     rows = rows.groupBy("k1", "k2").agg(F.count("*").alias("w"), F.count_if(F.col("i") == 0).alias("copies"), *least)
