@@ -199,6 +199,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     firsts = firsts.join(labels, (F.col("k1") == F.col("l_k1")) & (F.col("k2") == F.col("l_k2")), "left")
     firsts = materialize(firsts.where("n > 1 or c1 is not null").select("k1", "k2", "first", "c1", "c2"), "firsts")
     heads = firsts.where("c1 is not null").groupBy(F.col("c1").alias("h1"), F.col("c2").alias("h2")).agg(F.min("first").alias("head"))
+    heads = materialize(heads, "components")  # so that the join has exchanges of its own and a hot component can be split
     firsts = firsts.join(heads, (F.col("c1") == F.col("h1")) & (F.col("c2") == F.col("h2")), "left")
     keep = firsts.select(F.col("k1").alias("f_k1"), F.col("k2").alias("f_k2"), F.coalesce("head", "first").alias("keep"))
     keep = materialize(keep, "heads")
