@@ -19,7 +19,7 @@ ROWS_PER_BUCKET = 50_000
 #: Parts whose ids a worker remembers at most; beyond it the memory is emptied, which costs time only.
 MEMORY = 200_000
 #: Bytes of text that are split and encoded together, besides a last longer text.
-STEP = 2_000_000
+STEP = 3_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
