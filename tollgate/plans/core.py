@@ -223,27 +223,38 @@ def _thin(s, d):
     return e.withColumns({"ring_id": F.when(keep, F.col("ring_id")), "typology": F.when(keep, F.col("typology"))})
 
 
-def _split(s, d):
-    e = _thin(s, d)
+def whole(sql: bool = True) -> Callable[[Query], Query]:
+    """Register a query of thinned rings again, over all rings; with ``sql`` beside its SQL without the thinning."""
+
+    def add(f: Query) -> Query:
+        name = f.__name__
+        return query(ORACLES[name].replace(_THIN, E, 1) if sql else None, f"{name}_all_rings")(lambda s, d: f(s, d, evts)) and f
+
+    return add
+
+
+def _split(e):
     rings, accounts = splits.rings_of(e), splits.ring_accounts_of(e)
     return e, rings, accounts, splits.ring_sides(rings, accounts, CUT)
 
 
+@whole()
 @query(_THIN + _SETS + """ SELECT count(*) FILTER (WHERE train) AS train_rings, count(*) FILTER (WHERE NOT train) AS test_rings_raw, (SELECT count(*) FROM dr) AS dropped_rings,
   count(*) FILTER (WHERE NOT train) - (SELECT count(*) FROM dr) AS test_rings, (SELECT count(*) FROM ov) AS overlap_accounts FROM sd""")
-def split_ring_sets(s, d):
-    _, rings, accounts, _ = _split(s, d)
+def split_ring_sets(s, d, rows=_thin):
+    _, rings, accounts, _ = _split(rows(s, d))
     return splits.split_sets(rings, accounts, CUT)
 
 
+@whole()
 @query(_THIN + _SETS + f""" SELECT p AS protocol, part, count(*) AS rows, CAST(sum(is_laundering) AS BIGINT) AS positives, count(DISTINCT ring_id) AS rings FROM (
   SELECT p, CASE WHEN event_time < TIMESTAMP '{CUT}' THEN 'train' ELSE 'test' END AS part, is_laundering, ring_id FROM t, (VALUES ('naive'), ('ring-aware')) v(p)
   WHERE event_time < TIMESTAMP '{CUT}' OR p = 'naive' OR ring_id IS NULL OR ring_id IN (SELECT ring_id FROM sd WHERE NOT train AND ring_id NOT IN (SELECT ring_id FROM dr))) GROUP BY 1, 2""")
-def split_naive_vs_ring(s, d):
-    e, _, _, sides = _split(s, d)
+def split_naive_vs_ring(s, d, rows=_thin):
+    e, _, _, sides = _split(rows(s, d))
     both = [splits.split_rows(e, sides, CUT, p).withColumn("protocol", F.lit(p)) for p in splits.PROTOCOLS]
-    rows = both[0].unionByName(both[1]).groupBy("protocol", "part")
-    return rows.agg(F.count("*").alias("rows"), F.sum("is_laundering").cast("long").alias("positives"), F.count_distinct("ring_id").alias("rings"))
+    parts = both[0].unionByName(both[1]).groupBy("protocol", "part")
+    return parts.agg(F.count("*").alias("rows"), F.sum("is_laundering").cast("long").alias("positives"), F.count_distinct("ring_id").alias("rings"))
 
 
 _SWEEP = _R + """, b AS (SELECT min(st) AS lo, datediff('day', min(st), max(st)) - CASE WHEN max(st) - to_days(CAST(datediff('day', min(st), max(st)) AS INTEGER)) < min(st) THEN 1 ELSE 0 END AS days,
@@ -258,19 +269,21 @@ _SWEEP = _R + """, b AS (SELECT min(st) AS lo, datediff('day', min(st), max(st))
   CAST(round_even((count(*) FILTER (WHERE NOT train) - coalesce((SELECT n FROM dr WHERE dr.frac = x.frac), 0)) / (SELECT nt FROM b), 0) AS BIGINT) AS per_typology FROM x GROUP BY 1, 2"""
 
 
+@whole()
 @query(_THIN + _SWEEP)
-def split_sweep(s, d):
-    _, rings, accounts, _ = _split(s, d)
+def split_sweep(s, d, rows=_thin):
+    _, rings, accounts, _ = _split(rows(s, d))
     return splits.sweep(rings, accounts)
 
 
+@whole()
 @query(_THIN + _SETS + f""", te AS (SELECT * FROM t WHERE event_time >= TIMESTAMP '{CUT}' AND (ring_id IS NULL OR ring_id IN (SELECT ring_id FROM sd WHERE NOT train AND ring_id NOT IN (SELECT ring_id FROM dr)))),
   g AS (SELECT acct, d, max(y) AS y, max(u) AS u FROM (SELECT sender_id AS acct, event_date AS d, is_laundering AS y, CASE WHEN ring_id IS NULL THEN 1 ELSE 0 END AS u FROM te
   UNION ALL SELECT receiver_id, event_date, is_laundering, CASE WHEN ring_id IS NULL THEN 1 ELSE 0 END FROM te) GROUP BY 1, 2)
   SELECT count(*) AS test_total_account_days, count(*) FILTER (WHERE y = 1) AS test_positive_account_days,
   count(*) FILTER (WHERE y = 1 AND u = 1 AND acct IN (SELECT acct FROM ta)) AS unlabeled_positive_acct_days_touching_train_rings FROM g""")
-def split_optb_sensitivity(s, d):
-    e, _, accounts, sides = _split(s, d)
+def split_optb_sensitivity(s, d, rows=_thin):
+    e, _, accounts, sides = _split(rows(s, d))
     return splits.option_b(splits.split_rows(e, sides, CUT).where("part = 'test'"), accounts, sides)
 
 
@@ -430,9 +443,10 @@ _CLUSTER = AD + MEM + """, pm AS (SELECT 'a:' || strftime(mem.day, '%Y-%m-%d') |
 _THIN_R = _THIN.replace("WITH", "WITH RECURSIVE", 1)
 
 
+@whole(sql=False)
 @query(_THIN_R + _CLUSTER + " SELECT day, acct, cluster FROM cl")
-def ring_components(s, d):
-    e = _thin(s, d)
+def ring_components(s, d, rows=_thin):
+    e = rows(s, d)
     return nulls.clusters(alerts.account_days(e), alerts.membership(e))
 
 
@@ -442,9 +456,10 @@ _BOOT = _CLUSTER + ks(BUDGETS) + RK + f""", tb AS (SELECT cluster, k, count(*) A
   bs AS (SELECT draw, k, sum(w * caught) / nullif(sum(w * total), 0)::DOUBLE AS recall FROM w GROUP BY 1, 2)"""
 
 
+@whole(sql=False)
 @query(_THIN_R + _BOOT + " SELECT k, round(quantile_cont(recall, 0.025), 9) AS ci_lo, round(quantile_cont(recall, 0.975), 9) AS ci_hi, count(*) AS n_bootstrap FROM bs GROUP BY 1")
-def bootstrap_ci(s, d):
-    e = _thin(s, d)
+def bootstrap_ci(s, d, rows=_thin):
+    e = rows(s, d)
     return nulls.bootstrap_ci(alerts.account_days(e), alerts.membership(e), BUDGETS, 50)
 
 
