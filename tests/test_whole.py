@@ -1,21 +1,24 @@
 """Registered queries that cover all rows, where a namesake with SQL covers a part."""
 
 import os
+import random
 from collections import defaultdict
 
 import pytest
 
 from tollgate import registry
+from tollgate.llm import line_dedup
 from tollgate.sources import adapters
 
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def _run(spark, name):
     return registry.queries()[name](spark, SF).collect()
 
 
+@tables
 def test_splits_hold_every_ring(spark):
     e = adapters.evts(spark, SF)
     rings = e.where("ring_id is not null").select("ring_id").distinct().count()
@@ -25,6 +28,7 @@ def test_splits_hold_every_ring(spark):
     assert _run(spark, "split_optb_sensitivity_all_rings") and sum(r["rows"] for r in _run(spark, "split_naive_vs_ring_all_rings") if r["protocol"] == "naive") == e.count()
 
 
+@tables
 def test_components_hold_every_ring(spark):
     nodes, rings = defaultdict(set), defaultdict(set)
     pos, members = set(), set()
@@ -49,3 +53,24 @@ def test_components_hold_every_ring(spark):
     got = {(r["day"], r["acct"]): r["cluster"] for r in _run(spark, "ring_components_all_rings")}
     assert got == want and len(rings) > 17
     assert len(_run(spark, "bootstrap_ci_all_rings")) == 3
+
+
+def _dropped(spark, lines):
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return {r["doc_id"] for r in line_dedup.decisions(docs).where("n_dropped > 0").collect()}
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "กขคงจฉชซญฐณดตถทธนบปผพภมยรลวศษสหอ", "ກຂຄງຈຊຍດຕຖທນບປຜພຟມຢຣລວສຫອ", "កខគឃងចឆជឈញដឋឌឍណតថទធន", "ကခဂဃငစဆဇဈညဋဌဍဎဏတထဒဓန"])
+def test_a_shifted_unspaced_line_is_a_copy(spark, letters):
+    rng = random.Random(3)
+    line = "".join(rng.choice(letters) for _ in range(400))
+    other = "".join(rng.choice(letters) for _ in range(400))
+    assert _dropped(spark, [line, letters[0] + line, line[:200] + line[201:], line[:100] + letters[1] + line[100:], other]) == {1, 2, 3}
+
+
+def test_both_shingle_patterns_agree(spark):
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choice("abcXYZ") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 9))) for _ in range(50)]
+    docs = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "true as yes", "false as no")
+    for r in docs.select("line", line_dedup._texts("line", "yes").alias("a"), line_dedup._texts("line", "no").alias("b")).collect():
+        assert r["a"] == r["b"] and set("".join(r["b"])) >= set(r["line"]) - {" "}

@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from .common import materialize
 
-#: Characters of a shingle; a shingle starts at every run of non-space characters and every 12 into it, so all are covered.
-WIDTH, STRIDE = 12, 12
+#: Characters of a shingle; one starts at every run of non-space characters and, while the run goes on for 12 more, at each next character. So all are covered, and an inserted character moves no other shingle.
+WIDTH = 12
 #: Similarity of two lines that are copies; bands of the signature, two rows each.
 SIMILAR, BANDS = 0.8, 6
 #: Members of a bucket up to which those that its pivot leaves open are compared pair by pair.
 SMALL = 20
 #: Writing systems without spaces between words: a shingle starts at every character.
-_DENSE = r"⺀-鿿가-힯豈-﫿"
+_DENSE = r"⺀-鿿가-힯豈-﫿\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u1950-\u19DF\u1A20-\u1AAF\uA9E0-\uA9FF\uAA60-\uAA7F"
 _HEAD = rf"(?s)(?=(\S.{{0,{WIDTH - 1}}}))"
 #: The pattern of a shingle in lines without such characters, which is far faster, and in others; both agree on the former.
-SHINGLE = rf"{_HEAD}\S{{1,{STRIDE}}}"
-SHINGLE_DENSE = rf"{_HEAD}(?:[{_DENSE}]|[^\s{_DENSE}]{{1,{STRIDE}}})"
+SHINGLE = rf"{_HEAD}(?:\S(?=\S{{{WIDTH}}})|\S{{1,{WIDTH}}})"
+SHINGLE_DENSE = rf"{_HEAD}(?:[{_DENSE}]|[^\s{_DENSE}](?=[^\s{_DENSE}]{{{WIDTH}}})|[^\s{_DENSE}]{{1,{WIDTH}}})"
 #: Bits of the filter that spares the shuffle rows whose key no other row has; 16 MB whatever the input.
 FILTER_BITS, _SPAN = 27, 32768
 _RANK_BITS = 43
