@@ -74,3 +74,14 @@ def test_both_shingle_patterns_agree(spark):
     docs = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "true as yes", "false as no")
     for r in docs.select("line", line_dedup._texts("line", "yes").alias("a"), line_dedup._texts("line", "no").alias("b")).collect():
         assert r["a"] == r["b"] and set("".join(r["b"])) >= set(r["line"]) - {" "}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_splice_holds_every_instance(spark):
+    sf = "/root/testdata/sf0.01"
+    got = registry.queries()["drift_splice_checks"](spark, sf).first()
+    made = registry.queries()["drift_instance_txns"](spark, sf)
+    background = adapters.txns(spark, sf).where("is_laundering = 0").count()
+    assert got["ring_instances"] == 96 == made.select("instance_id").distinct().count() and got["positives"] == made.count()
+    assert got["rows"] == got["distinct_ids"] == background + got["positives"]
+    assert got["accounts_in_several_rings"] == 0 and got["laundering_accounts_also_in_background"] == got["laundering_accounts"]
