@@ -3,11 +3,14 @@
 import os
 import random
 from collections import defaultdict
+from hashlib import md5
 
+import numpy as np
 import pytest
 
 from tollgate import registry
 from tollgate.llm import line_dedup
+from tollgate.operators import alerts, nulls
 from tollgate.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -85,3 +88,36 @@ def test_splice_holds_every_instance(spark):
     assert got["ring_instances"] == 96 == made.select("instance_id").distinct().count() and got["positives"] == made.count()
     assert got["rows"] == got["distinct_ids"] == background + got["positives"]
     assert got["accounts_in_several_rings"] == 0 and got["laundering_accounts_also_in_background"] == got["laundering_accounts"]
+
+
+@tables
+@pytest.mark.parametrize("name,first", [("permutation_null", 20), ("typology_spread_null", 10), ("counterfactual_ap", 5)])
+def test_full_draws_begin_with_those_held_to_sql(spark, name, first):
+    few, many = _run(spark, name), _run(spark, f"{name}_full_draws")
+    assert {r["draw"] for r in many} == set(range(1001))
+    assert sorted(map(tuple, few)) == sorted(tuple(r) for r in many if r["draw"] <= first)
+
+
+@tables
+def test_full_permutation_summary(spark):
+    draws, got = _run(spark, "permutation_null_full_draws"), _run(spark, "permutation_summary_full_draws")
+    for r in got:
+        seen = next(x["ring_recall"] for x in draws if (x["draw"], x["k"]) == (0, r["k"]))
+        null = [x["ring_recall"] for x in draws if x["draw"] and x["k"] == r["k"]]
+        assert r["permutations"] == 1000 == len(null) and r["p"] == pytest.approx((1 + sum(x >= seen for x in null)) / 1001, abs=1e-8)
+        assert (r["null_lo"], r["null_hi"]) == pytest.approx(tuple(np.quantile(null, [0.025, 0.975])), abs=1e-8)
+
+
+@tables
+def test_full_bootstrap_equals_brute_force(spark):
+    e = adapters.evts(spark, SF)
+    rank = {(r["day"], r["acct"]): r["rank_first"] for r in alerts.ranked(alerts.account_days(e)).collect()}
+    own = [(r["cluster"], rank[r["day"], r["acct"]]) for r in nulls.clusters(alerts.account_days(e), alerts.membership(e)).collect()]
+    got = _run(spark, "bootstrap_ci_full_draws")
+    weights = []
+    for draw in range(1, 1001):
+        u = {c: int(md5(f"0|{draw}|{c}".encode()).hexdigest()[:8], 16) % 10**8 / 1e8 for c, _ in own}
+        weights.append({c: sum(x >= p for p in nulls.POISSON) for c, x in u.items()})
+    for r in got:
+        recall = [sum(w[c] for c, at in own if at <= r["k"]) / sum(w[c] for c, _ in own) for w in weights]
+        assert r["n_bootstrap"] == 1000 and (r["ci_lo"], r["ci_hi"]) == pytest.approx(tuple(np.quantile(recall, [0.025, 0.975])), abs=1e-8)

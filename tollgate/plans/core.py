@@ -233,6 +233,15 @@ def whole(sql: bool = True) -> Callable[[Query], Query]:
     return add
 
 
+#: Draws of the queries that are not held to SQL.
+DRAWS = 1000
+
+
+def full_draws(**settings) -> Callable[[Query], Query]:
+    """Register a query of few draws again, with ``DRAWS`` of them and without SQL; tests compare its first draws."""
+    return lambda f: query(None, f"{f.__name__}_full_draws")(lambda s, d: f(s, d, draws=DRAWS, **settings)) and f
+
+
 def _split(e):
     rings, accounts = splits.rings_of(e), splits.ring_accounts_of(e)
     return e, rings, accounts, splits.ring_sides(rings, accounts, CUT)
@@ -456,11 +465,12 @@ _BOOT = _CLUSTER + ks(BUDGETS) + RK + f""", tb AS (SELECT cluster, k, count(*) A
   bs AS (SELECT draw, k, sum(w * caught) / nullif(sum(w * total), 0)::DOUBLE AS recall FROM w GROUP BY 1, 2)"""
 
 
+@full_draws(rows=evts)
 @whole(sql=False)
 @query(_THIN_R + _BOOT + " SELECT k, round(quantile_cont(recall, 0.025), 9) AS ci_lo, round(quantile_cont(recall, 0.975), 9) AS ci_hi, count(*) AS n_bootstrap FROM bs GROUP BY 1")
-def bootstrap_ci(s, d, rows=_thin):
+def bootstrap_ci(s, d, rows=_thin, draws=50):
     e = rows(s, d)
-    return nulls.bootstrap_ci(alerts.account_days(e), alerts.membership(e), BUDGETS, 50)
+    return nulls.bootstrap_ci(alerts.account_days(e), alerts.membership(e), BUDGETS, draws)
 
 
 def _perm(draws: int) -> str:
@@ -476,24 +486,27 @@ def _perm(draws: int) -> str:
   pd AS (SELECT CAST(draw AS INTEGER) AS draw, k, avg(CASE WHEN r <= k THEN 1 ELSE 0 END) AS ring_recall FROM br, ks GROUP BY 1, 2)"""
 
 
+@full_draws()
 @query(_perm(20) + " SELECT draw, k, round(ring_recall, 9) AS ring_recall FROM pd")
-def permutation_null(s, d):
-    return nulls.permutation_draws(evts(s, d), BUDGETS, 20)
+def permutation_null(s, d, draws=20):
+    return nulls.permutation_draws(evts(s, d), BUDGETS, draws)
 
 
+@full_draws()
 @query(_perm(20) + """, o AS (SELECT k, ring_recall AS seen FROM pd WHERE draw = 0),
   g AS (SELECT k, seen, avg(ring_recall) AS m, quantile_cont(ring_recall, 0.025) AS lo, quantile_cont(ring_recall, 0.975) AS hi, count(*) AS b, count(*) FILTER (WHERE ring_recall >= seen) AS up, count(*) FILTER (WHERE ring_recall <= seen) AS dn
    FROM pd JOIN o USING (k) WHERE draw > 0 GROUP BY 1, 2)
   SELECT k, round(seen, 9) AS ring_recall_minrank, round(m, 9) AS ring_recall_null, round(lo, 9) AS null_lo, round(hi, 9) AS null_hi, round(seen / nullif(m, 0), 3) AS lift, round(seen / nullif(m, 0), 3) AS ring_coverage_concentration,
   round((up + 1) / (b + 1)::DOUBLE, 9) AS p, round((dn + 1) / (b + 1)::DOUBLE, 9) AS p_lower, round(least(1, 2 * least((up + 1) / (b + 1)::DOUBLE, (dn + 1) / (b + 1)::DOUBLE)), 9) AS p_two_sided, b AS permutations, round(1 / (b + 1)::DOUBLE, 9) AS p_resolution FROM g""")
-def permutation_summary(s, d):
-    return nulls.permutation_summary(nulls.permutation_draws(evts(s, d), BUDGETS, 20))
+def permutation_summary(s, d, draws=20):
+    return nulls.permutation_summary(nulls.permutation_draws(evts(s, d), BUDGETS, draws))
 
 
+@full_draws()
 @query(_perm(10) + """, ty AS (SELECT ring_id, min(typology) AS typology FROM t WHERE ring_id IS NOT NULL GROUP BY 1), q AS (SELECT draw, typology, avg(CASE WHEN r <= 25 THEN 1 ELSE 0 END) AS x FROM br JOIN ty USING (ring_id) GROUP BY 1, 2)
   SELECT CAST(draw AS INTEGER) AS draw, round(max(x) - min(x), 9) AS spread FROM q GROUP BY 1""")
-def typology_spread_null(s, d):
-    return nulls.typology_spread(evts(s, d), 25, 10)
+def typology_spread_null(s, d, draws=10):
+    return nulls.typology_spread(evts(s, d), 25, draws)
 
 
 _P8 = ", ".join(f"('{n}', {p})" for n, p in (("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.005), ("e", 0.6), ("f", 0.04), ("g", 0.9), ("h", 0.2)))
@@ -533,11 +546,12 @@ _CF = _CF.replace("event_id_ok", "(ring_id IS NULL OR ring_id % 2 = 0)") + """,
   al AS (SELECT draw, is_laundering, score FROM kept, (SELECT unnest(range(0, 6)) AS draw) UNION ALL SELECT mv.draw, 1, kp.new FROM mv JOIN kp ON kp.at = mv.pick UNION ALL SELECT 0, 1, score FROM ex)""" + _STEP.format(g="draw, ", t="al", part="PARTITION BY draw ", all="PARTITION BY draw")
 
 
+@full_draws()
 @query(_CF + " SELECT CAST(draw AS INTEGER) AS draw, round(sum(p / tp::DOUBLE * (cp / cn::DOUBLE)), 9) AS ap FROM c GROUP BY 1")
-def counterfactual_ap(s, d):
+def counterfactual_ap(s, d, draws=5):
     e = evts(s, d).select("txn_id", "is_laundering", "score", "ring_id")
     ok = F.col("ring_id").isNull() | (F.col("ring_id") % 2 == 0)
-    return nulls.counterfactual(e.where(~ok), e.where(ok), 5)
+    return nulls.counterfactual(e.where(~ok), e.where(ok), draws)
 
 
 @query(E + """, top AS (SELECT min(score) AS thr FROM (SELECT score FROM t ORDER BY score DESC, txn_id LIMIT 500)) SELECT coalesce(ring_id % 2 = 1, false) AS excluded, count(*) AS n, CAST(sum(is_laundering) AS BIGINT) AS positives,
