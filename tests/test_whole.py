@@ -11,6 +11,7 @@ import pytest
 from tollgate import registry
 from tollgate.llm import line_dedup
 from tollgate.operators import alerts, nulls
+from tollgate.plans import models
 from tollgate.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +122,20 @@ def test_full_bootstrap_equals_brute_force(spark):
     for r in got:
         recall = [sum(w[c] for c, at in own if at <= r["k"]) / sum(w[c] for c, _ in own) for w in weights]
         assert r["n_bootstrap"] == 1000 and (r["ci_lo"], r["ci_hi"]) == pytest.approx(tuple(np.quantile(recall, [0.025, 0.975])), abs=1e-8)
+
+
+@tables
+def test_boosted_trees_keep_their_settings(spark, monkeypatch):
+    used = {}
+
+    class Seen(Exception):
+        pass
+
+    def trees(**settings):
+        used.update(settings)
+        raise Seen
+
+    monkeypatch.setattr(models, "GBTClassifier", trees)
+    with pytest.raises(Seen):
+        registry.queries()["model_gbt_scores"](spark, SF)
+    assert models.GBT.items() <= used.items()

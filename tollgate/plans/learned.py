@@ -23,5 +23,5 @@ def model_lr_scores(s, d):
 
 @query()
 def model_gbt_scores(s, d):
-    """A short fit of the boosted trees; the settings of a full run are ``models.GBT``."""
-    return _stage(s, d, "gbt", maxIter=5, maxDepth=4)
+    """Boosted trees with the settings of ``models.GBT``."""
+    return _stage(s, d, "gbt")
