@@ -139,3 +139,16 @@ def test_boosted_trees_keep_their_settings(spark, monkeypatch):
     with pytest.raises(Seen):
         registry.queries()["model_gbt_scores"](spark, SF)
     assert models.GBT.items() <= used.items()
+
+
+def test_short_lines_share_a_band(spark):
+    rng = random.Random(11)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(5)] for _ in range(10000)]
+    docs = spark.createDataFrame([(2 * i + j, " ".join(w[: 5 - j])) for i, w in enumerate(words) for j in (0, 1)], "doc_id long, text string")
+    rows = line_dedup.lines(docs)
+    bands = [f"b{b}" for b in range(line_dedup.BANDS)]
+    signed = {(r["k1"], r["k2"]): [r[b] for b in bands] for r in line_dedup.signatures(rows).collect()}
+    of = {r["doc_id"]: signed[r["k1"], r["k2"]] for r in rows.select("doc_id", "k1", "k2").collect()}
+    missed = sum(not any(x == y for x, y in zip(of[2 * i], of[2 * i + 1])) for i in range(len(words)))
+    print("missed", missed)
+    assert missed <= 10

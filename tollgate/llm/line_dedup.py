@@ -15,7 +15,7 @@ from .common import materialize
 #: Characters of a shingle; one starts at every run of non-space characters and, while the run goes on for 12 more, at each next character. So all are covered, and an inserted character moves no other shingle.
 WIDTH = 12
 #: Similarity of two lines that are copies; bands of the signature, two rows each.
-SIMILAR, BANDS = 0.8, 6
+SIMILAR, BANDS = 0.8, 8
 #: Members of a bucket up to which those that its pivot leaves open are compared pair by pair.
 SMALL = 20
 #: Writing systems without spaces between words: a shingle starts at every character.
@@ -74,16 +74,14 @@ def lines(docs: DataFrame) -> DataFrame:
 def signatures(rows: DataFrame) -> DataFrame:
     """(k1, k2, copies, r, b0 ...) of each distinct line: band keys of its MinHash signature, and a rank.
 
-    A signature's entry is the shingle whose hash is least after an exclusive-or with the entry's
-    constant, which two lines share with a probability of their Jaccard similarity. A band joins one
-    entry of each of two hash functions. Equal lines are merged by the same aggregation; lines of
+    A signature's entry is the least hash of the line's shingles under the entry's own hash function,
+    which two lines share with a probability of their Jaccard similarity. A band joins two entries. Equal lines are merged by the same aggregation; lines of
     white space have no shingle and so no row. The rank r rises with the line's shingles in all its
     copies; its low bits are those of k1.
     """
     rows = rows.select("k1", "k2", F.posexplode(_texts("line", "dense")).alias("i", "s"))
-    rows = rows.select("k1", "k2", "i", F.xxhash64("s").alias("h0")).withColumn("h1", F.xxhash64("h0"))
-    masks = [(b << 61) - (1 << 64) * (b >= 4) for b in range(BANDS)]
-    least = [F.min(F.col(h).bitwiseXOR(F.lit(m).cast("long"))).alias(f"{h}_{b}") for b, m in enumerate(masks) for h in ("h0", "h1")]
+    rows = rows.select("k1", "k2", "i", F.xxhash64("s").alias("h"))
+    least = [F.min(F.xxhash64(F.lit(2 * b + e), "h")).alias(f"h{e}_{b}") for b in range(BANDS) for e in (0, 1)]
     rows = rows.groupBy("k1", "k2").agg(F.count("*").alias("w"), F.count_if(F.col("i") == 0).alias("copies"), *least)
     rank = F.shiftleft(F.least("w", F.lit((1 << 63 - _RANK_BITS) - 1)), _RANK_BITS).bitwiseOR(F.col("k1").bitwiseAND(F.lit((1 << _RANK_BITS) - 1)))
     return rows.select("k1", "k2", "copies", rank.alias("r"), *[F.xxhash64(F.lit(b), f"h0_{b}", f"h1_{b}").alias(f"b{b}") for b in range(BANDS)])
