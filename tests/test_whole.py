@@ -152,3 +152,9 @@ def test_short_lines_share_a_band(spark):
     missed = sum(not any(x == y for x, y in zip(of[2 * i], of[2 * i + 1])) for i in range(len(words)))
     print("missed", missed)
     assert missed <= 10
+
+
+def test_case_variants_are_copies(spark):
+    rows = [(1, "Licensed under the Apache License\nOwn line"), (2, "LICENSED UNDER THE APACHE LICENSE\nAnother LINE of two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "Another LINE of two"}

@@ -60,14 +60,14 @@ def passing(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, dense, line_no from 0, line, k1, k2) of every line.
+    """(doc_id, t, dense, line_no from 0, line, k1, k2) of every line, in lower case.
 
     t is a hash of the document's text: rows equal in doc_id and text are one document. It and the
     script are told before the lines are made, or they would be told again for each.
     """
     dense = (F.octet_length("text") > F.char_length("text")) & F.col("text").rlike(f"[{_DENSE}]")  # the first is cheap
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(dense, F.lit(False)).alias("dense"), "text")
-    rows = rows.select("doc_id", "t", "dense", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.select("doc_id", "t", "dense", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
     return rows.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
@@ -216,7 +216,7 @@ def _joined(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
     """``docs`` with each text reduced to the lines that it keeps; all other columns as they are.
 
-    One line of each component of similar lines stays in the whole corpus, compared as they are;
+    One line of each component of similar lines stays in the whole corpus, compared in lower case;
     white-space lines stay where they are. Rows equal in doc_id and text count as one document and keep the same lines.
     Null and empty texts stay null and empty. With ``drop_empty`` documents that had words and keep
     none are left out. No rows give no rows.
