@@ -11,31 +11,65 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is made and set.
+    Only where the session names none and all runs on one machine (a local master, as in tests) a
+    temporary folder is made and set. On a cluster an unset folder is an error, since each machine
+    would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='tollgate-')}"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
-_WRITTEN: list[str] = []
+#: Tables written by this process and not yet deleted, by the id of its session's application.
+_WRITTEN: dict[str, str] = {}
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tollgate-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = tag
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    _WRITTEN.pop(path, None)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def discard(df: DataFrame) -> bool:
+    """Delete the table of a materialised ``df``, whose rows no DataFrame still needs."""
+    path = getattr(df, "written_at", None)
+    return path in _WRITTEN and _delete(df.sparkSession, path)
+
+
+class Scope:
+    """The tables materialised between two points: ``with Scope(spark) as s: ...``, then ``s.release()`` once their rows are used."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, ()
+
+    def __enter__(self) -> Scope:
+        self.before = set(_WRITTEN)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.paths = tuple(p for p in _WRITTEN if p not in self.before)
+
+    def release(self) -> int:
+        """Delete these tables and no others; their number."""
+        return sum(_delete(self.spark, p) for p in self.paths if p in _WRITTEN)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables that this process has materialised, once no DataFrame made from them is needed; their number."""
-    n = 0
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
-    return n
+    """Delete all tables that this process has materialised, once no DataFrame made from them is needed; their number."""
+    return sum(_delete(spark, p) for p in list(_WRITTEN))
