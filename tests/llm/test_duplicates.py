@@ -86,6 +86,19 @@ def test_simhash_edges(spark):
     assert Counter(got) == Counter([(None, 3), (3, 3), (3, 3), (7, 7), (7, 7), (None, None)])
     kept = simhash.keep_one(_docs(spark, rows))
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and Counter(r["doc_id"] for r in kept.collect()) == Counter([3, 7, None])
+    # An id that several texts share keeps no copy of another document's text.
+    shared = [(1, "a b c d e f g"), (3, "totally other words stand here now"), (3, "a b c d e f g")]
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(_docs(spark, shared)).collect()) == sorted(shared[:2])
+
+
+def test_one_fingerprint_on_all_rows_and_a_full_tile(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 5)
+    rows = [(i % 9, "the same words on every row") for i in range(400)]
+    got = simhash.near_duplicates(_docs(spark, rows)).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 400 and simhash.keep_one(_docs(spark, rows)).count() == 1
+    prints = [(i << 40) | 255 for i in range(16)]  # one tile or two, many parts
+    links = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()
+    assert len(set(_union(16, [(r["a"] >> 40, r["b"] >> 40) for r in links]))) == 1
 
 
 def test_keep_one_of_each_group(spark):

@@ -110,16 +110,28 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError(f"radius {radius} is out of range")
     keyed = prints.select("fp", _tile("fp").alias("tile"))
     sizes = keyed.groupBy("tile").agg(F.count("*").alias("n"))  # at most 17^4 rows
-    parts = sizes.select("tile", F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int").alias("split"))
-    keyed = keyed.join(F.broadcast(parts), "tile")
+    split = materialize(sizes.select("tile", F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("int").alias("split")), "splits")
+    own = split.select(F.col("tile").alias("o_tile"), "split")
+    keyed = keyed.join(F.broadcast(own), F.col("tile") == F.col("o_tile"))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("split")).cast("int"))
-    tiles = keyed.groupBy("tile", "part").agg(F.collect_list("fp").alias("fps"))
-    tiles = materialize(tiles, "tiles")
+    tiles = materialize(keyed.groupBy("tile", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
+    # The tile pairs that can hold a link, from the few tiles there are; each pair of parts is a key of its own.
     offsets = F.array(*[F.lit(d) for d in _offsets(radius)])
-    near = tiles.select("tile", F.col("part").alias("part_a"), F.col("fps").alias("a"), F.explode(offsets).alias("off"))
-    near = near.select((F.col("tile") + F.col("off")).alias("tile"), "part_a", "a", (F.col("off") == 0).alias("own"))
-    pairs = near.join(tiles.select("tile", "part", F.col("fps").alias("b")), "tile").where("not own or part_a <= part")
-    pairs = pairs.select("a", "b", (F.col("own") & (F.col("part_a") == F.col("part"))).alias("same"))
+    near = split.select(F.col("tile").alias("tile_a"), F.col("split").alias("split_a"), F.explode(offsets).alias("off"))
+    near = near.join(F.broadcast(split), F.col("tile_a") + F.col("off") == F.col("tile"))
+    near = near.select("tile_a", "split_a", F.col("tile").alias("tile_b"), F.col("split").alias("split_b"))
+    key = ["tile_a", "part_a", "tile_b", "part_b"]
+
+    def side(own: str, other: str) -> DataFrame:
+        """Each part of a tile with every part of the tiles near it."""
+        met = tiles.select(F.col("tile").alias("t"), F.col("part").alias(f"part_{own}"), F.col("fps").alias(own))
+        met = met.join(F.broadcast(near), F.col("t") == F.col(f"tile_{own}"))  # at most 65 x 17^4 rows of four numbers
+        met = met.withColumn(f"part_{other}", F.explode(F.sequence(F.lit(0), F.col(f"split_{other}") - 1)))
+        return met.where("tile_a != tile_b or part_a <= part_b").select(*key, own)
+
+    b = side("b", "a").select(*[F.col(c).alias(f"{c}_") for c in key], "b")
+    pairs = side("a", "b").join(b, [F.col(c) == F.col(f"{c}_") for c in key])
+    pairs = pairs.select("a", "b", ((F.col("tile_a") == F.col("tile_b")) & (F.col("part_a") == F.col("part_b"))).alias("same"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,45 +144,42 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.mapInPandas(compare, "a long, b long")
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(n_fp, root, component_id) of each distinct fingerprint of ``prints(doc_id, fp)``: its component's least fingerprint and doc_id."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(links(nodes.select("fp"), radius), "a", "b")
+    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("l_root"), "component_id"), "least")
+    return materialize(rooted.join(least, F.col("root") == F.col("l_root")).select(F.col("fp").alias("n_fp"), "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Per document: (doc_id, fingerprint, component_id), component_id the least doc_id reachable.
 
     Equal fingerprints are one node, so any number of copies costs one row each. Null and empty
-    texts and those of white space alone have fingerprint zero and link like any other. One row per
-    input row; rows without doc_id take part, but no id comes from them (a component of only such
-    rows has a null id). No rows give no rows. Other columns are not read.
+    texts and those of white space alone have fingerprint zero and link like any other; texts of any
+    length are read whole. One row per input row, repeated rows included; rows without doc_id take
+    part, but no id comes from them (a component of only such rows has a null id). No rows give no
+    rows. Other columns, of whatever name, are not read.
     """
-    rows = docs.select("doc_id", _fingerprints(F.col("text")).alias("fp"))
-    rows = materialize(rows, "prints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), radius), "a", "b")
-    found = found.select(F.col("node").alias("fp"), "component")
-    labels = nodes.join(found, "fp")
-    least = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = materialize(labels.join(least, "component").select("fp", "component_id"), "moved")
-    ids = nodes.join(moved, "fp", "left").select(F.col("fp").alias("n_fp"), F.coalesce("component_id", "least").alias("component_id"))
-    ids = materialize(ids, "classes")
-    out = rows.join(ids, F.col("fp") == F.col("n_fp"))
+    rows = materialize(docs.select("doc_id", _fingerprints(F.col("text")).alias("fp")), "prints")
+    out = rows.join(_classes(rows, radius), F.col("fp") == F.col("n_fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The document of the least doc_id of each near-duplicate class, with all columns of ``docs``.
+    """One row of each near-duplicate class, that of the least doc_id, with all columns of ``docs``.
 
-    Rows without doc_id stay only in a class that has no doc_id, one per fingerprint; of rows that
-    repeat both doc_id and fingerprint one stays. The texts move only in the last join.
+    Of several rows with the least doc_id the one written first stays; a row without doc_id stays
+    only in a class that has no doc_id. Rows are told apart by a number that they are written with,
+    so neither repeated rows nor ids that several texts share keep more than one row of a class. The
+    texts are fingerprinted once and move only in the last join. No rows give no rows.
     """
-    classes = near_duplicates(docs, radius)
-    heads = classes.where("doc_id <=> component_id").groupBy("doc_id", "fingerprint").agg(F.count("*").alias("n"))
-    heads = materialize(heads, "heads")
-    several = heads.agg(F.max("n")).first()[0] or 0
-    ids = heads.select(F.col("doc_id").alias("h_id"), F.col("fingerprint").alias("h_fp"))
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"))
-    unique = heads.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if several <= 1 and unique <= 1:
-        return marked.join(ids, F.col("d_id").eqNullSafe(F.col("h_id")), "left_semi").select("row.*")
-    marked = marked.withColumn("d_fp", F.lpad(F.lower(F.hex(_fingerprints(F.col("row.text")))), 16, "0"))
-    marked = marked.join(ids, F.col("d_id").eqNullSafe(F.col("h_id")) & (F.col("d_fp") == F.col("h_fp")), "left_semi")
-    return marked.dropDuplicates(["d_id", "d_fp"]).select("row.*")
-
-
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), _fingerprints(F.col("text")).alias("d_fp"))
+    rows = materialize(rows.withColumn("n", F.monotonically_increasing_id()), "marked")
+    ids = rows.select("n", F.col("d_id").alias("doc_id"), F.col("d_fp").alias("fp"))
+    named = ids.join(_classes(ids, radius), F.col("fp") == F.col("n_fp"))
+    heads = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("head"))
+    heads = materialize(heads.select(F.col("head.n").alias("h_n")), "heads")
+    return rows.join(heads, F.col("n") == F.col("h_n"), "left_semi").select("row.*")
