@@ -1,8 +1,12 @@
 """Mixing, packing, URL filters, secret scans: against brute force, round trips and edge cases."""
 
+import math
 import random
 import re
+import string
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -198,14 +202,88 @@ def test_url_filter_is_native(spark):
 # Secrets
 
 
+KNOWN = secrets.lexicon({"wanderung": 40, "erinnern": 12})
+
+
+def _walk(forest, x):
+    """Share of label 1, by one row and one tree at a time."""
+    total = 0.0
+    for feature, cut, low, high, share in forest.trees:
+        at = 0
+        while feature[at] >= 0:
+            at = low[at] if x[feature[at]] <= cut[at] else high[at]
+        total += share[at]
+    return total / max(1, len(forest.trees))
+
+
+def _naive_candidates(text):
+    out = []
+    for name, pattern in secrets.RULES:
+        for m in re.finditer(pattern, text or ""):
+            a, b = m.span("v")
+            if name == "opaque" and not (re.search("[0-9]", m["v"]) and re.search("[A-Za-z]", m["v"])):
+                continue
+            if name not in ("assigned", "opaque") or not any(a < y + len(v) and y < b for y, v, _ in out):
+                out.append((a, m["v"], name))
+    return sorted(out)
+
+
+def _naive_features(value, before, after, path, rule):
+    n, low = len(value), value.lower()
+    at = [string.ascii_lowercase.find(c) if c in string.ascii_lowercase else 26 for c in low]
+    kinds = ["l" if c in string.ascii_lowercase else "u" if c in string.ascii_uppercase else "d" if c in string.digits else "s" for c in value]
+    share = [value.count(c) / n for c in set(value)]
+    covered = k = 0
+    while k < n:
+        best = max((len(w) for w in KNOWN.words if low.startswith(w, k)), default=0)
+        covered, k = covered + best, k + (best or 1)
+    near = [w.lower() for w in re.findall(r"[A-Za-z0-9_]+", before)][-4:] + [w.lower() for w in re.findall(r"[A-Za-z0-9_]+", after)][:2]
+    return [
+        math.log(n), sum(KNOWN.transitions[a, b] for a, b in zip(at, at[1:])) / max(1, n - 1), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, -sum(p * math.log2(p) for p in share),
+        kinds.count("d") / n, kinds.count("u") / n, len(share) / n, covered / n, max(len(m.group()) for m in re.finditer(r"(?s)(.)\1*", value)) / n, float(set(value) <= set(string.hexdigits)),
+        float(bool(secrets._REFERENCE.match(value))), float(any(t in (path or "").lower() for t in secrets.TESTING)), float(sum(any(f in w for f in secrets.FOR) for w in near)),
+        float(sum(w in secrets.AGAINST for w in near)), float(bool(re.search("[=:]\\s*[\"']?$", before))), float(rule not in ("assigned", "opaque")),
+    ]
+
+
 def test_forest_removes_false_positives():
     held = secrets.labelled_findings(1500, seed=99)
-    forest = secrets.fit(secrets.labelled_findings())
-    x = np.array([secrets.features(*f[:5]) for f in held])
+    forest = secrets.fit(secrets.labelled_findings(), KNOWN)
+    x = np.array([secrets.features(*f[:5], KNOWN) for f in held])
+    assert np.allclose(x, [_naive_features(*f[:5]) for f in held])
     y = np.array([f[-1] for f in held])
-    p = forest.score(x) >= secrets.CUT
-    assert (p == y).mean() > 0.97 and len(secrets.FEATURES) == x.shape[1]
-    assert (secrets.fit([]).score(x) == 0).all()
+    p = forest.score(x)
+    assert ((p >= secrets.CUT) == y).mean() > 0.97 and len(secrets.FEATURES) == x.shape[1]
+    assert np.allclose(p[:300], [_walk(forest, r) for r in x[:300]])
+    assert (secrets.fit([], KNOWN).score(x) == 0).all()
+
+
+def test_the_sample_of_findings_holds_both_labels():
+    findings = sorted(secrets.labelled_findings(400, seed=3), key=lambda f: f[-1])
+    got = secrets.sample(findings, 100)
+    assert [f[-1] for f in got].count(1) == 50 == [f[-1] for f in got].count(0) and got == secrets.sample(findings[::-1], 100)
+    assert len(secrets.sample(findings[:30] + findings[-90:], 100)) == 100 and len(secrets.sample(findings, 1000)) == 400
+
+
+def test_candidates_equal_a_naive_search():
+    rng = random.Random(8)
+    bits = ["AKIA" + "A1" * 8, "password=", "token: '", "eyJabcdefgh12.abcdefgh.abcdefgh", "ghp_" + "a1" * 20, " ", "\n", "secret = ", "0123456789abcdef0123", "sk_live_" + "z9" * 10, "'", "xoxb-123456789012", "-----BEGIN RSA PRIVATE KEY-----", "MIIB" * 6, "-----END", "/+="]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 20)))
+        assert secrets.candidates(text) == _naive_candidates(text), text
+
+
+@pytest.mark.parametrize("unit", ["0123456789abcdef0123456789abcdef ", "eyJaaaaaaaaaaa-eyJaaaaaaaaaaa.", "password=abc123def ", "-----BEGIN PRIVATE KEY-----\nAAAA"])
+def test_long_texts_of_tokens_take_seconds(unit):
+    began = time.time()
+    secrets.candidates(unit * (10_000_000 // len(unit)))
+    assert time.time() - began < 30
+
+
+def test_a_long_key_is_read_whole(spark):
+    value = "A" * 5000 + "".join(random.Random(1).choice(string.ascii_letters) for _ in range(5000))
+    got = [secrets.features(v, "", "", None, "private_key", KNOWN) for v in (value, value[:4096])]
+    assert got[0][0] == pytest.approx(math.log(10_000)) and got[0] != got[1]
 
 
 def test_scan(spark):
@@ -214,9 +292,25 @@ def test_scan(spark):
         f"und so {key} weiter", f'say token = "{hexes}" and go', "password=4dfb7fed7a8db0a2fe then", f"commit {hexes} fixed it", "password=your_password_here", "token = ${API_TOKEN}", "", None,
         "x " * 20000 + f"password=5198e9657651aa63e5 {key}", "api_key: xxxxxxxxxxxxxxxx",
     ]
-    docs = _docs(spark, [(i, t, f"src{i}") for i, t in enumerate(texts)] + [(None, texts[0], None)])
+    schema = "doc_id long, text string, source string, start string, score string, secret string, value string, rule string, path string, w string"
+    docs = spark.createDataFrame([(i, t, s, *"abcdefg") for i, t, s in [*((i, t, f"src{i}") for i, t in enumerate(texts)), (None, texts[0], None), (0, texts[0], "src0")]], schema)
     got = secrets.scan(docs).collect()
-    found = {(r["doc_id"], r["value"]) for r in got if r["secret"]}
-    assert found == {(0, key), (1, hexes), (2, "4dfb7fed7a8db0a2fe"), (8, "5198e9657651aa63e5"), (8, key), (None, key)}
+    found = Counter((r["doc_id"], r["value"]) for r in got if r["secret"])
+    assert found == Counter([(0, key), (0, key), (1, hexes), (2, "4dfb7fed7a8db0a2fe"), (8, "5198e9657651aa63e5"), (8, key), (None, key)])
     assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"] for r in got if r["doc_id"] is not None)
     assert secrets.scan(docs.limit(0)).count() == 0 and all(r["secret"] is False for r in secrets.scan(docs, findings=[]).collect())
+
+
+def test_scan_equals_brute_force_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "source").collect()
+    counts = Counter(w for r in rows for w in re.findall(r"(?<![a-z0-9_])[a-z]{4,24}(?![a-z0-9_])", (r["text"] or "").lower()))
+    known = secrets.learned_lexicon(docs)
+    assert known.words == secrets.lexicon(dict(sorted((x for x in counts.items() if x[1] >= secrets.OFTEN), key=lambda x: (-x[1], x[0]))[: secrets.VOCABULARY])).words
+    forest = secrets.fit(secrets.labelled_findings(), known)
+    want = set()
+    for r in rows:
+        for a, v, rule in _naive_candidates(r["text"]):
+            x = secrets.features(v, r["text"][max(0, a - 48) : a], r["text"][a + len(v) : a + len(v) + 48], r["source"], rule, known)
+            want.add((r["doc_id"], a, len(v), rule, round(_walk(forest, x), 6)))
+    assert {(r["doc_id"], r["start"], r["length"], r["rule"], r["score"]) for r in secrets.scan(docs).collect()} == want

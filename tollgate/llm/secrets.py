@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import string
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 TREES, DEPTH, LEAF, TRIED, MOST_FINDINGS, SEED = 60, 8, 3, 5, 20_000, 42
 #: A candidate is reported as a secret from this share of the trees' votes.
 CUT = 0.5
+#: The corpus's most frequent words that the lexicon holds, and how often and how long a word must be to count.
+VOCABULARY, OFTEN, LONG = 20_000, 5, 4
 #: Characters beside a candidate that its neighbouring words are taken from.
 BESIDE = 48
 
@@ -28,7 +32,7 @@ RULES = (
     ("github_token", r"\b(?P<v>gh[pousr]_[A-Za-z0-9]{36,})\b"),
     ("slack_token", r"\b(?P<v>xox[abprs]-[A-Za-z0-9-]{10,})"),
     ("payment_key", r"\b(?P<v>[sr]k_(?:live|test)_[A-Za-z0-9]{16,})\b"),
-    ("web_token", r"\b(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
+    ("web_token", r"(?<![A-Za-z0-9_-])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     ("assigned", r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}[\"']?(?P<v>[^\s\"'<>;,]{6,})"),
     ("opaque", r"(?P<v>[A-Za-z0-9+/_-]{20,}={0,2})"),
 )
@@ -53,67 +57,115 @@ AGAINST = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash
 TESTING = ("test", "example", "sample", "fixture", "mock", "doc", "demo", "spec")
 FEATURES = ("log_length", "transitions", "turns", "entropy", "digits", "upper", "distinct", "dictionary", "run", "hex", "reference", "path", "neighbours_for", "neighbours_against", "assigned", "prefixed")
 
-_LETTERS = {c: k for k, c in enumerate(string.ascii_lowercase)}
+_KIND = np.full(128, 3, np.int8)
+_LETTER = np.full(128, 26, np.int8)
+for _k, _chars in enumerate((string.ascii_lowercase, string.ascii_uppercase, string.digits)):
+    _KIND[[ord(c) for c in _chars]] = _k
+    if _k < 2:
+        _LETTER[[ord(c) for c in _chars]] = range(26)
 
 
-def _transition_table() -> np.ndarray:
-    """Log probability of one letter after another in the dictionary, a twentieth spread evenly."""
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+@dataclass
+class Lexicon:
+    """Words that text is made of, and the log probability of one letter after another in them."""
+
+    words: tuple[str, ...]
+    transitions: np.ndarray
+    _found: object = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "transitions": self.transitions, "_found": None}
+
+    def covered(self, low: str) -> int:
+        """Characters of a lower-case text that words cover, the longest word first from the left."""
+        if self._found is None:
+            self._found = ahocorasick.Automaton()
+            for w in self.words:
+                self._found.add_word(w, len(w))
+            self._found.make_automaton()
+        return sum(n for _, n in self._found.iter_long(low)) if self.words else 0
+
+
+def lexicon(counts: dict[str, int]) -> Lexicon:
+    """A lexicon of counted words and of the fixed ones, which count once each; a twentieth of a letter's weight is spread evenly."""
     count = np.full((27, 27), 0.5)
-    for w in DICTIONARY:
-        for a, b in zip(w, w[1:]):
-            count[_LETTERS[a], _LETTERS[b]] += 1
-    return np.log(count / count.sum(1, keepdims=True))
+    known = {w: 1 for w in DICTIONARY} | {w: n for w, n in counts.items() if len(w) >= LONG}
+    for w, n in known.items():
+        at = _LETTER[_codes(w)]
+        np.add.at(count, (at[:-1], at[1:]), math.log1p(n))
+    return Lexicon(tuple(sorted(w for w in known if len(w) >= 3)), np.log(count / count.sum(1, keepdims=True)))
+
+
+def learned_lexicon(docs: DataFrame) -> Lexicon:
+    """The lexicon of all texts: their ``VOCABULARY`` most frequent words of a to z; candidates' own letters are rarely frequent."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9_])([a-z]{%d,24})(?![a-z0-9_])" % LONG), F.lit(1))).alias("w"))
+    top = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "w").limit(VOCABULARY)
+    return lexicon({r["w"]: r["n"] for r in top.collect()})
 
 
-_TRANSITIONS = _transition_table()
-_BY_SIZE = sorted(DICTIONARY, key=len, reverse=True)
-_WORDS = re.compile("|".join(w for w in _BY_SIZE if len(w) >= 3))
 #: A variable, call, template or dotted name in place of a value.
 _REFERENCE = re.compile(r"\$\{|\$[A-Za-z_]|\{\{|<|%\(|[A-Za-z_][\w.]*\(|[A-Za-z_]+(?:\.[A-Za-z_]+)+$")
 _NEAR = re.compile(r"[A-Za-z0-9_]+")
-
-
-def features(value: str, before: str, after: str, path: str | None, rule: str) -> list[float]:
-    """What the forest sees of a candidate, in the order of ``FEATURES``."""
-    v = value[:4096] if rule == "private_key" else value
-    n = max(1, len(v))
-    low = v.lower()
-    codes = [_LETTERS.get(c, 26) for c in low]
-    steps = [_TRANSITIONS[a, b] for a, b in zip(codes, codes[1:])]
-    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in v]
-    count = Counter(v)
-    longest = run = 1
-    for a, b in zip(v, v[1:]):
-        run = run + 1 if a == b else 1
-        longest = max(longest, run)
+_HEX, _DIGIT, _ALPHA = re.compile(r"[0-9A-Fa-f]*"), re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+
+
+def features(value: str, before: str, after: str, path: str | None, rule: str, known: Lexicon) -> list[float]:
+    """What the forest sees of a whole candidate, in the order of ``FEATURES``."""
+    n = max(1, len(value))
+    codes = _codes(value)
+    plain = np.minimum(codes, 127)
+    letters, kinds = _LETTER[plain], _KIND[plain]
+    steps = known.transitions[letters[:-1], letters[1:]]
+    count = np.unique(codes, return_counts=True)[1] / n
+    breaks = np.flatnonzero(codes[1:] != codes[:-1])
+    run = int(np.diff(np.concatenate([[-1], breaks, [len(codes) - 1]])).max()) if len(codes) else 1
     left = [w.lower() for w in _NEAR.findall(before)][-4:]
     right = [w.lower() for w in _NEAR.findall(after)][:2]
     near = left + right
     return [
-        math.log(n), sum(steps) / max(1, len(steps)), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, -sum(c / n * math.log2(c / n) for c in count.values()),
-        kinds.count("d") / n, kinds.count("u") / n, len(count) / n, sum(len(w) for w in _WORDS.findall(low)) / n, longest / n, float(all(c in string.hexdigits for c in v)),
-        float(bool(_REFERENCE.match(v))),
+        math.log(n), float(steps.sum()) / max(1, len(steps)), float((kinds[1:] != kinds[:-1]).sum()) / n, float(-(count * np.log2(count)).sum()),
+        float((kinds == 2).sum()) / n, float((kinds == 1).sum()) / n, len(count) / n, known.covered(value.lower()) / n, run / n, float(_HEX.fullmatch(value) is not None),
+        float(bool(_REFERENCE.match(value))),
         float(any(t in (path or "").lower() for t in TESTING)), float(sum(any(k in w for k in FOR) for w in near)), float(sum(w in AGAINST for w in near)),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(rule not in ("assigned", "opaque")),
     ]
 
 
 def candidates(text: str | None) -> list[tuple[int, str, str]]:
-    """(start, value, rule) of every candidate in a whole text, by start; where patterns overlap the earlier rule has it."""
+    """(start, value, rule) of every candidate in a whole text, by start; where patterns overlap the earlier rule has it.
+
+    The time is linear in the text but for sorting: a rule's candidates don't overlap one another, and
+    those of earlier rules are kept as sorted spans that overlap none.
+    """
     text = text or ""
-    taken: list[tuple[int, int]] = []
+    spans: list[tuple[int, int]] = []
     out = []
     for name, pattern in _COMPILED:
         if name in _HINTS and _HINTS[name] not in text:
             continue
+        new = []
+        starts = [a for a, _ in spans]
         for m in pattern.finditer(text):
             a, b = m.span("v")
-            if name == "opaque" and not (any(c.isdigit() for c in m["v"]) and any(c.isalpha() for c in m["v"])):
+            if name == "opaque" and not (_DIGIT.search(m["v"]) and _ALPHA.search(m["v"])):
                 continue
-            if name in ("assigned", "opaque") and any(a < y and x < b for x, y in taken):
-                continue
-            taken.append((a, b))
+            if name in ("assigned", "opaque"):
+                k = bisect_right(starts, a)
+                if (k and spans[k - 1][1] > a) or (k < len(spans) and spans[k][0] < b):
+                    continue
+            new.append((a, b))
             out.append((a, m["v"], name))
+        joined: list[tuple[int, int]] = []
+        for a, b in sorted(spans + new):
+            if joined and a < joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+            else:
+                joined.append((a, b))
+        spans = joined
     return sorted(out)
 
 
@@ -228,42 +280,57 @@ def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.nd
     return np.array(f, np.int64), np.array(cut), np.array(low, np.int64), np.array(high, np.int64), np.array(share)
 
 
-def fit(findings: Sequence[tuple[str, str, str, str, str, int]], trees: int = TREES, seed: int = SEED) -> Forest:
-    """A random forest on at most ``MOST_FINDINGS`` labelled findings; none gives a forest that scores 0."""
-    findings = list(findings)[:MOST_FINDINGS]
+Finding = tuple[str, str, str, str, str, int]
+
+
+def sample(findings: Sequence[Finding], most: int = MOST_FINDINGS) -> list[Finding]:
+    """At most ``most`` findings, half of each label where there are as many, picked by their hashes, whatever their order."""
+    by = sorted(findings, key=lambda f: hashlib.md5(repr(f).encode("utf-8", "replace")).digest())
+    ones, zeros = ([f for f in by if f[-1] == y] for y in (1, 0))
+    half = most // 2
+    a = ones[: max(half, most - len(zeros))]
+    return a + zeros[: most - len(a)]
+
+
+def fit(findings: Sequence[Finding], known: Lexicon, trees: int = TREES, seed: int = SEED) -> Forest:
+    """A random forest on at most ``MOST_FINDINGS`` labelled findings, of both labels; none gives a forest that scores 0."""
+    findings = sample(findings)
     if not findings:
         return Forest([])
-    x = np.array([features(v, b, a, p, r) for v, b, a, p, r, _ in findings])
+    x = np.array([features(v, b, a, p, r, known) for v, b, a, p, r, _ in findings])
     y = np.array([f[-1] for f in findings], float)
     rng = np.random.default_rng(seed)
     return Forest([_tree(x[rows], y[rows], rng) for rows in (rng.integers(len(y), size=len(y)) for _ in range(trees))])
 
 
-def scan(docs: DataFrame, findings: Sequence[tuple[str, str, str, str, str, int]] | None = None, path: Column | None = None) -> DataFrame:
+def scan(docs: DataFrame, findings: Sequence[Finding] | None = None, path: Column | None = None) -> DataFrame:
     """Every candidate of every text: (doc_id, start, length, rule, score, secret, value).
 
     ``start`` counts characters from 0. ``findings`` are labelled findings to train on, by default
-    generated ones; ``path`` is a column with each text's path, by default its source. Null and empty
-    texts have no candidates; texts of any length are read whole; repeated rows give their findings
-    again; a null doc_id or path stays null or counts as none. No rows give no rows. Other columns
-    are not read.
+    generated ones; ``path`` is a column with each text's path, by default its source. The dictionary
+    that a candidate's coverage and letter transitions are taken from is learned from all texts. Null
+    and empty texts have no candidates; texts and candidates of any length are read whole, in time
+    linear in them; repeated rows give their findings again; a null doc_id or path stays null or
+    counts as none. No rows give no rows. Other columns, of whatever name, are not read.
     """
-    forest = fit(labelled_findings() if findings is None else findings)
-    sent = docs.sparkSession.sparkContext.broadcast(forest)  # bounded by TREES and DEPTH
+    known = learned_lexicon(docs)
+    forest = fit(labelled_findings() if findings is None else findings, known)
+    sent = docs.sparkSession.sparkContext.broadcast((forest, known))  # bounded by TREES, DEPTH and VOCABULARY
     where = F.col("source") if path is None else path
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), where.cast("string").alias("path"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, known = sent.value
         for batch in batches:
             out, seen = [], []
             for doc, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path"))):
                 for start, value, rule in candidates(text):
                     end = start + len(value)
-                    seen.append(features(value, text[max(0, start - BESIDE) : start], text[end : end + BESIDE], at, rule))
+                    seen.append(features(value, text[max(0, start - BESIDE) : start], text[end : end + BESIDE], at, rule, known))
                     out.append((doc, start, len(value), rule, value))
             if out:
                 doc, start, length, rule, value = zip(*out)
-                score = np.round(sent.value.score(np.array(seen)), 6)
+                score = np.round(forest.score(np.array(seen)), 6)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(rule), pa.array(score), pa.array(score >= CUT), pa.array(value)],
                     names=["doc_id", "start", "length", "rule", "score", "secret", "value"],
