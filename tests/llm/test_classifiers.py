@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -109,6 +111,123 @@ def test_toxicity_reads_whole_texts_and_edges(spark, rude_and_kind, monkeypatch)
     assert len(none) == 8 and all(r["predicted"] == 0 for r in none)
 
 
+def _naive_logit(net, words, text):
+    """Convolution and pooling one position, filter and component at a time."""
+    table = words.table_rows()
+    numbers = [*(words[w] for w in re.findall(r"\w+", text.lower())), 0]
+    vectors = [net.table[table[n]].sum(0).astype(float) for n in [*numbers, 0, 0]]
+    pooled = []
+    for f, b in zip(net.filters, net.bias):
+        for k in range(toxicity.FILTERS):
+            pooled.append(max(sum(float(vectors[i + j] @ f[j][:, k]) for j in range(len(f))) for i in range(len(numbers))) + b[k])
+    return sum(max(0.0, x) * o for x, o in zip(pooled, net.out)) + net.shift
+
+
+def test_scores_equal_naive_convolution(rude_and_kind):
+    rows, _, _ = rude_and_kind
+    texts = [t for _, t in rows[:80]]
+    net = toxicity.train(texts, np.array([float(i % 5 == 0) for i in range(80)]), epochs=2)
+    net.limits = {"": 0.3}
+    words = toxicity.Words()
+    numbers = [words.numbers(t) for t in [*texts[:12], "", "one"]]
+    got = net.logits(numbers, net.embed(words.table_rows()))
+    want = [_naive_logit(net, words, t) for t in [*texts[:12], "", "one"]]
+    assert np.allclose(got, want, atol=1e-4)
+    cut = np.log(toxicity.CUT / (1 - toxicity.CUT))
+    assert np.allclose(net.scores([*texts[:12], None, "one"]), [1 / (1 + np.exp(-(z - 0.3 + cut))) for z in want], atol=1e-4)
+
+
+def test_gradient_equals_differences():
+    words = toxicity.Words()
+    docs = [words.numbers(_prose(RNG, n)) for n in (5, 9, 30, 2)]
+    rows, y = words.table_rows(), np.array([1.0, 0.0, 1.0, 0.0])
+    net = toxicity.new_net(1)
+    for part in ("table", "out"):
+        setattr(net, part, getattr(net, part).astype(float))
+    net.filters, net.bias = [f.astype(float) for f in net.filters], [b + 0.05 for b in net.bias]
+
+    def loss():
+        z = np.maximum(net.pooled(docs, net.embed(rows))[0], 0) @ net.out + net.shift
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    d = toxicity.gradient(net, docs, rows, y)
+    rng = np.random.default_rng(0)
+    spots = [(net.filters[k], d["filters"][k], tuple(rng.integers(0, n) for n in net.filters[k].shape)) for k in range(3) for _ in range(6)]
+    spots += [(net.bias[k], d["bias"][k], (int(rng.integers(toxicity.FILTERS)),)) for k in range(3)] + [(net.out, d["out"], (int(i),)) for i in rng.integers(0, len(net.out), 6)]
+    for x, g, at in spots:
+        x[at] += 1e-5
+        up = loss()
+        x[at] -= 2e-5
+        down = loss()
+        x[at] += 1e-5
+        assert (up - down) / 2e-5 == pytest.approx(float(g[at]), abs=2e-4)
+    for j in range(1, len(d["ids"]), 7):  # the first is the padding row, which is held at zero
+        at = int(d["ids"][j]), j % toxicity.DIM
+        net.table[at] += 1e-5
+        up = loss()
+        net.table[at] -= 2e-5
+        down = loss()
+        net.table[at] += 1e-5
+        assert (up - down) / 2e-5 == pytest.approx(float(d["table"][j][at[1]]), abs=2e-4)
+
+
+def test_samples_are_bounded_and_hold_repeated_ids(spark, rude_and_kind, monkeypatch):
+    rows, docs, labels = rude_and_kind
+    twice = docs.unionByName(_docs(spark, [(i, t) for i, t in rows]))  # each row again
+    other = docs.unionByName(_docs(spark, [(i, "another text of " + t) for i, t in rows]))
+    plain = toxicity._samples(docs, labels, "toxic")
+    again = toxicity._samples(twice, labels, "toxic")
+    assert {t: x[0] for t, x in plain.items()} == {t: x[0] for t, x in again.items()}
+    assert all(len(toxicity._samples(other, labels, "toxic")[t][0]) == 2 * len(x[0]) for t, x in plain.items())
+    assert sum(len(x[0]) for x in plain.values()) == sum(not _held(i) for i, _ in rows)
+    monkeypatch.setattr(toxicity, "TRAIN_EACH", 7)
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 2000)
+    few = toxicity._samples(docs, labels, "toxic")
+    assert all(x[0] == plain[t][0][: len(x[0])] for t, x in few.items()) and len(few[0][0]) <= 7
+    for t, x in few.items():
+        sizes = [len(v.encode()) for v in plain[t][0]]
+        assert sum(sizes[: len(x[0])]) <= 2000 and (len(x[0]) == 7 and t != 2 or sum(sizes[: len(x[0]) + 1]) > 2000)
+
+
+def _plain_fit(stats, y, half):
+    """Ridge and isotonic calibration in plain numpy, by all rows at once."""
+    center, spread = stats.mean(0), np.maximum(stats.std(0), 1e-3)
+    z = quality.fourier((stats - center) / spread)
+
+    def ridge(rows):
+        w = len(z[0])
+        return np.linalg.solve(z[rows].T @ z[rows] + quality.RIDGE * len(rows) * np.diag([1.0] * (w - 1) + [1e-6]) + 1e-9 * np.eye(w), z[rows].T @ y[rows])
+
+    h = [np.flatnonzero(half == k) for k in (0, 1)]
+    raw = np.where(half == 0, z @ ridge(h[1]), z @ ridge(h[0]))
+    at = np.clip((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS, 0, quality.BINS - 1).astype(int)
+    bins = np.unique(at)
+    x = quality.LOW + (bins + 0.5) * (quality.HIGH - quality.LOW) / quality.BINS
+    n, mean = np.array([(at == b).sum() for b in bins], float), np.array([y[at == b].mean() for b in bins])
+    # The isotonic level of a bin is the least, over later ends, of the greatest, over earlier starts, mean.
+    level = [min(max((n[a : e + 1] * mean[a : e + 1]).sum() / n[a : e + 1].sum() for a in range(i + 1)) for e in range(i, len(bins))) for i in range(len(bins))]
+    return center, spread, ridge(np.arange(len(y))), x, n, np.array(level)
+
+
+def test_quality_equals_a_plain_fit(spark, good_and_bad):
+    docs, labels = good_and_bad
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = [i for i in range(700) if not _held(i)]
+    halves = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("i", "pmod(xxhash64(i), 2) as h").collect()}
+    stats = np.array([quality.statistics(texts[i]) for i in ids])
+    center, spread, beta, x, n, level = _plain_fit(stats, np.array([float(i % 6 != 0) for i in ids]), np.array([halves[i] for i in ids]))
+    knots, levels = [], []
+    for v in np.unique(level):
+        on = level == v
+        knots.append((x[on] * n[on]).sum() / n[on].sum())
+        levels.append(v)
+    for i in range(700):
+        raw = float(quality.fourier((np.array([quality.statistics(texts[i])]) - center) / spread) @ beta)
+        steep = 1 / (1 + math.exp(-4 * (raw - 0.5)))
+        assert got[i] == pytest.approx(0.99 * np.interp(raw, knots, levels) + 0.01 * steep, abs=1e-4), i
+
+
 def test_windows_equal_one_pass():
     net = toxicity.new_net()
     words = toxicity.Words()

@@ -180,7 +180,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     Only statistics of the whole text enter a score. Labels are learned from rows whose crc32 of the
     id as text, mod 3, is not 1. One row per input row; null and empty texts are scored by their
     (zero) statistics, repeated rows alike; a null doc_id is not held out. No rows give no rows, no
-    labels a score of about 0.5. Other columns are not read.
+    labels a score of about 0.5. Texts of any length are read whole; other columns, of whatever name,
+    are not read.
     """
     stats = materialize(docs.select("doc_id", statistics_of(F.col("text")).alias("stats")), "stats")
     model = fit(stats, labels, label)
@@ -189,8 +190,11 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """The documents that the classifier predicts as good, with all columns of ``docs``; as ``classify`` otherwise."""
-    stats = materialize(docs.select("doc_id", statistics_of(F.col("text")).alias("stats")), "stats")
-    model = fit(stats, labels, label)
-    marked = docs.select(F.struct(*docs.columns).alias("row"), _scores(model, statistics_of(F.col("text"))).alias("score"))
-    return marked.where(F.col("score") >= _CUT).select("row.*")
+    """The documents that the classifier predicts as good, with all columns of ``docs``; as ``classify`` otherwise.
+
+    The statistics are taken once and written beside the documents.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), statistics_of(F.col("text")).alias("stats"))
+    rows = materialize(rows, "stats")
+    model = fit(rows.select(F.col("d_id").alias("doc_id"), "stats"), labels, label)
+    return rows.where(_scores(model, F.col("stats")) >= _CUT).select("row.*")
