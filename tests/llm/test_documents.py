@@ -28,10 +28,41 @@ def _words(n, word="w"):
 # Mixing
 
 
-def test_targets_cap_and_reshare():
-    got = mixing.targets([("a", 10), ("b", 100), ("c", 100), (None, 1000)])
-    assert got["a"] == 20 and got["b"] == 200 and sum(got.values()) == pytest.approx(1.5 * 1210) and all(got[s] <= 2 * n for s, n in (("a", 10), ("b", 100), ("c", 100), (None, 1000)))
-    assert mixing.targets([("a", 0)]) == {"a": 0.0} and mixing.targets([]) == {}
+def _targets(sizes):
+    """Water-filling, one source at a time."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight, cap = {s: mixing.WEIGHTS[k % 3] for k, (s, _) in enumerate(order)}, {s: 2.0 * n for s, n in order}
+    capped = set()
+    while True:
+        left, by = 1.5 * sum(n for _, n in order) - sum(cap[s] for s in capped), sum(w for s, w in weight.items() if s not in capped)
+        out = {s: cap[s] if s in capped else left * weight[s] / by for s, _ in order}
+        above = {s for s in out if s not in capped and out[s] > cap[s]}
+        if not above:
+            return out
+        capped |= above
+
+
+def test_targets_cap_and_reshare(spark):
+    rng = random.Random(4)
+    cases = [[("a", 10), ("b", 100), ("c", 100), (None, 1000)], [("a", 0)], [("a", 0), ("b", 0)], [(f"s{i:03d}", 10 ** rng.randrange(1, 7)) for i in range(300)]]
+    for sizes in cases:
+        got = {r["g_source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+        assert got == pytest.approx(_targets(sizes))
+    assert mixing.targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+
+
+def test_mix_of_one_id_and_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    rng = random.Random(6)
+    rows = [(None, _words(rng.randrange(1, 30), f"v{i}"), "a") for i in range(200)] + [(5, "one and the same text", "b")] * 90 + [(i, _words(7), "c") for i in range(40)]
+    docs = _docs(spark, rows)
+    got = mixing.mix(docs).collect()
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again)) and Counter(r["doc_id"] for r in got) == Counter(i for i, _, _ in rows)
+    for s, slack in (("a", 0), ("b", 90), ("c", 0)):
+        own = [r for r in got if r["source"] == s]
+        assert 0 <= round(own[0]["target"]) - sum(r["taken"] for r in own) <= slack and all(r["taken"] <= 2 * r["size"] for r in own)
+    assert sum(len(r["text"].split()) for r in mixing.mixed(docs).collect()) == sum(r["taken"] for r in got)
 
 
 def test_mix_meets_targets_and_reruns_agree(spark):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import positions
 from .common import buckets_for, materialize
 
 #: Words of a text, as the size of a document.
@@ -17,6 +18,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Rows of one source that one task sorts at most, on average.
 ROWS_PER_BUCKET = 50_000
+#: Equal rows that one task writes out at most.
+COPIES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -24,58 +27,70 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
-    """Target of each source: ``share`` of all sizes dealt by weight, none above ``most`` times its size.
+def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Targets of ``sizes(source, source_size)``, one row a source: (g_source, source_size, target).
 
-    What a capped source leaves is dealt again by weight among the others until none is above. If
-    all are capped, less than ``share`` is dealt. Input is one row per source.
+    ``share`` of all sizes is dealt by weight, none above ``most`` times its size. What a capped
+    source leaves is dealt again by weight among the others until none is above. If all are capped,
+    less than ``share`` is dealt. Any number of sources: their places in the order come from a range
+    sort, and each round of dealing needs the sums over the sources capped so far alone.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[k % len(weights)] for k, (s, _) in enumerate(order)}
-    cap = {s: most * n for s, n in order}
-    total = share * sum(n for _, n in order)
-    capped: set[str | None] = set()
+    placed = positions(sizes.select("source", "source_size"), F.col("source").isNull(), F.col("source"), name="place")
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = materialize(placed.select("source", "source_size", turn.alias("weight")), "weights")
+    cap = F.lit(float(most)) * F.col("source_size")
+    total = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    left, by, free = total, rows.agg(F.sum("weight")).first()[0] or 1.0, None
+    dealt = lambda: F.lit(float(left)) * F.col("weight") / F.lit(float(by))
+    capped = F.lit(False)
     while True:
-        free = [s for s, _ in order if s not in capped]
-        left = total - sum(cap[s] for s, _ in order if s in capped)
-        by = sum(weight[s] for s in free)
-        out = {s: cap[s] if s in capped else left * weight[s] / by for s, _ in order}
-        above = {s for s in free if out[s] > cap[s]}
-        if not above:
-            return out
-        capped |= above
+        capped = capped | (dealt() > cap)
+        got = rows.agg(F.count_if(~capped).alias("free"), F.sum(F.when(capped, F.col("source_size"))).alias("held"), F.sum(F.when(~capped, F.col("weight"))).alias("by")).first()
+        # A capped source stays so: what the others get only rises.
+        if got["free"] == free or not got["free"]:
+            break
+        free, left, by = got["free"], total - most * (got["held"] or 0), got["by"]
+    target = F.when(capped, cap).otherwise(dealt())
+    return materialize(rows.select(F.col("source").alias("g_source"), "source_size", target.alias("target")), "targets")
 
 
-def _key(seed: int) -> Column:
+def _key(seed: int, doc_id: str = "doc_id") -> Column:
     """Hash-random key of a document, the same in every run and engine."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+
+
+def _mark(text: Column) -> Column:
+    """What tells documents of one id apart; null for a null text."""
+    return F.md5(text.cast("binary"))
 
 
 def _plan(docs: DataFrame, seed: int, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """(doc_id, source, size, key, source_size, target, epochs, part): whole epochs, and words of the last one."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    """One row for equal rows: (doc_id, source, size, mark, key, n, source_size, target, epochs, part).
+
+    Whole epochs of each of the n rows, and ``part`` words more of each in the last epoch.
+    """
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _mark(F.col("text")).alias("mark"))
+    rows = rows.groupBy("source", "doc_id", "mark", "size").agg(F.count("*").alias("n"))
     rows = materialize(rows.withColumn("key", _key(seed)), "sizes")
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    found = [(r["source"], r["source_size"], r["n"]) for r in per_source.collect()]  # one row per source
-    goal = targets([(s, n) for s, n, _ in found], weights, share, most)
-    ranges = buckets_for(max((n for _, _, n in found), default=0), ROWS_PER_BUCKET, spark.sparkContext.defaultParallelism * 4)
-    per = spark.createDataFrame([(s, n, goal[s]) for s, n, _ in found], "g_source string, source_size long, target double")
+    words = F.col("n") * F.col("size")
+    per_source = materialize(rows.groupBy("source").agg(F.sum(words).alias("source_size"), F.count("*").alias("rows")), "sources")
+    ranges = buckets_for(per_source.agg(F.max("rows")).first()[0] or 0, ROWS_PER_BUCKET, docs.sparkSession.sparkContext.defaultParallelism * 4)
+    goals = targets(per_source, weights, share, most)
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(float(16**8)))
     rows = rows.withColumn("range", at.cast("int"))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
+    sums = rows.groupBy("source", "range").agg(F.sum(words).alias("in_range"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s_source"), F.col("range").alias("s_range"), F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("earlier"))
-    own = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(own), F.lit(0)))
+    sums = materialize(sums.join(goals, F.col("s_source").eqNullSafe(F.col("g_source"))).drop("g_source"), "ranges")
+    own = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_first(), F.col("mark").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(words).over(own), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range")))
-    rows = rows.join(per, F.col("source").eqNullSafe(F.col("g_source")))
     budget = F.least(F.round("target").cast("long"), (F.lit(most) * F.col("source_size")).cast("long"))
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rows = rows.withColumn("budget", budget).withColumn("epochs", epochs)
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("earlier") - F.col("before")))
-    return rows.select("doc_id", "source", "size", "key", "source_size", "target", "epochs", part.alias("part"))
+    rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("earlier") - F.col("before")
+    rows = rows.withColumn("rest", F.greatest(F.lit(0), F.least(words, rest)))
+    return rows.select("doc_id", "source", "size", "mark", "key", "n", "source_size", "target", "epochs", F.expr("rest div n").alias("part"))
 
 
 def mix(docs: DataFrame, seed: int = 42, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -83,17 +98,26 @@ def mix(docs: DataFrame, seed: int = 42, weights: Sequence[float] = WEIGHTS, sha
 
     Each document gets the hash-random key md5(seed:doc_id). Within a source the keys' leading bits
     cut the documents into equal ranges, which stay in order from range to range; each range is
-    sorted by (key, doc_id, size), and sizes before a document are the sums of earlier ranges plus a
-    running sum in its own. A source takes round(target) words: whole epochs of every document, then
-    documents in that order, the last one cut at the exact budget. The hot source is spread over as
-    many ranges as its rows need, so no task holds a source.
+    sorted by (key, doc_id, md5 of the text), and sizes before a document are the sums of earlier
+    ranges plus a running sum in its own. A source takes round(target) words: whole epochs of every
+    document, then documents in that order, the last one cut at the exact budget. Equal rows are
+    counted before anything is sorted and share what falls to them evenly, so only at them the budget
+    may be missed, by less than a word each. The hot source is spread over as many ranges as its rows
+    need; neither it nor an id that many rows share meets in one task.
 
     One row per input row. Null text has size 0; null source is a source of its own, the last; null
-    doc_id sorts first, its key being md5(seed:). Rows of one doc_id tie by size, and equal rows may
-    change places, which changes nothing. No rows give no rows. Other columns are not read.
+    doc_id sorts first, its key being md5(seed:). Texts of any length are counted whole. No rows give
+    no rows. Other columns, of whatever name, are not read.
     """
     taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long")
-    return _plan(docs, seed, weights, share, most).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    rows = _plan(docs, seed, weights, share, most).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "n")
+    rows = materialize(rows, "taken")
+    each = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
+    few = rows.where(F.col("n") <= COPIES).withColumn("i", each(F.col("n")))
+    # Many equal rows are written again by many tasks.
+    many = rows.where(F.col("n") > COPIES).withColumn("j", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    many = many.repartition("j").withColumn("i", each(F.least(F.lit(COPIES), F.col("n") - F.col("j") * COPIES))).drop("j")
+    return few.unionByName(many).drop("n", "i")
 
 
 def mixed(docs: DataFrame, seed: int = 42, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -101,16 +125,17 @@ def mixed(docs: DataFrame, seed: int = 42, weights: Sequence[float] = WEIGHTS, s
 
     A source's last document of its last epoch has its text cut after the words that the budget
     leaves. As the order is that of the keys, one row per source decides, and no text moves.
-    Documents without words, or of which nothing is taken, are left out; of equal rows at the cut
-    each is cut alike.
+    Documents without words, or of which nothing is taken, are left out. Copies of a document share
+    its doc_id. Edge cases are those of ``mix``.
     """
     plan = _plan(docs, seed, weights, share, most)
-    last = F.max(F.when(F.col("part") > 0, F.struct("key", "doc_id", "size", "part"))).alias("last")
+    name = ("key", "doc_id", "mark")
+    last = F.max(F.when(F.col("part") > 0, F.struct(*name, "part"))).alias("last")
     cuts = plan.groupBy("source").agg(F.max("epochs").alias("epochs"), last)
     cuts = materialize(cuts.select(F.col("source").alias("c_source"), "epochs", "last"), "cuts")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("d_source"), _key(seed).alias("key"), "doc_id", word_count(F.col("text")).alias("size"))
-    rows = rows.where("size > 0").join(F.broadcast(cuts), F.col("d_source").eqNullSafe(F.col("c_source")))  # one row per source, as collected above
-    me, end = F.struct("key", "doc_id", "size"), F.struct("last.key", "last.doc_id", "last.size")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("d_source"), _key(seed).alias("key"), "doc_id", _mark(F.col("text")).alias("mark"), word_count(F.col("text")).alias("size"))
+    rows = rows.where("size > 0").join(cuts, F.col("d_source").eqNullSafe(F.col("c_source")))
+    me, end = F.struct(*name), F.struct(*[f"last.{c}" for c in name])
     part = F.when(F.col("last").isNull() | (me > end), 0).when(me == end, F.col("last.part")).otherwise(F.col("size"))
     rows = rows.withColumn("part", part).withColumn("copies", (F.col("epochs") + (F.col("part") > 0).cast("int")).cast("int")).where("copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -131,12 +156,14 @@ def oracle(seed: int = 42) -> str:
     )
     return f"""
 WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-   md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+   md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k, md5(text) AS m FROM documents),
  g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
  w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM g),
  deal0 AS (SELECT *, false AS capped, {SHARE} * (SELECT sum(source_size) FROM w) * weight / (SELECT sum(weight) FROM w) AS t FROM w){rounds},
  goal AS (SELECT *, CAST(round(t) AS BIGINT) AS budget FROM deal8),
- o AS (SELECT s.*, g.source_size, g.t AS target, g.budget, CASE WHEN g.source_size > 0 THEN g.budget // g.source_size ELSE 0 END AS epochs,
-   coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id NULLS FIRST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-   FROM s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken, source FROM o"""
+ u AS (SELECT source, doc_id, m, k, size, count(*) AS n FROM s GROUP BY ALL),
+ o AS (SELECT u.*, g.source_size, g.t AS target, g.budget, CASE WHEN g.source_size > 0 THEN g.budget // g.source_size ELSE 0 END AS epochs,
+   coalesce(sum(u.n * u.size) OVER (PARTITION BY u.source ORDER BY u.k, u.doc_id NULLS FIRST, u.m NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+   FROM u JOIN goal g ON u.source IS NOT DISTINCT FROM g.source),
+ p AS (SELECT *, CAST(epochs * size + greatest(0, least(n * size, budget - epochs * source_size - before)) // n AS BIGINT) AS taken, unnest(range(n)) AS i FROM o)
+SELECT doc_id, size, source_size, target, taken, source FROM p"""
