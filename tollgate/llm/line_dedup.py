@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: MinHash of character shingles, banding, exact Jaccard, union-find.
 
-DataFrame operations only. Lines are named by two 64-bit hashes; texts move only for lines that
-share a band with another.
+DataFrame operations only. Lines are told apart by two 64-bit hashes, and each distinct one gets a
+number of its own; texts move only for lines that share a band with another.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from ..storage import discard
 from .common import materialize
 
 #: Characters of a shingle; one starts at every run of non-space characters and, while the run goes on for 12 more, at each next character. So all are covered, and an inserted character moves no other shingle.
@@ -22,11 +23,13 @@ SMALL = 20
 _DENSE = r"⺀-鿿가-힯豈-﫿\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u1950-\u19DF\u1A20-\u1AAF\uA9E0-\uA9FF\uAA60-\uAA7F"
 _HEAD = rf"(?s)(?=(\S.{{0,{WIDTH - 1}}}))"
 #: The pattern of a shingle in lines without such characters, which is far faster, and in others; both agree on the former.
-SHINGLE = rf"{_HEAD}(?:\S(?=\S{{{WIDTH}}})|\S{{1,{WIDTH}}})"
+SHINGLE = rf"{_HEAD}(?:\S{{1,{WIDTH}}}+(?!\S)|\S)"
 SHINGLE_DENSE = rf"{_HEAD}(?:[{_DENSE}]|[^\s{_DENSE}](?=[^\s{_DENSE}]{{{WIDTH}}})|[^\s{_DENSE}]{{1,{WIDTH}}})"
-#: Bits of the filter that spares the shuffle rows whose key no other row has; 16 MB whatever the input.
-FILTER_BITS, _SPAN = 27, 32768
-_RANK_BITS = 43
+#: Bits for each key of the filter that spares the shuffle rows whose key no other row has, and bits of a filter at most (128 MB). For more keys there is none.
+KEY_BITS, MOST_BITS, _SPAN = 16, 30, 32768
+#: A line's rank: its weight above, and its number below, made of the place in its partition and the partition.
+_PLACE_BITS, _PART_BITS = 33, 17
+_WEIGHT = (1 << 63 - _PLACE_BITS - _PART_BITS) - 1
 
 
 def _texts(line: str, dense: str) -> Column:
@@ -40,60 +43,74 @@ def shingles(line: str, dense: str) -> Column:
     return F.array_distinct(F.transform(_texts(line, dense), lambda s: F.xxhash64(s)))
 
 
-def _bit(key: str) -> tuple[Column, Column]:
-    low = F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def _bit(key: str, bits: int) -> tuple[Column, Column]:
+    low = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
     return F.floor(low / _SPAN).cast("int"), (low % _SPAN).cast("int")
 
 
-def bit_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the low bits of ``keys``: at most 2^27 bits in pieces of 4 KB."""
-    piece, place = _bit(key)
-    return keys.select(piece.alias("f_piece"), place.cast("long").alias("place")).groupBy("f_piece").agg(F.bitmap_construct_agg("place").alias("f_bits"))
-
-
 def passing(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    """Rows whose key's bit is set in the filter: all whose key went in, and few others."""
-    piece, place = _bit(key)
+    """Rows whose ``key`` may be among the written ``held`` keys: all that are, and few others.
+
+    A bitmap of hashes in pieces of 4 KB, broadcast, of ``KEY_BITS`` bits a key, so few bits are set
+    whatever the input. Beyond 2^MOST_BITS bits all rows pass: what follows is a join, which needs no
+    filter for its result.
+    """
+    bits = max(15, (KEY_BITS * held.count()).bit_length())
+    if bits > MOST_BITS:
+        return rows
+    piece, place = _bit(key, bits)
+    bitmap = held.select(piece.alias("f_piece"), place.cast("long").alias("place")).groupBy("f_piece").agg(F.bitmap_construct_agg("place").alias("f_bits"))
     byte = F.ascii(F.decode(F.substring("f_bits", F.shiftright(place, 3) + 1, F.lit(1)), "ISO-8859-1"))
     on = F.call_function("getbit", byte, place.bitwiseAND(F.lit(7))) == 1
-    return rows.join(F.broadcast(held), piece == F.col("f_piece")).where(on).drop("f_piece", "f_bits")
+    return rows.join(F.broadcast(bitmap), piece == F.col("f_piece")).where(on).drop("f_piece", "f_bits")  # 128 MB at most
+
+
+def identity(docs: DataFrame) -> Column:
+    """A hash of a row's columns, which tells documents of one doc_id apart; rows equal in it are repeated rows. Maps and variants have no hash and are left out."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, t, dense, line_no from 0, line, k1, k2) of every line, in lower case.
 
-    t is a hash of the document's text: rows equal in doc_id and text are one document. It and the
-    script are told before the lines are made, or they would be told again for each.
+    t is the row's ``identity``. It and the script are told before the lines are made, or they would be
+    told again for each.
     """
-    dense = (F.octet_length("text") > F.char_length("text")) & F.col("text").rlike(f"[{_DENSE}]")  # the first is cheap
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(dense, F.lit(False)).alias("dense"), "text")
+    # The first two are cheap, and most texts end there.
+    dense = (F.octet_length("text") > F.char_length("text")) & F.col("text").rlike(r"[\u0E00-\uFFFF]") & F.col("text").rlike(f"[{_DENSE}]")
+    rows = docs.select("doc_id", identity(docs).alias("t"), F.coalesce(dense, F.lit(False)).alias("dense"), "text")
     rows = rows.select("doc_id", "t", "dense", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
     return rows.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(k1, k2, copies, r, b0 ...) of each distinct line: band keys of its MinHash signature, and a rank.
+    """(k1, k2, copies, r, b0 ...) of each distinct line, written: band keys of its MinHash signature, and a rank.
 
     A signature's entry is the least hash of the line's shingles under the entry's own hash function,
-    which two lines share with a probability of their Jaccard similarity. A band joins two entries. Equal lines are merged by the same aggregation; lines of
-    white space have no shingle and so no row. The rank r rises with the line's shingles in all its
-    copies; its low bits are those of k1.
+    half of a 64-bit hash, which two lines share with a probability of their Jaccard similarity. A
+    band joins two entries. Equal lines are merged by the same aggregation; lines of white space have
+    no shingle and so no row. The rank r is the line's own number, no other line has it, and rises
+    with the line's shingles in all its copies, up to 8191.
     """
     rows = rows.select("k1", "k2", F.posexplode(_texts("line", "dense")).alias("i", "s"))
     rows = rows.select("k1", "k2", "i", F.xxhash64("s").alias("h"))
-    least = [F.min(F.xxhash64(F.lit(2 * b + e), "h")).alias(f"h{e}_{b}") for b in range(BANDS) for e in (0, 1)]
-    rows = rows.groupBy("k1", "k2").agg(F.count("*").alias("w"), F.count_if(F.col("i") == 0).alias("copies"), *least)
-    rank = F.shiftleft(F.least("w", F.lit((1 << 63 - _RANK_BITS) - 1)), _RANK_BITS).bitwiseOR(F.col("k1").bitwiseAND(F.lit((1 << _RANK_BITS) - 1)))
-    return rows.select("k1", "k2", "copies", rank.alias("r"), *[F.xxhash64(F.lit(b), f"h0_{b}", f"h1_{b}").alias(f"b{b}") for b in range(BANDS)])
+    rows = rows.select("k1", "k2", "i", *[F.xxhash64(F.lit(b), "h").alias(f"h{b}") for b in range(BANDS)])
+    halves = [f(f"h{b}").alias(f"{n}{b}") for b in range(BANDS) for n, f in (("lo", lambda c: F.min(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))), ("hi", lambda c: F.min(F.shiftrightunsigned(c, 32))))]
+    rows = rows.groupBy("k1", "k2").agg(F.count("*").alias("w"), F.count_if(F.col("i") == 0).alias("copies"), *halves)
+    part = F.shiftright("n", _PLACE_BITS)
+    part = F.when(part < 1 << _PART_BITS, part).otherwise(F.raise_error(F.lit("more partitions than ranks have room for")).cast("long"))
+    low = F.shiftleft(part, _PLACE_BITS).bitwiseOR(F.col("n").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
+    rank = F.shiftleft(F.least("w", F.lit(_WEIGHT)), _PLACE_BITS + _PART_BITS).bitwiseOR(low)
+    rows = rows.withColumn("n", F.monotonically_increasing_id())
+    return materialize(rows.select("k1", "k2", "copies", rank.alias("r"), *[F.xxhash64(F.lit(b), f"lo{b}", f"hi{b}").alias(f"b{b}") for b in range(BANDS)]), "signatures")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact similarity of candidate pairs (x, y) of ranks: (x, y, a, b, jaccard), a and b the lines' (k1, k2)."""
-    one, two = (sets.select(F.col("r").alias(f"{c}_r"), F.struct("k1", "k2").alias(c), F.col("s").alias(f"{c}_s")) for c in "ab")
-    found = pairs.join(one, F.col("x") == F.col("a_r")).join(two, F.col("y") == F.col("b_r")).where("a != b")
-    both = F.size(F.array_intersect("a_s", "b_s"))
-    found = found.select("x", "y", "a", "b", both.alias("both"), (F.size("a_s") + F.size("b_s")).alias("sum"))
-    return found.select("x", "y", "a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("jaccard"))
+    """Exact similarity of candidate pairs (x, y) of ranks: (x, y, jaccard)."""
+    one, two = (sets.select(F.col("r").alias(f"{c}_r"), F.col("s").alias(f"{c}_s")) for c in "ab")
+    found = pairs.join(one, F.col("x") == F.col("a_r")).join(two, F.col("y") == F.col("b_r"))
+    found = found.select("x", "y", F.size(F.array_intersect("a_s", "b_s")).alias("both"), (F.size("a_s") + F.size("b_s")).alias("sum"))
+    return found.select("x", "y", (F.col("both") / (F.col("sum") - F.col("both"))).alias("jaccard"))
 
 
 def _hubs(compared: DataFrame) -> DataFrame:
@@ -106,17 +123,17 @@ def _hubs(compared: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) of ``sets(r, k1, k2, s, hub, open)`` that may reach the similarity, x open, of different hubs.
+    """Pairs (x, y) of ``sets(r, s, hub, open)`` that may reach the similarity, x open, of different hubs.
 
     Exact prefix and position filtering: in one order of all shingles, rarest first, two similar
     lines share one among the first n - ceil(0.8 n) + 1 of each. What two lines have in common beyond
     their first common shingle is bounded by what follows it in either, so lines whose own shingles
     come first seldom meet, though all of a group share the rest.
     """
-    rows = materialize(sets.select("r", "k1", "k2", "hub", "open", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
+    rows = materialize(sets.select("r", "hub", "open", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
     often = rows.groupBy("s").agg(F.count("*").alias("often"), F.max("open").alias("asked"), F.min("n").alias("least"))
     rows = rows.join(materialize(often.withColumnRenamed("s", "o_s"), "often"), F.col("s") == F.col("o_s"))
-    place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("often", "s"))
+    place = F.row_number().over(Window.partitionBy("r").orderBy("often", "s"))
     rows = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1)
     # Two lines of n and m shingles are similar if they share (n + m) * 0.8 / 1.8 of them.
     half = SIMILAR / (1 + SIMILAR)
@@ -129,37 +146,40 @@ def _rare_pairs(sets: DataFrame) -> DataFrame:
     return both.select("x", "y").distinct()
 
 
-def line_links(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct lines of a similarity of 0.8 or more, each a line's (k1, k2); ``signed`` are their signatures.
+def line_links(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (x, y) between distinct lines of a similarity of 0.8 or more, by rank, and (n_k1, n_k2, r) of the lines in them.
 
-    Lines that share a band form a bucket. Every member is compared with the bucket's line of the
-    highest rank, its pivot, usually the most copied one, so a large bucket costs its size and not
-    its square. Where that leaves a member open and not all of the bucket is known to be connected, a
-    small bucket's pairs follow that the triangle inequality of Jaccard distances does not exclude; a
-    larger bucket is searched again as a whole by exact prefix filtering. So no link inside a bucket is lost. Every link is verified on the full
+    ``signed`` are the lines' signatures. Lines that share a band form a bucket. Every member is
+    compared with the bucket's line of the highest rank, its pivot, usually the most copied one, so a
+    large bucket costs its size and not its square. Where that leaves a member open and not all of
+    the bucket is known to be connected, a small bucket's pairs follow that the triangle inequality
+    of Jaccard distances does not exclude; a larger bucket is searched again as a whole by exact
+    prefix filtering. So no link inside a bucket is lost. Every link is verified on the lines'
     shingle sets.
     """
     bands = signed.select("r", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.max("r").alias("pivot")).where("n > 1").select("key", "pivot")
     buckets = materialize(buckets, "buckets")
-    members = passing(bands, bit_filter(buckets, "key"), "key").join(buckets.withColumnRenamed("key", "b_key"), F.col("key") == F.col("b_key"))
+    members = passing(bands, buckets.select("key"), "key").join(buckets.withColumnRenamed("key", "b_key"), F.col("key") == F.col("b_key"))
     members = materialize(members.where("r != pivot").select("key", "r", "pivot"), "members")
+    discard(buckets)
     pairs = materialize(members.select(F.col("r").alias("x"), F.col("pivot").alias("y")).distinct(), "pairs")
-    ranks = pairs.select(F.col("x").alias("r")).unionByName(pairs.select(F.col("y").alias("r")))
-    held = bit_filter(ranks, "r")
-    sets = passing(rows.select("k1", "k2", "line", "dense"), held, "k1").dropDuplicates(["k1", "k2"])
+    ranks = pairs.select(F.col("x").alias("r")).unionByName(pairs.select(F.col("y").alias("r")).distinct())
+    named = passing(signed.select(F.col("k1").alias("n_k1"), F.col("k2").alias("n_k2"), "r"), ranks, "r")
+    named = materialize(named, "named")
+    sets = passing(rows.select("k1", "k2", "line", "dense"), named.select(F.col("n_k1").alias("k1")), "k1").dropDuplicates(["k1", "k2"])
     sets = sets.select("k1", "k2", shingles("line", "dense").alias("s"))
-    named = passing(signed.select("k1", "k2", "r"), held, "k1").select(F.col("k1").alias("n_k1"), F.col("k2").alias("n_k2"), "r")
-    sets = sets.join(named, (F.col("k1") == F.col("n_k1")) & (F.col("k2") == F.col("n_k2"))).select("r", "k1", "k2", "s")
+    sets = sets.join(named, (F.col("k1") == F.col("n_k1")) & (F.col("k2") == F.col("n_k2"))).select("r", "s")
     sets = materialize(sets, "lines")
     first = materialize(_verified(pairs, sets), "verified")
-    links = first.where(F.col("jaccard") >= SIMILAR).select("a", "b")
-    seen = first.select(F.col("x").alias("f_x"), F.col("y").alias("f_y"), "jaccard").groupBy("f_x", "f_y").agg(F.max("jaccard").alias("jaccard"))
+    discard(pairs)
+    links = first.where(F.col("jaccard") >= SIMILAR).select("x", "y")
+    seen = first.select(F.col("x").alias("f_x"), F.col("y").alias("f_y"), "jaccard")
     hubs = materialize(_hubs(first), "hubs")
     told = members.join(seen, (F.col("r") == F.col("f_x")) & (F.col("pivot") == F.col("f_y"))).select("key", "r", "pivot", "jaccard")
     for of in ("r", "pivot"):
-        named = hubs.select(F.col("x").alias("h_x"), F.col("hub").alias("h"))
-        told = told.join(named, F.col(of) == F.col("h_x"), "left").withColumn(f"{of}_hub", F.coalesce("h", of)).drop("h_x", "h")
+        top = hubs.select(F.col("x").alias("h_x"), F.col("hub").alias("h"))
+        told = told.join(top, F.col(of) == F.col("h_x"), "left").withColumn(f"{of}_hub", F.coalesce("h", of)).drop("h_x", "h")
     told = materialize(told, "compared")
     sides = [f(g("r_hub", "pivot_hub")) for f, g in ((F.min, F.least), (F.max, F.greatest))]
     left = told.groupBy("key").agg(F.count("*").alias("n"), F.min("jaccard").alias("least"), sides[0].alias("lo"), sides[1].alias("hi"))
@@ -176,66 +196,109 @@ def line_links(rows: DataFrame, signed: DataFrame) -> DataFrame:
         whole = many.select("r", F.col("r_hub").alias("hub"), "jaccard").unionByName(many.select(F.col("pivot").alias("r"), F.col("pivot_hub").alias("hub"), F.lit(1.0).alias("jaccard")))
         whole = whole.groupBy(F.col("r").alias("w_r"), "hub").agg((opened == 1).alias("open"))
         second = second.unionByName(_verified(_rare_pairs(sets.join(whole, F.col("r") == F.col("w_r"))), sets))
-    return links.unionByName(second.where(F.col("jaccard") >= SIMILAR).select("a", "b"))
+    return links.unionByName(second.where(F.col("jaccard") >= SIMILAR).select("x", "y")), named
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, drops): the numbers of the lines that each document loses, for documents that lose any.
+    """(x_id, x_t, drops), written: the numbers of the lines that each document loses, for documents that lose any.
 
-    Of each component of similar lines the one of the least (doc_id, t, line_no) stays; a null
+    Of each component of similar lines the one of the least (doc_id, identity, line_no) stays; a null
     doc_id sorts first.
     """
     rows = lines(docs)
-    signed = materialize(signatures(rows), "signatures")
-    found = components(line_links(rows, signed), "a", "b")
-    labels = found.select(F.col("node.k1").alias("l_k1"), F.col("node.k2").alias("l_k2"), F.col("component.k1").alias("c1"), F.col("component.k2").alias("c2"))
+    signed = signatures(rows)
+    links, named = line_links(rows, signed)
+    found = components(links, "x", "y")
+    labels = found.join(named, F.col("node") == F.col("r")).select(F.col("n_k1").alias("l_k1"), F.col("n_k2").alias("l_k2"), "component")
     labels = materialize(labels, "labels")
-    several = signed.where("copies > 1").select("k1").unionByName(labels.select(F.col("l_k1").alias("k1")))
-    seen = passing(rows, bit_filter(several, "k1"), "k1").where(F.col("line").rlike(r"\S"))
+    several = materialize(signed.where("copies > 1").select("k1").unionByName(labels.select(F.col("l_k1").alias("k1"))), "several")
+    discard(signed)
+    seen = passing(rows.select("doc_id", "t", "line_no", "line", "k1", "k2"), several, "k1").where(F.col("line").rlike(r"\S"))
     seen = materialize(seen.select("doc_id", "t", "line_no", "k1", "k2"), "occurrences")
     firsts = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.count("*").alias("n"))
     firsts = firsts.join(labels, (F.col("k1") == F.col("l_k1")) & (F.col("k2") == F.col("l_k2")), "left")
-    firsts = materialize(firsts.where("n > 1 or c1 is not null").select("k1", "k2", "first", "c1", "c2"), "firsts")
-    heads = firsts.where("c1 is not null").groupBy(F.col("c1").alias("h1"), F.col("c2").alias("h2")).agg(F.min("first").alias("head"))
+    firsts = materialize(firsts.where("n > 1 or component is not null").select("k1", "k2", "first", "component"), "firsts")
+    heads = firsts.where("component is not null").groupBy(F.col("component").alias("h")).agg(F.min("first").alias("head"))
     heads = materialize(heads, "components")  # so that the join has exchanges of its own and a hot component can be split
-    firsts = firsts.join(heads, (F.col("c1") == F.col("h1")) & (F.col("c2") == F.col("h2")), "left")
+    firsts = firsts.join(heads, F.col("component") == F.col("h"), "left")
     keep = firsts.select(F.col("k1").alias("f_k1"), F.col("k2").alias("f_k2"), F.coalesce("head", "first").alias("keep"))
     keep = materialize(keep, "heads")
     repeated = seen.join(keep, (F.col("k1") == F.col("f_k1")) & (F.col("k2") == F.col("f_k2")))
     lost = repeated.where(~F.struct("doc_id", "t", "line_no").eqNullSafe(F.col("keep")))
-    return lost.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))
+    return materialize(lost.groupBy(F.col("doc_id").alias("x_id"), F.col("t").alias("x_t")).agg(F.array_sort(F.collect_set("line_no")).alias("drops")), "drops")
+
 
+def _told(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, d_id, d_t, drops) of documents that occur once and of one of each repeated row, and (row, n) of the latter's others.
+
+    ``drops`` is null for a document that loses no line. Repeated rows are found by a count of their
+    identities, and one of each is picked where the rows lie before anything is joined.
+    """
+    drops = dropped_lines(docs)
+    ids = docs.select(F.col("doc_id").alias("r_id"), identity(docs).alias("r_t"))
+    again = materialize(ids.groupBy("r_id", "r_t").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), identity(docs).alias("d_t"))
+    same = F.col("d_id").eqNullSafe(F.col("r_id")) & (F.col("d_t") == F.col("r_t"))
+    if again.isEmpty():
+        one, more = rows, rows.limit(0).select("row", F.lit(0).cast("long").alias("n"))
+    else:
+        some = rows.join(again, same).drop("r_id", "r_t").groupBy("d_id", "d_t").agg(F.first("row").alias("row"), F.first("n").alias("n"))
+        some = materialize(some, "repeats")
+        one = rows.join(again, same, "left_anti").unionByName(some.drop("n"))
+        more = some.select("row", (F.col("n") - 1).alias("n"))
+    one = one.join(drops, F.col("d_id").eqNullSafe(F.col("x_id")) & (F.col("d_t") == F.col("x_t")), "left")
+    return one.select("row", "drops"), more
 
-def _joined(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` as ``row``, with its text and the line numbers that it loses (null for none)."""
-    drops = materialize(dropped_lines(docs), "drops").select(F.col("doc_id").alias("x_id"), F.col("t").alias("x_t"), "drops")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_t"))
-    return rows.join(drops, F.col("d_id").eqNullSafe(F.col("x_id")) & (F.col("d_t") == F.col("x_t")), "left")
+
+#: Copies of a repeated row that one task writes at most.
+_COPIES = 10_000
+
+
+def _times(rows: DataFrame) -> DataFrame:
+    """Each row n times."""
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _COPIES)))).repartition("j")
+    return rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(_COPIES), F.col("n") - F.col("j") * _COPIES).cast("int")))).drop("i", "j", "n")
+
+
+def _blank(parts: Column) -> Column:
+    """Lines of white space alone."""
+    return F.filter(parts, lambda x: ~x.rlike(r"\S"))
 
 
 def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
     """``docs`` with each text reduced to the lines that it keeps; all other columns as they are.
 
     One line of each component of similar lines stays in the whole corpus, compared in lower case;
-    white-space lines stay where they are. Rows equal in doc_id and text count as one document and keep the same lines.
-    Null and empty texts stay null and empty. With ``drop_empty`` documents that had words and keep
-    none are left out. No rows give no rows.
+    white-space lines stay where they are. Of rows equal in all columns one keeps lines, and the
+    others keep those of white space alone. Null and empty texts stay null and empty; lines and texts
+    of any length are read whole. Of equal lines that of the least doc_id stays, a null one first;
+    documents that share an id are told apart by a hash of all their columns. With ``drop_empty``
+    documents that had words and keep none are left out. No rows give no rows. Columns but ``doc_id``
+    and ``text`` may have any name and type.
     """
-    rows = _joined(docs)
+    one, more = _told(docs)
     parts = F.split("row.text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drops")
     text = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    rows = rows.withColumn("kept", text)
-    if drop_empty:
-        rows = rows.where("drops is null or kept rlike '[^ \\\\t\\\\n\\\\r\\\\f\\\\x0B]'")
+    words = F.col("row.text").rlike(r"\S")
+    rows = one.withColumn("kept", text)
+    again = _times(more.where(~F.coalesce(words, F.lit(False))) if drop_empty else more)
+    rows = (rows.where(~F.coalesce(words, F.lit(False)) | F.col("kept").rlike(r"\S")) if drop_empty else rows).select("row", "kept")
+    rows = rows.unionByName(again.select("row", F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.array_join(_blank(parts), "\n")).alias("kept")))
     return rows.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """Per document: (doc_id, n_lines, n_dropped, dropped), the line numbers from 0 that ``dedup_lines`` leaves out."""
-    few = docs.select("doc_id", F.xxhash64("text").alias("d_t"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    few = few.select("doc_id", "d_t", F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"))
-    drops = materialize(dropped_lines(docs), "drops").select(F.col("doc_id").alias("x_id"), F.col("t").alias("x_t"), "drops")
-    out = few.join(drops, F.col("doc_id").eqNullSafe(F.col("x_id")) & (F.col("d_t") == F.col("x_t")), "left")
-    drops = F.coalesce("drops", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(drops).cast("long").alias("n_dropped"), F.array_join(drops, ",").alias("dropped"))
+    """Per document: (doc_id, n_lines, n_dropped, dropped), the line numbers from 0 that ``dedup_lines`` leaves out.
+
+    One row per input row. A null text has no line and an empty one a line that stays; ties, repeated
+    rows, nulls and texts of any length are as in ``dedup_lines``. No rows give no rows; extra columns
+    only tell rows of one doc_id apart.
+    """
+    one, more = _told(docs)
+    parts = F.split("row.text", "\n")
+    every = F.filter(F.transform(parts, lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    out = one.select("row", F.coalesce("drops", F.array().cast("array<int>")).alias("drops"))
+    out = out.unionByName(_times(more).select("row", F.coalesce(every, F.array().cast("array<int>")).alias("drops")))
+    n_lines = F.coalesce(F.size(parts), F.lit(0))
+    return out.select(F.col("row.doc_id"), F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"), F.array_join("drops", ",").alias("dropped"))
