@@ -332,12 +332,15 @@ def test_scan(spark):
     assert secrets.scan(docs.limit(0)).count() == 0 and all(r["secret"] is False for r in secrets.scan(docs, findings=[]).collect())
 
 
-def test_scan_equals_brute_force_on_the_documents(spark):
+def test_scan_equals_brute_force_on_the_documents(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.select("doc_id", "text", "source").collect()
     counts = Counter(w for r in rows for w in re.findall(r"(?<![a-z0-9_])[a-z]{4,24}(?![a-z0-9_])", (r["text"] or "").lower()))
-    known = secrets.learned_lexicon(docs)
-    assert known.words == secrets.lexicon(dict(sorted((x for x in counts.items() if x[1] >= secrets.OFTEN), key=lambda x: (-x[1], x[0]))[: secrets.VOCABULARY])).words
+    for most in (secrets.VOCABULARY, 300):
+        monkeypatch.setattr(secrets, "VOCABULARY", most)
+        known = secrets.learned_lexicon(docs)
+        cut = min(n for n in counts.values() if n >= secrets.OFTEN and sum(m >= n for m in counts.values()) <= most)
+        assert known.words == secrets.lexicon({w: n for w, n in counts.items() if n >= cut}).words
     forest = secrets.fit(secrets.labelled_findings(), known)
     want = set()
     for r in rows:

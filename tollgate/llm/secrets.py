@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Trees, their depth, least rows of a leaf, features tried at a node, labelled findings read at most, and seed.
 TREES, DEPTH, LEAF, TRIED, MOST_FINDINGS, SEED = 60, 8, 3, 5, 20_000, 42
 #: A candidate is reported as a secret from this share of the trees' votes.
@@ -101,10 +103,21 @@ def lexicon(counts: dict[str, int]) -> Lexicon:
 
 
 def learned_lexicon(docs: DataFrame) -> Lexicon:
-    """The lexicon of all texts: their ``VOCABULARY`` most frequent words of a to z; candidates' own letters are rarely frequent."""
+    """The lexicon of all texts: their most frequent words of a to z, ``VOCABULARY`` at most.
+
+    Words of one count are in it together or not at all. The count from which words are in it comes
+    from a histogram of the counts, so the driver gets these words and no others.
+    """
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9_])([a-z]{%d,24})(?![a-z0-9_])" % LONG), F.lit(1))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "w").limit(VOCABULARY)
-    return lexicon({r["w"]: r["n"] for r in top.collect()})
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN), "words")
+    kept, least = 0, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).limit(VOCABULARY).collect():
+        kept += r["words"]
+        if kept > VOCABULARY:
+            break
+        least = r["n"]
+    top = counts.where(F.col("n") >= least).collect() if least else []
+    return lexicon({r["w"]: r["n"] for r in top})
 
 
 #: A variable, call, template or dotted name in place of a value.
