@@ -1,4 +1,4 @@
-"""Registered queries that cover all rows, where a namesake with SQL covers a part."""
+"""Registered queries over all rows and at their full number of draws, beside brute force."""
 
 import os
 import random
@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 
 from tollgate import registry
-from tollgate.llm import line_dedup
 from tollgate.operators import alerts, nulls
 from tollgate.plans import models
 from tollgate.sources import adapters
@@ -26,10 +25,10 @@ def _run(spark, name):
 def test_splits_hold_every_ring(spark):
     e = adapters.evts(spark, SF)
     rings = e.where("ring_id is not null").select("ring_id").distinct().count()
-    sets = _run(spark, "split_ring_sets_all_rings")[0]
+    sets = _run(spark, "split_ring_sets")[0]
     assert rings > 17 and sets["train_rings"] + sets["test_rings_raw"] == rings
-    assert {r["train_rings"] + r["test_rings_raw"] for r in _run(spark, "split_sweep_all_rings")} == {rings}
-    assert _run(spark, "split_optb_sensitivity_all_rings") and sum(r["rows"] for r in _run(spark, "split_naive_vs_ring_all_rings") if r["protocol"] == "naive") == e.count()
+    assert {r["train_rings"] + r["test_rings_raw"] for r in _run(spark, "split_sweep")} == {rings}
+    assert _run(spark, "split_optb_sensitivity") and sum(r["rows"] for r in _run(spark, "split_naive_vs_ring") if r["protocol"] == "naive") == e.count()
 
 
 @tables
@@ -54,30 +53,27 @@ def test_components_hold_every_ring(spark):
                 seen |= rings[ring]
         day, acct = min(seen)
         want[n] = f"a:{day.isoformat()}|{acct}"
-    got = {(r["day"], r["acct"]): r["cluster"] for r in _run(spark, "ring_components_all_rings")}
+    got = {(r["day"], r["acct"]): r["cluster"] for r in _run(spark, "ring_components")}
     assert got == want and len(rings) > 17
-    assert len(_run(spark, "bootstrap_ci_all_rings")) == 3
+    assert len(_run(spark, "bootstrap_ci")) == 3
 
 
-def _dropped(spark, lines):
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    return {r["doc_id"] for r in line_dedup.decisions(docs).where("n_dropped > 0").collect()}
-
-
-@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "กขคงจฉชซญฐณดตถทธนบปผพภมยรลวศษสหอ", "ກຂຄງຈຊຍດຕຖທນບປຜພຟມຢຣລວສຫອ", "កខគឃងចឆជឈញដឋឌឍណតថទធន", "ကခဂဃငစဆဇဈညဋဌဍဎဏတထဒဓန"])
-def test_a_shifted_unspaced_line_is_a_copy(spark, letters):
+def test_counterfactual_equals_brute_force(spark):
     rng = random.Random(3)
-    line = "".join(rng.choice(letters) for _ in range(400))
-    other = "".join(rng.choice(letters) for _ in range(400))
-    assert _dropped(spark, [line, letters[0] + line, line[:200] + line[201:], line[:100] + letters[1] + line[100:], other]) == {1, 2, 3}
-
-
-def test_both_shingle_patterns_agree(spark):
-    rng = random.Random(5)
-    lines = [" ".join("".join(rng.choice("abcXYZ") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 9))) for _ in range(50)]
-    docs = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "true as yes", "false as no")
-    for r in docs.select("line", line_dedup._texts("line", "yes").alias("a"), line_dedup._texts("line", "no").alias("b")).collect():
-        assert r["a"] == r["b"] and set("".join(r["b"])) >= set(r["line"]) - {" "}
+    rows = [(i, int(rng.random() < 0.3), float(rng.randrange(40))) for i in range(300)]
+    kept, out = rows[:220], [r for r in rows[220:] if r[1]]
+    frame = lambda x: spark.createDataFrame(x, "txn_id long, is_laundering int, score double")
+    got = {r["draw"]: r["ap"] for r in nulls.counterfactual(frame(rows[220:]), frame(kept), 6, 5).collect()}
+    pool = sorted((md5(str(i).encode()).hexdigest(), i, s) for i, y, s in kept if y)
+    for draw in range(7):
+        moved = out if not draw else [(i, 1, pool[int(md5(f"5|{draw}|{i}".encode()).hexdigest()[:8], 16) % len(pool)][2]) for i, _, _ in out]
+        every = kept + moved
+        total = sum(y for _, y, _ in every)
+        ap = 0.0
+        for s in {x[2] for x in every}:
+            above = [y for _, y, v in every if v >= s]
+            ap += sum(y for _, y, v in every if v == s) / total * sum(above) / len(above)
+        assert got[draw] == pytest.approx(ap)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
@@ -91,17 +87,9 @@ def test_splice_holds_every_instance(spark):
     assert got["accounts_in_several_rings"] == 0 and got["laundering_accounts_also_in_background"] == got["laundering_accounts"]
 
 
-@tables
-@pytest.mark.parametrize("name,first", [("permutation_null", 20), ("typology_spread_null", 10), ("counterfactual_ap", 5)])
-def test_full_draws_begin_with_those_held_to_sql(spark, name, first):
-    few, many = _run(spark, name), _run(spark, f"{name}_full_draws")
-    assert {r["draw"] for r in many} == set(range(1001))
-    assert sorted(map(tuple, few)) == sorted(tuple(r) for r in many if r["draw"] <= first)
-
-
 @tables
 def test_full_permutation_summary(spark):
-    draws, got = _run(spark, "permutation_null_full_draws"), _run(spark, "permutation_summary_full_draws")
+    draws, got = _run(spark, "permutation_null"), _run(spark, "permutation_summary")
     for r in got:
         seen = next(x["ring_recall"] for x in draws if (x["draw"], x["k"]) == (0, r["k"]))
         null = [x["ring_recall"] for x in draws if x["draw"] and x["k"] == r["k"]]
@@ -114,7 +102,7 @@ def test_full_bootstrap_equals_brute_force(spark):
     e = adapters.evts(spark, SF)
     rank = {(r["day"], r["acct"]): r["rank_first"] for r in alerts.ranked(alerts.account_days(e)).collect()}
     own = [(r["cluster"], rank[r["day"], r["acct"]]) for r in nulls.clusters(alerts.account_days(e), alerts.membership(e)).collect()]
-    got = _run(spark, "bootstrap_ci_full_draws")
+    got = _run(spark, "bootstrap_ci")
     weights = []
     for draw in range(1, 1001):
         u = {c: int(md5(f"0|{draw}|{c}".encode()).hexdigest()[:8], 16) % 10**8 / 1e8 for c, _ in own}
@@ -139,22 +127,3 @@ def test_boosted_trees_keep_their_settings(spark, monkeypatch):
     with pytest.raises(Seen):
         registry.queries()["model_gbt_scores"](spark, SF)
     assert models.GBT.items() <= used.items()
-
-
-def test_short_lines_share_a_band(spark):
-    rng = random.Random(11)
-    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(5)] for _ in range(10000)]
-    docs = spark.createDataFrame([(2 * i + j, " ".join(w[: 5 - j])) for i, w in enumerate(words) for j in (0, 1)], "doc_id long, text string")
-    rows = line_dedup.lines(docs)
-    bands = [f"b{b}" for b in range(line_dedup.BANDS)]
-    signed = {(r["k1"], r["k2"]): [r[b] for b in bands] for r in line_dedup.signatures(rows).collect()}
-    of = {r["doc_id"]: signed[r["k1"], r["k2"]] for r in rows.select("doc_id", "k1", "k2").collect()}
-    missed = sum(not any(x == y for x, y in zip(of[2 * i], of[2 * i + 1])) for i in range(len(words)))
-    print("missed", missed)
-    assert missed <= 10
-
-
-def test_case_variants_are_copies(spark):
-    rows = [(1, "Licensed under the Apache License\nOwn line"), (2, "LICENSED UNDER THE APACHE LICENSE\nAnother LINE of two")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == {1: rows[0][1], 2: "Another LINE of two"}

@@ -142,7 +142,16 @@ def running_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     above, so no task sorts all scores.
     """
     hist = scored.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum("is_laundering").cast("long").alias("p"))
-    cuts = sorted(set(scored.approxQuantile("score", [i / 64 for i in range(1, 64)], 0.005)))
+    return running(hist, by, score_ranges(scored))
+
+
+def score_ranges(scored: DataFrame, parts: int = 64) -> list[float]:
+    """Cuts of the scores into ranges of about as many rows each."""
+    return sorted(set(scored.approxQuantile("score", [i / parts for i in range(1, parts)], 0.005)))
+
+
+def running(hist: DataFrame, by: Sequence[str], cuts: Sequence[float]) -> DataFrame:
+    """``running_counts`` of a histogram (by, score, n, p)."""
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("score"))) if cuts else F.lit(0)
     hist = hist.withColumn("part", part)
     sums = hist.groupBy(*by, "part").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))

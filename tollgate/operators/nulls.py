@@ -199,17 +199,27 @@ def counterfactual(excluded: DataFrame, kept: DataFrame, draws: int, seed: int =
 
     Inputs have (txn_id, is_laundering, score). In each draw every excluded positive takes the score
     of the kept positive whose number a portable hash gives it; draw 0 has the scores as they are.
+    What a draw moves lies at the kept positives' scores, and precision is asked for at these alone, so
+    the kept rows are counted once and a draw costs their distinct scores, not the rows.
     """
-    pos = kept.where("is_laundering = 1").select("txn_id", F.col("score").alias("new"), order_key(F.col("txn_id")).alias("key"))
+    own = kept.select("txn_id", F.col("is_laundering").cast("int").alias("is_laundering"), "score")
+    pos = own.where("is_laundering = 1").select("txn_id", F.col("score").alias("new"), order_key(F.col("txn_id")).alias("key"))
     pos = materialize(positions(pos, "key", "txn_id", name="at").select("at", "new"), "kept")
     n = pos.count()
-    out = excluded.where("is_laundering = 1").select("txn_id", _draws(draws))
-    out = out.withColumn("pick", bucket(F.concat_ws("|", F.col("draw").cast("string"), F.col("txn_id").cast("string")), max(n, 1), f"{seed}|"))
-    moved = out.join(pos, F.col("pick") == F.col("at")).select("draw", "txn_id", F.lit(1).alias("is_laundering"), F.col("new").alias("score"))
-    still = kept.select("txn_id", F.col("is_laundering").cast("int").alias("is_laundering"), "score").select(F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"), "*")
-    asis = excluded.where("is_laundering = 1").select(F.lit(0).alias("draw"), "txn_id", F.lit(1).alias("is_laundering"), "score")
-    rows = still.unionByName(moved).unionByName(asis)
-    return alerts.average_precision(rows, ["draw"]).select("draw", F.col("average_precision__txn").alias("ap"))
+    out = excluded.where("is_laundering = 1").select("txn_id", "score")
+    base = materialize(alerts.running_counts(own).where("p > 0"), "steps")
+    picks = out.select("txn_id", _draws(draws))
+    picks = picks.withColumn("pick", bucket(F.concat_ws("|", F.col("draw").cast("string"), F.col("txn_id").cast("string")), max(n, 1), f"{seed}|"))
+    moved = picks.join(pos, F.col("pick") == F.col("at")).groupBy(F.col("draw").alias("m_draw"), F.col("new").alias("m_score")).agg(F.count("*").alias("m"))
+    grid = base.select("score", _draws(draws)).join(moved, (F.col("draw") == F.col("m_draw")) & (F.col("score") == F.col("m_score")), "left")
+    grid = grid.select("draw", "score", F.coalesce("m", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("p"))
+    more = alerts.running(grid, ["draw"], alerts.score_ranges(base)).select("draw", F.col("score").alias("g_score"), F.col("n").alias("m"), F.col("n_above").alias("m_above"))
+    rows = more.join(base, F.col("g_score") == F.col("score"))
+    total = F.lit(n + (out.count() if n else 0))
+    step = ratio(F.col("p") + F.col("m"), total) * ratio(F.col("p_above") + F.col("p") + F.col("m_above") + F.col("m"), F.col("n_above") + F.col("n") + F.col("m_above") + F.col("m"))
+    asis = own.unionByName(out.select("txn_id", F.lit(1).alias("is_laundering"), "score"))
+    seen = alerts.average_precision(asis).select(F.lit(0).alias("draw"), F.col("average_precision__txn").alias("ap"))
+    return seen.unionByName(rows.groupBy("draw").agg(F.sum(step).alias("ap")))
 
 
 def global_threshold(scored: DataFrame, flag: Column, k: int) -> DataFrame:

@@ -210,57 +210,32 @@ def _features_hub(s, d):
 
 _R = """, rings AS (SELECT ring_id, min(typology) AS typology, min(event_time) AS st, max(event_time) AS en FROM t WHERE ring_id IS NOT NULL GROUP BY 1),
   ra AS (SELECT DISTINCT ring_id, sender_id AS acct FROM t WHERE ring_id IS NOT NULL UNION SELECT ring_id, receiver_id FROM t WHERE ring_id IS NOT NULL)"""
-# Rings of one account only of each seventh, so that some test rings share no account with train.
-_THIN = "WITH t0 AS (" + adapters.evts_sql("duckdb") + "), t AS (SELECT * REPLACE (CASE WHEN ring_id % 7 = 0 THEN ring_id END AS ring_id, CASE WHEN ring_id % 7 = 0 THEN typology END AS typology) FROM t0)"
 _SETS = _R + f""", sd AS (SELECT *, st < TIMESTAMP '{CUT}' AS train FROM rings), ta AS (SELECT DISTINCT acct FROM ra JOIN sd USING (ring_id) WHERE train),
   ov AS (SELECT acct FROM ta INTERSECT SELECT acct FROM ra JOIN sd USING (ring_id) WHERE NOT train),
   dr AS (SELECT DISTINCT ring_id FROM ra JOIN sd USING (ring_id) WHERE NOT train AND acct IN (SELECT acct FROM ov))"""
 
 
-def _thin(s, d):
-    e = evts(s, d)
-    keep = F.col("ring_id") % 7 == 0
-    return e.withColumns({"ring_id": F.when(keep, F.col("ring_id")), "typology": F.when(keep, F.col("typology"))})
-
-
-def whole(sql: bool = True) -> Callable[[Query], Query]:
-    """Register a query of thinned rings again, over all rings; with ``sql`` beside its SQL without the thinning."""
-
-    def add(f: Query) -> Query:
-        name = f.__name__
-        return query(ORACLES[name].replace(_THIN, E, 1) if sql else None, f"{name}_all_rings")(lambda s, d: f(s, d, evts)) and f
-
-    return add
-
-
-#: Draws of the queries that are not held to SQL.
+#: Draws of the registered resampling queries.
 DRAWS = 1000
 
 
-def full_draws(**settings) -> Callable[[Query], Query]:
-    """Register a query of few draws again, with ``DRAWS`` of them and without SQL; tests compare its first draws."""
-    return lambda f: query(None, f"{f.__name__}_full_draws")(lambda s, d: f(s, d, draws=DRAWS, **settings)) and f
-
-
 def _split(e):
     rings, accounts = splits.rings_of(e), splits.ring_accounts_of(e)
     return e, rings, accounts, splits.ring_sides(rings, accounts, CUT)
 
 
-@whole()
-@query(_THIN + _SETS + """ SELECT count(*) FILTER (WHERE train) AS train_rings, count(*) FILTER (WHERE NOT train) AS test_rings_raw, (SELECT count(*) FROM dr) AS dropped_rings,
+@query(E + _SETS + """ SELECT count(*) FILTER (WHERE train) AS train_rings, count(*) FILTER (WHERE NOT train) AS test_rings_raw, (SELECT count(*) FROM dr) AS dropped_rings,
   count(*) FILTER (WHERE NOT train) - (SELECT count(*) FROM dr) AS test_rings, (SELECT count(*) FROM ov) AS overlap_accounts FROM sd""")
-def split_ring_sets(s, d, rows=_thin):
-    _, rings, accounts, _ = _split(rows(s, d))
+def split_ring_sets(s, d):
+    _, rings, accounts, _ = _split(evts(s, d))
     return splits.split_sets(rings, accounts, CUT)
 
 
-@whole()
-@query(_THIN + _SETS + f""" SELECT p AS protocol, part, count(*) AS rows, CAST(sum(is_laundering) AS BIGINT) AS positives, count(DISTINCT ring_id) AS rings FROM (
+@query(E + _SETS + f""" SELECT p AS protocol, part, count(*) AS rows, CAST(sum(is_laundering) AS BIGINT) AS positives, count(DISTINCT ring_id) AS rings FROM (
   SELECT p, CASE WHEN event_time < TIMESTAMP '{CUT}' THEN 'train' ELSE 'test' END AS part, is_laundering, ring_id FROM t, (VALUES ('naive'), ('ring-aware')) v(p)
   WHERE event_time < TIMESTAMP '{CUT}' OR p = 'naive' OR ring_id IS NULL OR ring_id IN (SELECT ring_id FROM sd WHERE NOT train AND ring_id NOT IN (SELECT ring_id FROM dr))) GROUP BY 1, 2""")
-def split_naive_vs_ring(s, d, rows=_thin):
-    e, _, _, sides = _split(rows(s, d))
+def split_naive_vs_ring(s, d):
+    e, _, _, sides = _split(evts(s, d))
     both = [splits.split_rows(e, sides, CUT, p).withColumn("protocol", F.lit(p)) for p in splits.PROTOCOLS]
     parts = both[0].unionByName(both[1]).groupBy("protocol", "part")
     return parts.agg(F.count("*").alias("rows"), F.sum("is_laundering").cast("long").alias("positives"), F.count_distinct("ring_id").alias("rings"))
@@ -278,21 +253,19 @@ _SWEEP = _R + """, b AS (SELECT min(st) AS lo, datediff('day', min(st), max(st))
   CAST(round_even((count(*) FILTER (WHERE NOT train) - coalesce((SELECT n FROM dr WHERE dr.frac = x.frac), 0)) / (SELECT nt FROM b), 0) AS BIGINT) AS per_typology FROM x GROUP BY 1, 2"""
 
 
-@whole()
-@query(_THIN + _SWEEP)
-def split_sweep(s, d, rows=_thin):
-    _, rings, accounts, _ = _split(rows(s, d))
+@query(E + _SWEEP)
+def split_sweep(s, d):
+    _, rings, accounts, _ = _split(evts(s, d))
     return splits.sweep(rings, accounts)
 
 
-@whole()
-@query(_THIN + _SETS + f""", te AS (SELECT * FROM t WHERE event_time >= TIMESTAMP '{CUT}' AND (ring_id IS NULL OR ring_id IN (SELECT ring_id FROM sd WHERE NOT train AND ring_id NOT IN (SELECT ring_id FROM dr)))),
+@query(E + _SETS + f""", te AS (SELECT * FROM t WHERE event_time >= TIMESTAMP '{CUT}' AND (ring_id IS NULL OR ring_id IN (SELECT ring_id FROM sd WHERE NOT train AND ring_id NOT IN (SELECT ring_id FROM dr)))),
   g AS (SELECT acct, d, max(y) AS y, max(u) AS u FROM (SELECT sender_id AS acct, event_date AS d, is_laundering AS y, CASE WHEN ring_id IS NULL THEN 1 ELSE 0 END AS u FROM te
   UNION ALL SELECT receiver_id, event_date, is_laundering, CASE WHEN ring_id IS NULL THEN 1 ELSE 0 END FROM te) GROUP BY 1, 2)
   SELECT count(*) AS test_total_account_days, count(*) FILTER (WHERE y = 1) AS test_positive_account_days,
   count(*) FILTER (WHERE y = 1 AND u = 1 AND acct IN (SELECT acct FROM ta)) AS unlabeled_positive_acct_days_touching_train_rings FROM g""")
-def split_optb_sensitivity(s, d, rows=_thin):
-    e, _, accounts, sides = _split(rows(s, d))
+def split_optb_sensitivity(s, d):
+    e, _, accounts, sides = _split(evts(s, d))
     return splits.option_b(splits.split_rows(e, sides, CUT).where("part = 'test'"), accounts, sides)
 
 
@@ -449,64 +422,59 @@ _CLUSTER = AD + MEM + """, pm AS (SELECT 'a:' || strftime(mem.day, '%Y-%m-%d') |
   lab AS (SELECT r.a AS ring_id, min(p.n) AS cluster FROM reach r JOIN pm p ON p.ring_id = r.b GROUP BY 1),
   cl AS (SELECT ad.day, ad.acct, coalesce(min(lab.cluster), 'a:' || strftime(ad.day, '%Y-%m-%d') || '|' || ad.acct) AS cluster FROM ad LEFT JOIN pm ON pm.day = ad.day AND pm.acct = ad.acct LEFT JOIN lab ON lab.ring_id = pm.ring_id
    WHERE y = 1 GROUP BY ad.day, ad.acct)"""
-_THIN_R = _THIN.replace("WITH", "WITH RECURSIVE", 1)
+_E_R = E.replace("WITH", "WITH RECURSIVE", 1)
 
 
-@whole(sql=False)
-@query(_THIN_R + _CLUSTER + " SELECT day, acct, cluster FROM cl")
-def ring_components(s, d, rows=_thin):
-    e = rows(s, d)
+@query(_E_R + _CLUSTER + " SELECT day, acct, cluster FROM cl")
+def ring_components(s, d):
+    e = evts(s, d)
     return nulls.clusters(alerts.account_days(e), alerts.membership(e))
 
 
 _POISSON = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in nulls.POISSON)
 _BOOT = _CLUSTER + ks(BUDGETS) + RK + f""", tb AS (SELECT cluster, k, count(*) AS total, count(*) FILTER (WHERE r1 <= k) AS caught FROM cl JOIN rk ON rk.day = cl.day AND rk.acct = cl.acct, ks GROUP BY 1, 2),
-  w AS (SELECT draw, k, total, caught, {_POISSON} AS w FROM (SELECT *, CAST('0x' || substr(md5('0|' || draw || '|' || cluster), 1, 8) AS BIGINT) % 100000000 / 100000000.0::DOUBLE AS u FROM tb, (SELECT unnest(range(1, 51)) AS draw))),
+  w AS (SELECT draw, k, total, caught, {_POISSON} AS w FROM (SELECT *, CAST('0x' || substr(md5('0|' || draw || '|' || cluster), 1, 8) AS BIGINT) % 100000000 / 100000000.0::DOUBLE AS u FROM tb, (SELECT unnest(range(1, {DRAWS + 1})) AS draw))),
   bs AS (SELECT draw, k, sum(w * caught) / nullif(sum(w * total), 0)::DOUBLE AS recall FROM w GROUP BY 1, 2)"""
 
 
-@full_draws(rows=evts)
-@whole(sql=False)
-@query(_THIN_R + _BOOT + " SELECT k, round(quantile_cont(recall, 0.025), 9) AS ci_lo, round(quantile_cont(recall, 0.975), 9) AS ci_hi, count(*) AS n_bootstrap FROM bs GROUP BY 1")
-def bootstrap_ci(s, d, rows=_thin, draws=50):
-    e = rows(s, d)
-    return nulls.bootstrap_ci(alerts.account_days(e), alerts.membership(e), BUDGETS, draws)
+@query(_E_R + _BOOT + " SELECT k, round(quantile_cont(recall, 0.025), 9) AS ci_lo, round(quantile_cont(recall, 0.975), 9) AS ci_hi, count(*) AS n_bootstrap FROM bs GROUP BY 1")
+def bootstrap_ci(s, d):
+    e = evts(s, d)
+    return nulls.bootstrap_ci(alerts.account_days(e), alerts.membership(e), BUDGETS, DRAWS)
 
 
-def _perm(draws: int) -> str:
-    return E + AD + MEM + ks(BUDGETS) + f""", tx AS (SELECT event_date AS day, txn_id AS rt, score, row_number() OVER (PARTITION BY event_date ORDER BY txn_id) AS place FROM t WHERE ring_id IS NOT NULL),
-  mx AS (SELECT draw, day, rt, row_number() OVER (PARTITION BY draw, day ORDER BY md5('0|' || draw || '|' || rt), rt) AS place FROM tx, (SELECT unnest(range(1, {draws + 1})) AS draw)),
+_PERM = (
+    E + AD + MEM + ks(BUDGETS) + f""", tx AS (SELECT event_date AS day, txn_id AS rt, score, row_number() OVER (PARTITION BY event_date ORDER BY txn_id) AS place FROM t WHERE ring_id IS NOT NULL),
+  mx AS (SELECT draw, day, rt, row_number() OVER (PARTITION BY draw, day ORDER BY md5('0|' || draw || '|' || rt), rt) AS place FROM tx, (SELECT unnest(range(1, {DRAWS + 1})) AS draw)),
   de AS (SELECT mx.draw, mx.day, mx.rt, tx.score FROM mx JOIN tx ON tx.day = mx.day AND tx.place = mx.place UNION ALL SELECT 0, day, rt, score FROM tx),
   ep AS (SELECT DISTINCT event_date AS day, sender_id AS acct, txn_id AS rt FROM t WHERE ring_id IS NOT NULL UNION SELECT event_date, receiver_id, txn_id FROM t WHERE ring_id IS NOT NULL),
   el AS (SELECT draw, ep.day, ep.acct, max(de.score) AS s FROM ep JOIN de ON de.day = ep.day AND de.rt = ep.rt GROUP BY 1, 2, 3),
   al AS (SELECT el.draw, el.day, el.acct, greatest(el.s, coalesce(ad.other_max, el.s)) AS score FROM el JOIN ad ON ad.day = el.day AND ad.acct = el.acct
-   UNION ALL SELECT dr.draw, ad.day, ad.acct, ad.score FROM ad, (SELECT unnest(range(0, {draws + 1})) AS draw) dr WHERE NOT EXISTS (SELECT 1 FROM ep WHERE ep.day = ad.day AND ep.acct = ad.acct)),
+   UNION ALL SELECT dr.draw, ad.day, ad.acct, ad.score FROM ad, (SELECT unnest(range(0, {DRAWS + 1})) AS draw) dr WHERE NOT EXISTS (SELECT 1 FROM ep WHERE ep.day = ad.day AND ep.acct = ad.acct)),
   rr AS (SELECT draw, day, acct, rank() OVER (PARTITION BY draw, day ORDER BY score DESC) AS r FROM al),
   br AS (SELECT draw, ring_id, min(r) AS r FROM rr JOIN mem ON mem.day = rr.day AND mem.acct = rr.acct GROUP BY 1, 2),
   pd AS (SELECT CAST(draw AS INTEGER) AS draw, k, avg(CASE WHEN r <= k THEN 1 ELSE 0 END) AS ring_recall FROM br, ks GROUP BY 1, 2)"""
+)
 
 
-@full_draws()
-@query(_perm(20) + " SELECT draw, k, round(ring_recall, 9) AS ring_recall FROM pd")
-def permutation_null(s, d, draws=20):
-    return nulls.permutation_draws(evts(s, d), BUDGETS, draws)
+@query(_PERM + " SELECT draw, k, round(ring_recall, 9) AS ring_recall FROM pd")
+def permutation_null(s, d):
+    return nulls.permutation_draws(evts(s, d), BUDGETS, DRAWS)
 
 
-@full_draws()
-@query(_perm(20) + """, o AS (SELECT k, ring_recall AS seen FROM pd WHERE draw = 0),
+@query(_PERM + """, o AS (SELECT k, ring_recall AS seen FROM pd WHERE draw = 0),
   g AS (SELECT k, seen, avg(ring_recall) AS m, quantile_cont(ring_recall, 0.025) AS lo, quantile_cont(ring_recall, 0.975) AS hi, count(*) AS b, count(*) FILTER (WHERE ring_recall >= seen) AS up, count(*) FILTER (WHERE ring_recall <= seen) AS dn
    FROM pd JOIN o USING (k) WHERE draw > 0 GROUP BY 1, 2)
   SELECT k, round(seen, 9) AS ring_recall_minrank, round(m, 9) AS ring_recall_null, round(lo, 9) AS null_lo, round(hi, 9) AS null_hi, round(seen / nullif(m, 0), 3) AS lift, round(seen / nullif(m, 0), 3) AS ring_coverage_concentration,
   round((up + 1) / (b + 1)::DOUBLE, 9) AS p, round((dn + 1) / (b + 1)::DOUBLE, 9) AS p_lower, round(least(1, 2 * least((up + 1) / (b + 1)::DOUBLE, (dn + 1) / (b + 1)::DOUBLE)), 9) AS p_two_sided, b AS permutations, round(1 / (b + 1)::DOUBLE, 9) AS p_resolution FROM g""")
-def permutation_summary(s, d, draws=20):
-    return nulls.permutation_summary(nulls.permutation_draws(evts(s, d), BUDGETS, draws))
+def permutation_summary(s, d):
+    return nulls.permutation_summary(nulls.permutation_draws(evts(s, d), BUDGETS, DRAWS))
 
 
-@full_draws()
-@query(_perm(10) + """, ty AS (SELECT ring_id, min(typology) AS typology FROM t WHERE ring_id IS NOT NULL GROUP BY 1), q AS (SELECT draw, typology, avg(CASE WHEN r <= 25 THEN 1 ELSE 0 END) AS x FROM br JOIN ty USING (ring_id) GROUP BY 1, 2)
+@query(_PERM + """, ty AS (SELECT ring_id, min(typology) AS typology FROM t WHERE ring_id IS NOT NULL GROUP BY 1), q AS (SELECT draw, typology, avg(CASE WHEN r <= 25 THEN 1 ELSE 0 END) AS x FROM br JOIN ty USING (ring_id) GROUP BY 1, 2)
   SELECT CAST(draw AS INTEGER) AS draw, round(max(x) - min(x), 9) AS spread FROM q GROUP BY 1""")
-def typology_spread_null(s, d, draws=10):
-    return nulls.typology_spread(evts(s, d), 25, draws)
+def typology_spread_null(s, d):
+    return nulls.typology_spread(evts(s, d), 25, DRAWS)
 
 
 _P8 = ", ".join(f"('{n}', {p})" for n, p in (("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.005), ("e", 0.6), ("f", 0.04), ("g", 0.9), ("h", 0.2)))
@@ -542,16 +510,16 @@ def cramers_v(s, d):
 
 _CF = E + """, kept AS (SELECT txn_id, is_laundering, score FROM t WHERE event_id_ok), ex AS (SELECT txn_id, is_laundering, score FROM t WHERE NOT event_id_ok AND is_laundering = 1)"""
 _CF = _CF.replace("event_id_ok", "(ring_id IS NULL OR ring_id % 2 = 0)") + """, kp AS (SELECT row_number() OVER (ORDER BY md5(CAST(txn_id AS VARCHAR)), txn_id) - 1 AS at, score AS new FROM kept WHERE is_laundering = 1), n AS (SELECT count(*) AS n FROM kp),
-  mv AS (SELECT draw, txn_id, CAST('0x' || substr(md5('0|' || draw || '|' || txn_id), 1, 8) AS BIGINT) % n AS pick FROM ex, n, (SELECT unnest(range(1, 6)) AS draw)),
-  al AS (SELECT draw, is_laundering, score FROM kept, (SELECT unnest(range(0, 6)) AS draw) UNION ALL SELECT mv.draw, 1, kp.new FROM mv JOIN kp ON kp.at = mv.pick UNION ALL SELECT 0, 1, score FROM ex)""" + _STEP.format(g="draw, ", t="al", part="PARTITION BY draw ", all="PARTITION BY draw")
+  mv AS (SELECT draw, txn_id, CAST('0x' || substr(md5('0|' || draw || '|' || txn_id), 1, 8) AS BIGINT) % n AS pick FROM ex, n, (SELECT unnest(range(1, DRAWS_END)) AS draw)),
+  al AS (SELECT draw, is_laundering, score FROM kept, (SELECT unnest(range(0, DRAWS_END)) AS draw) UNION ALL SELECT mv.draw, 1, kp.new FROM mv JOIN kp ON kp.at = mv.pick UNION ALL SELECT 0, 1, score FROM ex)""" + _STEP.format(g="draw, ", t="al", part="PARTITION BY draw ", all="PARTITION BY draw")
+_CF = _CF.replace("DRAWS_END", str(DRAWS + 1))
 
 
-@full_draws()
 @query(_CF + " SELECT CAST(draw AS INTEGER) AS draw, round(sum(p / tp::DOUBLE * (cp / cn::DOUBLE)), 9) AS ap FROM c GROUP BY 1")
-def counterfactual_ap(s, d, draws=5):
+def counterfactual_ap(s, d):
     e = evts(s, d).select("txn_id", "is_laundering", "score", "ring_id")
     ok = F.col("ring_id").isNull() | (F.col("ring_id") % 2 == 0)
-    return nulls.counterfactual(e.where(~ok), e.where(ok), draws)
+    return nulls.counterfactual(e.where(~ok), e.where(ok), DRAWS)
 
 
 @query(E + """, top AS (SELECT min(score) AS thr FROM (SELECT score FROM t ORDER BY score DESC, txn_id LIMIT 500)) SELECT coalesce(ring_id % 2 = 1, false) AS excluded, count(*) AS n, CAST(sum(is_laundering) AS BIGINT) AS positives,
