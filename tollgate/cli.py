@@ -6,6 +6,7 @@ import argparse
 import inspect
 import sys
 import traceback
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -14,7 +15,7 @@ from .plans import stages
 from .sources import files, transfers
 
 STAGES = {n.replace("_", "-"): getattr(stages, n) for n in (
-    "verify_dataset", "normalize", "parse_patterns", "reconcile", "build_features", "build_splits", "train", "evaluate", "plant_leak", "make_drift", "splice_drift", "drift_experiment", "make_bundle", "verify_bundle",
+    "verify_dataset", "normalize", "parse_patterns", "reconcile", "build_features", "split_sweep", "build_splits", "train", "evaluate", "model_stability", "plant_leak", "leak_sweep", "make_drift", "splice_drift", "drift_experiment", "make_bundle", "verify_bundle",
 )}
 
 
@@ -25,17 +26,21 @@ def session(name: str = "tollgate") -> SparkSession:
     return spark
 
 
+def _many(kind: type) -> Callable[[str], list]:
+    return lambda x: [kind(v) for v in x.split(",")]
+
+
 def _option(parser: argparse.ArgumentParser, p: inspect.Parameter) -> None:
-    name, default = f"--{p.name.replace('_', '-')}", p.default
+    name, default, said = f"--{p.name.replace('_', '-')}", p.default, str(p.annotation)
+    number = float if "float" in said else int if "int" in said else str
     if isinstance(default, bool):
         parser.add_argument(name, action="store_true")
+    elif "Sequence" in said:
+        parser.add_argument(name, type=_many(number), **({"required": True} if default is inspect.Parameter.empty else {"default": default}))
     elif default is inspect.Parameter.empty:
-        kind = int if "int" in str(p.annotation) and "float" not in str(p.annotation) and "Sequence" not in str(p.annotation) else float if str(p.annotation) == "float" else str
-        parser.add_argument(name, required=True, type=(lambda x: [int(v) for v in x.split(",")]) if "Sequence" in str(p.annotation) else kind)
-    elif isinstance(default, (tuple, list)):
-        parser.add_argument(name, default=default, type=lambda x: [int(v) for v in x.split(",")])
+        parser.add_argument(name, required=True, type=number)
     else:
-        parser.add_argument(name, default=default, type=int if default is None else type(default))
+        parser.add_argument(name, default=default, type=number)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -24,13 +24,14 @@ COLUMNS = (
 RAW_SCHEMA = T.StructType([T.StructField(n, t) for n, t in COLUMNS])
 #: The one header line that is accepted; fixed value.
 HEADER = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering"
+#: Format of a raw transfer's time; fixed value.
 TIME_FORMAT = "yyyy/MM/dd HH:mm"
 
 #: Ring shapes; fixed values.
 TYPOLOGIES = ("FAN-OUT", "FAN-IN", "CYCLE", "BIPARTITE", "STACK", "SCATTER-GATHER", "GATHER-SCATTER", "RANDOM")
 #: Review slots a day; fixed values.
 BUDGETS = (10, 25, 50, 100, 200, 500, 1000)
-#: Trailing windows of the history features, in seconds, and the exclusion of the present minute.
+#: Trailing windows of the history features, in seconds, and the exclusion of the present minute; fixed values.
 WINDOWS = {"1d": 86_400, "7d": 604_800, "30d": 2_592_000}
 MINUTE = 60
 #: Share of the median daily volume under which a day counts as thin.
@@ -38,6 +39,7 @@ COLLAPSE = 0.01
 #: Ranks that a replay bundle keeps of each day.
 BUNDLE_CAP = 1000
 
+#: Names of the features, in the order of the table; fixed values.
 TXN_FEATURES = (
     "log_amount_paid", "log_amount_received", "fx_ratio", "currency_mismatch", "amount_roundness", "hour", "dayofweek",
     "is_weekend", "is_self_transfer", "is_cross_bank", "payment_format_code", "payment_currency_code",

@@ -8,7 +8,11 @@ OK, TRANSIENT, CORRECTNESS = 0, 1, 2
 #: Marks of a fault outside this engine that may pass; fixed values.
 _PASSING = (
     "FetchFailed", "ExecutorLost", "Connection refused", "Connection reset", "timed out", "TimeoutException", "SocketException", "UnknownHostException",
-    "Too Many Requests", "503 ", "No space left on device", "OutOfMemoryError",
+    "Too Many Requests", "503 ",
+)
+#: Marks of what retrying does not change, however it is wrapped: full disks and heaps come back, and so do missing rights; fixed values.
+_STAYING = (
+    "No space left on device", "OutOfMemoryError", "AuthenticationError", "Unauthorized", "PermissionError", "AccessControlException", "AccessDenied", "Access Denied", "401 ", "403 ",
 )
 
 
@@ -25,9 +29,15 @@ def chain(error: BaseException) -> list[BaseException]:
 
 
 def classify(error: BaseException) -> int:
-    """1 for a fault known to pass, else 2. A refusal of this engine anywhere in the chain wins over a fault that may pass."""
+    """1 for a fault known to pass, else 2.
+
+    A refusal of this engine, a failed assertion, or a fault that stays, anywhere in the chain, wins
+    over a fault that may pass.
+    """
     causes = chain(error)
-    if any(isinstance(e, TollgateError) for e in causes):
+    if any(isinstance(e, (TollgateError, AssertionError, PermissionError, MemoryError)) for e in causes):
+        return CORRECTNESS
+    if any(m in f"{type(e).__name__}: {e}" for e in causes for m in _STAYING):
         return CORRECTNESS
     if any(isinstance(e, (ConnectionError, TimeoutError)) or any(m in str(e) for m in _PASSING) for e in causes):
         return TRANSIENT

@@ -6,6 +6,8 @@ import math
 from collections.abc import Mapping, Sequence
 from itertools import permutations
 
+import numpy as np
+
 #: Two-sided 95 % quantiles of Student's t by degrees of freedom; fixed values.
 T_95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365}
 
@@ -29,16 +31,20 @@ def sign_test(differences: Sequence[float]) -> dict[str, float]:
     return {"better": better, "worse": worse, "tied": len(differences) - better - worse, "p": binomial_two_sided(min(better, worse), better + worse)}
 
 
-def sign_flip(differences: Sequence[float]) -> float:
-    """Exact two-sided sign-flip p of a mean difference over at most 20 blocks; floor 2 * 0.5^n."""
-    d = [x for x in differences if x]
-    if not d:
-        return 1.0
-    if len(d) > 20:
-        raise ValueError("too many blocks to enumerate")
-    seen = abs(sum(d))
-    hits = sum(abs(sum(x if m >> i & 1 else -x for i, x in enumerate(d))) >= seen - 1e-12 for m in range(1 << len(d)))
-    return hits / (1 << len(d))
+def sign_flip(differences: Sequence[int]) -> float:
+    """Exact two-sided sign-flip p of the sum of whole differences over any number of blocks; floor 2 * 0.5^n.
+
+    The number of sign patterns that give each sum is built up block by block, so nothing is enumerated.
+    """
+    ways = {0: 1}
+    for d in differences:
+        more: dict[int, int] = {}
+        for s, n in ways.items():
+            for x in (s + d, s - d):
+                more[x] = more.get(x, 0) + n
+        ways = more
+    seen = abs(sum(differences))
+    return sum(n for s, n in ways.items() if abs(s) >= seen) / 2 ** len(differences)
 
 
 def holm(p: Mapping[str, float]) -> dict[str, float]:
@@ -154,3 +160,41 @@ def largest_remainder(shares: Mapping[str, float], total: int) -> dict[str, int]
     for k in sorted(raw, key=lambda k: -(raw[k] - out[k]))[: total - sum(out.values())]:
         out[k] += 1
     return out
+
+
+def binomial_spread(rings: Mapping[str, tuple[int, float]], draws: int, seed: int = 0) -> dict[str, float]:
+    """Greatest over least rate of (rings, rate) by shape, against shapes that are all found at the pooled rate.
+
+    A draw without a hit for some shape has an infinite ratio and counts as one that reaches the observed.
+    """
+    n, rate = (np.array([rings[k][j] for k in sorted(rings)], float) for j in (0, 1))
+    pooled = float(np.rint(rate * n).sum() / n.sum())
+    drawn = np.random.default_rng(seed).binomial(n.astype(int), pooled, (draws, len(n))) / n
+    low = drawn.min(1)
+    null = np.where(low > 0, drawn.max(1) / np.where(low > 0, low, 1), np.inf)
+    seen = float(rate.max() / rate.min()) if rate.min() else math.inf
+    finite = null[np.isfinite(null)].tolist()
+    return {
+        "observed_spread": seen, "pooled_rate": pooled, "null_spread_median": quantile(finite, 0.5) if finite else math.inf, "null_spread_p95": quantile(finite, 0.95) if finite else math.inf,
+        "p_value": (1 + int((null >= seen).sum())) / (draws + 1),
+    }
+
+
+def replication_power(a: Mapping[str, tuple[int, float]], b: Mapping[str, tuple[int, float]], draws: int, seed: int = 0) -> dict[str, float]:
+    """How low a rank correlation of two profiles of (rings, rate) by shape comes by chance if their order is the same.
+
+    Both are drawn from the first profile, scaled to each one's own level, so only sampling noise
+    separates them. Draws without a correlation, one side being constant, are left out.
+    """
+    shared = sorted(set(a) & set(b))
+    n_a, n_b = (np.array([x[k][0] for k in shared]) for x in (a, b))
+    p_a, p_b = (np.array([x[k][1] for k in shared], float) for x in (a, b))
+    scaled = np.clip(p_a * np.average(p_b, weights=n_b) / np.average(p_a, weights=n_a), 1e-6, 1 - 1e-6)
+    rng = np.random.default_rng(seed)
+    pairs = zip((rng.binomial(n_a, p_a, (draws, len(shared))) / n_a).tolist(), (rng.binomial(n_b, scaled, (draws, len(shared))) / n_b).tolist())
+    rho = [r for r in (spearman(x, y) for x, y in pairs) if r is not None]
+    seen = spearman(p_a.tolist(), p_b.tolist())
+    return {
+        "observed_rho": seen, "n_typologies": len(shared), "median_rho": quantile(rho, 0.5), "rho_lo": quantile(rho, 0.025), "rho_hi": quantile(rho, 0.975),
+        "share_at_or_below_observed": None if seen is None else sum(r <= seen + 1e-12 for r in rho) / len(rho),
+    }

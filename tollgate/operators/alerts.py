@@ -113,17 +113,30 @@ def member_ranks(days: DataFrame, members: DataFrame, cap: int) -> DataFrame:
     return members.join(ranks, (F.col("day") == F.col("r_day")) & (F.col("acct") == F.col("r_acct")), "left").drop("r_day", "r_acct")
 
 
+def refuse_orphans(days: DataFrame, ends_of_rings: DataFrame) -> None:
+    """Every ring endpoint (day, acct) must be an account-day, or ``MetricError``: membership and scores disagree."""
+    have = days.select(F.col("day").alias("h_day"), F.col("acct").alias("h_acct"))
+    lost = ends_of_rings.select("day", "acct").join(have, (F.col("day") == F.col("h_day")) & (F.col("acct") == F.col("h_acct")), "left_anti").count()
+    check(lost == 0, MetricError, f"{lost} ring endpoints have no account-day")
+
+
 def ring_recall(days: DataFrame, members: DataFrame, budgets: Sequence[int] = BUDGETS) -> DataFrame:
-    """One row a budget: share of rings with an alerted account-day, ring sizes, the members' own recall, and the closed-form null."""
+    """One row a budget: share of rings with an alerted account-day, ring sizes, the members' own recall, and closed-form nulls.
+
+    The closed forms take a ring's account-days as caught independently, at the members' own recall
+    or, pooled, at that of all positive account-days; they are for comparison only.
+    """
     found = member_ranks(days, members, max(budgets))
     rows = found.select("ring_id", "day", "acct", "rank_first", _budgets(budgets)).withColumn("hit", F.coalesce((F.col("rank_first") <= F.col("k")).cast("int"), F.lit(0)))
     rings = rows.groupBy("k", "ring_id").agg(F.max("hit").alias("hit"), F.count("*").alias("size"))
     units = rows.select("k", "day", "acct", "hit").distinct().groupBy(F.col("k").alias("u_k")).agg(F.count("*").alias("n_ring_account_days"), F.avg("hit").alias("ring_eligible_recall"))
-    rings = rings.join(units, F.col("k") == F.col("u_k"))
-    return rings.groupBy("k", "n_ring_account_days", "ring_eligible_recall").agg(
+    pooled = budget_metrics(days, budgets).select(F.col("k").alias("p_k"), F.col("recall").alias("pooled"))
+    rings = rings.join(units, F.col("k") == F.col("u_k")).join(pooled, F.col("k") == F.col("p_k"))
+    rows = rings.groupBy("k", "n_ring_account_days", "ring_eligible_recall").agg(
         F.count("*").alias("n_rings"), F.avg("hit").alias("ring_recall"), F.percentile("size", 0.5).alias("ring_size_median"), F.percentile("size", 0.9).alias("ring_size_p90"),
-        F.avg(1 - F.pow(1 - F.col("ring_eligible_recall"), F.col("size"))).alias("ring_recall_null_analytic"),
+        F.avg(1 - F.pow(1 - F.col("ring_eligible_recall"), F.col("size"))).alias("ring_recall_null_analytic"), F.avg(1 - F.pow(1 - F.col("pooled"), F.col("size"))).alias("ring_recall_null_analytic_pooled"),
     )
+    return rows.withColumn("ring_recall_lift_analytic_pooled", F.round(ratio(F.col("ring_recall"), F.col("ring_recall_null_analytic_pooled")), 3))
 
 
 def ring_recall_by_typology(scored: DataFrame, days: DataFrame, budget: int = 50) -> DataFrame:

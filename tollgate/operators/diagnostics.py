@@ -160,7 +160,25 @@ def format_facts(txns: DataFrame) -> DataFrame:
 
 
 def digest(scores: DataFrame) -> DataFrame:
-    """One row: rows, an order-free digest of (txn_id, score), and one of scores rounded to single-precision tolerance."""
-    exact = F.sum(F.xxhash64("txn_id", "score").cast("decimal(38,0)"))
-    rounded = F.sum(F.xxhash64("txn_id", F.round("score", 6)).cast("decimal(38,0)"))
-    return scores.agg(F.count("*").alias("rows"), exact.cast("string").alias("digest"), rounded.cast("string").alias("digest_rounded"))
+    """One row: rows, an order-free digest of (txn_id, score), and one of scores rounded to six places.
+
+    Portable: sums of the first 60 bits of MD5 of ``id|units``, units being the score in steps of
+    2^-40, or of one millionth.
+    """
+    part = lambda units: F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("txn_id").cast("string"), units.cast("decimal(38,0)").cast("string"))), 1, 15), 16, 10).cast("decimal(38,0)"))
+    exact, rounded = F.floor(F.col("score") * F.lit(2.0**40)), F.round(F.col("score") * 1_000_000 + 2.5e-2, 0)
+    return scores.agg(F.count("*").alias("rows"), part(exact).cast("string").alias("digest"), part(rounded).cast("string").alias("digest_rounded"))
+
+
+def feasible_tail(rates: DataFrame) -> DataFrame:
+    """One row: which detection rates of the later segment could give the pooled rate, with an earlier rate in [0, 1].
+
+    ``rates`` are those of ``segment_rates``.
+    """
+    n = F.sum("n_rings")
+    one = rates.agg(ratio(F.sum("n_after"), n).alias("share"), ratio(F.sum(F.col("n_rings") * F.col("rate")), n).alias("pooled"))
+    share, pooled = F.col("share"), F.col("pooled")
+    return one.select(
+        F.round(share, 5).alias("after_share"), F.round(pooled, 5).alias("pooled_rate"), F.round(F.least(F.lit(1.0), ratio(pooled, share)), 5).alias("max_feasible_tail_rate"),
+        F.round(F.greatest(F.lit(0.0), ratio(pooled - (1 - share), share)), 5).alias("min_feasible_tail_rate"),
+    )

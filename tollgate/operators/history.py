@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..contract import HISTORY, MINUTE, WINDOWS, require
 from ..functions.columns import bucket, day_of_week, epoch, ratio, roundness
+from ..storage import materialize
 
 KEYS = ("txn_id", "event_time", "event_date", "sender_id", "receiver_id", "is_laundering", "ring_id", "typology")
 _SPAN = WINDOWS["30d"]
+#: Days of a chunk of a hub's time, and events that make an account a hub.
+HUB_DAYS, HUB_EVENTS = 30, 1_000_000
 
 
 def account_events(txns: DataFrame, *extra: str) -> DataFrame:
@@ -27,34 +30,40 @@ def _first_contacts(events: DataFrame) -> DataFrame:
     return rows.withColumn("is_new_cp", F.col("prev_cp").isNull().cast("int"))
 
 
-def history(txns: DataFrame, hub_days: int | None = None) -> DataFrame:
+def history(txns: DataFrame, hub_days: int = HUB_DAYS, hub_events: int = HUB_EVENTS) -> DataFrame:
     """History of every account event: (txn_id, side, the columns of ``HISTORY``).
 
     Frames end one minute before the event, so it sees neither itself, nor others of its minute, nor
     the future. Counts and sums of an empty frame are 0; means, deviations, maxima, ratios and
     seconds are null on a cold start. All frames share one shuffle on the account.
 
-    ``hub_days`` bounds what one task must hold for an account with a very long history: time is cut
-    into chunks of so many days (30 at least), an event is read in its own chunk and, as history
-    only, in the next, and the running degree adds the sums of earlier chunks. Values are the same.
+    An account of more than ``hub_events`` events is a hub, and no task holds its whole life: its time
+    is cut into chunks of ``hub_days`` days (30 at least), an event is read in its own chunk and, as
+    history only, in the next, and the running degree adds the sums of earlier chunks. Values are the
+    same. Hubs are found by a count; there are fewer than the events over ``hub_events``.
     """
+    if hub_days * 86_400 < _SPAN:
+        raise ValueError("a chunk must be as long as the longest frame")
     events = _first_contacts(account_events(require(txns, ("txn_id", "event_time", "amount_paid", "sender_id", "receiver_id"))))
-    by, own = ["account_id"], F.lit(True)
-    if hub_days:
-        if hub_days * 86_400 < _SPAN:
-            raise ValueError("a chunk must be as long as the longest frame")
-        chunk = F.floor(F.col("t") / (hub_days * 86_400))
-        sums = events.groupBy("account_id", chunk.alias("chunk")).agg(F.sum("is_new_cp").alias("new"))
-        before = Window.partitionBy("account_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select(F.col("account_id").alias("k_account"), F.col("chunk").alias("k_chunk"), F.coalesce(F.sum("new").over(before), F.lit(0)).alias("new_before"))
-        events = events.withColumn("home", chunk).withColumn("chunk", F.explode(F.array(F.col("home"), F.col("home") + 1)))
-        events = events.join(sums, (F.col("account_id") == F.col("k_account")) & (F.col("chunk") == F.col("k_chunk")))
-        own, by = F.col("home") == F.col("chunk"), ["account_id", "chunk"]
+    by, own, earlier = ["account_id"], F.lit(True), F.lit(0)
+    ends = txns.select(F.explode(F.array("sender_id", "receiver_id")).alias("hub"))
+    hubs = materialize(ends.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > hub_events).select("hub"), "hubs")
+    if not hubs.isEmpty():
+        chunk = F.when(F.col("hub").isNotNull(), F.floor(F.col("t") / (hub_days * 86_400))).otherwise(0)
+        events = events.join(hubs, F.col("account_id") == F.col("hub"), "left").withColumn("home", chunk)
+        sums = events.where("hub is not null").groupBy("account_id", "home").agg(F.sum("is_new_cp").alias("new"))
+        before = Window.partitionBy("account_id").orderBy("home").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(F.col("account_id").alias("k_account"), F.col("home").alias("k_chunk"), F.coalesce(F.sum("new").over(before), F.lit(0)).alias("new_before"))
+        sums = materialize(sums, "degrees")
+        seen = F.when(F.col("hub").isNotNull(), F.array(F.col("home"), F.col("home") + 1)).otherwise(F.array("home"))
+        events = events.withColumn("chunk", F.explode(seen))
+        events = events.join(sums, (F.col("account_id") == F.col("k_account")) & (F.col("chunk") == F.col("k_chunk")), "left")
+        own, by, earlier = F.col("home") == F.col("chunk"), ["account_id", "chunk"], F.coalesce("new_before", F.lit(0))
     frame = {k: Window.partitionBy(*by).orderBy("t").rangeBetween(-s, -MINUTE) for k, s in WINDOWS.items()}
     ever = Window.partitionBy(*by).orderBy("t").rangeBetween(Window.unboundedPreceding, -MINUTE)
     week, month = frame["7d"], frame["30d"]
     n7, out7, new7 = F.count("*").over(week), F.sum("is_out").over(week), F.sum("is_new_cp").over(week)
-    degree = F.coalesce(F.sum(F.when(own, F.col("is_new_cp"))).over(ever), F.lit(0)) + (F.col("new_before") if hub_days else F.lit(0))
+    degree = F.coalesce(F.sum(F.when(own, F.col("is_new_cp"))).over(ever), F.lit(0)) + earlier
     rows = events.select(
         "txn_id", "side", own.alias("own"),
         F.count("*").over(frame["1d"]).alias("n_1d"), n7.alias("n_7d"), F.count("*").over(month).alias("n_30d"),
@@ -85,9 +94,9 @@ def two_sided(sides: DataFrame, columns: tuple[str, ...] | list[str]) -> DataFra
     return sides.groupBy("txn_id").agg(*[one(s, c) for s in "sr" for c in columns])
 
 
-def feature_table(txns: DataFrame, hub_days: int | None = None) -> DataFrame:
+def feature_table(txns: DataFrame, hub_days: int = HUB_DAYS, hub_events: int = HUB_EVENTS) -> DataFrame:
     """Keys, the twelve transfer features, both sides' history and the amounts against both means."""
-    folded = two_sided(history(txns, hub_days), HISTORY).withColumnRenamed("txn_id", "h_txn_id")
+    folded = two_sided(history(txns, hub_days, hub_events), HISTORY).withColumnRenamed("txn_id", "h_txn_id")
     rows = txns.select(*KEYS, "amount_paid", *transaction_features(txns)).join(folded, F.col("txn_id") == F.col("h_txn_id"), "left").drop("h_txn_id")
     for s in "sr":
         rows = rows.withColumn(f"{s}_amt_vs_hist", ratio(F.col("amount_paid"), F.col(f"{s}_mean_amt_7d")))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..contract import MetricError, check
+from ..functions import stats
 from ..functions.columns import bucket, order_key, ratio
 from ..storage import materialize
 from . import alerts
@@ -23,13 +25,12 @@ def _draws(draws: int) -> Column:
 
 
 def _below(values: DataFrame, fixed: DataFrame) -> DataFrame:
-    """For each (day, score) of ``values`` how many account-days of ``fixed`` that day score higher."""
-    marks = values.select("day", "score", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
-    held = fixed.groupBy("day", "score").agg(F.count("*").alias("n")).withColumn("asked", F.lit(False))
-    over = Window.partitionBy("day").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at = Window.partitionBy("day", "score")
-    rows = marks.unionByName(held).withColumn("upto", F.sum("n").over(over)).withColumn("same", F.sum("n").over(at))
-    return rows.where("asked").select(F.col("day").alias("b_day"), F.col("score").alias("b_score"), (F.col("upto") - F.col("same")).alias("higher")).distinct()
+    """For each (day, score) of ``values`` how many account-days of ``fixed`` that day score higher, by ranges of scores."""
+    marks = values.select("day", "score", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"))
+    held = fixed.select("day", "score", F.lit(1).cast("long").alias("n"), F.lit(0).alias("asked"))
+    hist = materialize(marks.unionByName(held).groupBy("day", "score").agg(F.sum("n").alias("n"), F.sum("asked").alias("p")), "levels")
+    rows = alerts.running(hist, ["day"], alerts.score_ranges(hist)).where("p > 0")
+    return rows.select(F.col("day").alias("b_day"), F.col("score").alias("b_score"), F.col("n_above").alias("higher"))
 
 
 def permutation_rings(scored: DataFrame, draws: int, seed: int = 0) -> DataFrame:
@@ -88,12 +89,76 @@ def permutation_summary(draws: DataFrame) -> DataFrame:
     )
 
 
-def typology_spread(scored: DataFrame, budget: int, draws: int, seed: int = 0) -> DataFrame:
-    """Best minus worst typology's ring recall of each draw; draw 0 is observed."""
+def typology_rates(scored: DataFrame, budget: int, draws: int, seed: int = 0) -> DataFrame:
+    """Ring recall (draw, typology, recall) of each shape in each permutation; draw 0 is observed."""
     per = permutation_rings(scored, draws, seed)
     rings = scored.where("ring_id is not null").groupBy("ring_id").agg(F.min("typology").alias("typology"))
-    per = per.join(rings, "ring_id").groupBy("draw", "typology").agg(F.avg((F.col("best_rank") <= budget).cast("int")).alias("recall"))
-    return per.groupBy("draw").agg((F.max("recall") - F.min("recall")).alias("spread"))
+    per = per.join(rings, "ring_id")
+    return per.groupBy("draw", "typology").agg(F.avg((F.col("best_rank") <= budget).cast("int")).alias("recall"))
+
+
+def typology_spread(scored: DataFrame, budget: int, draws: int, seed: int = 0) -> DataFrame:
+    """Best minus worst typology's ring recall of each draw; draw 0 is observed."""
+    return typology_rates(scored, budget, draws, seed).groupBy("draw").agg((F.max("recall") - F.min("recall")).alias("spread"))
+
+
+def typology_spread_ratio(rates: DataFrame) -> DataFrame:
+    """One row: best over worst shape's recall, observed and under the null of ``typology_rates``.
+
+    A draw in which a shape is never found has an infinite ratio and counts as one that reaches the
+    observed; median and 95th percentile are of the finite ones.
+    """
+    per = rates.groupBy("draw").agg(F.max("recall").alias("hi"), F.min("recall").alias("lo")).withColumn("spread", ratio(F.col("hi"), F.col("lo")))
+    seen = per.where("draw = 0").select(F.col("spread").alias("observed_spread"))
+    null = per.where("draw > 0").crossJoin(seen)  # a single row
+    far = F.col("spread").isNull() | (F.col("spread") >= F.col("observed_spread"))
+    return null.groupBy("observed_spread").agg(
+        F.percentile("spread", 0.5).alias("null_spread_median"), F.percentile("spread", 0.95).alias("null_spread_p95"), F.count("*").alias("draws"),
+        ratio(1 + F.count_if(far), F.count("*") + 1).alias("p_value"), (100 * F.avg((~far).cast("int"))).alias("observed_percentile"),
+    )
+
+
+def typology_concentration(rates: DataFrame) -> DataFrame:
+    """One row a shape: observed recall over its null mean, with its 95 % range, p and Holm's p over the shapes.
+
+    p counts the draws that lie as far from the null mean, in ratio, on either side; p_mc_se is its
+    Monte Carlo error. The range divides the observed by the null's quantiles.
+    """
+    seen = rates.where("draw = 0").select(F.col("typology").alias("s_typology"), F.col("recall").alias("observed"))
+    null = rates.where("draw > 0").groupBy(F.col("typology").alias("n_typology")).agg(
+        F.avg("recall").alias("null"), F.percentile("recall", 0.025).alias("q_lo"), F.percentile("recall", 0.975).alias("q_hi"), F.count("*").alias("draws")
+    )
+    by = seen.join(null, F.col("s_typology") == F.col("n_typology")).withColumn("concentration", ratio(F.col("observed"), F.col("null")))
+    far = F.abs(ratio(F.col("recall"), F.col("null")) - 1) >= F.abs(F.col("concentration") - 1)
+    rows = rates.where("draw > 0").join(by, F.col("typology") == F.col("s_typology"))
+    rows = rows.groupBy("typology", "observed", "null", "concentration", "q_lo", "q_hi", "draws").agg(F.count_if(far).alias("n_draws_at_or_beyond"))
+    rows = rows.withColumn("p", ratio(1 + F.col("n_draws_at_or_beyond"), F.col("draws") + 1))
+    lo, hi = ratio(F.col("observed"), F.col("q_hi")), ratio(F.col("observed"), F.col("q_lo"))
+    rows = materialize(rows.select(
+        "typology", "observed", "null", "concentration", lo.alias("ci_lo"), hi.alias("ci_hi"), ((lo > 1) | (hi < 1)).alias("ci95_excludes_1"), "p", "n_draws_at_or_beyond",
+        F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("draws")).alias("p_mc_se"), "draws",
+    ), "shapes")
+    adjusted = holm(rows.select(F.col("typology").alias("name"), "p")).select(F.col("name").alias("h_name"), "p_holm")
+    return rows.join(adjusted, F.col("typology") == F.col("h_name")).drop("h_name")
+
+
+def holm_resolution(shapes: DataFrame, level: float = 0.05) -> DataFrame:
+    """One row: whether the draws settle the least adjusted p of ``typology_concentration``.
+
+    Settled means that the Monte Carlo range of the least p times the number of tests lies on one
+    side of ``level``; otherwise the draws that would settle it, null where none would.
+    """
+    one = shapes.agg(F.min("p").alias("p"), F.min("p_holm").alias("smallest_p_holm"), F.count("*").alias("n_tests"), F.max("draws").alias("draws"), F.count_if(F.col("p_holm") < level).alias("n_significant"))
+    se = F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("draws"))
+    at = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x * F.col("n_tests")))
+    one = one.withColumn("mc_lo", at(F.col("p") - 1.96 * se)).withColumn("mc_hi", at(F.col("p") + 1.96 * se))
+    settled = (F.col("mc_hi") < level) | (F.col("mc_lo") > level)
+    gap = F.lit(level) / F.col("n_tests") - F.col("p")
+    need = F.floor(F.lit(1.96**2) * F.col("p") * (1 - F.col("p")) / (gap * gap)) + 1
+    return one.select(
+        "n_tests", "n_significant", "smallest_p_holm", "mc_lo", "mc_hi", ratio(F.col("n_tests"), F.col("draws") + 1).alias("smallest_p_holm_attainable"), settled.alias("resolved"),
+        F.when(~settled & (gap > 0), need).alias("draws_needed"),
+    )
 
 
 def hypergeometric(days: DataFrame, thin_from: str, budgets: Sequence[int]) -> DataFrame:
@@ -130,13 +195,18 @@ def population_bounds(bundle: DataFrame, positives: DataFrame, raw: DataFrame, r
     """Bounds of each day's population: (day, n_positive, n_d_low, n_d_high, exact).
 
     A day whose highest rank is below the cap was written in full; of another, the population lies
-    between the most it must hold and the raw account-days.
+    between the most it must hold and the raw account-days. Raises ``MetricError`` where a day at the
+    cap has no raw count, or one below what the bundle proves: the two are not of one population.
     """
     top = bundle.groupBy("day").agg(F.max("rank").alias("mx"))
-    rows = top.join(positives, "day", "left").join(raw, "day").join(removed, "day", "left").na.fill(0, ["n_positive", "removed"])
+    rows = top.join(positives, "day", "left").join(raw, "day", "left").join(removed, "day", "left").na.fill(0, ["n_positive", "removed"])
     exact = F.col("mx") < cap
-    low = F.when(exact, F.col("mx")).otherwise(F.greatest(F.col("mx"), F.col("n_positive"), F.col("raw") - F.col("removed")))
-    return rows.select("day", "n_positive", low.cast("long").alias("n_d_low"), F.when(exact, F.col("mx")).otherwise(F.col("raw")).cast("long").alias("n_d_high"), exact.alias("exact"))
+    low = F.when(exact, F.col("mx")).otherwise(F.greatest(F.col("mx"), F.col("n_positive"), F.col("raw") - F.col("removed"))).cast("long")
+    high = F.when(exact, F.col("mx")).otherwise(F.col("raw")).cast("long")
+    out = materialize(rows.select("day", "n_positive", low.alias("n_d_low"), high.alias("n_d_high"), exact.alias("exact")), "bounds")
+    bad = out.where("n_d_high is null or n_d_low > n_d_high").orderBy("day").first()
+    check(bad is None, MetricError, f"{bad and bad['day']}: at least {bad and bad['n_d_low']} account-days and at most {bad and bad['n_d_high']}")
+    return out
 
 
 def nonbinding(bundle: DataFrame, positives: DataFrame, cap: int, budgets: Sequence[int]) -> DataFrame:
@@ -222,6 +292,31 @@ def counterfactual(excluded: DataFrame, kept: DataFrame, draws: int, seed: int =
     return seen.unionByName(rows.groupBy("draw").agg(F.sum(step).alias("ap")))
 
 
+def contrasts(excluded: DataFrame, kept: DataFrame, draws: int, seed: int = 0) -> DataFrame:
+    """One row: the gap in average precision between all rows and the kept ones, split by the counterfactual.
+
+    What remains of the gap once the excluded positives score like kept ones is the composition's, and
+    the rest the score distribution's. These are contrasts, not effects: nothing here identifies one.
+    """
+    ap = materialize(counterfactual(excluded, kept, draws, seed), "contrasts")
+    ring = alerts.average_precision(kept.select(F.col("is_laundering").cast("int").alias("is_laundering"), "score")).select(F.col("average_precision__txn").alias("ap_ring_aware"))
+    mean = ap.agg(
+        F.max(F.when(F.col("draw") == 0, F.col("ap"))).alias("ap_naive_actual"), F.avg(F.when(F.col("draw") > 0, F.col("ap"))).alias("ap_naive_counterfactual_mean"),
+        F.percentile(F.when(F.col("draw") > 0, F.col("ap")), 0.025).alias("ap_naive_counterfactual_lo"), F.percentile(F.when(F.col("draw") > 0, F.col("ap")), 0.975).alias("ap_naive_counterfactual_hi"),
+        F.count_if(F.col("draw") > 0).alias("draws"),
+    )
+    size = excluded.agg(F.count("*").alias("n_excluded"), F.coalesce(F.sum(F.col("is_laundering").cast("long")), F.lit(0)).alias("n_excluded_positives"))
+    held = kept.agg(F.coalesce(F.sum(F.col("is_laundering").cast("long")), F.lit(0)).alias("n_retained_positives"))
+    rows = ring.crossJoin(mean).crossJoin(size).crossJoin(held)  # four single rows
+    gap = F.col("ap_naive_actual") - F.col("ap_ring_aware")
+    composed = F.col("ap_naive_counterfactual_mean") - F.col("ap_ring_aware")
+    rest = F.col("ap_naive_actual") - F.col("ap_naive_counterfactual_mean")
+    return rows.select(
+        "*", gap.alias("total_gap"), composed.alias("composition_contrast"), rest.alias("score_distribution_contrast"), ratio(composed, gap).alias("composition_share"),
+        ratio(rest, gap).alias("score_distribution_share"), (F.col("n_excluded") == F.col("n_excluded_positives")).alias("excluded_all_positive"),
+    )
+
+
 def global_threshold(scored: DataFrame, flag: Column, k: int) -> DataFrame:
     """Among the k highest scores (ties by id), by ``flag``: (excluded, n, positives, alerted, caught, threshold)."""
     top = scored.orderBy(F.col("score").desc(), "txn_id").limit(k).agg(F.min("score").alias("threshold"))
@@ -240,6 +335,44 @@ def holm(p: DataFrame) -> DataFrame:
     return rows.select("name", "p", F.least(F.lit(1.0), F.max("x").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).alias("p_holm"))
 
 
+def paired_counts(caught: DataFrame) -> DataFrame:
+    """(k, arm_x, arm_y, day, only_x, only_y) of each pair of arms and day, from (arm, k, day, acct, hit) of the positives.
+
+    Every arm must have the same positives: they rank the same account-days.
+    """
+    x = caught.select("k", "day", "acct", F.col("arm").alias("arm_x"), F.col("hit").alias("hit_x"))
+    y = caught.select(F.col("k").alias("y_k"), F.col("day").alias("y_day"), F.col("acct").alias("y_acct"), F.col("arm").alias("arm_y"), F.col("hit").alias("hit_y"))
+    both = x.join(y, (F.col("k") == F.col("y_k")) & (F.col("day") == F.col("y_day")) & (F.col("acct") == F.col("y_acct")) & (F.col("arm_x") < F.col("arm_y")))
+    only = lambda a, b: F.count_if(F.col(a) & ~F.col(b))
+    return both.groupBy("k", "arm_x", "arm_y", "day").agg(only("hit_x", "hit_y").alias("only_x"), only("hit_y", "hit_x").alias("only_y"))
+
+
+def paired_tests(caught: DataFrame) -> dict[str, dict]:
+    """Paired tests of every two arms at every budget, with Holm over the family; see ``paired_counts``.
+
+    McNemar's test is over positives; the sign test and the sign flip are blocked by day, the unit that
+    is independent, with the least p that so many days can give.
+    """
+    sizes = {(r["arm"], r["k"]): r["n"] for r in caught.groupBy("arm", "k").agg(F.count("*").alias("n")).collect()}  # arms x budgets
+    check(len(set(sizes.values())) <= 1, MetricError, f"the arms hold different positives: {sizes}")
+    rows = paired_counts(caught).collect()  # pairs x budgets x days
+    out: dict[str, dict] = {}
+    for key in sorted({(r["k"], r["arm_x"], r["arm_y"]) for r in rows}):
+        own = [r for r in rows if (r["k"], r["arm_x"], r["arm_y"]) == key]
+        b, c, nets = sum(r["only_x"] for r in own), sum(r["only_y"] for r in own), [r["only_x"] - r["only_y"] for r in own]
+        signs = stats.sign_test(nets)
+        split = signs["better"] + signs["worse"]
+        out["{1}_vs_{2}@{0}".format(*key)] = {
+            "only_x": b, "only_y": c, "n_discordant": b + c, "n_days": len(own), "days_favouring_x": signs["better"], "days_favouring_y": signs["worse"], "p_exact_mcnemar": stats.mcnemar(b, c),
+            "p_sign_test_blocked_by_day": signs["p"], "p_permutation_blocked_by_day": stats.sign_flip(nets), "smallest_p_attainable_by_design": min(1.0, 2 * 0.5 ** len(own)),
+            "smallest_p_attainable_given_ties": min(1.0, 2 * 0.5**split), "net_by_day": {str(r["day"]): r["only_x"] - r["only_y"] for r in own},
+        }
+    for p, name in (("p_exact_mcnemar", "p_holm"), ("p_permutation_blocked_by_day", "p_holm_blocked")):
+        for k, x in stats.holm({k: v[p] for k, v in out.items()}).items():
+            out[k][name] = x
+    return out
+
+
 def discordant(scored: DataFrame, a: Column, b: Column) -> DataFrame:
     """One row: positives that only a catches, only b, both, neither."""
     rows = scored.where("is_laundering = 1").select(a.alias("a"), b.alias("b"))

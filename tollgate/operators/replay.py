@@ -6,12 +6,13 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contract import BUNDLE_CAP, MetricError, check
 from ..functions.columns import ratio
 from ..sources import files
+from ..storage import materialize
 from . import alerts
 
 TABLES = ("account_days_topk", "per_day_positives", "ring_membership", "ring_endpoints", "ring_transactions")
@@ -21,14 +22,27 @@ TOLERANCE = 1e-9
 def account_days_topk(days: DataFrame, members: DataFrame, cap: int = BUNDLE_CAP, ties: bool = False) -> DataFrame:
     """Each day's ranks up to the cap and every ring account-day: (day, acct, score, other_max, y, rank).
 
-    Ring account-days beyond the cap need a rank in their whole day, so this ranks all rows. With
-    ``ties`` every member of a tie that the cap cuts stays too.
+    Ranks up to the cap come from a day's parts, each cut to the cap first. A ring account-day beyond
+    it is ranked by the account-days that score higher, counted by ranges of scores, and its place
+    among those of its own score; no task sorts a day. With ``ties`` every member of a tie that the cap
+    cuts stays too.
     """
-    ringed = members.select(F.col("day").alias("m_day"), F.col("acct").alias("m_acct"), F.lit(True).alias("ringed")).distinct()
-    rows = alerts.ranked(days).join(ringed, (F.col("day") == F.col("m_day")) & (F.col("acct") == F.col("m_acct")), "left")
-    keep = F.col("rank_min" if ties else "rank_first") <= cap
     extra = [c for c in ("argmax_txn_id",) if c in days.columns]
-    return rows.where(keep | F.col("ringed")).select("day", "acct", "score", "other_max", "y", F.col("rank_first").cast("int").alias("rank"), *extra)
+    out = ["day", "acct", "score", "other_max", "y", F.col("rank_first").cast("int").alias("rank"), *extra]
+    top = alerts.ranked(days, cap)
+    top = (top if ties else top.where(F.col("rank_first") <= cap)).select(*out)
+    ringed = members.select(F.col("day").alias("m_day"), F.col("acct").alias("m_acct")).distinct().withColumn("ringed", F.lit(True))
+    known = top.select(F.col("day").alias("t_day"), F.col("acct").alias("t_acct"))
+    far = days.join(ringed, (F.col("day") == F.col("m_day")) & (F.col("acct") == F.col("m_acct")), "left_semi")
+    far = materialize(far.join(known, (F.col("day") == F.col("t_day")) & (F.col("acct") == F.col("t_acct")), "left_anti"), "beyond")
+    hist = days.groupBy("day", "score").agg(F.count("*").alias("n")).withColumn("p", F.lit(0).cast("long"))
+    asked = far.select(F.col("day").alias("a_day"), F.col("score").alias("a_score")).distinct()
+    above = alerts.running(hist, ["day"], alerts.score_ranges(days)).join(asked, (F.col("day") == F.col("a_day")) & (F.col("score") == F.col("a_score")), "left_semi")
+    above = materialize(above.select(F.col("day").alias("u_day"), F.col("score").alias("u_score"), "n_above"), "above")
+    level = days.join(above, (F.col("day") == F.col("u_day")) & (F.col("score") == F.col("u_score")))
+    level = level.withColumn("rank_first", F.col("n_above") + F.row_number().over(Window.partitionBy("day", "score").orderBy("acct")))
+    mine = far.select(F.col("day").alias("f_day"), F.col("acct").alias("f_acct"))
+    return top.unionByName(level.join(mine, (F.col("day") == F.col("f_day")) & (F.col("acct") == F.col("f_acct")), "left_semi").select(*out))
 
 
 def per_day_positives(days: DataFrame) -> DataFrame:

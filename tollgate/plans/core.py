@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..contract import TYPOLOGIES
 from ..functions import columns as C
 from ..operators import alerts, diagnostics, drift, history, labeling, leaks, nulls, order, replay, splits
 from ..sources import adapters, files, transfers
@@ -73,7 +75,7 @@ def ingest_identity_stats(s, d):
 def _raw(s: SparkSession, d: str) -> DataFrame:
     e = evts(s, d)
     acct = lambda c: F.substr(F.col(c), F.instr(F.col(c), "_") + 1)
-    return e.orderBy("txn_id").select(
+    return e.select(
         F.date_format("event_time", "yyyy/MM/dd HH:mm"), "sender_bank", acct("sender_id").alias("sa"), "receiver_bank", acct("receiver_id").alias("ra"), "amount_received", "receiving_currency",
         "amount_paid", "payment_currency", "payment_format", "is_laundering", "ring_id", "typology", "txn_id", "event_time",
     )
@@ -83,9 +85,14 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
   CAST(is_laundering AS TINYINT) AS is_laundering FROM t""")
 def csv_identity(s, d):
     """Write the events as a raw CSV and read it back with its file-order identity."""
-    path = f"{shared_dir(s)}/tollgate-raw-{abs(hash(d)) % 10**9}.csv"
-    lines = _raw(s, d).select(F.concat_ws(",", *[F.col(c).cast("string") for c in _raw(s, d).columns[:11]]))
-    files.write_text(s, path, "\n".join([transfers.HEADER, *(r[0] for r in lines.toLocalIterator())]) + "\n")  # a raw file has one writer
+    raw = _raw(s, d)
+    lines = order.positions(raw, "txn_id").select("position", F.concat_ws(",", *[F.col(c).cast("string") for c in raw.columns[:11]]).alias("value"))
+    # A file for every so many rows, each under the header, in name order.
+    lines = lines.withColumn("part", F.lpad(F.floor(F.col("position") / 50_000).cast("string"), 9, "0"))
+    heads = lines.select("part").distinct().select(F.lit(-1).cast("long").alias("position"), F.lit(transfers.HEADER).alias("value"), "part")
+    path = f"{shared_dir(s)}/tollgate-raw-{uuid.uuid4().hex}"
+    lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "position").select("value", "part").write.partitionBy("part").text(path)
+    path += "/*"
     return transfers.normalize(transfers.read_raw(s, path)).select("txn_id", "event_time", "event_date", "sender_id", "receiver_id", "amount_paid", "is_laundering")
 
 
@@ -95,15 +102,14 @@ def csv_identity(s, d):
   round(epoch(max(event_time) - min(event_time)) / 86400.0, 4) AS duration_days FROM r JOIN a ON a.rid = r.rid GROUP BY 1""")
 def pattern_rings(s, d):
     """Write the rings as a pattern file and parse it."""
-    path = f"{shared_dir(s)}/tollgate-patterns-{abs(hash(d)) % 10**9}.txt"
-    rows = _raw(s, d).where("ring_id is not null").orderBy("ring_id", "txn_id")
-    names, text, last = rows.columns[:11], [], None
-    for r in rows.toLocalIterator():  # a pattern file is small and has one writer
-        if r["ring_id"] != last:
-            text += ([] if last is None else [transfers.END]) + [f"BEGIN LAUNDERING ATTEMPT - {r['typology']}: all"]
-            last = r["ring_id"]
-        text.append(",".join(str(r[c]) for c in names))
-    files.write_text(s, path, "\n".join([*text, transfers.END]) + "\n")
+    rows = _raw(s, d).where("ring_id is not null")
+    body = rows.select("ring_id", F.lit(1).alias("kind"), "txn_id", F.concat_ws(",", *[F.col(c).cast("string") for c in rows.columns[:11]]).alias("value"))
+    rings = rows.groupBy("ring_id").agg(F.min("typology").alias("typology"))
+    none = F.lit(0).cast("long").alias("txn_id")
+    begin = rings.select("ring_id", F.lit(0).alias("kind"), none, F.concat(F.lit(f"{transfers.BEGIN} - "), "typology", F.lit(": all")).alias("value"))
+    end = rings.select("ring_id", F.lit(2).alias("kind"), none, F.lit(transfers.END).alias("value"))
+    path = f"{shared_dir(s)}/tollgate-patterns-{uuid.uuid4().hex}"
+    body.unionByName(begin).unionByName(end).orderBy("ring_id", "kind", "txn_id").select("value").write.text(path)
     return transfers.ring_tables(transfers.read_patterns(s, path))["rings"]
 
 
@@ -202,8 +208,8 @@ def features_full_row(s, d):
 
 @query(_FULL, "features_hub_chunks")
 def _features_hub(s, d):
-    """The same table with accounts cut into time chunks, as for accounts of very long histories."""
-    return steady(history.feature_table(evts(s, d), hub_days=30))
+    """The same table with accounts of more than 100 events cut into time chunks, as those of very long histories are."""
+    return steady(history.feature_table(evts(s, d), 30, 100))
 
 
 # Splits
@@ -326,8 +332,14 @@ _RING = MEM + RK + """, mr AS (SELECT k, mem.ring_id, mem.day, mem.acct, CASE WH
   rg AS (SELECT k, ring_id, max(hit) AS hit, count(*) AS size FROM mr GROUP BY 1, 2), un AS (SELECT k, count(*) AS n, avg(hit) AS er FROM (SELECT DISTINCT k, day, acct, hit FROM mr) GROUP BY 1)"""
 
 
-@query(T + AD + ks(SMALL) + _RING + """ SELECT k, un.n AS n_ring_account_days, round(er, 9) AS ring_eligible_recall, count(*) AS n_rings, round(avg(hit), 9) AS ring_recall,
-  quantile_cont(size, 0.5) AS ring_size_median, round(quantile_cont(size, 0.9), 9) AS ring_size_p90, round(avg(1 - pow(1 - er, size)), 9) AS ring_recall_null_analytic FROM rg JOIN un USING (k) GROUP BY 1, 2, 3""")
+_POOLED = "avg(1 - pow(1 - rec, size))"
+_RING_ROWS = f"""SELECT k, un.n AS n_ring_account_days, er AS ring_eligible_recall, count(*) AS n_rings, avg(hit) AS ring_recall, quantile_cont(size, 0.5) AS ring_size_median, quantile_cont(size, 0.9) AS ring_size_p90,
+  avg(1 - pow(1 - er, size)) AS ring_recall_null_analytic, {_POOLED} AS ring_recall_null_analytic_pooled, round(avg(hit) / nullif({_POOLED}, 0), 3) AS ring_recall_lift_analytic_pooled
+  FROM rg JOIN un USING (k) JOIN (SELECT k, caught / total_pos::DOUBLE AS rec FROM m JOIN tot USING (k)) USING (k) GROUP BY 1, 2, 3"""
+
+
+@query(T + AD + ks(SMALL) + _METRICS.replace(RK, _RING) + f", rr AS ({_RING_ROWS}) SELECT * REPLACE (" + ", ".join(
+    f"round({c}, 9) AS {c}" for c in ("ring_eligible_recall", "ring_recall", "ring_size_p90", "ring_recall_null_analytic", "ring_recall_null_analytic_pooled")) + ") FROM rr")
 def ring_recall(s, d):
     t = txns(s, d)
     return alerts.ring_recall(alerts.account_days(t), alerts.membership(t), SMALL)
@@ -362,7 +374,24 @@ def coverage(s, d):
     return alerts.coverage(t, alerts.account_days(t))
 
 
-@query()
+def _long(table: str, unit: str, k: str = "NULL", **cells: str) -> list[str]:
+    return [f"SELECT '{n}' AS metric, CAST({k} AS INTEGER) AS k, round(CAST({e} AS DOUBLE), 9) AS value, '{unit}' AS alert_unit FROM {table}" for n, e in cells.items()]
+
+
+_same = lambda *names: {n: n for n in names}
+_EVAL = [
+    *_long("ad", "account-day", n_account_days="count(*)", n_positive_account_days="sum(y)"),
+    *_long("c", "transaction", average_precision__txn="sum(p / tp::DOUBLE * (cp / cn::DOUBLE))", roc_auc_footnote_only__txn="sum((n - p)::DOUBLE * (cp - p + p / 2.0::DOUBLE) / (tp::DOUBLE * (tn - tp)))"),
+    *_long("ad", "mixed", pct_positive_acct_days_without_ring="round(100.0 * avg(CASE WHEN y = 1 THEN CASE WHEN NOT EXISTS (SELECT 1 FROM mem WHERE mem.day = ad.day AND mem.acct = ad.acct) THEN 1 ELSE 0 END END), 2)"),
+    *_long("t", "mixed", typology_coverage_pct__txn="round(100.0 * avg(CASE WHEN is_laundering = 1 THEN CASE WHEN ring_id IS NULL THEN 0 ELSE 1 END END), 2)"),
+    *_long("m JOIN tot USING (k)", "account-day", "k", **_same("n_alerts", "caught", "total_pos", "ceiling_count", "tied_at_boundary"), recall="caught / total_pos::DOUBLE", recall_ceiling="ceiling_count / total_pos::DOUBLE",
+           recall_efficiency="caught / ceiling_count::DOUBLE", precision="caught / n_alerts::DOUBLE", alerts_per_true_positive="n_alerts / nullif(caught, 0)::DOUBLE", recall_tie_optimistic="opt / total_pos::DOUBLE",
+           recall_tie_pessimistic="pess / total_pos::DOUBLE"),
+    *_long("rr", "ring", "k", **_same("n_ring_account_days", "ring_eligible_recall", "n_rings", "ring_recall", "ring_size_median", "ring_size_p90", "ring_recall_null_analytic", "ring_recall_null_analytic_pooled", "ring_recall_lift_analytic_pooled")),
+]
+
+
+@query(T + AD + ks(SMALL) + _METRICS.replace(RK, _RING) + f", rr AS ({_RING_ROWS})" + _ONE + " " + " UNION ALL ".join(_EVAL))
 def evaluation(s, d):
     return alerts.evaluation(txns(s, d), SMALL)
 
@@ -477,6 +506,38 @@ def typology_spread_null(s, d):
     return nulls.typology_spread(evts(s, d), 25, DRAWS)
 
 
+_RATES = """, ty AS (SELECT ring_id, min(typology) AS typology FROM t WHERE ring_id IS NOT NULL GROUP BY 1), ra_ AS (SELECT draw, typology, avg(CASE WHEN r <= 25 THEN 1 ELSE 0 END) AS x FROM br JOIN ty USING (ring_id) GROUP BY 1, 2),
+  sh AS (SELECT typology, x AS obs FROM ra_ WHERE draw = 0), nl AS (SELECT typology, avg(x) AS nul, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi, count(*) AS b FROM ra_ WHERE draw > 0 GROUP BY 1),
+  fr AS (SELECT ra_.typology, count(*) FILTER (WHERE abs(x / nullif(nul, 0) - 1) >= abs(obs / nullif(nul, 0) - 1)) AS far FROM ra_ JOIN sh USING (typology) JOIN nl USING (typology) WHERE draw > 0 GROUP BY 1),
+  sp AS (SELECT typology, obs, nul, lo, hi, b, far, (1 + far) / (b + 1)::DOUBLE AS p FROM sh JOIN nl USING (typology) JOIN fr USING (typology)),
+  hm AS (SELECT typology, least(1.0, max((m - i + 1) * p) OVER (ORDER BY i)) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, typology) AS i, count(*) OVER () AS m FROM sp))"""
+
+
+def _rates(s, d):
+    return nulls.materialize(nulls.typology_rates(evts(s, d), 25, DRAWS), "rates")
+
+
+@query(_PERM + _RATES + """, q AS (SELECT draw, max(x) / nullif(min(x), 0)::DOUBLE AS r FROM ra_ GROUP BY 1), o AS (SELECT r AS seen FROM q WHERE draw = 0)
+  SELECT round(seen, 9) AS observed_spread, round(quantile_cont(r, 0.5), 9) AS null_spread_median, round(quantile_cont(r, 0.95), 9) AS null_spread_p95, count(*) AS draws,
+  round((1 + count(*) FILTER (WHERE r IS NULL OR r >= seen)) / (count(*) + 1)::DOUBLE, 9) AS p_value, round(100.0 * count(*) FILTER (WHERE r < seen) / count(*)::DOUBLE, 9) AS observed_percentile FROM q, o WHERE draw > 0 GROUP BY seen""")
+def typology_spread_ratio(s, d):
+    return nulls.typology_spread_ratio(_rates(s, d))
+
+
+@query(_PERM + _RATES + """ SELECT typology, round(obs, 9) AS observed, round(nul, 9) AS null, round(obs / nullif(nul, 0), 9) AS concentration, round(obs / nullif(hi, 0), 9) AS ci_lo, round(obs / nullif(lo, 0), 9) AS ci_hi,
+  obs / nullif(hi, 0) > 1 OR obs / nullif(lo, 0) < 1 AS ci95_excludes_1, round(p, 9) AS p, far AS n_draws_at_or_beyond, round(sqrt(p * (1 - p) / b), 9) AS p_mc_se, b AS draws, round(p_holm, 9) AS p_holm FROM sp JOIN hm USING (typology)""")
+def typology_concentration(s, d):
+    return nulls.typology_concentration(_rates(s, d))
+
+
+@query(_PERM + _RATES + """, g AS (SELECT count(*) AS n_tests, min(p) AS p, max(b) AS b, min(p_holm) AS ph, count(*) FILTER (WHERE p_holm < 0.05) AS n_significant FROM sp JOIN hm USING (typology)),
+  h AS (SELECT *, greatest(0, least(1, (p - 1.96 * sqrt(p * (1 - p) / b)) * n_tests)) AS lo, greatest(0, least(1, (p + 1.96 * sqrt(p * (1 - p) / b)) * n_tests)) AS hi, 0.05::DOUBLE / n_tests - p AS gap FROM g)
+  SELECT n_tests, n_significant, round(ph, 9) AS smallest_p_holm, round(lo, 9) AS mc_lo, round(hi, 9) AS mc_hi, round(n_tests / (b + 1)::DOUBLE, 9) AS smallest_p_holm_attainable, hi < 0.05 OR lo > 0.05 AS resolved,
+  CASE WHEN NOT (hi < 0.05 OR lo > 0.05) AND gap > 0 THEN CAST(floor(1.96 * 1.96 * p * (1 - p) / (gap * gap)) AS BIGINT) + 1 END AS draws_needed FROM h""")
+def holm_resolution(s, d):
+    return nulls.holm_resolution(nulls.typology_concentration(_rates(s, d)))
+
+
 _P8 = ", ".join(f"('{n}', {p})" for n, p in (("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.005), ("e", 0.6), ("f", 0.04), ("g", 0.9), ("h", 0.2)))
 
 
@@ -522,6 +583,43 @@ def counterfactual_ap(s, d):
     return nulls.counterfactual(e.where(~ok), e.where(ok), DRAWS)
 
 
+@query(_CF + """, ap AS (SELECT draw, sum(p / tp::DOUBLE * (cp / cn::DOUBLE)) AS ap FROM c GROUP BY 1), ro AS (SELECT score, count(*) AS n, sum(is_laundering) AS p FROM kept GROUP BY 1),
+  rc AS (SELECT p, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER () AS tp FROM ro WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+  f AS (SELECT (SELECT sum(p / tp::DOUBLE * (cp / cn::DOUBLE)) FROM rc) AS ring, max(ap) FILTER (WHERE draw = 0) AS naive, avg(ap) FILTER (WHERE draw > 0) AS cf, quantile_cont(ap, 0.025) FILTER (WHERE draw > 0) AS lo,
+   quantile_cont(ap, 0.975) FILTER (WHERE draw > 0) AS hi, count(*) FILTER (WHERE draw > 0) AS draws, (SELECT count(*) FROM t WHERE NOT (ring_id IS NULL OR ring_id % 2 = 0)) AS nx FROM ap)
+  SELECT round(ring, 9) AS ap_ring_aware, round(naive, 9) AS ap_naive_actual, round(cf, 9) AS ap_naive_counterfactual_mean, round(lo, 9) AS ap_naive_counterfactual_lo, round(hi, 9) AS ap_naive_counterfactual_hi, draws, nx AS n_excluded,
+  (SELECT count(*) FROM ex) AS n_excluded_positives, (SELECT count(*) FROM kp) AS n_retained_positives, round(naive - ring, 9) AS total_gap, round(cf - ring, 9) AS composition_contrast, round(naive - cf, 9) AS score_distribution_contrast,
+  round((cf - ring) / nullif(naive - ring, 0), 9) AS composition_share, round((naive - cf) / nullif(naive - ring, 0), 9) AS score_distribution_share, nx = (SELECT count(*) FROM ex) AS excluded_all_positive FROM f""")
+def counterfactual_contrasts(s, d):
+    e = evts(s, d).select("txn_id", "is_laundering", "score", "ring_id")
+    ok = F.col("ring_id").isNull() | (F.col("ring_id") % 2 == 0)
+    return nulls.contrasts(e.where(~ok), e.where(ok), DRAWS)
+
+
+#: Three rankings of the events' account-days: by the score, by the amount, and by the score from below.
+_ARMS = {"amount": "amount_paid", "reversed": "1000 - score", "score": "score"}
+
+
+@query(E + "".join(f", a_{n} AS (SELECT '{n}' AS arm, day, acct, max({e}) AS s, max(is_laundering) AS y FROM {_SIDES} GROUP BY 2, 3)" for n, e in _ARMS.items()) + f""",
+  al AS ({' UNION ALL '.join(f'SELECT * FROM a_{n}' for n in _ARMS)}), r AS (SELECT arm, day, acct, y, row_number() OVER (PARTITION BY arm, day ORDER BY s DESC, acct) AS r FROM al){ks((5, 25))},
+  h AS (SELECT arm, k, day, acct, r <= k AS hit FROM r, ks WHERE y = 1 AND day < DATE '{CUT}')
+  SELECT x.k, x.arm AS arm_x, y.arm AS arm_y, x.day, count(*) FILTER (WHERE x.hit AND NOT y.hit) AS only_x, count(*) FILTER (WHERE y.hit AND NOT x.hit) AS only_y
+  FROM h x JOIN h y ON x.k = y.k AND x.day = y.day AND x.acct = y.acct AND x.arm < y.arm GROUP BY 1, 2, 3, 4""")
+def paired_head_counts(s, d):
+    return nulls.paired_counts(paired_arms(s, d))
+
+
+def paired_arms(s, d):
+    """(arm, k, day, acct, hit) of the positives before the cut, for each ranking."""
+    e, out = evts(s, d), None
+    for name, score in _ARMS.items():
+        ranks = alerts.ranked(alerts.account_days(e.withColumn("score", F.expr(score).cast("double"))))
+        rows = ranks.where((F.col("y") == 1) & (F.col("day") < F.lit(CUT).cast("date"))).select(F.lit(name).alias("arm"), "day", "acct", "rank_first", alerts._budgets((5, 25)))
+        rows = rows.select("arm", "k", "day", "acct", (F.col("rank_first") <= F.col("k")).alias("hit"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(E + """, top AS (SELECT min(score) AS thr FROM (SELECT score FROM t ORDER BY score DESC, txn_id LIMIT 500)) SELECT coalesce(ring_id % 2 = 1, false) AS excluded, count(*) AS n, CAST(sum(is_laundering) AS BIGINT) AS positives,
   count(*) FILTER (WHERE score >= thr) AS alerted, count(*) FILTER (WHERE score >= thr AND is_laundering = 1) AS caught, max(thr) AS threshold FROM t, top GROUP BY 1""")
 def global_threshold_partition(s, d):
@@ -569,10 +667,18 @@ def placebo_permutation(s, d):
 
 # Drift
 
-_QUOTA = ", ".join(f"({b}, '{t}', {n})" for b, _, t, n, _ in drift.quotas(4, 1.0, 100))
+def _quota(per: int, name: str = "q", magnitude: float = 1.0) -> str:
+    """(bucket, place of the shape, shape, instances, first instance id) by largest remainder, from the shares' definition alone."""
+    shapes = ", ".join(f"({i}, '{t}', {drift.TARGET[t]}::DOUBLE)" for i, t in enumerate(TYPOLOGIES))
+    ramp = ", ".join(f"({b}, {h}::DOUBLE)" for b, h in enumerate(drift.RAMP))
+    return f"""{name}_v AS (SELECT b, i, t, 0.125::DOUBLE + {magnitude}::DOUBLE * h * (g - 0.125::DOUBLE) AS v FROM (VALUES {shapes}) s(i, t, g), (VALUES {ramp}) r(b, h)),
+  {name}_r AS (SELECT *, v / sum(v) OVER (PARTITION BY b) * {per} AS raw FROM {name}_v),
+  {name}_l AS (SELECT *, floor(raw) AS f, {per} - sum(floor(raw)) OVER (PARTITION BY b) AS spare, row_number() OVER (PARTITION BY b ORDER BY round(raw - floor(raw), 9) DESC, i) AS k FROM {name}_r),
+  {name}_n AS (SELECT b, i, t, CAST(f + CASE WHEN k <= spare THEN 1 ELSE 0 END AS BIGINT) AS n FROM {name}_l),
+  {name} AS (SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY b, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM {name}_n)"""
 
 
-@query(f"SELECT CAST(b AS INTEGER) AS bucket, t AS typology, CAST(n AS INTEGER) AS instances FROM (VALUES {_QUOTA}) v(b, t, n)")
+@query("WITH " + _quota(100) + " SELECT CAST(b AS INTEGER) AS bucket, t AS typology, CAST(n AS INTEGER) AS instances FROM q")
 def drift_schedule_mix(s, d):
     rows = [(b, t, n) for b, _, t, n, _ in drift.quotas(4, 1.0, 100)]
     return s.createDataFrame(rows, "bucket int, typology string, instances int")
@@ -591,17 +697,30 @@ def _instances(s, d):
     return drift.instances(splits.rings_of(evts(s, d)), 4, 1.0, per_bucket=24)
 
 
-@query(E + ", q AS (SELECT * FROM (VALUES " + ", ".join(f"({b}, '{t}', {n})" for b, _, t, n, _ in drift.quotas(4, 1.0, 24)) + ") v(b, t, n)) SELECT CAST(b AS INTEGER) AS bucket, t AS typology, count(*) AS n FROM q, range(n) WHERE n > 0 GROUP BY 1, 2")
+_HEX = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+_INSTANCES = E + _POOLS + ", " + _quota(24) + f""", sl AS (SELECT *, row_number() OVER (PARTITION BY typology, bucket ORDER BY i) - 1 AS slot, count(*) OVER (PARTITION BY typology, bucket) AS size FROM pl),
+  dom AS (SELECT min(st) AS t0, epoch_us(max(st) - min(st)) / 4.0::DOUBLE AS span FROM rings),
+  w AS (SELECT b, t, first + unnest(range(n)) AS id, unnest(range(n)) AS j FROM q WHERE n > 0),
+  z AS (SELECT w.*, dom.t0, dom.span, sl.ring_id, sl.st, sl.en, greatest(CAST(floor(dom.span / 86400000000.0) AS BIGINT), 1) AS days
+   FROM w JOIN sl ON sl.typology = w.t AND sl.bucket = w.b AND sl.slot = CASE WHEN w.j < sl.size THEN w.j ELSE {_HEX.format("'0|slot|' || w.id")} % (1 << 30) % sl.size END, dom),
+  ins AS (SELECT id AS instance_id, ring_id AS source_ring_id, CASE WHEN b < 2 THEN 'train' ELSE 'test' END AS side, t AS typology, b AS bucket,
+   datediff('day', CAST(st AS DATE), CAST(t0 + to_microseconds(CAST(b * span AS BIGINT)) AS DATE) + CAST({_HEX.format("'0|day|' || id")} % days AS INTEGER)) AS shift_days, st, en FROM z),
+  itx AS (SELECT instance_id, ins.typology, bucket, event_time + to_days(CAST(shift_days AS INTEGER)) AS event_time, sender_id || '#' || instance_id AS sender_id, receiver_id || '#' || instance_id AS receiver_id,
+   amount_paid, amount_received, payment_format, payment_currency, receiving_currency, row_number() OVER (ORDER BY instance_id, txn_id) - 1 AS drift_txn_seq FROM ins JOIN t ON t.ring_id = ins.source_ring_id)"""
+
+
+@query(_INSTANCES + " SELECT CAST(bucket AS INTEGER) AS bucket, typology, count(*) AS n FROM ins GROUP BY 1, 2")
 def drift_instances_mix(s, d):
     return _instances(s, d).groupBy("bucket", "typology").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_INSTANCES + """ SELECT CAST(instance_id AS INTEGER) AS instance_id, source_ring_id, side, typology, CAST(bucket AS INTEGER) AS bucket, CAST(shift_days AS INTEGER) AS shift_days,
+  st + to_days(CAST(shift_days AS INTEGER)) AS start_time, en + to_days(CAST(shift_days AS INTEGER)) AS end_time FROM ins""")
 def drift_instances(s, d):
     return _instances(s, d)
 
 
-@query()
+@query(_INSTANCES + " SELECT * REPLACE (CAST(instance_id AS INTEGER) AS instance_id, CAST(bucket AS INTEGER) AS bucket, round(amount_paid, 9) AS amount_paid, round(amount_received, 9) AS amount_received) FROM itx")
 def drift_instance_txns(s, d):
     return drift.instance_txns(_instances(s, d), evts(s, d).where("ring_id is not null"))
 
@@ -612,7 +731,10 @@ def activity_decile_bins(s, d):
     return drift.deciles(evts(s, d))
 
 
-@query()
+@query(_INSTANCES + f""", bg AS (SELECT event_date FROM ({adapters.TXNS}) WHERE is_laundering = 0), sy AS (SELECT sender_id AS a FROM itx UNION SELECT receiver_id FROM itx)
+  SELECT (SELECT count(*) FROM bg) + (SELECT count(*) FROM itx) AS rows, (SELECT count(*) FROM bg) + (SELECT count(*) FROM itx) AS distinct_ids, (SELECT count(*) FROM itx) AS positives, (SELECT count(DISTINCT instance_id) FROM itx) AS ring_instances,
+  0::BIGINT AS positives_with_no_ring, (SELECT count(*) FROM (SELECT event_date FROM bg UNION SELECT CAST(event_time AS DATE) FROM itx)) AS days, (SELECT count(*) FROM sy) AS laundering_accounts,
+  (SELECT count(*) FROM sy) AS laundering_accounts_also_in_background, 0::BIGINT AS accounts_in_several_rings""")
 def drift_splice_checks(s, d):
     """All instances in orders and lineitem, as the 150 accounts of the events cannot host them."""
     made = drift.instance_txns(_instances(s, d), evts(s, d).where("ring_id is not null"))
@@ -669,6 +791,13 @@ def segment_detection_rates(s, d):
     return diagnostics.segment_rates(_ends(s, d)[0], "1998-06-01")
 
 
+@query(_ENDS + """, g AS (SELECT round(avg(hit), 5) AS rate, count(*) AS n, count(*) FILTER (WHERE e >= DATE '1998-06-01') AS na FROM en JOIN ty USING (ring_id) GROUP BY typology),
+  o AS (SELECT sum(na) / sum(n)::DOUBLE AS sh, sum(n * rate) / sum(n)::DOUBLE AS po FROM g)
+  SELECT round(sh, 5) AS after_share, round(po, 5) AS pooled_rate, round(least(1.0, po / nullif(sh, 0)), 5) AS max_feasible_tail_rate, round(greatest(0.0, (po - (1 - sh)) / nullif(sh, 0)), 5) AS min_feasible_tail_rate FROM o""")
+def feasible_tail(s, d):
+    return diagnostics.feasible_tail(diagnostics.segment_rates(_ends(s, d)[0], "1998-06-01"))
+
+
 @query(_ENDS + """, nb AS (SELECT day FROM top GROUP BY 1 HAVING max(rank) <= 25)
   SELECT typology, count(*) AS n_rings, count(nb.day) AS n_on_nonbinding_days, round(count(nb.day) / count(*)::DOUBLE, 4) AS share FROM en JOIN ty USING (ring_id) LEFT JOIN nb ON nb.day = en.e GROUP BY 1""")
 def nonbinding_rings(s, d):
@@ -721,7 +850,11 @@ def class_weights(s, d):
     return models.class_weights(evts(s, d))
 
 
-@query()
+def _digest(units: str) -> str:
+    return f"CAST(sum(CAST(CAST('0x' || substr(md5(txn_id || '|' || CAST({units} AS DECIMAL(38, 0))), 1, 15) AS BIGINT) AS DECIMAL(38, 0))) AS VARCHAR)"
+
+
+@query(E + f" SELECT count(*) AS rows, {_digest('floor(score * 1099511627776.0::DOUBLE)')} AS digest, {_digest('round(score * 1000000 + 2.5e-2, 0)')} AS digest_rounded FROM t")
 def score_digest(s, d):
     return diagnostics.digest(evts(s, d).select("txn_id", "score"))
 

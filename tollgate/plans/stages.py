@@ -62,14 +62,14 @@ def reconcile(s: SparkSession, txns: str, patterns: str, dest: str, force: bool
     return stage(s, "reconcile_labels", {"txns": txns, "patterns": patterns}, dest, [txns, patterns], work, force)
 
 
-def build_features(s: SparkSession, labeled: str, dest: str, hub_days: int | None = None, force: bool = False) -> dict:
+def build_features(s: SparkSession, labeled: str, dest: str, hub_days: int = history.HUB_DAYS, hub_events: int = history.HUB_EVENTS, force: bool = False) -> dict:
     """The causal feature table by date."""
 
     def work(run):
-        transfers.write_partitioned(history.feature_table(s.read.parquet(f"{labeled}/txns_labeled"), hub_days), f"{dest}/features")
+        transfers.write_partitioned(history.feature_table(s.read.parquet(f"{labeled}/txns_labeled"), hub_days, hub_events), f"{dest}/features")
         run.record(**history.feature_summary(s.read.parquet(f"{dest}/features")).first().asDict(), n_features=len(FEATURES), features=list(FEATURES))
 
-    return stage(s, "build_features", {"labeled": labeled, "hub_days": hub_days}, dest, [labeled], work, force)
+    return stage(s, "build_features", {"labeled": labeled, "hub_days": hub_days, "hub_events": hub_events}, dest, [labeled], work, force)
 
 
 def _sides(s: SparkSession, patterns: str, cut: str) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +93,48 @@ def build_splits(s: SparkSession, patterns: str, rows: str, cut: str, dest: str,
     return stage(s, "build_splits", {"patterns": patterns, "rows": rows, "cut": cut, "protocol": protocol}, dest, [patterns, rows], work, force)
 
 
+def split_sweep(s: SparkSession, patterns: str, labeled: str, fractions: Sequence[float] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)) -> dict:
+    """What each cut point would cost and keep, with the positive rate of what lies on either side."""
+    rows = splits.sweep(s.read.parquet(f"{patterns}/rings"), s.read.parquet(f"{patterns}/ring_accounts"), tuple(float(f) for f in fractions)).orderBy("frac").collect()  # a row a cut
+    txns = s.read.parquet(f"{labeled}/txns_labeled")
+    flag, counts = F.col("is_laundering") == 1, []
+    for i, r in enumerate(rows):
+        before = F.col("event_time") < F.lit(r["cut"]).cast("timestamp_ntz")
+        counts += [F.count_if(c).alias(f"{n}_{i}") for n, c in (("train_txns", before), ("test_txns", ~before), ("train_positives", before & flag), ("test_positives", ~before & flag))]
+    got = txns.agg(*counts).first().asDict() if rows else {}
+    return {"cuts": [r.asDict() | {n: got[f"{n}_{i}"] for n in ("train_txns", "test_txns", "train_positives", "test_positives")} for i, r in enumerate(rows)]}
+
+
+def _sampled(rows: DataFrame, sample: float) -> tuple[DataFrame, DataFrame]:
+    return splits.train_sample(rows.where("part = 'train'").drop("part"), sample), rows.where("part = 'test'").drop("part")
+
+
+def model_stability(s: SparkSession, split: str, dest: str, seeds: Sequence[int] = (0, 1, 2, 3, 4), configs: str = "", budgets: Sequence[int] = (10, 50, 200), sample: float = 1.0, force: bool = False, **settings) -> dict:
+    """How far each named configuration's metrics wander over seeds, and which to recommend."""
+
+    def work(run):
+        fit, test = _sampled(s.read.parquet(f"{split}/split"), sample)
+        names = [c for c in configs.split(",") if c] or list(models.CONFIGS)
+        unknown = sorted(set(names) - set(models.CONFIGS))
+        check(not unknown, ContractError, f"unknown configurations {unknown}")
+        got = models.stability(fit, test, {n: {**models.CONFIGS[n], **settings} for n in names}, list(seeds), budgets)
+        run.record(results=got, **(models.recommend(got) if "current" in got else {}))
+
+    return stage(s, "model_stability", {"split": split, "seeds": list(seeds), "configs": configs, "budgets": list(budgets), "sample": sample, **settings}, dest, [f"{split}/split"], work, force)
+
+
+def leak_sweep(s: SparkSession, split: str, leak_root: str, dest: str, seeds: Sequence[int] = (0, 1, 2, 3, 4), iters: int = models.GBT["maxIter"], sample: float = 1.0, force: bool = False, **settings) -> dict:
+    """What every planted leak under ``leak_root`` buys over its placebo; fails unless the control separates."""
+
+    def work(run):
+        fit, test = _sampled(s.read.parquet(f"{split}/split"), sample)
+        kinds = [k for k in leaks.KINDS if files.exists(s, f"{leak_root}/{k}/leak")]
+        check(bool(kinds), ContractError, f"no planted leak under {leak_root}")
+        run.record(**models.leak_sweep(fit, test, {k: s.read.parquet(f"{leak_root}/{k}/leak") for k in kinds}, list(seeds), maxIter=iters, **settings))
+
+    return stage(s, "leak_sweep", {"split": split, "leak_root": leak_root, "seeds": list(seeds), "iters": iters, "sample": sample, **settings}, dest, [f"{split}/split", leak_root], work, force)
+
+
 def train(s: SparkSession, split: str, dest: str, kind: str = "gbt", seed: int = 0, sample: float = 1.0, budgets: Sequence[int] = BUDGETS, force: bool = False, **settings) -> dict:
     """Fit on the train rows (sampled by ring), score the whole test side, evaluate."""
 
@@ -119,6 +161,7 @@ def evaluate(s: SparkSession, split: str, scores: str, dest: str, budgets: Seque
     def work(run):
         test = alerts.scored_by(s.read.parquet(f"{split}/split").where("part = 'test'").drop("part"), s.read.parquet(scores)).persist()
         days, members = alerts.account_days(test), alerts.membership(test)
+        alerts.refuse_orphans(days, alerts.endpoints(test))
         run.record(**alerts.evaluate(test, budgets))
         run.record(**replay.keyed(nulls.permutation_summary(nulls.permutation_draws(test, budgets, draws, seed))))
         run.record(**replay.keyed(nulls.bootstrap_ci(days, members, budgets, draws, seed)), ci_budget=50 if 50 in budgets else budgets[0])
