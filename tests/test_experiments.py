@@ -215,6 +215,18 @@ def test_stability_and_drift_strategies(learned):
     finally:
         models.FEATURES = old
     assert [r["strategy"] for r in rows] == list(models.STRATEGIES) and set(models.recovery(rows)) == {"frozen_decay", "naive_retrain", "sliding_window", "typology_replay"}
+    old, models.REPORT = models.REPORT, ("average_precision__txn", "recall_efficiency@5")
+    try:
+        train, test = learned.where("txn_id < 600"), learned.where("txn_id >= 600")
+        got = models.stability(train, test, {"current": small, "leaf": {**small, "minInstancesPerNode": 9}}, (0, 1), (5, 50), USED)
+    finally:
+        models.REPORT = old
+    assert set(got) == {"current", "leaf"} and len(got["current"]["per_seed"]) == 2 == len(got["current"]["ensemble_size_curve"])
+    assert got["current"]["stability"]["average_precision__txn"]["n"] == 2 and set(got["leaf"]["per_typology"]) >= {"_metric", "FAN-OUT", "FAN-IN", "_spread"}
+    cats = models.ablation(train, test, (5,), USED, **small)
+    assert set(cats) == {"full", "no_categorical", "one_hot"} and all(0 < a["average_precision__txn"] <= 1 for a in cats.values())
+    few = models.drift_experiment(learned.withColumn("bucket", (F.col("txn_id") / 300).cast("int")), 3, 2, (5, 50), features=USED, sample=0.5, **small)
+    assert 0 < few[0]["n_account_days"] < rows[0]["n_account_days"]
     assert models.ensemble([learned.select("txn_id", F.lit(a).alias("score")) for a in (0.0, 1.0)]).first()["score"] == 0.5
 
 
@@ -233,7 +245,19 @@ def test_stages_end_to_end(spark, tmp_path):
     assert all(e[k] == pytest.approx(m[k]) for k in ("recall@5", "ring_recall@20", "average_precision__txn")) and "ci_lo@5" in e and "lift@20" in e
     stages.make_bundle(spark, at("split"), at("model/scores"), at("bundle"), 30)
     assert stages.verify_bundle(spark, at("bundle"), at("eval/_manifest.json"), [5, 20])["exit"] == 0
-    assert stages.plant_leak(spark, at("gold"), at("leak"), "target")["rows"] == 14 * 220 + 36
+    assert stages.plant_leak(spark, at("gold"), at("leaks/target"), "target")["rows"] == 14 * 220 + 36
+    cuts = stages.split_sweep(spark, at("patterns"), at("gold"), (0.3, 0.6))["cuts"]
+    assert [c["frac"] for c in cuts] == [0.3, 0.6] and all(c["train_txns"] + c["test_txns"] == 14 * 220 + 36 and c["train_positives"] + c["test_positives"] == 36 for c in cuts)
+    small = {"maxIter": 2, "maxDepth": 2, "minInstancesPerNode": 5}
+    held = stages.model_stability(spark, at("split"), at("stable"), (0, 1), "current", (5, 50), **small)
+    assert held["recommended_config"] == "current" and len(held["results"]["current"]["per_seed"]) == 2
+    with pytest.raises(LeakNotDetected):  # two shallow trees on a few days: accounts that ever laundered tell less than the features
+        stages.leak_sweep(spark, at("split"), at("leaks"), at("sweep"), (0,), 2, maxDepth=2, minInstancesPerNode=5)
+    again = stages.train(spark, at("split"), at("model"), "lr", budgets=(5, 20), resume=True, force=True)
+    assert again["digest"] == m["digest"]
+    spark.read.parquet(at("split/split")).where("part = 'test'").limit(5).write.mode("append").partitionBy("part", "event_date").parquet(at("split/split"))
+    with pytest.raises(ContractError, match="disagree"):
+        stages.train(spark, at("split"), at("other"), "lr")
     # A second call is answered by the manifest; a touched input is not.
     assert runlog.cached(spark, "normalize", {"raw": raw}, at("bronze"), [raw]) is not None
     assert runlog.cached(spark, "normalize", {"raw": "other"}, at("bronze"), [raw]) is None
@@ -248,6 +272,50 @@ def test_stages_end_to_end(spark, tmp_path):
     assert json.loads((tmp_path / "wrong/_manifest.json").read_text())["status"] == "failed"
 
 
+def test_drift_stages(spark, txns, tmp_path):
+    at = lambda x: f"{tmp_path}/{x}"
+    rt = _pool(txns, 5)
+    rng = random.Random(4)
+    back = txns([{"id": 10_000 + i, "t": BASE + timedelta(hours=i % 480), "s": f"010_N{rng.randrange(3000)}", "r": f"011_N{rng.randrange(3000)}", "amount": float(rng.randrange(1, 900))} for i in range(8000)])
+    extra = {c: F.lit("x") for c in ("sender_account", "receiver_account")}
+    transfers.write_partitioned(back.unionByName(rt).drop("score").withColumns(extra), at("gold/txns_labeled"))
+    splits.rings_of(rt).write.parquet(at("patterns/rings"))
+    rt.write.parquet(at("patterns/ring_txns"))
+    made = stages.make_drift(spark, at("patterns"), at("drift"), 4, 0.5, 0, 40)
+    assert made["instances"] == 160
+    got = stages.splice_drift(spark, at("gold"), at("drift"), at("spliced"))
+    assert got["positives"] == made["drift_txns"] and got["accounts_in_several_rings"] == 0
+    stages.build_features(spark, at("spliced"), at("features"))
+    out = stages.drift_experiment(spark, at("features"), at("results"), "2022-09-01", 5.0, 4, maxIter=1, maxDepth=2, minInstancesPerNode=5)
+    assert len(out["rows"]) == 8 and "frozen_decay" in out["recovery"]
+    assert spark.read.csv(at("results/results"), header=True).count() == 8
+
+
+def test_coded_accounts(spark, learned):
+    got = models.load_test(learned, USED)
+    assert got.count() == 900 and dict(got.dtypes)["x1"] == "float"
+    ids = {a for r in learned.select("sender_id", "receiver_id").collect() for a in r}
+    codes = {a: i + 1 for i, a in enumerate(sorted(ids))}
+    both = {r["txn_id"]: (codes[r["sender_id"]], codes[r["receiver_id"]]) for r in learned.collect()}
+    assert {r["txn_id"]: (r["sender_id"], r["receiver_id"]) for r in got.collect()} == both
+    lost = learned.unionByName(learned.limit(1).withColumn("sender_id", F.lit(None).cast("string")))
+    with pytest.raises(ContractError):
+        models.load_test(lost, USED)
+
+
+def test_topk_keeps_straddling_ties_and_far_ring_rows(txns):
+    rows = [{"id": i, "t": 0, "s": f"01_A{i:03d}", "r": "01_Z", "score": float(i // 10)} for i in range(100)]
+    rows += [{"id": 200 + i, "t": 0, "s": f"01_M{i}", "r": f"01_M{i}", "score": 3.0 + i % 2, "ring": 1, "y": 1} for i in range(7)]
+    df = txns(rows)
+    days, members = alerts.account_days(df), alerts.membership(df)
+    slow = {(r["acct"]): (r["rank_first"], r["rank_min"]) for r in alerts.ranked(days).collect()}
+    ring = {r["acct"] for r in members.collect()}
+    for ties in (False, True):
+        got = {r["acct"]: r["rank"] for r in replay.account_days_topk(days, members, 15, ties).collect()}
+        assert got == {a: f for a, (f, m) in slow.items() if (m if ties else f) <= 15 or a in ring}
+    assert sum(m <= 15 for _, m in slow.values()) > 15
+
+
 def test_exit_codes():
     def error(text, cause=None):
         e = RuntimeError(text)
@@ -256,4 +324,7 @@ def test_exit_codes():
 
     assert failures.classify(error("FetchFailedException: ExecutorLost")) == failures.TRANSIENT == failures.classify(ConnectionError("x"))
     assert failures.classify(error("FetchFailed", LeakageError("ring"))) == failures.CORRECTNESS == failures.classify(KeyError("x"))
+    assert failures.classify(error("timed out", AssertionError("rows"))) == failures.CORRECTNESS == failures.classify(error("java.lang.OutOfMemoryError: heap"))
+    assert failures.classify(error("Connection reset", error("ClientAuthenticationError: no role"))) == failures.CORRECTNESS == failures.classify(PermissionError("x"))
+    assert set(cli.STAGES) >= {"split-sweep", "model-stability", "leak-sweep", "splice-drift", "drift-experiment"}
     assert set(cli.STAGES) >= {"normalize", "train", "evaluate", "make-drift"} and cli.parser().parse_args(["train", "--split", "a", "--dest", "b", "--budgets", "5,10"]).budgets == [5, 10]

@@ -358,7 +358,7 @@ def paired_tests(caught: DataFrame) -> dict[str, dict]:
     rows = paired_counts(caught).collect()  # pairs x budgets x days
     out: dict[str, dict] = {}
     for key in sorted({(r["k"], r["arm_x"], r["arm_y"]) for r in rows}):
-        own = [r for r in rows if (r["k"], r["arm_x"], r["arm_y"]) == key]
+        own = sorted((r for r in rows if (r["k"], r["arm_x"], r["arm_y"]) == key), key=lambda r: str(r["day"]))
         b, c, nets = sum(r["only_x"] for r in own), sum(r["only_y"] for r in own), [r["only_x"] - r["only_y"] for r in own]
         signs = stats.sign_test(nets)
         split = signs["better"] + signs["worse"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..contract import ContractError, check
 from ..storage import materialize
 
 _LOW = (1 << 33) - 1
@@ -35,3 +36,16 @@ def account_codes(txns: DataFrame) -> DataFrame:
     """Exact dense codes (account_id, code) of all accounts in account order, from 1."""
     ids = txns.select(F.explode(F.array("sender_id", "receiver_id")).alias("account_id")).distinct()
     return positions(ids, "account_id").select("account_id", (F.col("position") + 1).alias("code"))
+
+
+def coded(txns: DataFrame) -> DataFrame:
+    """Add sender_code and receiver_code, the accounts' dense codes; ``ContractError`` unless every row comes back once."""
+    codes = materialize(account_codes(txns), "codes")
+    out = txns
+    for side in ("sender", "receiver"):
+        own = codes.select(F.col("account_id").alias(f"{side}_a"), F.col("code").alias(f"{side}_code"))
+        out = out.join(own, F.col(f"{side}_id") == F.col(f"{side}_a")).drop(f"{side}_a")
+    out = materialize(out, "coded")
+    have, got = txns.count(), out.count()
+    check(have == got, ContractError, f"{have} transfers, {got} with account codes")
+    return out

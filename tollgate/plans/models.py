@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contract import FEATURES, LeakNotDetected, MetricError, check
+from ..functions.columns import bucket
 from ..functions.stats import spread
 from ..operators import alerts, leaks
 from ..operators.drift import typology_weights
 from ..operators.history import feature_table
+from ..operators.order import coded
 
 #: Settings of the boosted trees; fixed values.
 GBT = {"stepSize": 0.1, "maxIter": 300, "maxDepth": 8, "minInstancesPerNode": 40}
@@ -80,6 +82,13 @@ def score(model: PipelineModel, rows: DataFrame, features: Sequence[str] = FEATU
     return out.select("txn_id", vector_to_array("probability")[1].alias("score"))
 
 
+def load_test(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """What evaluation needs of test rows: features as floats, labels, and dense account codes for the ids; no row is lost or repeated."""
+    keep = [c for c in ("txn_id", "event_time", "event_date", "is_laundering", "ring_id", "typology") if c in rows.columns]
+    floats = [F.col(f).cast("float").alias(f) for f in features]
+    return coded(rows.select(*keep, "sender_id", "receiver_id", *floats)).drop("sender_id", "receiver_id").withColumnsRenamed({"sender_code": "sender_id", "receiver_code": "receiver_id"})
+
+
 def scored(model: PipelineModel, rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     return alerts.scored_by(rows, score(model, rows, features))
 
@@ -92,11 +101,11 @@ def ensemble(scores: Sequence[DataFrame]) -> DataFrame:
     return rows.groupBy("txn_id").agg(F.avg("score").alias("score"))
 
 
-def stability(train_rows: DataFrame, test: DataFrame, configs: Mapping[str, Mapping], seeds: Sequence[int], budgets: Sequence[int] = (10, 50, 200)) -> dict[str, dict]:
+def stability(train_rows: DataFrame, test: DataFrame, configs: Mapping[str, Mapping], seeds: Sequence[int], budgets: Sequence[int] = (10, 50, 200), features: Sequence[str] = FEATURES) -> dict[str, dict]:
     """Per configuration: metrics of every seed, their spread, the ensemble's, and its curve over sizes."""
     out = {}
     for name, settings in configs.items():
-        scores = [score(train(train_rows, "gbt", seed=s, **dict(settings)), test).persist() for s in seeds]
+        scores = [score(train(train_rows, "gbt", features, s, **dict(settings)), test, features).persist() for s in seeds]
         per_seed = [alerts.evaluate(alerts.scored_by(test, p), budgets) for p in scores]
         sizes = [alerts.evaluate(alerts.scored_by(test, ensemble(scores[:n])), budgets) for n in range(1, len(seeds) + 1)]
         keys = [k for k in REPORT if all(m.get(k) is not None for m in per_seed)]
@@ -157,12 +166,15 @@ def leak_sweep(train_rows: DataFrame, test: DataFrame, tables: Mapping[str, Data
     return found
 
 
-def drift_experiment(rows: DataFrame, n_buckets: int, train_buckets: int = 2, budgets: Sequence[int] = (10, 50, 200), seed: int = 0, window: int = 2, features: Sequence[str] = FEATURES, **settings) -> list[dict]:
+def drift_experiment(rows: DataFrame, n_buckets: int, train_buckets: int = 2, budgets: Sequence[int] = (10, 50, 200), seed: int = 0, window: int = 2, features: Sequence[str] = FEATURES, sample: float = 1.0, **settings) -> list[dict]:
     """Metrics (bucket, strategy, ...) of bucketed feature rows, refitting by each strategy.
 
     frozen keeps the fit on the first buckets; naive_retrain adds every bucket before; sliding_window
     keeps the last ones; typology_replay is naive_retrain with every shape weighing the same.
+    ``sample`` keeps a share of the transfers, by a hash of their ids.
     """
+    if sample < 1:
+        rows = rows.where(bucket(F.col("txn_id"), 10_000) < int(sample * 10_000))
     past = {"frozen": lambda b: F.col("bucket") < train_buckets, "naive_retrain": lambda b: F.col("bucket") < b, "sliding_window": lambda b: F.col("bucket").between(b - window, b - 1), "typology_replay": lambda b: F.col("bucket") < b}
     out, frozen = [], None
     for b in range(train_buckets, n_buckets):
@@ -189,10 +201,10 @@ def recovery(rows: Sequence[Mapping], key: str = "recall_efficiency@50") -> dict
     return {"frozen_decay": decay} | {s: (at[last, s] - at[last, "frozen"]) / decay if decay else None for s in STRATEGIES[1:]}
 
 
-def ablation(train_rows: DataFrame, test: DataFrame, budgets: Sequence[int] = (10, 50, 200), **settings) -> dict[str, dict]:
+def ablation(train_rows: DataFrame, test: DataFrame, budgets: Sequence[int] = (10, 50, 200), features: Sequence[str] = FEATURES, **settings) -> dict[str, dict]:
     """Metrics with the categories as codes, without them, and as indicators of the train vocabulary."""
-    bare = [f for f in FEATURES if f not in CATEGORICAL]
-    arms = {"full": (FEATURES, False), "no_categorical": (bare, False), "one_hot": (FEATURES, True)}
+    bare = [f for f in features if f not in CATEGORICAL]
+    arms = {"full": (features, False), "no_categorical": (bare, False), "one_hot": (features, True)}
     return {n: alerts.evaluate(scored(train(train_rows, "gbt", f, one_hot=hot, **settings), test, f), budgets) for n, (f, hot) in arms.items()}
 
 

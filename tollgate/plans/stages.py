@@ -113,7 +113,7 @@ def model_stability(s: SparkSession, split: str, dest: str, seeds: Sequence[int]
     """How far each named configuration's metrics wander over seeds, and which to recommend."""
 
     def work(run):
-        fit, test = _sampled(s.read.parquet(f"{split}/split"), sample)
+        fit, test = _sampled(_checked_split(s, split), sample)
         names = [c for c in configs.split(",") if c] or list(models.CONFIGS)
         unknown = sorted(set(names) - set(models.CONFIGS))
         check(not unknown, ContractError, f"unknown configurations {unknown}")
@@ -127,7 +127,7 @@ def leak_sweep(s: SparkSession, split: str, leak_root: str, dest: str, seeds: Se
     """What every planted leak under ``leak_root`` buys over its placebo; fails unless the control separates."""
 
     def work(run):
-        fit, test = _sampled(s.read.parquet(f"{split}/split"), sample)
+        fit, test = _sampled(_checked_split(s, split), sample)
         kinds = [k for k in leaks.KINDS if files.exists(s, f"{leak_root}/{k}/leak")]
         check(bool(kinds), ContractError, f"no planted leak under {leak_root}")
         run.record(**models.leak_sweep(fit, test, {k: s.read.parquet(f"{leak_root}/{k}/leak") for k in kinds}, list(seeds), maxIter=iters, **settings))
@@ -135,19 +135,39 @@ def leak_sweep(s: SparkSession, split: str, leak_root: str, dest: str, seeds: Se
     return stage(s, "leak_sweep", {"split": split, "leak_root": leak_root, "seeds": list(seeds), "iters": iters, "sample": sample, **settings}, dest, [f"{split}/split", leak_root], work, force)
 
 
-def train(s: SparkSession, split: str, dest: str, kind: str = "gbt", seed: int = 0, sample: float = 1.0, budgets: Sequence[int] = BUDGETS, force: bool = False, **settings) -> dict:
-    """Fit on the train rows (sampled by ring), score the whole test side, evaluate."""
+def _checked_split(s: SparkSession, split: str) -> DataFrame:
+    """The written split, refused unless it holds the rows that its manifest counted."""
+    rows = s.read.parquet(f"{split}/split")
+    if files.exists(s, f"{split}/_manifest.json"):
+        want = files.read_json(s, f"{split}/_manifest.json").get("metrics", {})
+        got = {f"{r['part']}_rows": r["count"] for r in rows.groupBy("part").count().collect()}
+        wrong = {k: (got.get(k, 0), want[k]) for k in ("train_rows", "test_rows") if k in want and got.get(k, 0) != want[k]}
+        check(not wrong, ContractError, f"the split and its manifest disagree: {wrong}")
+    return rows
+
+
+def train(s: SparkSession, split: str, dest: str, kind: str = "gbt", seed: int = 0, sample: float = 1.0, budgets: Sequence[int] = BUDGETS, resume: bool = False, force: bool = False, **settings) -> dict:
+    """Fit on the train rows (sampled by ring), score the whole test side, evaluate.
+
+    With ``resume`` a model that an earlier, failed run of the same settings has saved is taken as it is.
+    """
+    how = {"split": split, "kind": kind, "seed": seed, "sample": sample, **settings}
 
     def work(run):
-        rows = s.read.parquet(f"{split}/split")
-        model = models.train(splits.train_sample(rows.where("part = 'train'").drop("part"), sample), kind, seed=seed, **settings)
-        model.write().overwrite().save(f"{dest}/model")
+        rows = _checked_split(s, split)
+        saved = f"{dest}/model_of.json"
+        if resume and files.exists(s, saved) and files.read_json(s, saved) == how:
+            model = PipelineModel.load(f"{dest}/model")
+        else:
+            model = models.train(splits.train_sample(rows.where("part = 'train'").drop("part"), sample), kind, seed=seed, **settings)
+            model.write().overwrite().save(f"{dest}/model")
+            files.write_json(s, saved, how)  # last, so that a broken save is never taken
         test = rows.where("part = 'test'").drop("part")
         models.score(model, test).write.mode("overwrite").parquet(f"{dest}/scores")
         scores = s.read.parquet(f"{dest}/scores")
         run.record(**alerts.evaluate(alerts.scored_by(test, scores), budgets), **diagnostics.digest(scores).first().asDict())
 
-    return stage(s, "train", {"split": split, "kind": kind, "seed": seed, "sample": sample, "budgets": list(budgets), **settings}, dest, [f"{split}/split"], work, force)
+    return stage(s, "train", {**how, "budgets": list(budgets)}, dest, [f"{split}/split"], work, force)
 
 
 def rescore(s: SparkSession, model: str, rows: DataFrame) -> DataFrame:

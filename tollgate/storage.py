@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,9 +66,11 @@ class Scope:
     def __exit__(self, *_: object) -> None:
         self.paths = tuple(p for p in _WRITTEN if p not in self.before)
 
-    def release(self) -> int:
-        """Delete these tables and no others; their number."""
-        return sum(_delete(self.spark, p) for p in self.paths if p in _WRITTEN)
+    def release(self, used: Iterable[str] = ()) -> int:
+        """Delete these tables and no others, but for those that hold one of the files ``used``; their number."""
+        names = {p.rsplit("/", 1)[-1] for p in self.paths}
+        held = {part for f in used for part in f.split("/") if part in names}
+        return sum(_delete(self.spark, p) for p in self.paths if p in _WRITTEN and p.rsplit("/", 1)[-1] not in held)
 
 
 def release(spark: SparkSession) -> int:
