@@ -161,7 +161,10 @@ def test_packing_round_trip(spark, tokenizer):
 def test_packing_small_and_repeated(spark, tokenizer):
     assert packing.pack(_docs(spark, [])).count() == 0
     rows = [(1, "a b", "x"), (1, "a b", "x"), (None, "c", "x")]
-    padding, _ = _check_packing(rows, packing.pack(_docs(spark, rows)).collect(), tokenizer)
+    odd = _docs(spark, rows).selectExpr("*", "1 as start", "'x' as length", "2L as `offset`", "3 as row", "4 as crcs")
+    got = packing.pack(odd).collect()
+    padding, _ = _check_packing(rows, got, tokenizer)
+    assert len({(r["row"], r["start"]) for r in got}) == len(got) and len({r["row"] for r in got}) == 3
     assert padding == 0
 
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from tollgate.llm import line_dedup, simhash
+from tollgate.llm import common, line_dedup, simhash
 from tollgate.operators import graph
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, r string"
@@ -225,11 +225,14 @@ def test_filter_passes_what_went_in(spark, monkeypatch):
     keys = spark.range(0, 10**7, 9973).selectExpr("id * 7919 - 5 as k")
     rows = spark.range(-50, 3000).selectExpr("id * 79 * 9973 - 5 as k").unionByName(keys.where("k % 2 = 0"))
     held = keys.where("k % 2 = 0")
-    assert line_dedup.passing(rows, held, "k").join(held, "k", "left_semi").distinct().count() == held.count()
+    assert common.passing(rows, held, "k").join(held, "k", "left_semi").distinct().count() == held.count()
     other = rows.join(held, "k", "left_anti")
-    assert line_dedup.passing(other, held, "k").count() <= 0.2 * other.count()
-    monkeypatch.setattr(line_dedup, "MOST_BITS", 10)
-    assert line_dedup.passing(other, held, "k").count() == other.count()
+    assert common.passing(other, held, "k").count() <= 0.2 * other.count()
+    some, rest = common.parted(rows, held, "k")
+    assert some.count() + rest.count() == rows.count() and rest.join(held, "k", "left_semi").isEmpty()
+    monkeypatch.setattr(common, "MOST_BITS", 10)
+    assert common.parted(rows, held, "k")[1].isEmpty()
+    assert common.passing(other, held, "k").count() == other.count()
 
 
 def _dropped(spark, lines):

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from tollgate import storage
 from tollgate.llm import line_dedup, mixing, queries, simhash
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +39,43 @@ def test_run_is_the_stages(spark):
     assert set(corpus_pipeline.run(spark, SF).columns) >= {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
 
 
+ODD = [
+    (None, "no id but a text of some words\nsecond line of it", "en", None, 1), (None, None, None, None, None), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (5, " \n\t", "en", "b", 3),
+    (6, "the same row twice over\nwith a line more", "en", "a", 9), (6, "the same row twice over\nwith a line more", "en", "a", 9), (6, "one id with another text", "de", "b", 9), (7, "lang " * 30_000, "en", "a", 1),
+    (8, "line of two documents\nown line of eight", "en", "b", 1), (9, "line of two documents\nown line of nine, which is longer", "en", "c", 1),
+]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("rows", [ODD, [], ODD[1:2]], ids=["odd", "empty", "null"])
+def test_run_of_odd_rows(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "'k' as key", "1 as size", "'d' as drops", "map('a', 1) as stats")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, 1, 0), (None, 0, 0)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages, out = [spark.read.parquet(str(tmp_path / "documents.parquet"))], None
+    for _, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.common.materialize(stage(spark, stages[-1], str(tmp_path)), "odd")
+        stages.append(out)
+    assert all(s.columns == docs.columns for s in stages[:-1])
+    kept = {r["doc_id"] for r in stages[3].collect()}
+    words = sum(len((r["text"] or "").split()) for r in stages[4].collect())
+    ids = [r for r in out.collect()]
+    assert {r["doc_id"] for r in ids} <= kept and sum(r["length"] for r in ids) >= words and len({(r["row"], r["start"]) for r in ids}) == len(ids)
+    if not rows:
+        assert not ids
+
+
+def test_stages_leave_their_tables_to_the_next(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    earlier = set(storage._WRITTEN)
+    lazy = corpus_pipeline.quality_filter(spark, docs, SF)  # not written: its tables must stay
+    lined = corpus_pipeline.line_dedup_stage(spark, lazy, SF)
+    written = corpus_pipeline.common.materialize(lined, "written")
+    made = {p for p in set(storage._WRITTEN) - earlier if "occurrences" in p}
+    corpus_pipeline.near_dedup(spark, written, SF).count()
+    assert written.count() and made and not made & set(storage._WRITTEN)
+
+
 def _cell(v):
     return round(v, 7) if isinstance(v, float) else v
 

@@ -6,12 +6,14 @@ number of its own; texts move only for lines that share a band with another.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..storage import discard
-from .common import materialize
+from .common import materialize, parted, passing
 
 #: Characters of a shingle; one starts at every run of non-space characters and, while the run goes on for 12 more, at each next character. So all are covered, and an inserted character moves no other shingle.
 WIDTH = 12
@@ -25,8 +27,6 @@ _HEAD = rf"(?s)(?=(\S.{{0,{WIDTH - 1}}}))"
 #: The pattern of a shingle in lines without such characters, which is far faster, and in others; both agree on the former.
 SHINGLE = rf"{_HEAD}(?:\S{{1,{WIDTH}}}+(?!\S)|\S)"
 SHINGLE_DENSE = rf"{_HEAD}(?:[{_DENSE}]|[^\s{_DENSE}](?=[^\s{_DENSE}]{{{WIDTH}}})|[^\s{_DENSE}]{{1,{WIDTH}}})"
-#: Bits for each key of the filter that spares the shuffle rows whose key no other row has, and bits of a filter at most (128 MB). For more keys there is none.
-KEY_BITS, MOST_BITS, _SPAN = 16, 30, 32768
 #: A line's rank: its weight above, and its number below, made of the place in its partition and the partition.
 _PLACE_BITS, _PART_BITS = 33, 17
 _WEIGHT = (1 << 63 - _PLACE_BITS - _PART_BITS) - 1
@@ -43,28 +43,6 @@ def shingles(line: str, dense: str) -> Column:
     return F.array_distinct(F.transform(_texts(line, dense), lambda s: F.xxhash64(s)))
 
 
-def _bit(key: str, bits: int) -> tuple[Column, Column]:
-    low = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
-    return F.floor(low / _SPAN).cast("int"), (low % _SPAN).cast("int")
-
-
-def passing(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` may be among the written ``held`` keys: all that are, and few others.
-
-    A bitmap of hashes in pieces of 4 KB, broadcast, of ``KEY_BITS`` bits a key, so few bits are set
-    whatever the input. Beyond 2^MOST_BITS bits all rows pass: what follows is a join, which needs no
-    filter for its result.
-    """
-    bits = max(15, (KEY_BITS * held.count()).bit_length())
-    if bits > MOST_BITS:
-        return rows
-    piece, place = _bit(key, bits)
-    bitmap = held.select(piece.alias("f_piece"), place.cast("long").alias("place")).groupBy("f_piece").agg(F.bitmap_construct_agg("place").alias("f_bits"))
-    byte = F.ascii(F.decode(F.substring("f_bits", F.shiftright(place, 3) + 1, F.lit(1)), "ISO-8859-1"))
-    on = F.call_function("getbit", byte, place.bitwiseAND(F.lit(7))) == 1
-    return rows.join(F.broadcast(bitmap), piece == F.col("f_piece")).where(on).drop("f_piece", "f_bits")  # 128 MB at most
-
-
 def identity(docs: DataFrame) -> Column:
     """A hash of a row's columns, which tells documents of one doc_id apart; rows equal in it are repeated rows. Maps and variants have no hash and are left out."""
     return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
@@ -83,8 +61,15 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
+def _place() -> Column:
+    """A hash of a line's place: documents that are told apart by (doc_id, t) have no two lines of one place."""
+    return F.xxhash64("doc_id", "t", "line_no")
+
+
 def signatures(rows: DataFrame) -> DataFrame:
-    """(k1, k2, copies, r, b0 ...) of each distinct line, written: band keys of its MinHash signature, and a rank.
+    """(k1, k2, o, copies, r, b0 ...) of each distinct line, written: band keys of its MinHash signature, and a rank.
+
+    o names one of the line's occurrences, by a hash of its place.
 
     A signature's entry is the least hash of the line's shingles under the entry's own hash function,
     half of a 64-bit hash, which two lines share with a probability of their Jaccard similarity. A
@@ -92,17 +77,17 @@ def signatures(rows: DataFrame) -> DataFrame:
     no shingle and so no row. The rank r is the line's own number, no other line has it, and rises
     with the line's shingles in all its copies, up to 8191.
     """
-    rows = rows.select("k1", "k2", F.posexplode(_texts("line", "dense")).alias("i", "s"))
-    rows = rows.select("k1", "k2", "i", F.xxhash64("s").alias("h"))
-    rows = rows.select("k1", "k2", "i", *[F.xxhash64(F.lit(b), "h").alias(f"h{b}") for b in range(BANDS)])
+    rows = rows.select("k1", "k2", _place().alias("o"), F.posexplode(_texts("line", "dense")).alias("i", "s"))
+    rows = rows.select("k1", "k2", "o", "i", F.xxhash64("s").alias("h"))
+    rows = rows.select("k1", "k2", "o", "i", *[F.xxhash64(F.lit(b), "h").alias(f"h{b}") for b in range(BANDS)])
     halves = [f(f"h{b}").alias(f"{n}{b}") for b in range(BANDS) for n, f in (("lo", lambda c: F.min(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))), ("hi", lambda c: F.min(F.shiftrightunsigned(c, 32))))]
-    rows = rows.groupBy("k1", "k2").agg(F.count("*").alias("w"), F.count_if(F.col("i") == 0).alias("copies"), *halves)
+    rows = rows.groupBy("k1", "k2").agg(F.count("*").alias("w"), F.count_if(F.col("i") == 0).alias("copies"), F.min("o").alias("o"), *halves)
     part = F.shiftright("n", _PLACE_BITS)
     part = F.when(part < 1 << _PART_BITS, part).otherwise(F.raise_error(F.lit("more partitions than ranks have room for")).cast("long"))
     low = F.shiftleft(part, _PLACE_BITS).bitwiseOR(F.col("n").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
     rank = F.shiftleft(F.least("w", F.lit(_WEIGHT)), _PLACE_BITS + _PART_BITS).bitwiseOR(low)
     rows = rows.withColumn("n", F.monotonically_increasing_id())
-    return materialize(rows.select("k1", "k2", "copies", rank.alias("r"), *[F.xxhash64(F.lit(b), f"lo{b}", f"hi{b}").alias(f"b{b}") for b in range(BANDS)]), "signatures")
+    return materialize(rows.select("k1", "k2", "o", "copies", rank.alias("r"), *[F.xxhash64(F.lit(b), f"lo{b}", f"hi{b}").alias(f"b{b}") for b in range(BANDS)]), "signatures")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,12 +150,12 @@ def line_links(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
     discard(buckets)
     pairs = materialize(members.select(F.col("r").alias("x"), F.col("pivot").alias("y")).distinct(), "pairs")
     ranks = pairs.select(F.col("x").alias("r")).unionByName(pairs.select(F.col("y").alias("r")).distinct())
-    named = passing(signed.select(F.col("k1").alias("n_k1"), F.col("k2").alias("n_k2"), "r"), ranks, "r")
+    named = passing(signed.select(F.col("k1").alias("n_k1"), F.col("k2").alias("n_k2"), F.col("o").alias("n_o"), "r"), ranks, "r")
     named = materialize(named, "named")
-    sets = passing(rows.select("k1", "k2", "line", "dense"), named.select(F.col("n_k1").alias("k1")), "k1").dropDuplicates(["k1", "k2"])
-    sets = sets.select("k1", "k2", shingles("line", "dense").alias("s"))
-    sets = sets.join(named, (F.col("k1") == F.col("n_k1")) & (F.col("k2") == F.col("n_k2"))).select("r", "s")
-    sets = materialize(sets, "lines")
+    # One occurrence of each line gives its shingles.
+    sets = passing(rows.select("k1", "k2", "line", "dense", _place().alias("o")), named.select(F.col("n_o").alias("o")), "o")
+    sets = sets.join(named, (F.col("k1") == F.col("n_k1")) & (F.col("k2") == F.col("n_k2")) & (F.col("o") == F.col("n_o")))
+    sets = materialize(sets.select("r", shingles("line", "dense").alias("s")), "lines")
     first = materialize(_verified(pairs, sets), "verified")
     discard(pairs)
     links = first.where(F.col("jaccard") >= SIMILAR).select("x", "y")
@@ -203,7 +188,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """(x_id, x_t, drops), written: the numbers of the lines that each document loses, for documents that lose any.
 
     Of each component of similar lines the one of the least (doc_id, identity, line_no) stays; a null
-    doc_id sorts first.
+    doc_id sorts first. No two rows of ``docs`` are equal in doc_id and identity.
     """
     rows = lines(docs)
     signed = signatures(rows)
@@ -228,26 +213,29 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return materialize(lost.groupBy(F.col("doc_id").alias("x_id"), F.col("t").alias("x_t")).agg(F.array_sort(F.collect_set("line_no")).alias("drops")), "drops")
 
 
-def _told(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, d_id, d_t, drops) of documents that occur once and of one of each repeated row, and (row, n) of the latter's others.
+def _told(docs: DataFrame, payload: Sequence[Column]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (row, drops), ``row`` holding ``payload``, of documents that occur once and of one of each repeated row; and (row, n) of the latter's others, whole.
 
     ``drops`` is null for a document that loses no line. Repeated rows are found by a count of their
     identities, and one of each is picked where the rows lie before anything is joined.
     """
-    drops = dropped_lines(docs)
     ids = docs.select(F.col("doc_id").alias("r_id"), identity(docs).alias("r_t"))
     again = materialize(ids.groupBy("r_id", "r_t").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), identity(docs).alias("d_t"))
-    same = F.col("d_id").eqNullSafe(F.col("r_id")) & (F.col("d_t") == F.col("r_t"))
-    if again.isEmpty():
-        one, more = rows, rows.limit(0).select("row", F.lit(0).cast("long").alias("n"))
-    else:
-        some = rows.join(again, same).drop("r_id", "r_t").groupBy("d_id", "d_t").agg(F.first("row").alias("row"), F.first("n").alias("n"))
+    more = None
+    if not again.isEmpty():
+        whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), identity(docs).alias("d_t"))
+        same = F.col("d_id").eqNullSafe(F.col("r_id")) & (F.col("d_t") == F.col("r_t"))
+        some = whole.join(again, same).groupBy("d_id", "d_t").agg(F.first("row").alias("row"), F.first("n").alias("n"))
         some = materialize(some, "repeats")
-        one = rows.join(again, same, "left_anti").unionByName(some.drop("n"))
+        docs = whole.join(again, same, "left_anti").select("row.*").unionByName(some.select("row.*"))
         more = some.select("row", (F.col("n") - 1).alias("n"))
-    one = one.join(drops, F.col("d_id").eqNullSafe(F.col("x_id")) & (F.col("d_t") == F.col("x_t")), "left")
-    return one.select("row", "drops"), more
+    drops = dropped_lines(docs)
+    keyed = docs.select(F.struct(*payload).alias("row"), F.col("doc_id").alias("d_id"), identity(docs).alias("d_t"))
+    keyed = keyed.withColumn("place", F.xxhash64("d_id", "d_t"))
+    # Only rows that may lose a line are moved.
+    some, rest = parted(keyed, drops.select(F.xxhash64("x_id", "x_t").alias("place")), "place")
+    some = some.join(drops, F.col("d_id").eqNullSafe(F.col("x_id")) & (F.col("d_t") == F.col("x_t")), "left").select("row", "drops")
+    return some.unionByName(rest.select("row", F.lit(None).cast("array<int>").alias("drops"))), more
 
 
 #: Copies of a repeated row that one task writes at most.
@@ -260,11 +248,6 @@ def _times(rows: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.lit(_COPIES), F.col("n") - F.col("j") * _COPIES).cast("int")))).drop("i", "j", "n")
 
 
-def _blank(parts: Column) -> Column:
-    """Lines of white space alone."""
-    return F.filter(parts, lambda x: ~x.rlike(r"\S"))
-
-
 def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
     """``docs`` with each text reduced to the lines that it keeps; all other columns as they are.
 
@@ -276,15 +259,17 @@ def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
     documents that had words and keep none are left out. No rows give no rows. Columns but ``doc_id``
     and ``text`` may have any name and type.
     """
-    one, more = _told(docs)
-    parts = F.split("row.text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drops")
-    text = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    words = F.col("row.text").rlike(r"\S")
-    rows = one.withColumn("kept", text)
-    again = _times(more.where(~F.coalesce(words, F.lit(False))) if drop_empty else more)
-    rows = (rows.where(~F.coalesce(words, F.lit(False)) | F.col("kept").rlike(r"\S")) if drop_empty else rows).select("row", "kept")
-    rows = rows.unionByName(again.select("row", F.when(F.col("row.text").isNull(), F.lit(None)).otherwise(F.array_join(_blank(parts), "\n")).alias("kept")))
+    one, more = _told(docs, [F.col(f"`{c}`") for c in docs.columns])
+    words = F.coalesce(F.col("row.text").rlike(r"\S"), F.lit(False))
+    rows = one.withColumn("parts", F.split("row.text", "\n"))  # a column, or every line would split the text again
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "drops")
+    text = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n"))
+    rows = rows.withColumn("kept", text)
+    rows = (rows.where(~words | F.col("kept").rlike(r"\S")) if drop_empty else rows).select("row", "kept")
+    if more is not None:
+        again = _times(more.where(~words) if drop_empty else more)
+        blank = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~x.rlike(r"\S")), "\n")
+        rows = rows.unionByName(again.select("row", F.when(F.col("row.text").isNotNull(), blank).alias("kept")))
     return rows.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
@@ -295,10 +280,12 @@ def decisions(docs: DataFrame) -> DataFrame:
     rows, nulls and texts of any length are as in ``dedup_lines``. No rows give no rows; extra columns
     only tell rows of one doc_id apart.
     """
-    one, more = _told(docs)
-    parts = F.split("row.text", "\n")
-    every = F.filter(F.transform(parts, lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
-    out = one.select("row", F.coalesce("drops", F.array().cast("array<int>")).alias("drops"))
-    out = out.unionByName(_times(more).select("row", F.coalesce(every, F.array().cast("array<int>")).alias("drops")))
-    n_lines = F.coalesce(F.size(parts), F.lit(0))
-    return out.select(F.col("row.doc_id"), F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"), F.array_join("drops", ",").alias("dropped"))
+    n_lines = lambda text: F.greatest(F.coalesce(F.size(F.split(text, "\n")), F.lit(0)), F.lit(0)).cast("long").alias("n_lines")
+    none = F.array().cast("array<int>")
+    one, more = _told(docs, [F.col("doc_id"), n_lines("text")])
+    out = one.select("row.doc_id", "row.n_lines", F.coalesce("drops", none).alias("drops"))
+    if more is not None:
+        every = F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
+        again = _times(more.select(F.struct(F.col("row.doc_id"), n_lines("row.text"), F.coalesce(every, none).alias("drops")).alias("row"), "n"))
+        out = out.unionByName(again.select("row.*"))
+    return out.select("doc_id", "n_lines", F.size("drops").cast("long").alias("n_dropped"), F.array_join("drops", ",").alias("dropped"))

@@ -111,7 +111,7 @@ _WORKER: dict[str, PartIds] = {}
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Cut each document's ids, its end id included, at every ``window`` ids: one row per piece.
 
-    (doc_id, start, length, doc_tokens, crcs): crcs are the checksums of the whole piece and then of
+    (doc_id, row, start, length, doc_tokens, crcs): row is the input row's own number, crcs are the checksums of the whole piece and then of
     each of its power-of-two parts, largest first, for a later cut there. Texts of any length are
     read whole; null text is empty and gives the end id alone.
     """
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
         words = _WORKER.get(path) or _WORKER.setdefault(path, PartIds(path))
         for batch in batches:
             out = []
-            for doc, own in zip(batch.column(0).to_pylist(), words.ids(batch.column(1))):
+            for doc, row, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), words.ids(batch.column(1))):
                 ids = np.concatenate([own, tail]).tobytes()
                 n = len(ids) // 4
                 for start in range(0, n, window):
@@ -131,13 +131,13 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                         for p in powers(len(part) // 4):
                             crcs.append(zlib.crc32(part[at : at + 4 * p]))
                             at += 4 * p
-                    out.append((doc, start, len(part) // 4, n, crcs))
+                    out.append((doc, row, start, len(part) // 4, n, crcs))
             if out:
-                kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["doc_id", "start", "length", "doc_tokens", "crcs"])
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["doc_id", "row", "start", "length", "doc_tokens", "crcs"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, crcs array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(cut, "doc_id long, row long, start long, length long, doc_tokens long, crcs array<long>")
 
 
 def _fullest(counts: dict[int, int], window: int) -> dict[int, int]:
@@ -245,7 +245,7 @@ def _ranked(rows: DataFrame, tag: str, per_bucket: int) -> DataFrame:
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "crc")
     rows = rows.withColumn("own", F.row_number().over(own) - 1)
     rows = rows.join(sums, (F.col("length") == F.col("s_length")) & (F.col("salt") == F.col("s_salt")))
-    return materialize(rows.select("doc_id", "start", "length", "doc_tokens", "crcs", (F.col("own") + F.col("earlier")).cast("long").alias("rank")), tag)
+    return materialize(rows.select("doc_id", "row", "start", "length", "doc_tokens", "crcs", (F.col("own") + F.col("earlier")).cast("long").alias("rank")), tag)
 
 
 def _place(rows: DataFrame, slots: dict[int, tuple[np.ndarray, ...]]) -> DataFrame:
@@ -267,29 +267,30 @@ def _place(rows: DataFrame, slots: dict[int, tuple[np.ndarray, ...]]) -> DataFra
                     off[here] = at[i] + past % n[i] * k
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seq), pa.array(off)], names=[*batch.schema.names, "sequence_id", "offset"])
 
-    schema = "doc_id long, start long, length long, doc_tokens long, crcs array<long>, rank long, sequence_id long, offset long"
+    schema = "doc_id long, row long, start long, length long, doc_tokens long, crcs array<long>, rank long, sequence_id long, offset long"
     return rows.mapInArrow(place, schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Pack documents' ids into sequences of at most ``window``: one row per piece.
 
-    (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset). Documents are cut at every
+    (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row), row being a number of the
+    input row's own, which tells apart rows that share a doc_id. Documents are cut at every
     window; the histogram of the pieces' lengths, at most ``window`` numbers however large the
     corpus, is packed by minimum bin slack on the driver, and pieces take their places by their rank
     within their length. Pieces of windows that stay short are cut into power-of-two parts, which
     fill windows wholly; the last ones become sequences of a power of two. So nothing is padded.
 
     Every id lies in exactly one piece. Null and empty texts are the end id alone; equal rows may
-    change places, which changes nothing; a null doc_id stays null. No rows give no rows. Other
-    columns are not read. ``path`` is the tokenizer's file, the same on every machine.
+    change places, which changes nothing; a null doc_id stays null. Texts of any length are encoded
+    whole. No rows give no rows. Other columns, of whatever name, are not read. ``path`` is the tokenizer's file, the same on every machine.
     """
     rows = materialize(pieces(docs, path or tokenizer_path(), window, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = _dissolve(minimum_slack(counts, window), window)
     whole, first = _slots([(t, p) for own, t, p in plan if own], 0)
     placed = _place(_ranked(rows, "ranked", rows_per_bucket), whole)
-    out = ["doc_id", "start", "length", F.col("crcs")[0].alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    out = ["doc_id", "start", "length", F.col("crcs")[0].alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "row"]
     done = placed.where("sequence_id >= 0").select(*out)
     parts, _ = _slots([(t, p) for own, t, p in plan if not own], first)
     if not parts:
@@ -299,6 +300,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     bits = F.filter(sizes, lambda p: F.col("length").bitwiseAND(p) > 0)
     rest = rest.withColumn("bits", bits).select("*", F.posexplode("bits").alias("k", "size"))
     before = F.col("length") - F.col("length").bitwiseAND(F.col("size") * 2 - 1)
-    rest = rest.select("doc_id", (F.col("start") + before).alias("start"), F.col("size").alias("length"), "doc_tokens", F.array(F.get("crcs", F.col("k") + 1)).alias("crcs"))
+    rest = rest.select("doc_id", "row", (F.col("start") + before).alias("start"), F.col("size").alias("length"), "doc_tokens", F.array(F.get("crcs", F.col("k") + 1)).alias("crcs"))
     again = _place(_ranked(rest, "parts", rows_per_bucket), parts)
     return done.unionByName(again.select(*out))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import materialize
+from .common import materialize, parted
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Bits of each of the parts whose population counts name a tile.
@@ -115,22 +115,19 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = keyed.join(F.broadcast(own), F.col("tile") == F.col("o_tile"))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("split")).cast("int"))
     tiles = materialize(keyed.groupBy("tile", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
-    # The tile pairs that can hold a link, from the few tiles there are; each pair of parts is a key of its own.
-    offsets = F.array(*[F.lit(d) for d in _offsets(radius)])
-    near = split.select(F.col("tile").alias("tile_a"), F.col("split").alias("split_a"), F.explode(offsets).alias("off"))
-    near = near.join(F.broadcast(split), F.col("tile_a") + F.col("off") == F.col("tile"))
-    near = near.select("tile_a", "split_a", F.col("tile").alias("tile_b"), F.col("split").alias("split_b"))
     key = ["tile_a", "part_a", "tile_b", "part_b"]
-
-    def side(own: str, other: str) -> DataFrame:
-        """Each part of a tile with every part of the tiles near it."""
-        met = tiles.select(F.col("tile").alias("t"), F.col("part").alias(f"part_{own}"), F.col("fps").alias(own))
-        met = met.join(F.broadcast(near), F.col("t") == F.col(f"tile_{own}"))  # at most 65 x 17^4 rows of four numbers
-        met = met.withColumn(f"part_{other}", F.explode(F.sequence(F.lit(0), F.col(f"split_{other}") - 1)))
+    near = split.select(F.col("tile").alias("n_tile"), F.col("split").alias("n_split"))
+
+    def side(own: str, other: str, sign: int) -> DataFrame:
+        """Each part of a tile with every part of the tiles there are that can hold a link to it; each pair of parts is a key of its own."""
+        offsets = F.explode(F.array(*[F.lit(sign * d) for d in _offsets(radius)])).alias("off")
+        met = tiles.select(F.col("tile").alias(f"tile_{own}"), F.col("part").alias(f"part_{own}"), F.col("fps").alias(own), offsets)
+        met = met.join(F.broadcast(near), F.col(f"tile_{own}") + F.col("off") == F.col("n_tile"))  # at most 17^4 rows of two numbers
+        met = met.withColumn(f"tile_{other}", F.col("n_tile")).withColumn(f"part_{other}", F.explode(F.sequence(F.lit(0), F.col("n_split") - 1)))
         return met.where("tile_a != tile_b or part_a <= part_b").select(*key, own)
 
-    b = side("b", "a").select(*[F.col(c).alias(f"{c}_") for c in key], "b")
-    pairs = side("a", "b").join(b, [F.col(c) == F.col(f"{c}_") for c in key])
+    b = side("b", "a", -1).select(*[F.col(c).alias(f"{c}_") for c in key], "b")
+    pairs = side("a", "b", 1).join(b, [F.col(c) == F.col(f"{c}_") for c in key])
     pairs = pairs.select("a", "b", ((F.col("tile_a") == F.col("tile_b")) & (F.col("part_a") == F.col("part_b"))).alias("same"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,12 +171,16 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Of several rows with the least doc_id the one written first stays; a row without doc_id stays
     only in a class that has no doc_id. Rows are told apart by a number that they are written with,
     so neither repeated rows nor ids that several texts share keep more than one row of a class. The
-    texts are fingerprinted once and move only in the last join. No rows give no rows.
+    texts are fingerprinted once, and those of rows that may go move in the last join. No rows give no rows.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), _fingerprints(F.col("text")).alias("d_fp"))
     rows = materialize(rows.withColumn("n", F.monotonically_increasing_id()), "marked")
     ids = rows.select("n", F.col("d_id").alias("doc_id"), F.col("d_fp").alias("fp"))
     named = ids.join(_classes(ids, radius), F.col("fp") == F.col("n_fp"))
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("head"))
-    heads = materialize(heads.select(F.col("head.n").alias("h_n")), "heads")
-    return rows.join(heads, F.col("n") == F.col("h_n"), "left_semi").select("row.*")
+    heads = heads.select(F.col("head.n").alias("h_n"))
+    gone = materialize(ids.select("n").join(heads, F.col("n") == F.col("h_n"), "left_anti"), "gone")
+    # Only rows that may go are moved.
+    some, rest = parted(rows.select("row", "n"), gone, "n")
+    gone = gone.select(F.col("n").alias("g_n"))
+    return some.join(gone, F.col("n") == F.col("g_n"), "left_anti").unionByName(rest).select("row.*")
