@@ -23,6 +23,15 @@ def test_online_equals_batch_over_any_batches(spark, txns, tmp_path):
             assert got[k][c] == v or abs(got[k][c] - v) < 1e-6, (k, c)
 
 
+def test_late_events_are_told(spark, txns, tmp_path):
+    df = txns([{"id": 1, "t": 5, "s": "01_A", "r": "01_B"}, {"id": 2, "t": 3, "s": "01_A", "r": "01_C"}, {"id": 3, "t": 6, "s": "01_A", "r": "01_C"}])
+    for i in (1, 2, 3):
+        df.where(f"txn_id = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+    got = {(r["txn_id"], r["side"]): r for r in queries.run(spark, online.online_history(stream)).collect()}
+    assert len(got) == 6 and got[2, "s"]["n_30d"] is None and got[2, "r"]["n_30d"] == 0 and got[3, "s"]["n_30d"] == 1
+
+
 def test_watermarked_windows(spark, txns, tmp_path):
     df = txns([{"id": i, "t": i / 4, "s": "01_A", "r": "01_B", "y": i % 2} for i in range(16)])
     out = queries.run(spark, windows.volume(_stream(spark, df, tmp_path / "v", [datetime(2022, 9, 1), datetime(2022, 9, 3), datetime(2022, 9, 9)]))).collect()

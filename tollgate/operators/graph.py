@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialize
+from ..storage import discard, gather
 
 
 def _joined(edges: DataFrame, node: str, least: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges joined on ``node`` with the written ``least`` of (n, m)."""
-    held = materialize(least, "least")
+    held = gather(least, "least")
     return edges.join(held, F.col(node) == F.col("n")), held
 
 
@@ -29,12 +29,12 @@ def _round(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
     joined, held = _joined(both.where("v > u"), "u", least)
-    large = materialize(joined.select(F.col("m").alias("u"), "v").where("u < v").distinct(), "large")
+    large = gather(joined.select(F.col("m").alias("u"), "v").where("u < v").distinct(), "large")
     discard(held)
     least = large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("n"), "m")
     joined, held = _joined(large, "v", least)
     small = joined.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
-    small = materialize(small, "stars")
+    small = gather(small, "stars")
     for done in (held, large, edges):
         discard(done)
     return small
@@ -49,7 +49,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     logarithm of the longest chain. Only the last round's table is left in shared storage.
     """
     edges = links.select(F.least(left, right).alias("u"), F.greatest(left, right).alias("v"), F.col(left).alias("a"), F.col(right).alias("b"))
-    edges = materialize(edges.where("a is not null and b is not null and u < v").select("u", "v").distinct(), "links")
+    edges = gather(edges.where("a is not null and b is not null and u < v").select("u", "v").distinct(), "links")
     mark = None
     while True:
         edges = _round(edges)

@@ -167,27 +167,25 @@ def hypergeometric(days: DataFrame, thin_from: str, budgets: Sequence[int]) -> D
     high uses the least admissible population, low the greatest; head and tail are the days before
     and from ``thin_from``. The spread takes account-days as exchangeable, so it is a lower bound.
     """
-    rows = days.select("day", "n_positive", "n_d_low", "n_d_high", (F.col("day") < F.lit(thin_from).cast("date")).alias("head"), alerts._budgets(budgets))
-    out = []
-    for tag, size in (("high", "n_d_low"), ("low", "n_d_high")):
-        n, p = F.col(size).cast("double"), F.col("n_positive").cast("double")
-        slots = F.least(F.col("k").cast("double"), n)
-        share = F.least(F.greatest(p / n, F.lit(0.0)), F.lit(1.0))
-        var = slots * share * (1 - share) * F.when(n > 1, (n - slots) / (n - 1)).otherwise(0.0)
-        out += [(f"slots_{tag}", slots), (f"hits_{tag}", slots * p / n), (f"var_{tag}", var)]
-    rows = rows.select("*", *[c.alias(n) for n, c in out])
-    when = lambda c, on: F.sum(F.when(on, F.col(c)))
-    head, every = F.col("head"), F.lit(True)
-    cells = [F.count("*").alias("days"), F.count_if("head").alias("head_days")]
-    for tag in ("high", "low"):
-        for label, on in (("", every), ("_head", head), ("_tail", ~head)):
-            cells.append(F.round(ratio(when(f"hits_{tag}", on), when(f"slots_{tag}", on)), 5).alias(f"null_precision_{tag}{label}"))
-        cells.append(F.round(ratio(F.sqrt(F.sum(f"var_{tag}")), F.sum(f"slots_{tag}")), 6).alias(f"null_precision_{tag}_sd"))
-    k, p, n = F.col("k"), F.col("n_positive"), F.col("n_d_high")
+    bound = lambda name, c: F.struct(F.lit(name).alias("bound"), F.col(c).cast("double").alias("size"))
+    rows = days.select("*", F.inline(F.array(bound("high", "n_d_low"), bound("low", "n_d_high"))))
+    rows = rows.select(F.col("n_positive").alias("p"), "n_d_high", "bound", "size", (F.col("day") < F.lit(thin_from).cast("date")).alias("head"), alerts._budgets(budgets))
+    rows = rows.withColumn("slots", F.least(F.col("k").cast("double"), F.col("size"))).withColumn("rate", F.col("p") / F.col("size"))
+    share = F.least(F.greatest("rate", F.lit(0.0)), F.lit(1.0))
+    finite = F.when(F.col("size") > 1, (F.col("size") - F.col("slots")) / (F.col("size") - 1)).otherwise(0.0)
+    rows = rows.withColumn("hits", F.col("slots") * F.col("rate")).withColumn("var", F.col("slots") * share * (1 - share) * finite)
+    once, k = F.col("bound") == "low", F.col("k")
+    total = lambda c, on=once: F.sum(F.when(on, c))
+    over = {"": F.lit(True), "_head": F.col("head"), "_tail": ~F.col("head")}
+    found = [
+        F.round(ratio(total(F.col("hits"), (F.col("bound") == tag) & on), total(F.col("slots"), (F.col("bound") == tag) & on)), 5).alias(f"null_precision_{tag}{part}")
+        for tag in ("high", "low") for part, on in over.items()
+    ]
+    found += [F.round(ratio(F.sqrt(total(F.col("var"), F.col("bound") == tag)), total(F.col("slots"), F.col("bound") == tag)), 6).alias(f"null_precision_{tag}_sd") for tag in ("high", "low")]
     return rows.groupBy("k").agg(
-        *cells, F.sum("slots_low").cast("long").alias("alert_slots"), F.sum(F.least(p, k.cast("long"))).alias("ceiling_count"),
-        F.sum(F.when(p > k, k).otherwise(0)).cast("long").alias("ceiling_budget_limited"), F.sum(F.when(p <= k, p).otherwise(0)).cast("long").alias("ceiling_positive_limited"),
-        F.count_if(n <= k).alias("nonbinding_days"),
+        F.count_if(once).alias("days"), F.count_if(once & F.col("head")).alias("head_days"), *found, total(F.col("slots")).cast("long").alias("alert_slots"),
+        total(F.least(F.col("p"), k.cast("long"))).alias("ceiling_count"), total(F.when(F.col("p") > k, k).otherwise(0)).cast("long").alias("ceiling_budget_limited"),
+        total(F.when(F.col("p") <= k, F.col("p")).otherwise(0)).cast("long").alias("ceiling_positive_limited"), F.count_if(once & (F.col("n_d_high") <= k)).alias("nonbinding_days"),
     )
 
 

@@ -34,13 +34,19 @@ _WRITTEN: dict[str, str] = {}
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tollgate-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Ids, hashes and texts seldom repeat, and a table is read once or twice: dictionaries of them cost more than they save.
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     _WRITTEN[path] = tag
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
+def gather(df: DataFrame, tag: str) -> DataFrame:
+    """``materialize`` for what is far smaller than what it is made from: its rows move once more, into few files instead of one a task."""
+    return materialize(df.hint("rebalance"), tag)
+
+
 def _delete(spark: SparkSession, path: str) -> bool:
     _WRITTEN.pop(path, None)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -70,8 +70,9 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     rows = pd.concat(list(batches)).sort_values(["t", "txn_id", "side"])
     out = []
     for t, group in rows.groupby("t", sort=True):
-        if t < account.now:
-            continue  # later than the watermark allows: history has moved on
+        if t < account.now:  # history has moved on
+            out += [(i, side, *[None] * len(HISTORY)) for i, side in zip(group.txn_id, group.side)]
+            continue
         out += account.observe(zip(group.txn_id, group.side, group.t, group.amount_paid, group.cp, group.is_out))
     state.update((pickle.dumps(account),))
     frame = pd.DataFrame(out, columns=["txn_id", "side", *HISTORY])
@@ -83,7 +84,9 @@ def online_history(transfers: DataFrame) -> DataFrame:
     """History rows (txn_id, side, ``HISTORY``) of a stream of transfers, in append mode.
 
     Values equal the batch history's as long as events arrive in time order between batches; within
-    a batch they are ordered here. An event older than the account's newest minute is left out, as
-    its history has moved on. State is 30 days of events an account and one contact a counterparty.
+    a batch they are ordered here. An event older than the account's newest minute comes too late for
+    its history, which has moved on: its row is there with nulls alone, even for the counts, which are
+    never null otherwise, so late events can be counted. State is 30 days of events an account and one
+    contact a counterparty.
     """
     return account_events(transfers).groupBy("account_id").applyInPandasWithState(_update, _SCHEMA, "held binary", "append", GroupStateTimeout.NoTimeout)
