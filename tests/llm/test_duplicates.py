@@ -4,9 +4,10 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from tollgate import storage
 from tollgate.llm import common, line_dedup, simhash
-from tollgate.operators import graph
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, r string"
 
@@ -205,10 +206,10 @@ def test_very_long_lines(spark):
 
 def test_lines_are_native(spark, monkeypatch):
     docs = _docs(spark, [(1, "a b c\na b c"), (2, "a b c"), (2, "a b c")])
-    plans = []
-    for module in (line_dedup, graph):
-        kept = module.materialize
-        monkeypatch.setattr(module, "materialize", lambda df, tag, kept=kept: (plans.append(df._jdf.queryExecution().toString()), kept(df, tag))[1])
+    plans, kept = [], storage.materialize
+    seen = lambda df, tag: (plans.append(df._jdf.queryExecution().toString()), kept(df, tag))[1]
+    monkeypatch.setattr(storage, "materialize", seen)
+    monkeypatch.setattr(line_dedup, "materialize", seen)
     plans.append(line_dedup.dedup_lines(docs)._jdf.queryExecution().toString())
     assert len(plans) > 15 and not any(x in p for p in plans for x in ("Python", "Arrow", "Pandas"))
 
@@ -251,8 +252,9 @@ def test_a_shifted_unspaced_line_is_a_copy(spark, letters):
 def test_both_shingle_patterns_agree(spark):
     rng = random.Random(5)
     lines = [" ".join("".join(rng.choice("abcXYZ") for _ in range(rng.randrange(1, 40))) for _ in range(rng.randrange(1, 9))) for _ in range(50)]
-    docs = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "true as yes", "false as no")
-    for r in docs.select("line", line_dedup._texts("line", "yes").alias("a"), line_dedup._texts("line", "no").alias("b")).collect():
+    docs = spark.createDataFrame([(x,) for x in lines], "line string")
+    each = [F.regexp_extract_all("line", F.lit(p), F.lit(1)).alias(n) for p, n in ((line_dedup.SHINGLE_DENSE, "a"), (line_dedup.SHINGLE, "b"))]
+    for r in docs.select("line", *each).collect():
         assert r["a"] == r["b"] and set("".join(r["b"])) >= set(r["line"]) - {" "}
 
 

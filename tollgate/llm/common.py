@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, shared_dir
+from ..storage import gather, materialize, shared_dir
 
-__all__ = ["buckets_for", "materialize", "parted", "passing", "read_table", "shared_dir"]
+__all__ = ["buckets_for", "gather", "materialize", "parted", "passing", "read_table", "shared_dir"]
 
 #: Bits for each key of a filter, and bits of a filter at most (2 million words of 64). For more keys there is none.
 KEY_BITS, MOST_BITS = 8, 27

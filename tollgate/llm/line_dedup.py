@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..storage import discard
-from .common import materialize, parted, passing
+from .common import gather, materialize, parted, passing
 
 #: Characters of a shingle; one starts at every run of non-space characters and, while the run goes on for 12 more, at each next character. So all are covered, and an inserted character moves no other shingle.
 WIDTH = 12
@@ -32,15 +32,20 @@ _PLACE_BITS, _PART_BITS = 33, 17
 _WEIGHT = (1 << 63 - _PLACE_BITS - _PART_BITS) - 1
 
 
-def _texts(line: str, dense: str) -> Column:
-    """Shingles of a line column, repeats included; ``dense`` says that its document has dense scripts."""
-    each = F.regexp_extract_all(line, F.lit(SHINGLE_DENSE), F.lit(1))
-    return F.when(F.col(dense), each).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
+def _dense(line: str) -> Column:
+    """Whether a line holds dense scripts; the first two tests are cheap, and most lines end there."""
+    found = (F.octet_length(line) > F.char_length(line)) & F.col(line).rlike(r"[\u0E00-\uFFFF]") & F.col(line).rlike(f"[{_DENSE}]")
+    return F.coalesce(found, F.lit(False))
 
 
-def shingles(line: str, dense: str) -> Column:
+def _texts(line: str) -> Column:
+    """Shingles of a line column, repeats included."""
+    return F.when(_dense(line), F.regexp_extract_all(line, F.lit(SHINGLE_DENSE), F.lit(1))).otherwise(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)))
+
+
+def shingles(line: str) -> Column:
     """Distinct shingle hashes of a line column, at least one for a line with a non-space character."""
-    return F.array_distinct(F.transform(_texts(line, dense), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(_texts(line), lambda s: F.xxhash64(s)))
 
 
 def identity(docs: DataFrame) -> Column:
@@ -49,15 +54,12 @@ def identity(docs: DataFrame) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, dense, line_no from 0, line, k1, k2) of every line, in lower case.
+    """(doc_id, t, line_no from 0, line, k1, k2) of every line, in lower case.
 
-    t is the row's ``identity``. It and the script are told before the lines are made, or they would be
-    told again for each.
+    t is the row's ``identity``, told before the lines are made, or it would be told again for each.
     """
-    # The first two are cheap, and most texts end there.
-    dense = (F.octet_length("text") > F.char_length("text")) & F.col("text").rlike(r"[\u0E00-\uFFFF]") & F.col("text").rlike(f"[{_DENSE}]")
-    rows = docs.select("doc_id", identity(docs).alias("t"), F.coalesce(dense, F.lit(False)).alias("dense"), "text")
-    rows = rows.select("doc_id", "t", "dense", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    rows = docs.select("doc_id", identity(docs).alias("t"), "text")
+    rows = rows.select("doc_id", "t", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
     return rows.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
 
@@ -77,7 +79,7 @@ def signatures(rows: DataFrame) -> DataFrame:
     no shingle and so no row. The rank r is the line's own number, no other line has it, and rises
     with the line's shingles in all its copies, up to 8191.
     """
-    rows = rows.select("k1", "k2", _place().alias("o"), F.posexplode(_texts("line", "dense")).alias("i", "s"))
+    rows = rows.select("k1", "k2", _place().alias("o"), F.posexplode(_texts("line")).alias("i", "s"))
     rows = rows.select("k1", "k2", "o", "i", F.xxhash64("s").alias("h"))
     rows = rows.select("k1", "k2", "o", "i", *[F.xxhash64(F.lit(b), "h").alias(f"h{b}") for b in range(BANDS)])
     halves = [f(f"h{b}").alias(f"{n}{b}") for b in range(BANDS) for n, f in (("lo", lambda c: F.min(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))), ("hi", lambda c: F.min(F.shiftrightunsigned(c, 32))))]
@@ -99,11 +101,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _hubs(compared: DataFrame) -> DataFrame:
-    """(x, hub): a line of a higher rank that x is linked to, by up to three steps up. Lines of one hub are connected."""
-    up = compared.where(F.col("jaccard") >= SIMILAR).groupBy("x").agg(F.max("y").alias("hub")).where("hub > x")
+    """(x, hub), written: a line of a higher rank that x is linked to, by up to three steps up. Lines of one hub are connected.
+
+    Each step is written before it is joined, so a hub of many lines is a join side that can be split.
+    """
+    up = gather(compared.where(F.col("jaccard") >= SIMILAR).groupBy("x").agg(F.max("y").alias("hub")).where("hub > x"), "up")
     for _ in range(2):
         top = up.select(F.col("x").alias("t_x"), F.col("hub").alias("t_hub"))
-        up = up.join(top, F.col("hub") == F.col("t_x"), "left").select("x", F.coalesce("t_hub", "hub").alias("hub"))
+        up = gather(up.join(top, F.col("hub") == F.col("t_x"), "left").select("x", F.coalesce("t_hub", "hub").alias("hub")), "up")
     return up
 
 
@@ -123,7 +128,7 @@ def _rare_pairs(sets: DataFrame) -> DataFrame:
     # Two lines of n and m shingles are similar if they share (n + m) * 0.8 / 1.8 of them.
     half = SIMILAR / (1 + SIMILAR)
     useful = 1 + F.col("n") - F.col("place") >= (F.col("n") + F.greatest(F.col("least"), F.col("n") * SIMILAR)) * half - 1e-9
-    rows = materialize(rows.where(useful & F.expr("often > 1 and asked")).select("r", "hub", "open", "n", "s", "place"), "prefixes")
+    rows = gather(rows.where(useful & F.expr("often > 1 and asked")).select("r", "hub", "open", "n", "s", "place"), "prefixes")
     x = rows.where("open").select(F.col("r").alias("x"), F.col("hub").alias("x_hub"), F.col("n").alias("x_n"), "s", F.col("place").alias("x_at"))
     y = rows.select(F.col("r").alias("y"), F.col("hub").alias("y_hub"), F.col("n").alias("y_n"), "s", F.col("place").alias("y_at"), "open")
     common = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= (F.col("x_n") + F.col("y_n")) * half - 1e-9
@@ -144,32 +149,32 @@ def line_links(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
     """
     bands = signed.select("r", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.max("r").alias("pivot")).where("n > 1").select("key", "pivot")
-    buckets = materialize(buckets, "buckets")
+    buckets = gather(buckets, "buckets")
     members = passing(bands, buckets.select("key"), "key").join(buckets.withColumnRenamed("key", "b_key"), F.col("key") == F.col("b_key"))
-    members = materialize(members.where("r != pivot").select("key", "r", "pivot"), "members")
+    members = gather(members.where("r != pivot").select("key", "r", "pivot"), "members")
     discard(buckets)
     pairs = materialize(members.select(F.col("r").alias("x"), F.col("pivot").alias("y")).distinct(), "pairs")
     ranks = pairs.select(F.col("x").alias("r")).unionByName(pairs.select(F.col("y").alias("r")).distinct())
     named = passing(signed.select(F.col("k1").alias("n_k1"), F.col("k2").alias("n_k2"), F.col("o").alias("n_o"), "r"), ranks, "r")
-    named = materialize(named, "named")
+    named = gather(named, "named")
     # One occurrence of each line gives its shingles.
-    sets = passing(rows.select("k1", "k2", "line", "dense", _place().alias("o")), named.select(F.col("n_o").alias("o")), "o")
+    sets = passing(rows.select("k1", "k2", "line", _place().alias("o")), named.select(F.col("n_o").alias("o")), "o")
     sets = sets.join(named, (F.col("k1") == F.col("n_k1")) & (F.col("k2") == F.col("n_k2")) & (F.col("o") == F.col("n_o")))
-    sets = materialize(sets.select("r", shingles("line", "dense").alias("s")), "lines")
-    first = materialize(_verified(pairs, sets), "verified")
+    sets = materialize(sets.select("r", shingles("line").alias("s")), "lines")
+    first = gather(_verified(pairs, sets), "verified")
     discard(pairs)
     links = first.where(F.col("jaccard") >= SIMILAR).select("x", "y")
     seen = first.select(F.col("x").alias("f_x"), F.col("y").alias("f_y"), "jaccard")
-    hubs = materialize(_hubs(first), "hubs")
+    hubs = _hubs(first)
     told = members.join(seen, (F.col("r") == F.col("f_x")) & (F.col("pivot") == F.col("f_y"))).select("key", "r", "pivot", "jaccard")
     for of in ("r", "pivot"):
         top = hubs.select(F.col("x").alias("h_x"), F.col("hub").alias("h"))
         told = told.join(top, F.col(of) == F.col("h_x"), "left").withColumn(f"{of}_hub", F.coalesce("h", of)).drop("h_x", "h")
-    told = materialize(told, "compared")
+    told = gather(told, "compared")
     sides = [f(g("r_hub", "pivot_hub")) for f, g in ((F.min, F.least), (F.max, F.greatest))]
     left = told.groupBy("key").agg(F.count("*").alias("n"), F.min("jaccard").alias("least"), sides[0].alias("lo"), sides[1].alias("hi"))
     left = materialize(left.where((F.col("n") > 1) & (F.col("least") < SIMILAR) & (F.col("lo") != F.col("hi"))).select(F.col("key").alias("o_key"), (F.col("n") <= SMALL).alias("few")), "open")
-    again = materialize(told.join(left, F.col("key") == F.col("o_key")).drop("o_key"), "again")
+    again = gather(told.join(left, F.col("key") == F.col("o_key")).drop("o_key"), "again")
     few, many = again.where("few"), again.where("not few")
     x, y = few.where(F.col("jaccard") < SIMILAR).alias("x"), few.alias("y")
     near = F.abs(F.col("x.jaccard") - F.col("y.jaccard")) <= 1 - SIMILAR + 1e-9
@@ -196,21 +201,21 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     found = components(links, "x", "y")
     labels = found.join(named, F.col("node") == F.col("r")).select(F.col("n_k1").alias("l_k1"), F.col("n_k2").alias("l_k2"), "component")
     labels = materialize(labels, "labels")
-    several = materialize(signed.where("copies > 1").select("k1").unionByName(labels.select(F.col("l_k1").alias("k1"))), "several")
+    several = gather(signed.where("copies > 1").select("k1").unionByName(labels.select(F.col("l_k1").alias("k1"))), "several")
     discard(signed)
     seen = passing(rows.select("doc_id", "t", "line_no", "line", "k1", "k2"), several, "k1").where(F.col("line").rlike(r"\S"))
-    seen = materialize(seen.select("doc_id", "t", "line_no", "k1", "k2"), "occurrences")
+    seen = gather(seen.select("doc_id", "t", "line_no", "k1", "k2"), "occurrences")
     firsts = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.count("*").alias("n"))
     firsts = firsts.join(labels, (F.col("k1") == F.col("l_k1")) & (F.col("k2") == F.col("l_k2")), "left")
-    firsts = materialize(firsts.where("n > 1 or component is not null").select("k1", "k2", "first", "component"), "firsts")
+    firsts = gather(firsts.where("n > 1 or component is not null").select("k1", "k2", "first", "component"), "firsts")
     heads = firsts.where("component is not null").groupBy(F.col("component").alias("h")).agg(F.min("first").alias("head"))
     heads = materialize(heads, "components")  # so that the join has exchanges of its own and a hot component can be split
     firsts = firsts.join(heads, F.col("component") == F.col("h"), "left")
     keep = firsts.select(F.col("k1").alias("f_k1"), F.col("k2").alias("f_k2"), F.coalesce("head", "first").alias("keep"))
-    keep = materialize(keep, "heads")
+    keep = gather(keep, "heads")
     repeated = seen.join(keep, (F.col("k1") == F.col("f_k1")) & (F.col("k2") == F.col("f_k2")))
     lost = repeated.where(~F.struct("doc_id", "t", "line_no").eqNullSafe(F.col("keep")))
-    return materialize(lost.groupBy(F.col("doc_id").alias("x_id"), F.col("t").alias("x_t")).agg(F.array_sort(F.collect_set("line_no")).alias("drops")), "drops")
+    return gather(lost.groupBy(F.col("doc_id").alias("x_id"), F.col("t").alias("x_t")).agg(F.array_sort(F.collect_set("line_no")).alias("drops")), "drops")
 
 
 def _told(docs: DataFrame, payload: Sequence[Column]) -> tuple[DataFrame, DataFrame | None]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.order import positions
-from .common import buckets_for, materialize
+from .common import buckets_for, gather, materialize
 
 #: Words of a text, as the size of a document.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,7 +71,7 @@ def _plan(docs: DataFrame, seed: int, weights: Sequence[float], share: float, mo
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _mark(F.col("text")).alias("mark"))
     rows = rows.groupBy("source", "doc_id", "mark", "size").agg(F.count("*").alias("n"))
-    rows = materialize(rows.withColumn("key", _key(seed)), "sizes")
+    rows = gather(rows.withColumn("key", _key(seed)), "sizes")
     words = F.col("n") * F.col("size")
     per_source = materialize(rows.groupBy("source").agg(F.sum(words).alias("source_size"), F.count("*").alias("rows")), "sources")
     ranges = buckets_for(per_source.agg(F.max("rows")).first()[0] or 0, ROWS_PER_BUCKET, docs.sparkSession.sparkContext.defaultParallelism * 4)
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, seed: int = 42, weights: Sequence[float] = WEIGHTS, sha
     """
     taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long")
     rows = _plan(docs, seed, weights, share, most).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "n")
-    rows = materialize(rows, "taken")
+    rows = gather(rows, "taken")
     each = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
     few = rows.where(F.col("n") <= COPIES).withColumn("i", each(F.col("n")))
     # Many equal rows are written again by many tasks.

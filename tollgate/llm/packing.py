@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, materialize
+from .common import buckets_for, gather
 
 WINDOW, END_ID = 4096, 2
 #: Rows that one task ranks at most, on average.
@@ -245,7 +245,7 @@ def _ranked(rows: DataFrame, tag: str, per_bucket: int) -> DataFrame:
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "crc")
     rows = rows.withColumn("own", F.row_number().over(own) - 1)
     rows = rows.join(sums, (F.col("length") == F.col("s_length")) & (F.col("salt") == F.col("s_salt")))
-    return materialize(rows.select("doc_id", "row", "start", "length", "doc_tokens", "crcs", (F.col("own") + F.col("earlier")).cast("long").alias("rank")), tag)
+    return gather(rows.select("doc_id", "row", "start", "length", "doc_tokens", "crcs", (F.col("own") + F.col("earlier")).cast("long").alias("rank")), tag)
 
 
 def _place(rows: DataFrame, slots: dict[int, tuple[np.ndarray, ...]]) -> DataFrame:
@@ -285,7 +285,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     change places, which changes nothing; a null doc_id stays null. Texts of any length are encoded
     whole. No rows give no rows. Other columns, of whatever name, are not read. ``path`` is the tokenizer's file, the same on every machine.
     """
-    rows = materialize(pieces(docs, path or tokenizer_path(), window, end_id), "pieces")
+    rows = gather(pieces(docs, path or tokenizer_path(), window, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = _dissolve(minimum_slack(counts, window), window)
     whole, first = _slots([(t, p) for own, t, p in plan if own], 0)

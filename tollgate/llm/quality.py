@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labels as L
-from .common import materialize
+from .common import gather, materialize
 
 #: Fourier features, width of the Gaussian kernel over standardised statistics, ridge, and seed.
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-3, 42
@@ -116,7 +116,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", ridge: floa
     scores are near the mean label (0.5 without labels).
     """
     rows = stats.join(L.known(labels, label), F.col("doc_id") == F.col("l_id"))
-    rows = materialize(rows.select("stats", "y", F.pmod(F.xxhash64("l_id"), F.lit(2)).cast("int").alias("half")), "labelled")
+    rows = gather(rows.select("stats", "y", F.pmod(F.xxhash64("l_id"), F.lit(2)).cast("int").alias("half")), "labelled")
     moments = [f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(len(STATS)) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
     got = rows.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *moments).first()
     zero, one = np.zeros(FEATURES + 1), np.array([0.0])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import materialize, parted
+from .common import gather, materialize, parted
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Bits of each of the parts whose population counts name a tile.
@@ -143,12 +143,12 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _classes(prints: DataFrame, radius: int) -> DataFrame:
     """(n_fp, root, component_id) of each distinct fingerprint of ``prints(doc_id, fp)``: its component's least fingerprint and doc_id."""
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = gather(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes.select("fp"), radius), "a", "b")
     rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("l_root"), "component_id"), "least")
-    return materialize(rooted.join(least, F.col("root") == F.col("l_root")).select(F.col("fp").alias("n_fp"), "root", "component_id"), "classes")
+    rooted = gather(rooted, "rooted")
+    least = gather(rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("l_root"), "component_id"), "least")
+    return gather(rooted.join(least, F.col("root") == F.col("l_root")).select(F.col("fp").alias("n_fp"), "root", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     part, but no id comes from them (a component of only such rows has a null id). No rows give no
     rows. Other columns, of whatever name, are not read.
     """
-    rows = materialize(docs.select("doc_id", _fingerprints(F.col("text")).alias("fp")), "prints")
+    rows = gather(docs.select("doc_id", _fingerprints(F.col("text")).alias("fp")), "prints")
     out = rows.join(_classes(rows, radius), F.col("fp") == F.col("n_fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -179,7 +179,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = ids.join(_classes(ids, radius), F.col("fp") == F.col("n_fp"))
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("head"))
     heads = heads.select(F.col("head.n").alias("h_n"))
-    gone = materialize(ids.select("n").join(heads, F.col("n") == F.col("h_n"), "left_anti"), "gone")
+    gone = gather(ids.select("n").join(heads, F.col("n") == F.col("h_n"), "left_anti"), "gone")
     # Only rows that may go are moved.
     some, rest = parted(rows.select("row", "n"), gone, "n")
     gone = gone.select(F.col("n").alias("g_n"))
