@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import gather, materialize, shared_dir
 
-__all__ = ["buckets_for", "gather", "materialize", "parted", "passing", "read_table", "shared_dir"]
+__all__ = ["buckets_for", "gather", "materialize", "parted", "passing", "read_table", "shared_dir", "small_batches"]
 
+#: Texts that Spark sends to Python at once: 10,000, its default, hold tens of megabytes on either side.
+BATCH = 500
 #: Bits for each key of a filter, and bits of a filter at most (2 million words of 64). For more keys there is none.
 KEY_BITS, MOST_BITS = 8, 27
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
+    """What runs in here sends at most ``rows`` rows to Python at once, which bounds what a worker and its executor hold of texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of the registered queries."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,13 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, gather
+from .common import buckets_for, gather, small_batches
 
 WINDOW, END_ID = 4096, 2
 #: Rows that one task ranks at most, on average.
 ROWS_PER_BUCKET = 50_000
 #: Parts whose ids a worker remembers at most; beyond it the memory is emptied, which costs time only.
 MEMORY = 200_000
+#: Texts that a worker gets at once.
+BATCH = 1000
 #: Bytes of text that are split and encoded together, besides a last longer text.
 STEP = 3_000_000
 
@@ -285,7 +287,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     change places, which changes nothing; a null doc_id stays null. Texts of any length are encoded
     whole. No rows give no rows. Other columns, of whatever name, are not read. ``path`` is the tokenizer's file, the same on every machine.
     """
-    rows = gather(pieces(docs, path or tokenizer_path(), window, end_id), "pieces")
+    with small_batches(docs.sparkSession, BATCH):
+        rows = gather(pieces(docs, path or tokenizer_path(), window, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = _dissolve(minimum_slack(counts, window), window)
     whole, first = _slots([(t, p) for own, t, p in plan if own], 0)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labels as L
-from .common import gather, materialize
+from .common import gather, materialize, small_batches
 
 #: Fourier features, width of the Gaussian kernel over standardised statistics, ridge, and seed.
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-3, 42
@@ -183,7 +183,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     labels a score of about 0.5. Texts of any length are read whole; other columns, of whatever name,
     are not read.
     """
-    stats = materialize(docs.select("doc_id", statistics_of(F.col("text")).alias("stats")), "stats")
+    with small_batches(docs.sparkSession):
+        stats = materialize(docs.select("doc_id", statistics_of(F.col("text")).alias("stats")), "stats")
     model = fit(stats, labels, label)
     out = stats.select("doc_id", L.held_out(F.col("doc_id")).alias("held_out"), _scores(model, F.col("stats")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= _CUT).cast("int"))
@@ -195,6 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Dat
     The statistics are taken once and written beside the documents.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), statistics_of(F.col("text")).alias("stats"))
-    rows = materialize(rows, "stats")
+    with small_batches(docs.sparkSession):
+        rows = materialize(rows, "stats")
     model = fit(rows.select(F.col("d_id").alias("doc_id"), "stats"), labels, label)
     return rows.where(_scores(model, F.col("stats")) >= _CUT).select("row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import gather, materialize, parted
+from .common import gather, materialize, parted, small_batches
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Bits of each of the parts whose population counts name a tile.
@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     part, but no id comes from them (a component of only such rows has a null id). No rows give no
     rows. Other columns, of whatever name, are not read.
     """
-    rows = gather(docs.select("doc_id", _fingerprints(F.col("text")).alias("fp")), "prints")
+    with small_batches(docs.sparkSession):
+        rows = gather(docs.select("doc_id", _fingerprints(F.col("text")).alias("fp")), "prints")
     out = rows.join(_classes(rows, radius), F.col("fp") == F.col("n_fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -174,7 +175,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     texts are fingerprinted once, and those of rows that may go move in the last join. No rows give no rows.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), _fingerprints(F.col("text")).alias("d_fp"))
-    rows = materialize(rows.withColumn("n", F.monotonically_increasing_id()), "marked")
+    with small_batches(docs.sparkSession):
+        rows = materialize(rows.withColumn("n", F.monotonically_increasing_id()), "marked")
     ids = rows.select("n", F.col("d_id").alias("doc_id"), F.col("d_fp").alias("fp"))
     named = ids.join(_classes(ids, radius), F.col("fp") == F.col("n_fp"))
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("head"))
