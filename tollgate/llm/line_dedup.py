@@ -53,12 +53,13 @@ def identity(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
 
 
-def lines(docs: DataFrame) -> DataFrame:
+def lines(docs: DataFrame, mark: Column | None = None) -> DataFrame:
     """(doc_id, t, line_no from 0, line, k1, k2) of every line, in lower case.
 
-    t is the row's ``identity``, told before the lines are made, or it would be told again for each.
+    t tells rows of one doc_id apart: ``mark``, by default the row's ``identity``. It is told before the
+    lines are made, or it would be told again for each.
     """
-    rows = docs.select("doc_id", identity(docs).alias("t"), "text")
+    rows = docs.select("doc_id", (identity(docs) if mark is None else mark).alias("t"), "text")
     rows = rows.select("doc_id", "t", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
     return rows.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
 
@@ -189,13 +190,13 @@ def line_links(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
     return links.unionByName(second.where(F.col("jaccard") >= SIMILAR).select("x", "y")), named
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, mark: Column) -> DataFrame:
     """(x_id, x_t, drops), written: the numbers of the lines that each document loses, for documents that lose any.
 
-    Of each component of similar lines the one of the least (doc_id, identity, line_no) stays; a null
-    doc_id sorts first. No two rows of ``docs`` are equal in doc_id and identity.
+    Of each component of similar lines the one of the least (doc_id, mark, line_no) stays; a null
+    doc_id sorts first. No two rows of ``docs`` are equal in doc_id and ``mark``.
     """
-    rows = lines(docs)
+    rows = lines(docs, mark)
     signed = signatures(rows)
     links, named = line_links(rows, signed)
     found = components(links, "x", "y")
@@ -218,29 +219,35 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gather(lost.groupBy(F.col("doc_id").alias("x_id"), F.col("t").alias("x_t")).agg(F.array_sort(F.collect_set("line_no")).alias("drops")), "drops")
 
 
-def _told(docs: DataFrame, payload: Sequence[Column]) -> tuple[DataFrame, DataFrame | None]:
+def _told(docs: DataFrame, payload: Sequence[Column], texts: bool) -> tuple[DataFrame, DataFrame | None]:
     """Rows (row, drops), ``row`` holding ``payload``, of documents that occur once and of one of each repeated row; and (row, n) of the latter's others, whole.
 
-    ``drops`` is null for a document that loses no line. Repeated rows are found by a count of their
-    identities, and one of each is picked where the rows lie before anything is joined.
+    ``drops`` is null for a document that loses no line. Where ids repeat, rows are told apart by their
+    identities; repeated rows are found by a count of these, and one of each is picked where the rows
+    lie before anything is joined. Where no id repeats, nothing need be told apart. If the payload has
+    the ``texts``, only rows that may lose a line are moved.
     """
-    ids = docs.select(F.col("doc_id").alias("r_id"), identity(docs).alias("r_t"))
-    again = materialize(ids.groupBy("r_id", "r_t").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    more = None
-    if not again.isEmpty():
+    apart = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    mark = lambda d: identity(d) if apart else F.lit(0).cast("long")
+    more = again = None
+    if apart:
+        ids = docs.select(F.col("doc_id").alias("r_id"), identity(docs).alias("r_t"))
+        again = gather(ids.groupBy("r_id", "r_t").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    if again is not None and not again.isEmpty():
         whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), identity(docs).alias("d_t"))
         same = F.col("d_id").eqNullSafe(F.col("r_id")) & (F.col("d_t") == F.col("r_t"))
         some = whole.join(again, same).groupBy("d_id", "d_t").agg(F.first("row").alias("row"), F.first("n").alias("n"))
         some = materialize(some, "repeats")
         docs = whole.join(again, same, "left_anti").select("row.*").unionByName(some.select("row.*"))
         more = some.select("row", (F.col("n") - 1).alias("n"))
-    drops = dropped_lines(docs)
-    keyed = docs.select(F.struct(*payload).alias("row"), F.col("doc_id").alias("d_id"), identity(docs).alias("d_t"))
+    drops = dropped_lines(docs, mark(docs))
+    keyed = docs.select(F.struct(*payload).alias("row"), F.col("doc_id").alias("d_id"), mark(docs).alias("d_t"))
+    joined = lambda rows: rows.join(drops, F.col("d_id").eqNullSafe(F.col("x_id")) & (F.col("d_t") == F.col("x_t")), "left").select("row", "drops")
+    if not texts:
+        return joined(keyed), more
     keyed = keyed.withColumn("place", F.xxhash64("d_id", "d_t"))
-    # Only rows that may lose a line are moved.
     some, rest = parted(keyed, drops.select(F.xxhash64("x_id", "x_t").alias("place")), "place")
-    some = some.join(drops, F.col("d_id").eqNullSafe(F.col("x_id")) & (F.col("d_t") == F.col("x_t")), "left").select("row", "drops")
-    return some.unionByName(rest.select("row", F.lit(None).cast("array<int>").alias("drops"))), more
+    return joined(some).unionByName(rest.select("row", F.lit(None).cast("array<int>").alias("drops"))), more
 
 
 #: Copies of a repeated row that one task writes at most.
@@ -264,7 +271,7 @@ def dedup_lines(docs: DataFrame, drop_empty: bool = False) -> DataFrame:
     documents that had words and keep none are left out. No rows give no rows. Columns but ``doc_id``
     and ``text`` may have any name and type.
     """
-    one, more = _told(docs, [F.col(f"`{c}`") for c in docs.columns])
+    one, more = _told(docs, [F.col(f"`{c}`") for c in docs.columns], True)
     words = F.coalesce(F.col("row.text").rlike(r"\S"), F.lit(False))
     rows = one.withColumn("parts", F.split("row.text", "\n"))  # a column, or every line would split the text again
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "drops")
@@ -287,7 +294,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     """
     n_lines = lambda text: F.greatest(F.coalesce(F.size(F.split(text, "\n")), F.lit(0)), F.lit(0)).cast("long").alias("n_lines")
     none = F.array().cast("array<int>")
-    one, more = _told(docs, [F.col("doc_id"), n_lines("text")])
+    one, more = _told(docs, [F.col("doc_id"), n_lines("text")], False)
     out = one.select("row.doc_id", "row.n_lines", F.coalesce("drops", none).alias("drops"))
     if more is not None:
         every = F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
