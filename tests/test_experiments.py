@@ -291,6 +291,11 @@ def test_drift_stages(spark, txns, tmp_path):
     assert spark.read.csv(at("results/results"), header=True).count() == 8
 
 
+def test_demo_runs_every_stage(spark, tmp_path):
+    got = stages.demo(spark, str(tmp_path))
+    assert got["verify_bundle"]["exit"] == 0 and got["build_splits"]["test_rings"] == 3 and "lift@20" in got["evaluate"]
+
+
 def test_coded_accounts(spark, learned):
     got = models.load_test(learned, USED)
     assert got.count() == 900 and dict(got.dtypes)["x1"] == "float"

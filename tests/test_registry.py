@@ -7,17 +7,14 @@ import pytest
 
 from tollgate import registry
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
 
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    return con
+    return _views(SF)
 
 
 def _cell(v):
@@ -29,9 +26,26 @@ SLOW = {"model_lr_scores", "model_gbt_scores"}
 SPARSE = {"drift_instances", "drift_instances_mix", "drift_instance_txns", "drift_splice_checks"}
 
 
+def _views(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(SPARSE))
+def test_query_of_many_rings(spark, name):
+    _same(spark, _views(LARGER), name, LARGER)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW - SPARSE))
 def test_query(spark, duck, name):
-    df = registry.queries()[name](spark, SF)
+    _same(spark, duck, name, SF)
+
+
+def _same(spark, duck, name, sf):
+    df = registry.queries()[name](spark, sf)
     columns = sorted(df.columns)
     got = sorted((tuple(_cell(r[c]) for c in columns) for r in df.collect()), key=repr)
     sql = registry.oracle_sql().get(name)

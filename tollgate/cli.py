@@ -51,8 +51,9 @@ def parser() -> argparse.ArgumentParser:
         for p in list(inspect.signature(f).parameters.values())[1:]:
             if p.kind is not inspect.Parameter.VAR_KEYWORD:
                 _option(own, p)
-    demo = sub.add_parser("demo", help="Write a small synthetic corpus.")
+    demo = sub.add_parser("demo", help="Write a small synthetic corpus and run every stage on it.")
     demo.add_argument("--dest", required=True)
+    demo.add_argument("--only-write", action="store_true")
     return out
 
 
@@ -62,7 +63,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     try:
         if name == "demo":
-            print(files.dumps(dict(zip(("transfers", "patterns"), transfers.demo_corpus(spark, options["dest"])))))
+            got = dict(zip(("transfers", "patterns"), transfers.demo_corpus(spark, options["dest"]))) if options["only_write"] else stages.demo(spark, options["dest"])
+            print(files.dumps(got))
             return OK
         got = STAGES[name](spark, **options)
         print(files.dumps(got))

@@ -256,3 +256,17 @@ def verify_bundle(s: SparkSession, bundle: str, manifest: str, budgets: Sequence
     """Compare the metrics that a bundle gives with those that a manifest published."""
     tables, meta = replay.read(s, bundle)
     return replay.compare(replay.keyed(replay.recompute(tables, meta["max_budget"], budgets)), files.read_json(s, manifest)["metrics"])
+
+
+def demo(s: SparkSession, dest: str, cut: str = "2022-09-07", budgets: Sequence[int] = (5, 20)) -> dict:
+    """A small synthetic corpus through every stage from the raw files to a verified bundle; what each stage recorded."""
+    raw, text = transfers.demo_corpus(s, f"{dest}/raw")
+    got = {"normalize": normalize(s, raw, f"{dest}/bronze"), "parse_patterns": parse_patterns(s, text, f"{dest}/patterns"), "reconcile": reconcile(s, f"{dest}/bronze", f"{dest}/patterns", f"{dest}/gold")}
+    got["build_features"] = build_features(s, f"{dest}/gold", f"{dest}/features")
+    got["build_splits"] = build_splits(s, f"{dest}/patterns", f"{dest}/features/features", cut, f"{dest}/split", min_positive=1)
+    got["train"] = train(s, f"{dest}/split", f"{dest}/model", "lr", budgets=budgets)
+    got["evaluate"] = evaluate(s, f"{dest}/split", f"{dest}/model/scores", f"{dest}/eval", budgets, draws=20)
+    got["make_bundle"] = make_bundle(s, f"{dest}/split", f"{dest}/model/scores", f"{dest}/bundle", 30)
+    got["verify_bundle"] = verify_bundle(s, f"{dest}/bundle", f"{dest}/eval/_manifest.json", list(budgets))
+    check(got["verify_bundle"]["exit"] == 0, ContractError, f"the bundle does not give the metrics again: {got['verify_bundle']}")
+    return got
