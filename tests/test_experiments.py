@@ -189,6 +189,8 @@ def test_models_learn_through_nulls(learned, kind, hot):
     odd = test.withColumn("payment_format_code", F.lit(77).cast("long")) if hot else test
     got = alerts.evaluate(models.scored(model, odd, USED), (5,))
     assert got["roc_auc_footnote_only__txn"] > 0.7
+    blank = learned.withColumn("x2", F.lit(None).cast("double"))  # a feature without any value in the train rows
+    assert models.score(models.train(blank.where("txn_id < 600"), kind, USED, **settings), test, USED).where("score is null").isEmpty()
     weights = {r["is_laundering"]: r["weight"] for r in models.class_weights(train).collect()}
     assert weights[1] == pytest.approx(600 / (2 * 67)) and weights[0] == pytest.approx(600 / (2 * 533))
     with pytest.raises(MetricError):

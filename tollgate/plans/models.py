@@ -56,11 +56,11 @@ def train(rows: DataFrame, kind: str = "gbt", features: Sequence[str] = FEATURES
     With ``one_hot`` the categories of the train rows become indicators, unseen ones none of them.
     """
     check(kind in ("lr", "gbt"), ValueError, f"unknown model {kind!r}")
-    classes = rows.agg(F.count_distinct("is_laundering")).first()[0]
-    check(classes == 2, MetricError, "train rows hold one class only")
     plain = [f for f in features if not (one_hot and f in CATEGORICAL)]
-    inputs = [f"x_{f}" for f in plain]
-    stages = [Imputer(strategy="median", inputCols=inputs, outputCols=[f"i_{c}" for c in inputs])]
+    seen = rows.agg(F.count_distinct("is_laundering").alias("classes"), *[F.count(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f"n_{k}") for k, f in enumerate(plain)]).first()
+    check(seen["classes"] == 2, MetricError, "train rows hold one class only")
+    inputs = [f"x_{f}" for k, f in enumerate(plain) if seen[f"n_{k}"]]  # what has no value at all has no median, and only its indicator is used
+    stages = [Imputer(strategy="median", inputCols=inputs, outputCols=[f"i_{c}" for c in inputs])] if inputs else []
     columns = [f"i_{c}" for c in inputs] + [f"null_{f}" for f in plain]
     if one_hot:
         cats = [f for f in features if f in CATEGORICAL]
