@@ -115,3 +115,30 @@ def test_all_frames_share_one_shuffle(spark, txns):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") <= 2, text
     assert F is not None
+
+
+def test_no_frame_is_read_anew_for_each_event(txns):
+    text = history.history(txns(_world()))._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, -" not in text, text  # a frame with a moving start costs its whole length an event
+
+
+def test_times_equal_brute_force():
+    import numpy as np
+
+    from tollgate.operators.frames import Times
+
+    rng = np.random.default_rng(4)
+    t = rng.integers(0, 20_000, 700) * 60
+    amount, known, out, new = rng.choice([0.1, 3.7, 1e6], 700), rng.random(700) < 0.8, rng.integers(0, 2, 700), rng.integers(0, 2, 700)
+    at = np.unique(t)
+    half = Times.of(*(x[:300] for x in (t, amount, known, out, new))).plus(Times.of(*(x[300:] for x in (t, amount, known, out, new))))
+    for times in (Times.of(t, amount, known, out, new), half):
+        got, null = times.features(at, 5)
+        for i, q in enumerate(at):
+            upto = t <= q - 60
+            w = {d: upto & (t >= q - d * 86_400) for d in (1, 7, 30)}
+            assert [got[c][i] for c in ("n_1d", "n_7d", "n_30d", "n_out_7d", "n_new_cp_7d", "n_distinct_cp_ever")] == [*(x.sum() for x in w.values()), out[w[7]].sum(), new[w[7]].sum(), new[upto].sum() + 5]
+            week, month = amount[w[7] & known], amount[w[30] & known]
+            assert null["mean_amt_7d"][i] == (not len(week)) and null["max_amt_30d"][i] == (not len(month))
+            if len(week):
+                assert (got["mean_amt_7d"][i], got["std_amt_7d"][i]) == (pytest.approx(week.mean()), pytest.approx(week.std(), abs=1e-6)) and got["max_amt_30d"][i] == month.max()

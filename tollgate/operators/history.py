@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..contract import HISTORY, MINUTE, WINDOWS, require
 from ..functions.columns import bucket, day_of_week, epoch, ratio, roundness
 from ..storage import materialize
+from .frames import Times
 
 KEYS = ("txn_id", "event_time", "event_date", "sender_id", "receiver_id", "is_laundering", "ring_id", "typology")
 _SPAN = WINDOWS["30d"]
+_REAL = ("mean_amt_7d", "std_amt_7d", "max_amt_30d", "out_share_7d", "new_cp_rate_7d")
 #: Days of a chunk of a hub's time, and events that make an account a hub.
 HUB_DAYS, HUB_EVENTS = 30, 1_000_000
 
@@ -35,7 +41,9 @@ def history(txns: DataFrame, hub_days: int = HUB_DAYS, hub_events: int = HUB_EVE
 
     Frames end one minute before the event, so it sees neither itself, nor others of its minute, nor
     the future. Counts and sums of an empty frame are 0; means, deviations, maxima, ratios and
-    seconds are null on a cold start. All frames share one shuffle on the account.
+    seconds are null on a cold start. All frames share one shuffle on the account. A frame's values are
+    put together from those of a few whole stretches of time, so an account costs n log n in its times,
+    where a sliding window of the engine reads each frame anew.
 
     An account of more than ``hub_events`` events is a hub, and no task holds its whole life: its time
     is cut into chunks of ``hub_days`` days (30 at least), an event is read in its own chunk and, as
@@ -58,21 +66,37 @@ def history(txns: DataFrame, hub_days: int = HUB_DAYS, hub_events: int = HUB_EVE
         seen = F.when(F.col("hub").isNotNull(), F.array(F.col("home"), F.col("home") + 1)).otherwise(F.array("home"))
         events = events.withColumn("chunk", F.explode(seen))
         events = events.join(sums, (F.col("account_id") == F.col("k_account")) & (F.col("chunk") == F.col("k_chunk")), "left")
+        events = events.where("hub is null or k_chunk is not null")  # a chunk without events of its own asks for nothing
         own, by, earlier = F.col("home") == F.col("chunk"), ["account_id", "chunk"], F.coalesce("new_before", F.lit(0))
-    frame = {k: Window.partitionBy(*by).orderBy("t").rangeBetween(-s, -MINUTE) for k, s in WINDOWS.items()}
-    ever = Window.partitionBy(*by).orderBy("t").rangeBetween(Window.unboundedPreceding, -MINUTE)
-    week, month = frame["7d"], frame["30d"]
-    n7, out7, new7 = F.count("*").over(week), F.sum("is_out").over(week), F.sum("is_new_cp").over(week)
-    degree = F.coalesce(F.sum(F.when(own, F.col("is_new_cp"))).over(ever), F.lit(0)) + earlier
-    rows = events.select(
-        "txn_id", "side", own.alias("own"),
-        F.count("*").over(frame["1d"]).alias("n_1d"), n7.alias("n_7d"), F.count("*").over(month).alias("n_30d"),
-        F.avg("amount_paid").over(week).alias("mean_amt_7d"), F.stddev_pop("amount_paid").over(week).alias("std_amt_7d"), F.max("amount_paid").over(month).alias("max_amt_30d"),
-        F.coalesce(out7, F.lit(0)).alias("n_out_7d"), (F.col("t") - F.max("t").over(month)).alias("secs_since_prev"), (F.col("t") - F.col("prev_cp")).alias("secs_since_prev_cp"),
-        F.coalesce(n7 - out7, F.lit(0)).alias("n_in_7d"), ratio(out7, n7).alias("out_share_7d"), F.coalesce(new7, F.lit(0)).alias("n_new_cp_7d"),
-        ratio(new7, n7).alias("new_cp_rate_7d"), degree.alias("n_distinct_cp_ever"),
-    )
-    return rows.where("own").drop("own")
+    new = F.when(own, F.col("is_new_cp")).otherwise(0).alias("own_new")
+    rows = events.select(*by, "txn_id", "side", "t", F.col("amount_paid").cast("double").alias("amount"), "is_out", "is_new_cp", new, "prev_cp", own.alias("own"), F.lit(earlier).cast("long").alias("earlier"))
+    kinds = {"side": StringType()} | {c: DoubleType() if c in _REAL else LongType() for c in HISTORY}
+    schema = StructType([StructField("txn_id", rows.schema["txn_id"].dataType), *[StructField(c, k) for c, k in kinds.items()]])
+    return rows.groupBy(*by).applyInArrow(_frames, schema)
+
+
+#: What events without a time count as; nothing is in their frames.
+_NEVER = -(1 << 62)
+
+
+def _frames(rows: pa.Table) -> pa.Table:
+    """History of the ``own`` events of one account, or of one chunk of its time."""
+    col = {c: rows[c].combine_chunks() for c in rows.column_names}
+    t = col["t"].fill_null(_NEVER).to_numpy()
+    amount, known = col["amount"].fill_null(0.0).to_numpy(), col["amount"].is_valid().to_numpy(zero_copy_only=False)
+    timed = t != _NEVER
+    times = Times.of(t, amount, known, col["is_out"].to_numpy().astype(np.int64), np.where(timed, col["is_new_cp"].to_numpy(), 0))
+    mine = np.flatnonzero(col["own"].to_numpy(zero_copy_only=False))
+    at, of = np.unique(t[mine], return_inverse=True)
+    values, null = times.features(at)
+    # First contacts of the halo are among those of earlier chunks.
+    first, when = np.where(timed, col["own_new"].to_numpy(), 0), np.argsort(t, kind="stable")
+    ever = np.concatenate([[0], np.cumsum(first[when])])
+    values["n_distinct_cp_ever"] = ever[np.searchsorted(t[when], at - MINUTE, "right")] + col["earlier"][0].as_py()
+    out = {c: pa.array(values[c][of], mask=null[c][of] if c in null else None) for c in values}
+    mine = pa.array(mine)
+    out["secs_since_prev_cp"] = pc.subtract(col["t"], col["prev_cp"]).take(mine)
+    return pa.table({"txn_id": col["txn_id"].take(mine), "side": col["side"].take(mine)} | {c: out[c] for c in HISTORY})
 
 
 def transaction_features(txns: DataFrame) -> list[Column]:
