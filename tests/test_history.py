@@ -142,3 +142,16 @@ def test_times_equal_brute_force():
             assert null["mean_amt_7d"][i] == (not len(week)) and null["max_amt_30d"][i] == (not len(month))
             if len(week):
                 assert (got["mean_amt_7d"][i], got["std_amt_7d"][i]) == (pytest.approx(week.mean()), pytest.approx(week.std(), abs=1e-6)) and got["max_amt_30d"][i] == month.max()
+
+
+@pytest.mark.parametrize("hub_events", [10**6, 1])
+def test_null_amounts_count_but_weigh_nothing(txns, hub_events):
+    df = txns([{"id": i, "t": BASE + timedelta(days=20 * i), "s": "01_A", "r": f"01_{i}", "amount": 7.0} for i in range(4)])
+    got = _rows(history.history(df.withColumn("amount_paid", F.when(F.col("txn_id") != 1, F.col("amount_paid"))), 30, hub_events))
+    assert [(got[i, "s"]["n_30d"], got[i, "s"]["max_amt_30d"], got[i, "s"]["n_distinct_cp_ever"]) for i in range(4)] == [(0, None, 0), (1, 7.0, 1), (1, None, 2), (1, 7.0, 3)]
+
+
+def test_chunks_without_own_events_are_not_made(txns):
+    df = txns([{"id": i, "t": BASE + timedelta(days=90 * i), "s": "01_A", "r": "01_B"} for i in range(3)])
+    text = history.feature_table(df, 30, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in text and "isnotnull(k_chunk" in text.replace("#", " ").lower()
