@@ -1,5 +1,9 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from tollgate import storage
 from tollgate.contract import HEADER, ContractError, PatternError
 from tollgate.operators import labeling
 from tollgate.sources import files, transfers
@@ -98,3 +102,16 @@ def test_strict_json_and_uris(spark, tmp_path):
     a, b = (transfers.read_raw(spark, p + _csv(spark, tmp_path / "u.csv", ROWS)) for p in ("", "file://"))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     assert files.listing(spark, f"{tmp_path}/none") == [] and not files.exists(spark, f"{tmp_path}/none")
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    old = held()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()  # held, so that no collection of garbage takes its files
+    out = storage.materialize(rows, "swept")
+    for _ in range(50):
+        if not held() - old:
+            break
+        time.sleep(0.1)
+    assert not held() - old and out.count() == 7 and spark.conf.get(storage._SWEEP) == "false"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..storage import discard
+from ..storage import Scope, discard
 from .common import gather, materialize, parted, passing
 
 #: Characters of a shingle; one starts at every run of non-space characters and, while the run goes on for 12 more, at each next character. So all are covered, and an inserted character moves no other shingle.
@@ -137,7 +137,16 @@ def _rare_pairs(sets: DataFrame) -> DataFrame:
     return both.select("x", "y").distinct()
 
 
-def line_links(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_links(rows: DataFrame, signed: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``_line_links``, written; the tables on the way are deleted, and ``signed`` as soon as it is read if this is its ``last`` use."""
+    with Scope(rows.sparkSession) as scope:
+        links, named = _line_links(rows, signed, last)
+        links = gather(links, "links")
+    scope.release([*links.inputFiles(), *named.inputFiles()])
+    return links, named
+
+
+def _line_links(rows: DataFrame, signed: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
     """Links (x, y) between distinct lines of a similarity of 0.8 or more, by rank, and (n_k1, n_k2, r) of the lines in them.
 
     ``signed`` are the lines' signatures. Lines that share a band form a bucket. Every member is
@@ -158,6 +167,8 @@ def line_links(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
     ranks = pairs.select(F.col("x").alias("r")).unionByName(pairs.select(F.col("y").alias("r")).distinct())
     named = passing(signed.select(F.col("k1").alias("n_k1"), F.col("k2").alias("n_k2"), F.col("o").alias("n_o"), "r"), ranks, "r")
     named = gather(named, "named")
+    if last:
+        discard(signed)
     # One occurrence of each line gives its shingles.
     sets = passing(rows.select("k1", "k2", "line", _place().alias("o")), named.select(F.col("n_o").alias("o")), "o")
     sets = sets.join(named, (F.col("k1") == F.col("n_k1")) & (F.col("k2") == F.col("n_k2")) & (F.col("o") == F.col("n_o")))
@@ -172,6 +183,7 @@ def line_links(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
         top = hubs.select(F.col("x").alias("h_x"), F.col("hub").alias("h"))
         told = told.join(top, F.col(of) == F.col("h_x"), "left").withColumn(f"{of}_hub", F.coalesce("h", of)).drop("h_x", "h")
     told = materialize(told, "compared")
+    discard(members)
     sides = [f(g("r_hub", "pivot_hub")) for f, g in ((F.min, F.least), (F.max, F.greatest))]
     left = told.groupBy("key").agg(F.count("*").alias("n"), F.min("jaccard").alias("least"), sides[0].alias("lo"), sides[1].alias("hi"))
     left = materialize(left.where((F.col("n") > 1) & (F.col("least") < SIMILAR) & (F.col("lo") != F.col("hi"))).select(F.col("key").alias("o_key"), (F.col("n") <= SMALL).alias("few")), "open")
@@ -181,13 +193,15 @@ def line_links(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
     near = F.abs(F.col("x.jaccard") - F.col("y.jaccard")) <= 1 - SIMILAR + 1e-9
     once = (F.col("y.jaccard") >= SIMILAR) | (F.col("x.r") < F.col("y.r"))
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.r_hub") != F.col("y.r_hub")) & near & once).select(F.col("x.r").alias("x"), F.col("y.r").alias("y")).distinct()
-    second = _verified(more, sets)
+    # Each reading of the sets is written by itself, so no two of their shuffles are on disk at once.
+    similar = lambda pairs: gather(_verified(pairs, sets).where(F.col("jaccard") >= SIMILAR).select("x", "y"), "second")
+    links = links.unionByName(similar(more))
     if not many.isEmpty():
         opened = F.max((F.col("jaccard") < SIMILAR).cast("int"))
         whole = many.select("r", F.col("r_hub").alias("hub"), "jaccard").unionByName(many.select(F.col("pivot").alias("r"), F.col("pivot_hub").alias("hub"), F.lit(1.0).alias("jaccard")))
         whole = whole.groupBy(F.col("r").alias("w_r"), "hub").agg((opened == 1).alias("open"))
-        second = second.unionByName(_verified(_rare_pairs(sets.join(whole, F.col("r") == F.col("w_r"))), sets))
-    return links.unionByName(second.where(F.col("jaccard") >= SIMILAR).select("x", "y")), named
+        links = links.unionByName(similar(_rare_pairs(sets.join(whole, F.col("r") == F.col("w_r")))))
+    return links, named
 
 
 def dropped_lines(docs: DataFrame, mark: Column) -> DataFrame:
@@ -198,12 +212,12 @@ def dropped_lines(docs: DataFrame, mark: Column) -> DataFrame:
     """
     rows = lines(docs, mark)
     signed = signatures(rows)
-    links, named = line_links(rows, signed)
+    copied = gather(signed.where("copies > 1").select("k1"), "copied")
+    links, named = line_links(rows, signed, True)
     found = components(links, "x", "y")
     labels = found.join(named, F.col("node") == F.col("r")).select(F.col("n_k1").alias("l_k1"), F.col("n_k2").alias("l_k2"), "component")
     labels = materialize(labels, "labels")
-    several = gather(signed.where("copies > 1").select("k1").unionByName(labels.select(F.col("l_k1").alias("k1"))), "several")
-    discard(signed)
+    several = gather(copied.unionByName(labels.select(F.col("l_k1").alias("k1"))), "several")
     seen = passing(rows.select("doc_id", "t", "line_no", "line", "k1", "k2"), several, "k1").where(F.col("line").rlike(r"\S"))
     seen = materialize(seen.select("doc_id", "t", "line_no", "k1", "k2"), "occurrences")
     firsts = seen.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.count("*").alias("n"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,11 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, str] = {}
 
 
+#: Deletes the shuffle files of a plan when it has run. Otherwise they stay until the driver happens to collect its garbage.
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is written in here leaves no shuffle files behind: only its own table is read later."""
+    old = spark.conf.get(_SWEEP)
+    spark.conf.set(_SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SWEEP, old)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tollgate-{tag}-{uuid.uuid4().hex}"
     # Ids, hashes and texts seldom repeat, and a table is read once or twice: dictionaries of them cost more than they save.
-    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    with swept(df.sparkSession):
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
     _WRITTEN[path] = tag
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
