@@ -189,6 +189,30 @@ def test_samples_are_bounded_and_hold_repeated_ids(spark, rude_and_kind, monkeyp
         assert sum(sizes[: len(x[0])]) <= 2000 and (len(x[0]) == 7 and t != 2 or sum(sizes[: len(x[0]) + 1]) > 2000)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, rude_and_kind, monkeypatch):
+    rows, docs, labels = rude_and_kind
+    # A word that the start never sees, in enough labelled rows beyond it.
+    more = [(i, rows[i % 600][1] + (" vexquor vexquor" if i % 2 else " pleasant")) for i in range(1000, 1600) if rows[i % 600][0] % 5]
+    all_docs, all_labels = docs.unionByName(_docs(spark, more)), labels.unionByName(_labels(spark, [(i, 1, i % 2) for i, _ in more]))
+    real = toxicity._samples
+    monkeypatch.setattr(toxicity, "_samples", lambda d, x, label: real(docs, labels, label))
+    monkeypatch.setattr(toxicity, "SHARD", 200)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(all_docs, all_labels).where("held_out and doc_id >= 1000").collect()}
+    assert len(got) > 100 and np.mean([p == i % 2 for i, p in got.items()]) > 0.9
+
+
+def test_limits_equal_the_driver_s(spark, rude_and_kind):
+    rows, docs, labels = rude_and_kind
+    net = toxicity.train([t for _, t in rows[:80]], np.array([float(i % 5 == 0) for i in range(80)]), epochs=1)
+    words, y = toxicity.Words(), np.array([float(i % 5 == 0) for i, _ in rows])
+    numbers = [words.numbers(t) for _, t in rows]
+    z, spoken = net.logits(numbers, net.embed(words.table_rows())), np.array(words.languages(numbers))
+    low = np.repeat(net.logits([np.zeros(0, np.int32)], net.embed(words.table_rows())), 1 + len(z) // 20)
+    got = toxicity._limits(net, docs.join(labels, "doc_id").selectExpr("text", "cast(toxic as double) as y"))
+    assert got[""] == pytest.approx(toxicity.limit(np.concatenate([z, low]), np.concatenate([y, np.zeros(len(low))])), abs=1e-4)
+    assert all(got[k] == pytest.approx(toxicity.limit(z[spoken == k], y[spoken == k]), abs=1e-4) for k in got if k)
+
+
 def _plain_fit(stats, y, half):
     """Ridge and isotonic calibration in plain numpy, by all rows at once."""
     center, spread = stats.mean(0), np.maximum(stats.std(0), 1e-3)

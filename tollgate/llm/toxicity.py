@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from copy import deepcopy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,17 +14,20 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import alerts
 from . import labels as L
-from .common import gather, materialize
+from .common import buckets_for, gather, materialize, passing, small_batches
 
 #: Rows of the embedding table, its columns, filters of each width, and the widths.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
 #: Parts of a word whose hashed rows add up to its embedding: the word itself and its beginnings.
 HEADS = (3, 4, 5, 6)
-#: Labelled documents of each class that training reads at most, documents that thresholds are set on at most,
-#: and bytes of text that either reads at most (documents in hash order until it is reached).
+#: Labelled documents of each class that training starts from at most, documents beside them at most, and bytes of
+#: text of either at most (documents in hash order until it is reached). All labelled documents follow.
 TRAIN_EACH, CALIBRATE, MOST_BYTES = 2500, 4000, 32_000_000
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.05, 42
+#: Rounds over all labelled documents, and documents of a shard, which goes on from the round's net by itself.
+ROUNDS, SHARD = 2, 4000
 #: A document is predicted toxic from this score.
 CUT = 0.7
 #: Words of the texts that one step convolves at most; a longer text goes in overlapping windows.
@@ -191,34 +195,163 @@ def gradient(net: Net, docs: Sequence[np.ndarray], rows: np.ndarray, y: np.ndarr
     return {"filters": filters, "bias": bias, "out": h.T @ g, "shift": float(g.sum()), "ids": ids, "table": table}
 
 
-def train(texts: Sequence[str | None], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Net:
-    """Fit a net by Adagrad on the log loss."""
-    net = new_net(seed)
+class Adagrad:
+    """A net in training, with the sums of its squared gradients."""
+
+    def __init__(self, net: Net) -> None:
+        self.net = net
+        self.table, self.out, self.shift = np.full(net.table.shape, 1e-6, np.float32), np.full(len(net.out), 1e-6), 1e-6
+        self.filters = [np.full(f.shape, 1e-6, np.float32) for f in net.filters]
+        self.bias = [np.full(FILTERS, 1e-6, np.float32) for _ in WIDTHS]
+
+    def step(self, docs: Sequence[np.ndarray], rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """One step on some documents; the table rows that it touches."""
+        net, d = self.net, gradient(self.net, docs, rows, y)
+        for k, (f, b) in enumerate(zip(d["filters"], d["bias"])):
+            self.filters[k] += f**2
+            net.filters[k] -= RATE * f / np.sqrt(self.filters[k])
+            self.bias[k] += b**2
+            net.bias[k] -= RATE * b / np.sqrt(self.bias[k])
+        self.out += d["out"] ** 2
+        net.out -= (RATE * d["out"] / np.sqrt(self.out)).astype(np.float32)
+        self.shift += d["shift"] ** 2
+        net.shift -= RATE * d["shift"] / np.sqrt(self.shift)
+        ids = d["ids"]
+        self.table[ids] += d["table"] ** 2
+        net.table[ids] -= RATE * d["table"] / np.sqrt(self.table[ids])
+        return ids
+
+
+def _started(texts: Sequence[str | None], y: np.ndarray, epochs: int, seed: int) -> Adagrad:
+    fit = Adagrad(new_net(seed))
     rng = np.random.default_rng(seed)
     words = Words()
     docs = [words.numbers(t) for t in texts]
     rows = words.table_rows()
-    seen = {"table": np.full(net.table.shape, 1e-6, np.float32), "out": np.full(len(net.out), 1e-6), "shift": 1e-6}
-    seen_f = [np.full(f.shape, 1e-6, np.float32) for f in net.filters]
-    seen_b = [np.full(FILTERS, 1e-6, np.float32) for _ in WIDTHS]
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(docs)), max(1, -(-len(docs) // BATCH))):
-            if not len(batch):
-                continue
-            d = gradient(net, [docs[i] for i in batch], rows, y[batch])
-            for k, (f, b) in enumerate(zip(d["filters"], d["bias"])):
-                seen_f[k] += f**2
-                net.filters[k] -= RATE * f / np.sqrt(seen_f[k])
-                seen_b[k] += b**2
-                net.bias[k] -= RATE * b / np.sqrt(seen_b[k])
-            seen["out"] += d["out"] ** 2
-            net.out -= (RATE * d["out"] / np.sqrt(seen["out"])).astype(np.float32)
-            seen["shift"] += d["shift"] ** 2
-            net.shift -= RATE * d["shift"] / np.sqrt(seen["shift"])
-            ids = d["ids"]
-            seen["table"][ids] += d["table"] ** 2
-            net.table[ids] -= RATE * d["table"] / np.sqrt(seen["table"][ids])
-    return net
+            if len(batch):
+                fit.step([docs[i] for i in batch], rows, y[batch])
+    return fit
+
+
+def train(texts: Sequence[str | None], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Net:
+    """Fit a net by Adagrad on the log loss."""
+    return _started(texts, y, epochs, seed).net
+
+
+def _flat(net: Net) -> np.ndarray:
+    """All numbers of a net but its limits as rows of ``DIM``, the table's first."""
+    small = np.concatenate([*[f.ravel() for f in net.filters], *net.bias, net.out, [net.shift], np.zeros(DIM - 1)])
+    return np.concatenate([net.table, small.reshape(-1, DIM)])
+
+
+def _unflat(net: Net, flat: np.ndarray) -> None:
+    """Put the rows of ``_flat`` into a net."""
+    net.table[:] = flat[:BUCKETS]
+    rest, at = flat[BUCKETS:].ravel(), 0
+    for part in (*net.filters, *net.bias, net.out):
+        part[...] = rest[at : at + part.size].reshape(part.shape)
+        at += part.size
+    net.shift = float(rest[at])
+
+
+def _shards(sent: Broadcast, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each shard's documents change of the net, one row for each row of ``_flat`` that they touch, times their number."""
+    shard, fit, touched, n, words = None, None, set(), 0, Words()
+    step, labels, size = [], [], 0
+
+    def go() -> None:
+        nonlocal n, size
+        touched.update(fit.step(step, words.table_rows(), np.array(labels)).tolist())
+        n, size = n + len(step), 0
+        step.clear()
+        labels.clear()
+        if len(words) > MEMORY:
+            words.__init__()
+            words.clear()
+
+    def end() -> pd.DataFrame:
+        if step:
+            go()
+        keys = np.concatenate([np.array(sorted(touched), np.int64), np.arange(BUCKETS, len(before))])
+        moved = n * (_flat(fit.net).astype(float) - before)[keys]
+        return pd.DataFrame({"key": keys, "n": n} | {f"d{i}": moved[:, i] for i in range(DIM)})
+
+    before = _flat(sent.value.net).astype(float)
+    for batch in batches:
+        for s, text, y in zip(batch["shard"], batch["text"], batch["y"]):
+            if s != shard:
+                if fit is not None:
+                    yield end()
+                shard, fit, touched, n = s, deepcopy(sent.value), set(), 0
+            step.append(words.numbers(text))
+            labels.append(y)
+            size += len(step[-1])
+            if len(step) == BATCH or size > STEP:
+                go()
+    if fit is not None:
+        yield end()
+
+
+def _round(fit: Adagrad, rows: DataFrame) -> None:
+    """Train on all of ``rows(shard, order, l_id, text, y)``: every shard goes on from the same net, and what they change is averaged.
+
+    A table row is averaged over the shards that touch it. What is collected has the size of the net.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(fit)  # a few MB, by BUCKETS and DIM
+    schema = "key long, n long, " + ", ".join(f"d{i} double" for i in range(DIM))
+    moved = rows.mapInPandas(lambda batches: _shards(sent, batches), schema)
+    found = moved.groupBy("key").agg(*[(F.sum(f"d{i}") / F.sum("n")).alias(f"d{i}") for i in range(DIM)]).toPandas()
+    flat = _flat(fit.net).astype(float)
+    flat[found["key"].to_numpy()] += found[[f"d{i}" for i in range(DIM)]].to_numpy()
+    _unflat(fit.net, flat)
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(l_id, order, y, text, shard), written: every labelled document, rows equal in id and text once; shard -1 where limits are set on it."""
+    known = L.known(labels, label).withColumn("order", F.xxhash64(F.lit("toxicity"), "l_id")).withColumn("name", F.col("l_id").cast("string"))
+    known = gather(known, "known")
+    shards = buckets_for(known.count(), SHARD)
+    some = passing(docs.select("doc_id", "text", F.col("doc_id").cast("string").alias("name")), known.select("name"), "name").drop("name")
+    rows = some.join(known, F.col("doc_id") == F.col("l_id")).withColumn("t", F.xxhash64("text")).dropDuplicates(["order", "l_id", "t"])
+    shard = F.when(F.pmod("order", F.lit(4)) == 0, -1).otherwise(F.pmod(F.xxhash64("order"), F.lit(shards)))
+    rows = rows.select("l_id", "order", "t", "y", "text", shard.cast("int").alias("shard"))
+    return materialize(rows, "labelled")
+
+
+def _limits(net: Net, rows: DataFrame) -> dict[str, float]:
+    """The limit of each language with five toxic documents or more among ``rows(text, y)``, and, as "", that of all.
+
+    Running sums over ranges of logits, so no task sorts all of them; a language or two logits' gap is all that is collected.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+
+    def told(texts: pd.Series) -> pd.DataFrame:
+        words, out = Words(), []
+        for a in range(0, len(texts), 512):
+            numbers = [words.numbers(t) for t in texts.iloc[a : a + 512]]
+            z = sent.value.logits(numbers, sent.value.embed(words.table_rows()))
+            out.append(pd.DataFrame({"k": words.languages(numbers), "score": z}))
+        return pd.concat(out) if out else pd.DataFrame({"k": [], "score": []})
+
+    seen = rows.select("y", F.pandas_udf(told, "k string, score double")("text").alias("x")).select("y", "x.k", "x.score")
+    levels = gather(seen.groupBy("k", "score").agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("p")), "levels")
+    n = levels.agg(F.sum("n")).first()[0] or 0
+    empty = net.logits([np.zeros(0, np.int32)], net.embed(Words().table_rows()))
+    floor = rows.sparkSession.createDataFrame([("", float(empty[0]), 1 + n // 20, 0)], levels.schema)
+    whole = levels.withColumn("k", F.lit("")).unionByName(floor).groupBy("k", "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    levels = gather(levels.where(F.col("k").isin(*COMMON)).unionByName(whole), "levels")
+    total = levels.groupBy(F.col("k").alias("t_k")).agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
+    enough = (F.col("all_p") >= F.when(F.col("t_k") == "", 1).otherwise(5)) & (F.col("all_p") < F.col("all_n"))
+    steps = alerts.running(levels, ["k"], alerts.score_ranges(levels)).join(F.broadcast(total.where(enough)), F.col("k") == F.col("t_k"))  # five languages at most
+    f1 = 2 * (F.col("p_above") + F.col("p")) / (F.col("n_above") + F.col("n") + F.col("all_p"))
+    best = steps.groupBy("k").agg(F.max_by("score", F.struct(f1, "score")).alias("best")).collect()  # one row a language
+    out = {}
+    for r in best:
+        below = levels.where((F.col("k") == r["k"]) & (F.col("score") < r["best"])).agg(F.max("score")).first()[0]
+        out[r["k"]] = (r["best"] + below) / 2 if below is not None else r["best"] - 1
+    return {"": 0.0} | out
 
 
 def limit(z: np.ndarray, y: np.ndarray) -> float | None:
@@ -274,11 +407,12 @@ def _samples(docs: DataFrame, labels: DataFrame, label: str) -> dict[int, tuple[
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Net:
-    """Train on a bounded sample of labelled documents, whole texts, and set a limit for each language.
+    """Train on all labelled documents, whole texts, and set a limit for each language.
 
-    The samples' bounds are ``TRAIN_EACH`` documents of each class, ``CALIBRATE`` others for the
-    limits, ``MOST_BYTES`` of text each. A language whose calibration documents have one class only
-    gets the limit of all; without both classes at all, no text reaches the limit.
+    A bounded sample (``_samples``) only gives the net to start from. ``ROUNDS`` rounds over every
+    labelled document follow, in shards whose changes are averaged, but for the fourth of them by hash
+    that all limits are set on. A language whose documents there have one class only gets the limit of
+    all; without both classes at all, no text reaches the limit.
     """
     some = _samples(docs, labels, label)
     pos, neg = some[_TOXIC], some[_OTHER]
@@ -287,19 +421,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Net:
         net.limits = {"": 50.0}
         return net
     empty = 1 + len(neg[1]) // 32  # a text without words is not toxic; what it yields is the floor of all others
-    net = train(pos[0] + neg[0] + [""] * empty, np.concatenate([pos[1], neg[1], np.zeros(empty)]))
-    texts, y = some[_LIMITS]
-    words = Words()
-    numbers = [words.numbers(t) for t in texts]
-    z = net.logits(numbers, net.embed(words.table_rows()))
-    spoken = np.array(words.languages(numbers), dtype=object)
-    floor = np.repeat(net.logits([np.zeros(0, np.int32)], net.embed(words.table_rows())), 1 + len(z) // 20)
-    overall = limit(np.concatenate([z, floor]), np.concatenate([y, np.zeros(len(floor))]))
-    net.limits = {"": 0.0 if overall is None else overall}
-    for k in COMMON:
-        if (y[spoken == k].sum() if len(y) else 0) >= 5 and (own := limit(z[spoken == k], y[spoken == k])) is not None:
-            net.limits[k] = own
-    return net
+    start = _started(pos[0] + neg[0] + [""] * empty, np.concatenate([pos[1], neg[1], np.zeros(empty)]), EPOCHS, SEED)
+    rows = _labelled(docs, labels, label)
+    own = rows.where("shard >= 0")
+    shards = own.agg(F.max("shard")).first()[0]
+    own = own.repartition((shards or 0) + 1, "shard").sortWithinPartitions("shard", "order", "l_id", "t")
+    with small_batches(docs.sparkSession):
+        for _ in range(ROUNDS):
+            _round(start, own)
+        start.net.limits = _limits(start.net, rows.where("shard = -1"))
+    return start.net
 
 
 def _scores(sent: Broadcast, text: Column) -> Column:
