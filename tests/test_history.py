@@ -155,3 +155,19 @@ def test_chunks_without_own_events_are_not_made(txns):
     df = txns([{"id": i, "t": BASE + timedelta(days=90 * i), "s": "01_A", "r": "01_B"} for i in range(3)])
     text = history.feature_table(df, 30, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame, -" not in text and "isnotnull(k_chunk" in text.replace("#", " ").lower()
+
+
+def test_small_accounts_are_taken_together(txns, monkeypatch):
+    df = txns(_world()).withColumn("event_time", F.when(F.col("txn_id") % 9 != 0, F.col("event_time")))
+    together = history.history(df)
+    assert together.select(F.spark_partition_id()).distinct().count() == 1  # one group of all twelve accounts
+    monkeypatch.setattr(history, "_GROUP", 1)
+    many, few = _rows(history.history(df)), _rows(together)
+    assert set(few) == set(many)
+    for key in few:
+        assert all(few[key][c] == pytest.approx(many[key][c]) for c in HISTORY), key
+
+
+def test_contacts_of_hubs_are_found_once(txns):
+    plan = history.history(txns(_world()), 30, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # they are written, and not found again behind the degrees

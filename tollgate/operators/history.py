@@ -19,6 +19,8 @@ _SPAN = WINDOWS["30d"]
 _REAL = ("mean_amt_7d", "std_amt_7d", "max_amt_30d", "out_share_7d", "new_cp_rate_7d")
 #: Days of a chunk of a hub's time, and events that make an account a hub.
 HUB_DAYS, HUB_EVENTS = 30, 1_000_000
+#: Events of the accounts that numpy takes at once, about; a single account may have more.
+_GROUP = 1 << 14
 
 
 def account_events(txns: DataFrame, *extra: str) -> DataFrame:
@@ -41,9 +43,10 @@ def history(txns: DataFrame, hub_days: int = HUB_DAYS, hub_events: int = HUB_EVE
 
     Frames end one minute before the event, so it sees neither itself, nor others of its minute, nor
     the future. Counts and sums of an empty frame are 0; means, deviations, maxima, ratios and
-    seconds are null on a cold start. All frames share one shuffle on the account. A frame's values are
-    put together from those of a few whole stretches of time, so an account costs n log n in its times,
-    where a sliding window of the engine reads each frame anew.
+    seconds are null on a cold start. All frames share one shuffle on groups of accounts, which numpy
+    takes together, as most accounts are small. A frame's values are put together from those of a few
+    whole stretches of time, so an account costs n log n in its times, where a sliding window of the
+    engine reads each frame anew.
 
     An account of more than ``hub_events`` events is a hub, and no task holds its whole life: its time
     is cut into chunks of ``hub_days`` days (30 at least), an event is read in its own chunk and, as
@@ -55,10 +58,12 @@ def history(txns: DataFrame, hub_days: int = HUB_DAYS, hub_events: int = HUB_EVE
     events = _first_contacts(account_events(require(txns, ("txn_id", "event_time", "amount_paid", "sender_id", "receiver_id"))))
     by, own, earlier = ["account_id"], F.lit(True), F.lit(0)
     ends = txns.select(F.explode(F.array("sender_id", "receiver_id")).alias("hub"))
-    hubs = materialize(ends.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > hub_events).select("hub"), "hubs")
+    sizes = materialize(ends.groupBy("hub").agg(F.count("*").alias("n")), "sizes")
+    hubs, total = sizes.where(F.col("n") > hub_events).select("hub"), sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     if not hubs.isEmpty():
         chunk = F.when(F.col("hub").isNotNull(), F.floor(F.col("t") / (hub_days * 86_400))).otherwise(0)
-        events = events.join(hubs, F.col("account_id") == F.col("hub"), "left").withColumn("home", chunk)
+        events = events.join(hubs, F.col("account_id") == F.col("hub"), "left").withColumn("home", chunk).drop("cp")
+        events = materialize(events, "contacts")  # read twice, and its windows cost more than it
         sums = events.where("hub is not null").groupBy("account_id", "home").agg(F.sum("is_new_cp").alias("new"))
         before = Window.partitionBy("account_id").orderBy("home").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select(F.col("account_id").alias("k_account"), F.col("home").alias("k_chunk"), F.coalesce(F.sum("new").over(before), F.lit(0)).alias("new_before"))
@@ -69,10 +74,11 @@ def history(txns: DataFrame, hub_days: int = HUB_DAYS, hub_events: int = HUB_EVE
         events = events.where("hub is null or k_chunk is not null")  # a chunk without events of its own asks for nothing
         own, by, earlier = F.col("home") == F.col("chunk"), ["account_id", "chunk"], F.coalesce("new_before", F.lit(0))
     new = F.when(own, F.col("is_new_cp")).otherwise(0).alias("own_new")
-    rows = events.select(*by, "txn_id", "side", "t", F.col("amount_paid").cast("double").alias("amount"), "is_out", "is_new_cp", new, "prev_cp", own.alias("own"), F.lit(earlier).cast("long").alias("earlier"))
+    group = F.pmod(F.xxhash64(*by), F.lit(total // _GROUP + 1)).alias("group")
+    rows = events.select(group, *by, "txn_id", "side", "t", F.col("amount_paid").cast("double").alias("amount"), "is_out", "is_new_cp", new, "prev_cp", own.alias("own"), F.lit(earlier).cast("long").alias("earlier"))
     kinds = {"side": StringType()} | {c: DoubleType() if c in _REAL else LongType() for c in HISTORY}
     schema = StructType([StructField("txn_id", rows.schema["txn_id"].dataType), *[StructField(c, k) for c, k in kinds.items()]])
-    return rows.groupBy(*by).applyInArrow(_frames, schema)
+    return rows.groupBy("group").applyInArrow(_frames, schema)
 
 
 #: What events without a time count as; nothing is in their frames.
@@ -80,25 +86,41 @@ _NEVER = -(1 << 62)
 
 
 def _frames(rows: pa.Table) -> pa.Table:
-    """History of the ``own`` events of one account, or of one chunk of its time."""
+    """History of the ``own`` events of some accounts, or of some chunks of their time.
+
+    These stand behind one another in one time, further apart than the longest frame.
+    """
     col = {c: rows[c].combine_chunks() for c in rows.column_names}
-    t = col["t"].fill_null(_NEVER).to_numpy()
+    t, timed = col["t"].fill_null(0).to_numpy(), col["t"].is_valid().to_numpy(zero_copy_only=False)
+    who = _codes(col["account_id"])
+    if "chunk" in col:
+        chunk = _codes(col["chunk"])
+        _, who = np.unique(who * (chunk.max() + 1) + chunk, return_inverse=True)
+    least, most = (f(t[timed]) if timed.any() else 0 for f in (np.min, np.max))
+    apart = int(most - least) + _SPAN + 2 * MINUTE
+    t = np.where(timed, t - least + who * apart, _NEVER)
     amount, known = col["amount"].fill_null(0.0).to_numpy(), col["amount"].is_valid().to_numpy(zero_copy_only=False)
-    timed = t != _NEVER
     times = Times.of(t, amount, known, col["is_out"].to_numpy().astype(np.int64), np.where(timed, col["is_new_cp"].to_numpy(), 0))
     mine = np.flatnonzero(col["own"].to_numpy(zero_copy_only=False))
     at, of = np.unique(t[mine], return_inverse=True)
     values, null = times.features(at)
     # First contacts of the halo are among those of earlier chunks.
     first, when = np.where(timed, col["own_new"].to_numpy(), 0), np.argsort(t, kind="stable")
-    ever = np.concatenate([[0], np.cumsum(first[when])])
-    values["n_distinct_cp_ever"] = ever[np.searchsorted(t[when], at - MINUTE, "right")] + col["earlier"][0].as_py()
+    ever, when = np.concatenate([[0], np.cumsum(first[when])]), t[when]
+    begun = np.where(at == _NEVER, 0, ever[np.searchsorted(when, at // apart * apart)])
+    values["n_distinct_cp_ever"] = ever[np.searchsorted(when, at - MINUTE, "right")] - begun
     out = {c: pa.array(values[c][of], mask=null[c][of] if c in null else None) for c in values}
     mine = pa.array(mine)
+    out["n_distinct_cp_ever"] = pc.add(out["n_distinct_cp_ever"], col["earlier"].take(mine))
     out["secs_since_prev_cp"] = pc.subtract(col["t"], col["prev_cp"]).take(mine)
     return pa.table({"txn_id": col["txn_id"].take(mine), "side": col["side"].take(mine)} | {c: out[c] for c in HISTORY})
 
 
+def _codes(values: pa.Array) -> np.ndarray:
+    """A number from 0 for each distinct value, null among them."""
+    return values.dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+
+
 def transaction_features(txns: DataFrame) -> list[Column]:
     """The twelve features that a transfer has by itself; categories get a portable code below 1000."""
     paid, got, t = F.col("amount_paid"), F.col("amount_received"), F.col("event_time")
