@@ -47,12 +47,12 @@ def swept(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_SWEEP, old)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, repeats: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors. Values that ``repeats`` are written as a dictionary."""
     path = f"{shared_dir(df.sparkSession)}/tollgate-{tag}-{uuid.uuid4().hex}"
     # Ids, hashes and texts seldom repeat, and a table is read once or twice: dictionaries of them cost more than they save.
     with swept(df.sparkSession):
-        df.write.option("parquet.enable.dictionary", "false").parquet(path)
+        df.write.option("parquet.enable.dictionary", str(repeats).lower()).parquet(path)
     _WRITTEN[path] = tag
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
