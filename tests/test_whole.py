@@ -8,9 +8,9 @@ from hashlib import md5
 import numpy as np
 import pytest
 
-from tollgate import registry
+from tollgate import registry, storage
 from tollgate.operators import alerts, nulls
-from tollgate.plans import models
+from tollgate.plans import core, models
 from tollgate.sources import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -97,6 +97,16 @@ def test_full_permutation_summary(spark):
         assert (r["null_lo"], r["null_hi"]) == pytest.approx(tuple(np.quantile(null, [0.025, 0.975])), abs=1e-8)
 
 
+@tables
+@pytest.mark.parametrize("name", ["typology_spread_ratio", "holm_resolution", "permutation_summary"])
+def test_nulls_leave_no_tables_of_days(spark, monkeypatch, name):
+    monkeypatch.setattr(core, "DRAWS", 70)
+    before = set(storage._WRITTEN)
+    _run(spark, name)
+    left = [storage._WRITTEN[p] for p in set(storage._WRITTEN) - before]
+    assert left and set(left) <= {"draws", "rates", "shapes", "spread"}
+
+
 @tables
 def test_full_bootstrap_equals_brute_force(spark):
     e = adapters.evts(spark, SF)

@@ -35,13 +35,16 @@ def ends(scored: DataFrame, *columns: str) -> DataFrame:
     return scored.select(F.col("event_date").alias("day"), F.explode(F.array("sender_id", "receiver_id")).alias("acct"), *columns)
 
 
-def account_days(scored: DataFrame, with_txn_id: bool = False) -> DataFrame:
+def account_days(scored: DataFrame, with_txn_id: bool = False, with_touched: bool = False) -> DataFrame:
     """(day, acct, score, y, other_max): the best score and label of the day, and the best score outside rings.
 
-    With ``with_txn_id`` also the transfer that gave the score, the least id among equals.
+    With ``with_txn_id`` also the transfer that gave the score, the least id among equals; with
+    ``with_touched`` whether a ring transfer that has an id is among those of a known day and account.
     """
-    rows = ends(scored, "score", "is_laundering", "ring_id", *(["txn_id"] if with_txn_id else []))
+    rows = ends(scored, "score", "is_laundering", "ring_id", *(["txn_id"] if with_txn_id or with_touched else []))
     best = [F.max_by("txn_id", F.struct("score", -F.col("txn_id"))).alias("argmax_txn_id")] if with_txn_id else []
+    known = F.col("day").isNotNull() & F.col("acct").isNotNull()
+    best += [(F.bool_or(F.col("ring_id").isNotNull() & F.col("txn_id").isNotNull()) & known).alias("touched")] if with_touched else []
     other = F.max(F.when(F.col("ring_id").isNull(), F.col("score"))).alias("other_max")
     return rows.groupBy("day", "acct").agg(F.max("score").alias("score"), F.max("is_laundering").alias("y"), other, *best)
 

@@ -12,7 +12,7 @@ from ..contract import TYPOLOGIES
 from ..functions import columns as C
 from ..operators import alerts, diagnostics, drift, history, labeling, leaks, nulls, order, replay, splits
 from ..sources import adapters, files, transfers
-from ..storage import shared_dir
+from ..storage import Scope, materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -486,9 +486,21 @@ _PERM = (
 )
 
 
+def _alone(s, make, tag):
+    """The few rows of ``make()``, written; the tables on their way are deleted, so that no later query finds them on the disk."""
+    with Scope(s) as scope:
+        out = materialize(make(), tag)
+    scope.release(out.inputFiles())
+    return out
+
+
+def _draws(s, d):
+    return _alone(s, lambda: nulls.permutation_draws(evts(s, d), BUDGETS, DRAWS), "draws")
+
+
 @query(_PERM + " SELECT draw, k, round(ring_recall, 9) AS ring_recall FROM pd")
 def permutation_null(s, d):
-    return nulls.permutation_draws(evts(s, d), BUDGETS, DRAWS)
+    return _draws(s, d)
 
 
 @query(_PERM + """, o AS (SELECT k, ring_recall AS seen FROM pd WHERE draw = 0),
@@ -497,13 +509,13 @@ def permutation_null(s, d):
   SELECT k, round(seen, 9) AS ring_recall_minrank, round(m, 9) AS ring_recall_null, round(lo, 9) AS null_lo, round(hi, 9) AS null_hi, round(seen / nullif(m, 0), 3) AS lift, round(seen / nullif(m, 0), 3) AS ring_coverage_concentration,
   round((up + 1) / (b + 1)::DOUBLE, 9) AS p, round((dn + 1) / (b + 1)::DOUBLE, 9) AS p_lower, round(least(1, 2 * least((up + 1) / (b + 1)::DOUBLE, (dn + 1) / (b + 1)::DOUBLE)), 9) AS p_two_sided, b AS permutations, round(1 / (b + 1)::DOUBLE, 9) AS p_resolution FROM g""")
 def permutation_summary(s, d):
-    return nulls.permutation_summary(nulls.permutation_draws(evts(s, d), BUDGETS, DRAWS))
+    return nulls.permutation_summary(_draws(s, d))
 
 
 @query(_PERM + """, ty AS (SELECT ring_id, min(typology) AS typology FROM t WHERE ring_id IS NOT NULL GROUP BY 1), q AS (SELECT draw, typology, avg(CASE WHEN r <= 25 THEN 1 ELSE 0 END) AS x FROM br JOIN ty USING (ring_id) GROUP BY 1, 2)
   SELECT CAST(draw AS INTEGER) AS draw, round(max(x) - min(x), 9) AS spread FROM q GROUP BY 1""")
 def typology_spread_null(s, d):
-    return nulls.typology_spread(evts(s, d), 25, DRAWS)
+    return _alone(s, lambda: nulls.typology_spread(evts(s, d), 25, DRAWS), "spread")
 
 
 _RATES = """, ty AS (SELECT ring_id, min(typology) AS typology FROM t WHERE ring_id IS NOT NULL GROUP BY 1), ra_ AS (SELECT draw, typology, avg(CASE WHEN r <= 25 THEN 1 ELSE 0 END) AS x FROM br JOIN ty USING (ring_id) GROUP BY 1, 2),
@@ -514,7 +526,7 @@ _RATES = """, ty AS (SELECT ring_id, min(typology) AS typology FROM t WHERE ring
 
 
 def _rates(s, d):
-    return nulls.materialize(nulls.typology_rates(evts(s, d), 25, DRAWS), "rates")
+    return _alone(s, lambda: nulls.typology_rates(evts(s, d), 25, DRAWS), "rates")
 
 
 @query(_PERM + _RATES + """, q AS (SELECT draw, max(x) / nullif(min(x), 0)::DOUBLE AS r FROM ra_ GROUP BY 1), o AS (SELECT r AS seen FROM q WHERE draw = 0)
