@@ -137,3 +137,17 @@ def test_boosted_trees_keep_their_settings(spark, monkeypatch):
     with pytest.raises(Seen):
         registry.queries()["model_gbt_scores"](spark, SF)
     assert models.GBT.items() <= used.items()
+
+
+@tables
+def test_fits_read_written_rows(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(rows, *a, **settings):
+        assert (files := rows.inputFiles()) and all("/tollgate-model_rows-" in f for f in files)
+        raise Seen
+
+    monkeypatch.setattr(models, "train", fit)
+    with pytest.raises(Seen):
+        registry.queries()["model_gbt_scores"](spark, SF)

@@ -18,6 +18,7 @@ from ..operators import alerts, leaks
 from ..operators.drift import typology_weights
 from ..operators.history import feature_table
 from ..operators.order import coded
+from ..storage import materialize
 
 #: Settings of the boosted trees; fixed values.
 GBT = {"stepSize": 0.1, "maxIter": 300, "maxDepth": 8, "minInstancesPerNode": 40}
@@ -209,9 +210,12 @@ def ablation(train_rows: DataFrame, test: DataFrame, budgets: Sequence[int] = (1
 
 
 def train_stage(labeled: DataFrame, cut: str, sides: DataFrame, kind: str = "lr", protocol: str = "ring-aware", **settings) -> tuple[PipelineModel, DataFrame]:
-    """Features, split, fit and scores of the test side, ready for ``alerts.evaluate``."""
+    """Features, split, fit and scores of the test side, ready for ``alerts.evaluate``.
+
+    The feature rows are written once: a fit reads its rows many times before the first round.
+    """
     from ..operators.splits import split_rows
 
-    rows = split_rows(feature_table(labeled), sides, cut, protocol)
+    rows = materialize(split_rows(materialize(feature_table(labeled), "features"), sides, cut, protocol), "model_rows")
     model = train(rows.where("part = 'train'").drop("part"), kind, **settings)
     return model, scored(model, rows.where("part = 'test'").drop("part"))
