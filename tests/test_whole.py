@@ -98,7 +98,7 @@ def test_full_permutation_summary(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", ["typology_spread_ratio", "holm_resolution", "permutation_summary"])
+@pytest.mark.parametrize("name", ["typology_spread_ratio", "typology_concentration", "holm_resolution", "permutation_summary"])
 def test_nulls_leave_no_tables_of_days(spark, monkeypatch, name):
     monkeypatch.setattr(core, "DRAWS", 70)
     before = set(storage._WRITTEN)
