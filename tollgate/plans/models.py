@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from ..contract import FEATURES, LeakNotDetected, MetricError, check
 from ..functions.columns import bucket
 from ..functions.stats import spread
 from ..operators import alerts, leaks
+from ..operators.boost import GBTClassifier
 from ..operators.drift import typology_weights
 from ..operators.history import feature_table
 from ..operators.order import coded
